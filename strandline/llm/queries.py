@@ -7,10 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, mixing
+from . import decontam, fertility, langid, line_dedup, mixing, pii, toxicity
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "toxic", "p_toxic", "p_low_quality")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = langid.fit(docs.where(~langid.held_out() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"))
+    out = langid.predict(docs, models)
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
+
+
+def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fertility.verdicts(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "band", "chars_per_token", "fallback_share", "token_entropy")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -27,7 +49,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
+    "op7_pii": op7_pii,
+    "op9_fertility": op9_fertility,
     "op8_mixing": op8_mixing,
     "op10_decontamination": op10_decontamination,
 }
