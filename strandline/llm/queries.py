@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, fertility, html_extract, langid, line_dedup, mixing, pii, toxicity
+from . import chat_format, decontam, fertility, html_extract, langid, line_dedup, mixing, ngram_join, pii, toxicity
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "toxic", "p_toxic", "p_low_quality")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -61,6 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_ngram_join": op2_ngram_join,
     "op3_html_extraction": op3_html_extraction,
     "op4_chat_format": op4_chat_format,
     "op5_language_id": op5_language_id,
@@ -75,6 +80,53 @@ _UNITS = "|".join(decontam.UNITS)
 _CLOSING = r"""[.,;:!?"''\)\]]+"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM documents
+),
+t AS (SELECT ws, min(doc_id) AS rep, count(*) AS n_copies FROM d WHERE len(ws) > 0 GROUP BY ws),
+s AS (
+  SELECT DISTINCT rep, n_copies, CASE WHEN len(ws) < 5 THEN ws ELSE [ws[i], ws[i + 1], ws[i + 2], ws[i + 3], ws[i + 4]] END AS g
+  FROM (SELECT rep, n_copies, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM t) q
+),
+z AS (SELECT rep, n_copies, count(*) AS size FROM s GROUP BY rep, n_copies),
+p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep),
+l AS (SELECT p.a, p.b, x.n_copies AS na, y.n_copies AS nb FROM p JOIN z x ON p.a = x.rep JOIN z y ON p.b = y.rep WHERE 5 * p.both >= 4 * (x.size + y.size - p.both)),
+e AS (SELECT a, b, nb AS n FROM l UNION ALL SELECT b, a, na FROM l),
+reach AS (SELECT rep AS v, rep AS c FROM t UNION SELECT r.v, e.b FROM reach r JOIN e ON r.c = e.a),
+cls AS (SELECT v, min(c) AS class_id FROM reach GROUP BY v),
+n AS (SELECT a AS v, sum(n) AS links FROM e GROUP BY a)
+SELECT d.doc_id, coalesce(cls.class_id, d.doc_id) AS class_id, CAST(coalesce(n.links, 0) + coalesce(t.n_copies, 1) - 1 AS BIGINT) AS n_links, coalesce(t.n_copies, 1) AS n_copies
+FROM d LEFT JOIN t ON d.ws = t.ws LEFT JOIN cls ON t.rep = cls.v LEFT JOIN n ON t.rep = n.v
+""",
+    "op7_pii": r"""
+WITH kinds AS (
+  SELECT * FROM (VALUES (0, 'email'), (1, 'ip'), (2, 'card'), (3, 'phone')) k(no, kind)
+),
+m AS (
+  SELECT doc_id, text, no, kind,
+    CASE no WHEN 0 THEN regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') WHEN 1 THEN regexp_extract_all(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+')
+      WHEN 2 THEN regexp_extract_all(text, '[0-9](?:[\x20-]?[0-9])+') ELSE regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]') END AS ms,
+    CASE no WHEN 0 THEN string_split_regex(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') WHEN 1 THEN string_split_regex(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+')
+      WHEN 2 THEN string_split_regex(text, '[0-9](?:[\x20-]?[0-9])+') ELSE string_split_regex(text, '\+[0-9][\x20().0-9-]+[0-9]') END AS ps
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) d CROSS JOIN kinds
+),
+x AS (SELECT doc_id, text, no, kind, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS v, unnest(ps[:len(ms)]) AS before FROM m WHERE len(ms) > 0),
+y AS (
+  SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS digits,
+    CAST(sum(length(before) + length(v)) OVER (PARTITION BY doc_id, no ORDER BY i) AS BIGINT) AS e FROM x
+),
+b AS (
+  SELECT doc_id, text, no, kind, v, e - length(v) AS s, e, CASE WHEN no < 2 THEN lower(v) ELSE digits END AS entity, length(before) AS gap FROM y
+  WHERE CASE no WHEN 1 THEN len(list_filter(string_split(v, '.'), lambda q: CAST(q AS HUGEINT) > 255)) = 0
+    WHEN 2 THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(digits)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(digits[length(digits) - i] AS INTEGER)
+      ELSE (CAST(digits[length(digits) - i] AS INTEGER) * 2) // 10 + (CAST(digits[length(digits) - i] AS INTEGER) * 2) % 10 END)) % 10 = 0
+    WHEN 3 THEN length(digits) BETWEEN 9 AND 15 ELSE true END
+),
+line AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) AS base, count(*) FILTER (no = 0) AS n_email, count(*) FILTER (no = 1) AS n_ip, count(*) FILTER (no = 2) AS n_card, count(*) FILTER (no = 3) AS n_phone FROM b GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(base, '') AS spans, CAST(0 AS BIGINT) AS n_term
+FROM documents d LEFT JOIN line ON d.doc_id = line.doc_id
+""",
     "op6_line_dedup": r"""
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 w AS (
