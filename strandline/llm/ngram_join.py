@@ -49,8 +49,9 @@ def word_hashes(text: str | None, cache: dict[str, int]) -> np.ndarray:
     ws = _WORD.findall(text.lower()) if text else []
     if len(cache) > 400_000:
         cache.clear()
-    for w in set(ws) - cache.keys():
-        cache[w] = xxhash.xxh3_64_intdigest(w)
+    for w in ws:
+        if w not in cache:
+            cache[w] = xxhash.xxh3_64_intdigest(w)
     return np.fromiter(map(cache.__getitem__, ws), dtype=np.uint64, count=len(ws))
 
 
