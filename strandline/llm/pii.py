@@ -101,15 +101,23 @@ def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text", gener
     """(entity, term, share) of the terms that give an entity away: share = PMI / IC of at least ``generalise``, and at
     least ``support`` distinct texts hold both. Counts are over all distinct texts."""
     seen = found.where(F.size("near") > 0).select("_kt", F.explode("near").alias("z")).select("_kt", "z.entity", "z.term").distinct()
-    both = written(seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("_et")).where(F.col("_et") >= support), "pii-pairs")
+    both = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("_et")).where(F.col("_et") >= support)
     of_entity = found.where(F.size("base") > 0).select("_kt", F.explode("base.entity").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("_e"))
+    # texts with the term beside any entity are a lower bound of those with the term: what it rules out needs no count
+    n = found.select("_kt").distinct().agg(F.count(F.lit(1)).alias("_n"))
+    beside = seen.select("_kt", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("_t"))
+    both = both.join(of_entity, "entity").join(beside, "term").join(F.broadcast(n))  # one row
+    both = written(both.where(_share() >= generalise).drop("_t"), "pii-pairs")
     terms = both.select("term").distinct()
     bag = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(text_col)).alias("_kt"), F.explode(F.array_distinct(F.split(F.lower(text_col), r"[^\p{L}]+"))).alias("term"))
     of_term = bag.join(if_small(terms), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("_t"))
-    n = found.select("_kt").distinct().agg(F.count(F.lit(1)).alias("_n"))
-    pairs = both.join(of_entity, "entity").join(of_term, "term").join(F.broadcast(n))  # one row
-    pmi, ic = F.log2(F.col("_et") * F.col("_n") / (F.col("_e") * F.col("_t"))), F.log2(F.col("_n") / F.col("_e"))
-    return pairs.withColumn("share", F.try_divide(pmi, ic)).where(F.col("share") >= generalise).select("entity", "term", "share")
+    pairs = both.join(of_term, "term")
+    return pairs.withColumn("share", _share()).where(F.col("share") >= generalise).select("entity", "term", "share")
+
+
+def _share() -> Column:
+    """PMI / IC from the counts of texts _et (both), _e (entity), _t (term), _n (all); null for an entity in all texts."""
+    return F.try_divide(F.log2(F.col("_et") * F.col("_n") / (F.col("_e") * F.col("_t"))), F.log2(F.col("_n") / F.col("_e")))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = 0.9, remove: float = 0.98, support: int = 3) -> DataFrame:

@@ -106,25 +106,51 @@ WITH kinds AS (
 m AS (
   SELECT doc_id, text, no, kind,
     CASE no WHEN 0 THEN regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') WHEN 1 THEN regexp_extract_all(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+')
-      WHEN 2 THEN regexp_extract_all(text, '[0-9](?:[\x20-]?[0-9])+') ELSE regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]') END AS ms,
+      WHEN 2 THEN regexp_extract_all(text, '[0-9](?:[\x20-]?[0-9]){11,}') ELSE regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]') END AS ms,
     CASE no WHEN 0 THEN string_split_regex(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') WHEN 1 THEN string_split_regex(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+')
-      WHEN 2 THEN string_split_regex(text, '[0-9](?:[\x20-]?[0-9])+') ELSE string_split_regex(text, '\+[0-9][\x20().0-9-]+[0-9]') END AS ps
+      WHEN 2 THEN string_split_regex(text, '[0-9](?:[\x20-]?[0-9]){11,}') ELSE string_split_regex(text, '\+[0-9][\x20().0-9-]+[0-9]') END AS ps
   FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) d CROSS JOIN kinds
 ),
-x AS (SELECT doc_id, text, no, kind, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS v, unnest(ps[:len(ms)]) AS before FROM m WHERE len(ms) > 0),
+x AS (SELECT doc_id, text, no, kind, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS v, unnest(ps[:len(ms)]) AS before, unnest(ps[2:]) AS after FROM m WHERE len(ms) > 0),
 y AS (
   SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS digits,
     CAST(sum(length(before) + length(v)) OVER (PARTITION BY doc_id, no ORDER BY i) AS BIGINT) AS e FROM x
 ),
 b AS (
-  SELECT doc_id, text, no, kind, v, e - length(v) AS s, e, CASE WHEN no < 2 THEN lower(v) ELSE digits END AS entity, length(before) AS gap FROM y
+  SELECT doc_id, text, no, kind, e - length(v) AS s, e, kind || ':' || CASE WHEN no < 2 THEN lower(v) ELSE digits END AS entity, before, after FROM y
   WHERE CASE no WHEN 1 THEN len(list_filter(string_split(v, '.'), lambda q: CAST(q AS HUGEINT) > 255)) = 0
     WHEN 2 THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(digits)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(digits[length(digits) - i] AS INTEGER)
       ELSE (CAST(digits[length(digits) - i] AS INTEGER) * 2) // 10 + (CAST(digits[length(digits) - i] AS INTEGER) * 2) % 10 END)) % 10 = 0
     WHEN 3 THEN length(digits) BETWEEN 9 AND 15 ELSE true END
 ),
-line AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) AS base, count(*) FILTER (no = 0) AS n_email, count(*) FILTER (no = 1) AS n_ip, count(*) FILTER (no = 2) AS n_card, count(*) FILTER (no = 3) AS n_phone FROM b GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(base, '') AS spans, CAST(0 AS BIGINT) AS n_term
+-- terms within 60 code points of an entity, whole words only, outside base spans
+c AS (
+  SELECT doc_id, text, entity, substr(before, greatest(1, length(before) - 59)) AS ctx, s - least(60, length(before)) AS pos, length(before) > 60 AS cut_head, false AS cut_tail FROM b
+  UNION ALL SELECT doc_id, text, entity, substr(after, 1, 60), e, false, length(after) > 60 FROM b
+),
+cm AS (SELECT *, regexp_extract_all(ctx, '\p{L}{4,}') AS ms, string_split_regex(ctx, '\p{L}{4,}') AS ps FROM c),
+cw AS (SELECT doc_id, text, entity, pos, cut_head, cut_tail, pos + length(ctx) AS ctx_end, row_number() OVER () AS r, ms, ps FROM cm WHERE len(ms) > 0),
+cx AS (SELECT doc_id, text, entity, pos, cut_head, cut_tail, ctx_end, r, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS w, unnest(ps[:len(ms)]) AS pre FROM cw),
+cy AS (SELECT *, CAST(pos + sum(length(pre) + length(w)) OVER (PARTITION BY r ORDER BY i) AS BIGINT) AS e FROM cx),
+near AS (
+  SELECT DISTINCT doc_id, text, entity, lower(w) AS term, e - length(w) AS s, e FROM cy t
+  WHERE NOT (cut_head AND e - length(w) = pos) AND NOT (cut_tail AND e = ctx_end)
+    AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = t.doc_id AND t.e - length(t.w) < b.e AND b.s < t.e)
+),
+et AS (SELECT entity, term, count(DISTINCT text) AS n FROM near GROUP BY entity, term HAVING count(DISTINCT text) >= 3),
+ent AS (SELECT entity, count(DISTINCT text) AS n FROM b GROUP BY entity),
+ter AS (SELECT term, count(DISTINCT text) AS n FROM (SELECT text, unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS term FROM documents) q WHERE term IN (SELECT term FROM et) GROUP BY term),
+told AS (
+  SELECT et.entity, et.term FROM et JOIN ent ON et.entity = ent.entity JOIN ter ON et.term = ter.term CROSS JOIN (SELECT CAST(count(DISTINCT coalesce(text, '')) AS DOUBLE) AS n FROM documents) a
+  WHERE a.n > ent.n AND log2(et.n * a.n / (ent.n * ter.n)) / log2(a.n / ent.n) >= 0.9
+),
+h AS (SELECT DISTINCT doc_id, s, e FROM near JOIN told ON near.entity = told.entity AND near.term = told.term),
+u AS (SELECT doc_id, no, kind, s, e FROM b UNION ALL SELECT doc_id, 4, 'term', s, e FROM h),
+line AS (
+  SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) FILTER (no < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) AS spans,
+    count(*) FILTER (no = 0) AS n_email, count(*) FILTER (no = 1) AS n_ip, count(*) FILTER (no = 2) AS n_card, count(*) FILTER (no = 3) AS n_phone, count(*) FILTER (no = 4) AS n_term FROM u GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_term, 0) AS n_term
 FROM documents d LEFT JOIN line ON d.doc_id = line.doc_id
 """,
     "op6_line_dedup": r"""
