@@ -9,22 +9,22 @@ from pyspark.sql import functions as F
 
 from ..functions import ordered as o
 
-W = o.series()
+W = o.series
 EPS = 1e-8
 
 
 def momentum(df: DataFrame, ks: Sequence[int]) -> DataFrame:
-    return df.withColumns({f"mom_{k}": o.pct_change("value", k, W) for k in ks})
+    return df.withColumns({f"mom_{k}": o.pct_change("value", k, W()) for k in ks})
 
 
 def volatility(df: DataFrame, ns: Sequence[int], k: int = 1) -> DataFrame:
     """Rolling deviation of k-row returns."""
-    d = df.withColumn("_r", o.pct_change("value", k, W))
-    return d.withColumns({f"vol_{n}": o.full(F.stddev_samp, "_r", n, W) for n in ns}).drop("_r")
+    d = df.withColumn("_r", o.pct_change("value", k, W()))
+    return d.withColumns({f"vol_{n}": o.full(F.stddev_samp, "_r", n, W()) for n in ns}).drop("_r")
 
 
 def sma_deviation(df: DataFrame, ns: Sequence[int]) -> DataFrame:
-    return df.withColumns({f"sma_{n}_dev": F.try_divide(F.col("value"), o.full(F.avg, "value", n, W)) - 1 for n in ns})
+    return df.withColumns({f"sma_{n}_dev": F.try_divide(F.col("value"), o.full(F.avg, "value", n, W())) - 1 for n in ns})
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
@@ -35,17 +35,17 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Data
 
 
 def stochastic(df: DataFrame, n: int = 14) -> DataFrame:
-    low, high = o.full(F.min, "value", n, W), o.full(F.max, "value", n, W)
+    low, high = o.full(F.min, "value", n, W()), o.full(F.max, "value", n, W())
     return df.withColumn("stoch_k", 100 * (F.col("value") - low) / (high - low + EPS))
 
 
 def rsi(df: DataFrame, n: int = 14, on: str = "difference") -> DataFrame:
     """Simple-mean RSI. On differences: 100 where nothing was lost, null where nothing moved; on returns: the loss is
     kept from zero by 1e-10."""
-    move = o.diff("value", 1, W) if on == "difference" else o.pct_change("value", 1, W)
+    move = o.diff("value", 1, W()) if on == "difference" else o.pct_change("value", 1, W())
     d = df.withColumn("_m", move)
     d = d.withColumns({"_up": F.when(F.col("_m").isNotNull(), F.greatest("_m", F.lit(0.0))), "_down": F.when(F.col("_m").isNotNull(), F.greatest(-F.col("_m"), F.lit(0.0)))})
-    d = d.withColumns({"_gain": o.full(F.avg, "_up", n, W), "_loss": o.full(F.avg, "_down", n, W)})
+    d = d.withColumns({"_gain": o.full(F.avg, "_up", n, W()), "_loss": o.full(F.avg, "_down", n, W())})
     if on == "difference":
         x = F.when((F.col("_loss") == 0) & (F.col("_gain") > 0), F.lit(100.0)).otherwise(100 - F.try_divide(F.lit(100.0), 1 + F.try_divide("_gain", "_loss")))
     else:
@@ -54,65 +54,65 @@ def rsi(df: DataFrame, n: int = 14, on: str = "difference") -> DataFrame:
 
 
 def bollinger(df: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
-    m, s = o.full(F.avg, "value", n, W), o.full(F.stddev_samp, "value", n, W)
+    m, s = o.full(F.avg, "value", n, W()), o.full(F.stddev_samp, "value", n, W())
     d = df.withColumns({"bb_mid": m, "_s": s})
     d = d.withColumns({"bb_upper": F.col("bb_mid") + k * F.col("_s"), "bb_lower": F.col("bb_mid") - k * F.col("_s")})
     return d.withColumns({"bb_position": F.try_divide(F.col("value") - F.col("bb_lower"), F.col("bb_upper") - F.col("bb_lower")), "bb_width": F.try_divide(2 * k * F.col("_s"), F.col("bb_mid"))}).drop("_s")
 
 
 def zscores(df: DataFrame, ns: Sequence[int]) -> DataFrame:
-    return df.withColumns({f"z_{n}": o.zscore("value", n, W) for n in ns})
+    return df.withColumns({f"z_{n}": o.zscore("value", n, W()) for n in ns})
 
 
 def changes(df: DataFrame, ks: Sequence[int]) -> DataFrame:
     """Differences over k rows and the level itself."""
-    return df.withColumns({f"chg_{k}": o.diff("value", k, W) for k in ks} | {"level": F.col("value")})
+    return df.withColumns({f"chg_{k}": o.diff("value", k, W()) for k in ks} | {"level": F.col("value")})
 
 
 def ranks(df: DataFrame, n: int) -> DataFrame:
-    return df.withColumn(f"rank_{n}", o.rolling_rank("value", n, W))
+    return df.withColumn(f"rank_{n}", o.rolling_rank("value", n, W()))
 
 
 def trend_strength(df: DataFrame, n: int = 20) -> DataFrame:
     """Absolute n-row change over the mean two-row range."""
-    d = df.withColumn("_range", o.full(F.max, "value", 2, W) - o.full(F.min, "value", 2, W))
-    d = d.withColumn("_mean", o.full(F.avg, "_range", n, W))
-    return d.withColumn("trend_strength", F.abs(o.pct_change("value", n, W)) / (F.col("_mean") + 1e-10)).drop("_range", "_mean")
+    d = df.withColumn("_range", o.full(F.max, "value", 2, W()) - o.full(F.min, "value", 2, W()))
+    d = d.withColumn("_mean", o.full(F.avg, "_range", n, W()))
+    return d.withColumn("trend_strength", F.abs(o.pct_change("value", n, W())) / (F.col("_mean") + 1e-10)).drop("_range", "_mean")
 
 
 def acceleration(df: DataFrame, k: int = 5) -> DataFrame:
-    d = df.withColumn("_m", o.pct_change("value", k, W))
-    return d.withColumn("acceleration", o.diff("_m", k, W)).drop("_m")
+    d = df.withColumn("_m", o.pct_change("value", k, W()))
+    return d.withColumn("acceleration", o.diff("_m", k, W())).drop("_m")
 
 
 def from_extremes(df: DataFrame, n: int = 20) -> DataFrame:
     """Distance from the rolling high and low, as shares of them."""
-    return df.withColumns({"from_high": F.try_divide(F.col("value"), o.full(F.max, "value", n, W)) - 1, "from_low": F.try_divide(F.col("value"), o.full(F.min, "value", n, W)) - 1})
+    return df.withColumns({"from_high": F.try_divide(F.col("value"), o.full(F.max, "value", n, W())) - 1, "from_low": F.try_divide(F.col("value"), o.full(F.min, "value", n, W())) - 1})
 
 
 def ma_cross(df: DataFrame, fast: int = 10, slow: int = 30) -> DataFrame:
-    f, s = o.full(F.avg, "value", fast, W), o.full(F.avg, "value", slow, W)
+    f, s = o.full(F.avg, "value", fast, W()), o.full(F.avg, "value", slow, W())
     return df.withColumns({"above_ma": F.coalesce((F.col("value") > s).cast("int"), F.lit(0)), "ma_cross": F.coalesce((f > s).cast("int"), F.lit(0))})
 
 
 def vol_regime(df: DataFrame, n: int = 20, long: int = 60) -> DataFrame:
     """Volatility, its volatility, its z-score and whether it is above its rolling median: windows over windows."""
-    d = df.withColumn("_r", o.pct_change("value", 1, W)).withColumn("vol", o.full(F.stddev_samp, "_r", n, W))
-    return d.withColumns({"vol_of_vol": o.full(F.stddev_samp, "vol", n, W), "vol_z": o.zscore("vol", long, W), "high_vol": F.coalesce((F.col("vol") > o.rolling_quantile("vol", 0.5, long, W)).cast("int"), F.lit(0))}).drop("_r")
+    d = df.withColumn("_r", o.pct_change("value", 1, W())).withColumn("vol", o.full(F.stddev_samp, "_r", n, W()))
+    return d.withColumns({"vol_of_vol": o.full(F.stddev_samp, "vol", n, W()), "vol_z": o.zscore("vol", long, W()), "high_vol": F.coalesce((F.col("vol") > o.rolling_quantile("vol", 0.5, long, W())).cast("int"), F.lit(0))}).drop("_r")
 
 
 def return_moments(df: DataFrame, n: int = 20) -> DataFrame:
-    d = df.withColumn("_r", o.pct_change("value", 1, W))
-    return d.withColumns({"ret_skew": o.rolling_skew("_r", n, W), "ret_kurt": o.rolling_kurtosis("_r", n, W)}).drop("_r")
+    d = df.withColumn("_r", o.pct_change("value", 1, W()))
+    return d.withColumns({"ret_skew": o.rolling_skew("_r", n, W()), "ret_kurt": o.rolling_kurtosis("_r", n, W())}).drop("_r")
 
 
 def streaks(df: DataFrame) -> DataFrame:
     """Rows in a row that rose (fell), counted up to the current one."""
-    d = df.withColumn("_m", o.diff("value", 1, W))
+    d = df.withColumn("_m", o.diff("value", 1, W()))
     out = d
     for name, up in (("up_streak", F.col("_m") > 0), ("down_streak", F.col("_m") < 0)):
         out = out.withColumn("_on", F.coalesce(up, F.lit(False)))
-        out = out.withColumn("_run", o.islands(~F.col("_on"), W))
+        out = out.withColumn("_run", o.islands(~F.col("_on"), W()))
         out = out.withColumn(name, F.sum(F.col("_on").cast("long")).over(o.so_far(o.series(("series_id", "_run")))))
     return out.drop("_m", "_on", "_run")
 
@@ -121,7 +121,7 @@ def relative_strength(df: DataFrame, benchmark: str, k: int = 20) -> DataFrame:
     """Ratio to the benchmark series on the same date and the ratio's k-row change."""
     b = df.where(F.col("series_id") == benchmark).select("ts", F.col("value").alias("_b"))
     d = df.join(b, "ts").withColumn("ratio", F.try_divide("value", "_b")).drop("_b")
-    return d.withColumn("ratio_mom", o.pct_change("ratio", k, W))
+    return d.withColumn("ratio_mom", o.pct_change("ratio", k, W()))
 
 
 def confirmations(df: DataFrame, ks: Sequence[int], threshold: float = 0.0) -> DataFrame:
@@ -156,11 +156,11 @@ def select_features(long: DataFrame, target: DataFrame, least_corr: float = 0.05
 
 def feature_set(df: DataFrame) -> DataFrame:
     """A wide set of price features in one pass of windows over one shuffle."""
-    d = df.withColumn("r", o.pct_change("value", 1, W))
-    d = d.withColumns({f"mom_{k}": o.pct_change("value", k, W) for k in (1, 2, 3, 5, 10, 20, 60)})
-    d = d.withColumns({f"vol_{n}": o.full(F.stddev_samp, "r", n, W) for n in (5, 10, 20, 60)} | {f"sma_{n}_dev": F.try_divide(F.col("value"), o.full(F.avg, "value", n, W)) - 1 for n in (5, 10, 20, 50)} | {f"z_{n}": o.zscore("value", n, W) for n in (20, 60)} | {f"high_{n}": F.try_divide(F.col("value"), o.full(F.max, "value", n, W)) - 1 for n in (20, 60)})
+    d = df.withColumn("r", o.pct_change("value", 1, W()))
+    d = d.withColumns({f"mom_{k}": o.pct_change("value", k, W()) for k in (1, 2, 3, 5, 10, 20, 60)})
+    d = d.withColumns({f"vol_{n}": o.full(F.stddev_samp, "r", n, W()) for n in (5, 10, 20, 60)} | {f"sma_{n}_dev": F.try_divide(F.col("value"), o.full(F.avg, "value", n, W())) - 1 for n in (5, 10, 20, 50)} | {f"z_{n}": o.zscore("value", n, W()) for n in (20, 60)} | {f"high_{n}": F.try_divide(F.col("value"), o.full(F.max, "value", n, W())) - 1 for n in (20, 60)})
     names = [c for c in d.columns if c not in df.columns]
-    return d.withColumns({c: F.coalesce(o.ffill(c, W), F.lit(0.0)) for c in names})
+    return d.withColumns({c: F.coalesce(o.ffill(c, W()), F.lit(0.0)) for c in names})
 
 
 #: Feature builders by name, for configuration.
@@ -169,15 +169,15 @@ REGISTRY: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (momentu
 
 def average_true_range(df: DataFrame, n: int = 14) -> DataFrame:
     """ATR, true-range breakout band and rate of change from bars (series_id, ts, open, high, low, close, volume)."""
-    prev = F.lag("close").over(W)
+    prev = F.lag("close").over(W())
     d = df.withColumn("_tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)))
-    return d.withColumns({"atr": o.full(F.avg, "_tr", n, W), "roc": 100 * o.pct_change("close", n, W), "breakout": F.coalesce((F.col("close") > F.max("high").over(W.rowsBetween(-n, -1))).cast("int"), F.lit(0))}).drop("_tr")
+    return d.withColumns({"atr": o.full(F.avg, "_tr", n, W()), "roc": 100 * o.pct_change("close", n, W()), "breakout": F.coalesce((F.col("close") > F.max("high").over(W().rowsBetween(-n, -1))).cast("int"), F.lit(0))}).drop("_tr")
 
 
 def volume_flow(df: DataFrame) -> DataFrame:
     """On-balance volume and volume-price trend."""
-    d = df.withColumns({"_s": F.coalesce(F.signum(o.diff("close", 1, W)), F.lit(0.0)) * F.col("volume"), "_p": F.coalesce(o.pct_change("close", 1, W), F.lit(0.0)) * F.col("volume")})
-    return d.withColumns({"obv": F.sum("_s").over(o.so_far(W)), "vpt": F.sum("_p").over(o.so_far(W))}).drop("_s", "_p")
+    d = df.withColumns({"_s": F.coalesce(F.signum(o.diff("close", 1, W())), F.lit(0.0)) * F.col("volume"), "_p": F.coalesce(o.pct_change("close", 1, W()), F.lit(0.0)) * F.col("volume")})
+    return d.withColumns({"obv": F.sum("_s").over(o.so_far(W())), "vpt": F.sum("_p").over(o.so_far(W()))}).drop("_s", "_p")
 
 
 def candles(df: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def candles(df: DataFrame) -> DataFrame:
     body, span = F.abs(F.col("close") - F.col("open")), F.col("high") - F.col("low")
     lower = F.least("open", "close") - F.col("low")
     upper = F.col("high") - F.greatest("open", "close")
-    gap = F.try_divide(F.col("open"), F.lag("close").over(W)) - 1
+    gap = F.try_divide(F.col("open"), F.lag("close").over(W())) - 1
     return df.withColumns({"doji": (body <= 0.1 * span).cast("int"), "hammer": ((lower >= 2 * body) & (upper <= body)).cast("int"), "gap": gap})
 
 

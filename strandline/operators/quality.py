@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ordered as o
 
-W = o.series()
+W = o.series
 KEY = ("series_id",)
 
 
@@ -20,13 +20,13 @@ def fill(df: DataFrame, how: str, value: float | None = None) -> DataFrame:
     if how == "constant":
         return df.na.fill({"value": value})
     if how == "linear":
-        df = df.withColumn("_at", F.row_number().over(W))
-        return df.withColumn("value", o.interpolate("value", "_at", W)).drop("_at")
+        df = df.withColumn("_at", F.row_number().over(W()))
+        return df.withColumn("value", o.interpolate("value", "_at", W())).drop("_at")
     if how == "time":
-        return df.withColumn("value", o.interpolate("value", F.datediff("ts", F.lit("1970-01-01").cast("date")), W))
+        return df.withColumn("value", o.interpolate("value", F.datediff("ts", F.lit("1970-01-01").cast("date")), W()))
     if how == "zero_after_ffill":
-        return df.withColumn("value", F.coalesce(o.ffill("value", W), F.lit(0.0)))
-    return df.withColumn("value", {"ffill": o.ffill, "bfill": o.bfill, "bfill_after_first": o.bfill_after_first}[how]("value", W))
+        return df.withColumn("value", F.coalesce(o.ffill("value", W()), F.lit(0.0)))
+    return df.withColumn("value", {"ffill": o.ffill, "bfill": o.bfill, "bfill_after_first": o.bfill_after_first}[how]("value", W()))
 
 
 def bounds(df: DataFrame, method: str = "iqr", threshold: float = 3.0) -> DataFrame:
@@ -65,7 +65,7 @@ def clip(x, low=None, high=None):
 def gaps(df: DataFrame, max_days: int) -> DataFrame:
     """Observations more than max_days after the series' one before: series_id, ts, days."""
     have = df.where("value is not null")
-    return have.withColumn("days", F.datediff("ts", F.lag("ts").over(W))).where(F.col("days") > max_days).select(*KEY, "ts", "days")
+    return have.withColumn("days", F.datediff("ts", F.lag("ts").over(W()))).where(F.col("days") > max_days).select(*KEY, "ts", "days")
 
 
 def repair(df: DataFrame, points: DataFrame) -> DataFrame:
@@ -77,9 +77,9 @@ def repair(df: DataFrame, points: DataFrame) -> DataFrame:
     carry = F.max(F.when(F.col("action") == "forward_fill", 1)).over(o.Window.partitionBy(*KEY))
     day = F.datediff("ts", F.lit("1970-01-01").cast("date"))
     value = (
-        F.when(F.col("action") == "use_previous", F.lag("value").over(W))
-        .when(F.col("action") == "interpolate", o.interpolate("_clean", day, W))
-        .when(carry == 1, o.ffill("_clean", W))
+        F.when(F.col("action") == "use_previous", F.lag("value").over(W()))
+        .when(F.col("action") == "interpolate", o.interpolate("_clean", day, W()))
+        .when(carry == 1, o.ffill("_clean", W()))
         .otherwise(F.col("value"))
     )
     return j.withColumn("value", value).select(*df.columns)
@@ -103,7 +103,7 @@ def missing_by_class(df: DataFrame, meta: DataFrame) -> DataFrame:
 
 def frequency(df: DataFrame, daily_rows: int = 4000) -> DataFrame:
     """Per series: gaps between observations and the frequency they suggest."""
-    have = df.where("value is not null").withColumn("gap", F.datediff("ts", F.lag("ts").over(W)))
+    have = df.where("value is not null").withColumn("gap", F.datediff("ts", F.lag("ts").over(W())))
     g = have.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_rows"), F.avg("gap").alias("avg_gap"), F.median("gap").alias("median_gap"), F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap"))
     kind = F.when(F.col("n_rows") >= daily_rows, "DAILY").when(F.col("avg_gap") >= 25, "MONTHLY").when(F.col("avg_gap") >= 4, "WEEKLY").when(F.col("avg_gap") < 4, "DAILY").otherwise("SPARSE")
     return g.withColumn("frequency", kind).withColumn("needs_fill", F.col("frequency") != "DAILY")

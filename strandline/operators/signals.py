@@ -10,23 +10,23 @@ from pyspark.sql import functions as F
 from ..functions import ordered as o
 from . import features, select
 
-W = o.series()
+W = o.series
 
 
 def monday(ts: str = "ts") -> Column:
     return F.weekday(ts) == 0
 
 
-def hold_mondays(signal: Column, w=W) -> Column:
+def hold_mondays(signal: Column, w=None) -> Column:
     """A signal as it was on the last Monday; false before the first."""
-    return F.coalesce(o.ffill(F.when(monday(), F.coalesce(signal, F.lit(False))), w), F.lit(False))
+    return F.coalesce(o.ffill(F.when(monday(), F.coalesce(signal, F.lit(False))), w or W()), F.lit(False))
 
 
-def edges(df: DataFrame, w=W) -> DataFrame:
+def edges(df: DataFrame, w=None) -> DataFrame:
     """entry and exit where the boolean column _pos turns true and false."""
     p = F.col("_pos").cast("int")
     d = df.withColumn("position", p)
-    before = F.lag("position", 1, 0).over(w)
+    before = F.lag("position", 1, 0).over(w or W())
     return d.withColumns({"entry": (F.col("position") == 1) & (before == 0), "exit": (F.col("position") == 0) & (before == 1)}).drop("_pos")
 
 
@@ -44,7 +44,7 @@ def mean_momentum(df: DataFrame, ks: Sequence[int] = (2, 4, 8), threshold: float
     d = features.momentum(df, ks)
     mean = sum((F.coalesce(F.col(f"mom_{k}"), F.lit(0.0)) for k in ks), F.lit(0.0)) / len(ks)
     d = d.withColumn("_t", (monday() & (mean > threshold)).cast("int"))
-    return edges(d.withColumn("_pos", F.max("_t").over(W.rowsBetween(-(hold - 1), 0)) == 1).select("series_id", "ts", "value", "_pos"))
+    return edges(d.withColumn("_pos", F.max("_t").over(W().rowsBetween(-(hold - 1), 0)) == 1).select("series_id", "ts", "value", "_pos"))
 
 
 def vol_adaptive(df: DataFrame, n: int = 20, k: int = 10, calm: float = 1.0, tense: float = 0.5, scale: float = 0.02, most: int = 10, causal: bool = False) -> DataFrame:
@@ -53,8 +53,8 @@ def vol_adaptive(df: DataFrame, n: int = 20, k: int = 10, calm: float = 1.0, ten
 
     The regime compares volatility with its median over the whole series, which looks ahead; causal: over the past.
     """
-    d = features.volatility(df, [n]).withColumns({"_z": o.zscore("value", n, W), "_m": o.pct_change("value", k, W)})
-    med = F.percentile(f"vol_{n}", 0.5).over(o.so_far(W) if causal else Window.partitionBy("series_id"))
+    d = features.volatility(df, [n]).withColumns({"_z": o.zscore("value", n, W()), "_m": o.pct_change("value", k, W())})
+    med = F.percentile(f"vol_{n}", 0.5).over(o.so_far(W()) if causal else Window.partitionBy("series_id"))
     d = d.withColumn("_high", F.coalesce(F.col(f"vol_{n}") > med, F.lit(False)))
     go = F.coalesce((F.col("_z") <= F.when(F.col("_high"), tense).otherwise(calm)) & (F.col("_high") | (F.col("_m") > 0)), F.lit(False))
     rows = F.least(1 + F.floor(F.greatest(F.lit(0.0), F.coalesce("_m", F.lit(0.0))) / scale), F.lit(most)).cast("int")
@@ -86,19 +86,19 @@ def by_rule(df: DataFrame, text: str) -> DataFrame:
 
 def labels(df: DataFrame, horizon: int, null_tail: bool = False) -> DataFrame:
     """1 if the value rises over the next rows; without a future: 0, or null if asked."""
-    up = F.try_divide(F.lead("value", horizon).over(W), F.col("value")) - 1 > 0
+    up = F.try_divide(F.lead("value", horizon).over(W()), F.col("value")) - 1 > 0
     return df.withColumn("label", up.cast("int") if null_tail else F.coalesce(up, F.lit(False)).cast("int"))
 
 
 def fixed_horizon(df: DataFrame, horizon: int, threshold: float) -> DataFrame:
     """-1, 0 or 1 by the forward return; null without a future."""
-    r = F.try_divide(F.lead("value", horizon).over(W), F.col("value")) - 1
+    r = F.try_divide(F.lead("value", horizon).over(W()), F.col("value")) - 1
     return df.withColumn("label", F.when(r.isNotNull(), F.when(r > threshold, 1).when(r < -threshold, -1).otherwise(0)))
 
 
 def triple_barrier(df: DataFrame, horizon: int, up: float, down: float) -> DataFrame:
     """Which barrier is touched first within the next rows: 1 (up), -1 (down) or 0 (time), and after how many rows."""
-    ahead = F.collect_list("value").over(W.rowsBetween(1, horizon))
+    ahead = F.collect_list("value").over(W().rowsBetween(1, horizon))
     rel = F.transform("_ahead", lambda v: v / F.col("value") - 1)
     hit = F.filter(F.transform("_rel", lambda r, i: F.struct(F.when(r >= up, 1).when(r <= -down, -1).alias("side"), (i + 1).alias("rows"))), lambda s: s["side"].isNotNull())
     d = df.withColumn("_ahead", ahead).withColumn("_rel", rel).withColumn("_hit", F.get(hit, F.lit(0)))

@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import core
+
+_BOOKS = (core.BOOK,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for b in _BOOKS for k, v in b.queries.items()}
+ORACLE_SQL: dict[str, str] = {k: v for b in _BOOKS for k, v in b.sql.items()}
