@@ -26,10 +26,11 @@ def backtest(df: DataFrame, capital: float = 100.0, fee: float = 0.0, slippage:
     d = positions(df, keys).withColumn("value", o.ffill("value", w))
     d = d.withColumns({"_before": F.lag("position", 1, 0).over(w), "_r": F.coalesce(o.pct_change("value", 1, w), F.lit(0.0))})
     d = d.withColumn("_side", (F.col("position") != F.col("_before")).cast("long"))
-    cost = (1 - fee) * (1 - slippage) if slippage == 0 else (1 - fee) * (1 - slippage)
+    cost = (1 - fee) * (1 - slippage)
     d = d.withColumn("_f", (1 + F.col("_before") * F.col("_r")) * F.when(F.col("_side") == 1, F.lit(cost)).otherwise(1.0))
     d = d.withColumns({"equity": F.lit(capital) * F.product("_f").over(o.so_far(w)), "sides": F.sum("_side").over(o.so_far(w))})
-    return d.withColumn("ret", F.coalesce(o.pct_change("equity", 1, w), F.lit(0.0))).drop("_before", "_r", "_side", "_f")
+    # the change of equity, from its factor: exactly 0 while out of the market
+    return d.withColumn("ret", F.when(F.row_number().over(w) == 1, F.lit(0.0)).otherwise(F.col("_f") - 1)).drop("_before", "_r", "_side", "_f")
 
 
 def summary(bt: DataFrame, af: int = 252, keys: Sequence[str] = ("series_id",)) -> DataFrame:

@@ -270,10 +270,10 @@ def parameter_grid(s, d):
     return align.grid(s, {"fast": [5, 10], "slow": [20, 30, 60]})
 
 
-@query(f"WITH {PX}, t AS (SELECT ts, sum(value) AS v FROM px GROUP BY ts) SELECT ts, round(sum(v) OVER (ORDER BY ts), 2) AS running FROM t")
+@query(f"WITH {PX}, t AS (SELECT ts, CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS v FROM px GROUP BY ts) SELECT ts, CAST(sum(v) OVER (ORDER BY ts) AS BIGINT) AS running FROM t")
 def running_total(s, d):
-    t = px(s, d).groupBy("ts").agg(F.sum("value").alias("v"))
-    return rounded(align.cumulative_over_all(t, "ts", "v", 16).select("ts", "running"), 2)
+    t = px(s, d).groupBy("ts").agg(F.sum(F.round("value").cast("long")).alias("v"))
+    return align.cumulative_over_all(t, "ts", "v", 16).select("ts", "running")
 
 
 # selection

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core
+from . import core, trading
 
-_BOOKS = (core.BOOK,)
+_BOOKS = (core.BOOK, trading.BOOK)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for b in _BOOKS for k, v in b.queries.items()}
 ORACLE_SQL: dict[str, str] = {k: v for b in _BOOKS for k, v in b.sql.items()}

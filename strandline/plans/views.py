@@ -12,6 +12,21 @@ from ..functions import ordered as o
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def unsigned_zero(sql: str) -> str:
+    """sql with 0.0 added to every round(...), so that minus zero is zero, as rounded() does."""
+    out, at = [], 0
+    while (i := sql.find("round(", at)) >= 0:
+        depth, j = 0, i + 5
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[j], 0)
+            j += 1
+            if not depth:
+                break
+        out.append(f"{sql[at:i]}({sql[i:j]} + 0.0::DOUBLE)")
+        at = j
+    return "".join([*out, sql[at:]])
+
+
 class Book:
     """Queries and their SQL, by name."""
 
@@ -23,7 +38,7 @@ class Book:
         def keep(f: Query) -> Query:
             self.queries[f.__name__] = f
             if sql is not None:
-                self.sql[f.__name__] = sql
+                self.sql[f.__name__] = unsigned_zero(sql)
             return f
 
         return keep
@@ -46,8 +61,8 @@ def px_null(spark: SparkSession, d: str) -> DataFrame:
 
 
 def returns(spark: SparkSession, d: str) -> DataFrame:
-    """px scaled to small daily moves: ret = change / 100, first row 0; value its compounded level."""
-    p = px(spark, d).withColumn("ret", F.coalesce(o.pct_change("value", 1, o.series()) / 100, F.lit(0.0)))
+    """px scaled to small daily moves: ret = change / 1000, first row 0; value its compounded level."""
+    p = px(spark, d).withColumn("ret", F.coalesce(o.pct_change("value", 1, o.series()) / 1000, F.lit(0.0)))
     return p.select("series_id", "ts", "ret", (100 * F.product(1 + F.col("ret")).over(o.so_far(o.series()))).alias("value"))
 
 
@@ -70,7 +85,7 @@ def ticks(spark: SparkSession, d: str) -> DataFrame:
 
 PX = "px AS (SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS ts, avg(o_totalprice) AS value FROM orders GROUP BY ALL)"
 PXN = PX + ", pn AS (SELECT series_id, ts, CASE WHEN rn % 7 = 3 OR rn <= 2 THEN NULL ELSE value END AS value, rn FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS rn FROM px) q)"
-RET = PX + ", r0 AS (SELECT series_id, ts, coalesce((value / lag(value) OVER (PARTITION BY series_id ORDER BY ts) - 1) / 100, 0) AS ret FROM px), rt AS (SELECT series_id, ts, ret, 100 * product(1 + ret) OVER (PARTITION BY series_id ORDER BY ts) AS value, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS rn FROM r0)"
+RET = PX + ", r0 AS (SELECT series_id, ts, coalesce((value / lag(value) OVER (PARTITION BY series_id ORDER BY ts) - 1) / 1000, 0) AS ret FROM px), rt AS (SELECT series_id, ts, ret, 100 * product(1 + ret) OVER (PARTITION BY series_id ORDER BY ts) AS value, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS rn FROM r0)"
 META = PX + ", meta AS (SELECT DISTINCT series_id, CASE WHEN CAST(substr(series_id, 1, 1) AS INTEGER) <= 2 THEN 'rates' ELSE 'credit' END AS asset_class, CAST(substr(series_id, 1, 1) AS INTEGER) AS ordinal FROM px WHERE series_id <> '5-LOW')"
 FLOW = "fl AS (SELECT l_returnflag AS series_id, CAST(l_shipdate AS DATE) AS ts, sum(l_quantity) AS volume, avg(l_extendedprice) AS value, max(l_extendedprice) AS high, min(l_extendedprice) AS low FROM lineitem GROUP BY ALL)"
 TICKS = "tk AS (SELECT event_type AS series_id, ts, event_id, value AS price, CAST(1 + user_id % 10 AS DOUBLE) AS volume FROM events)"
