@@ -60,10 +60,10 @@ def rsi_returns(s, d):
 
 
 @query(f"""WITH {PX}, x AS (SELECT *, {rolled('avg({})', 'value', 20)} AS m, {rolled('stddev_samp({})', 'value', 20)} AS sd FROM px)
-SELECT series_id, ts, round(m, 2) AS bb_mid, round(m + 2 * sd, 2) AS bb_upper, round(m - 2 * sd, 2) AS bb_lower, round((value - (m - 2 * sd)) / (4 * sd), 4) AS bb_position, round(4 * sd / m, 4) AS bb_width FROM x""")
+SELECT series_id, ts, round(m, 5) AS bb_mid, round(m + 2 * sd, 5) AS bb_upper, round(m - 2 * sd, 5) AS bb_lower, round((value - (m - 2 * sd)) / (4 * sd), 4) AS bb_position, round(4 * sd / m, 4) AS bb_width FROM x""")
 def bollinger(s, d):
     b = features.bollinger(px(s, d))
-    return b.select("series_id", "ts", *[F.round(c, 2).alias(c) for c in ("bb_mid", "bb_upper", "bb_lower")], *[(F.round(c, 4) + 0.0).alias(c) for c in ("bb_position", "bb_width")])
+    return b.select("series_id", "ts", *[F.round(c, 5).alias(c) for c in ("bb_mid", "bb_upper", "bb_lower")], *[(F.round(c, 4) + 0.0).alias(c) for c in ("bb_position", "bb_width")])
 
 
 @query(f"WITH {PX}, x AS (SELECT *, {rolled('avg({})', 'value', 20)} AS m, {rolled('stddev_samp({})', 'value', 20)} AS sd FROM px) SELECT series_id, ts, round((value - m) / sd, 6) AS z_20 FROM x")
@@ -156,13 +156,13 @@ def feature_select(s, d):
 
 @query(f"""WITH {FLOW}, b AS (SELECT series_id, ts, low + (high - low) * 0.5 AS open, high, low, value AS close, volume FROM fl),
 p AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr, lag(close) OVER w AS pc, max(high) OVER ({W} ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS top FROM b WINDOW w AS ({W}))
-SELECT series_id, ts, round({rolled('avg({})', 'tr', 14)}, 2) AS atr, round(100 * (close / lag(close, 14) OVER ({W}) - 1), 2) AS roc, coalesce(CAST(close > top AS INTEGER), 0) AS breakout,
-round(sum(coalesce(sign(close - pc), 0) * volume) OVER {UNB}, 2) AS obv, round(sum(coalesce(close / pc - 1, 0) * volume) OVER {UNB}, 2) AS vpt,
-CAST(abs(close - open) <= 0.1 * (high - low) AS INTEGER) AS doji, CAST((least(open, close) - low >= 2 * abs(close - open)) AND (high - greatest(open, close) <= abs(close - open)) AS INTEGER) AS hammer, round(open / pc - 1, 2) AS gap FROM p""")
+SELECT series_id, ts, round({rolled('avg({})', 'tr', 14)}, 5) AS atr, round(100 * (close / lag(close, 14) OVER ({W}) - 1), 5) AS roc, coalesce(CAST(close > top AS INTEGER), 0) AS breakout,
+round(sum(coalesce(sign(close - pc), 0) * volume) OVER {UNB}, 5) AS obv, round(sum(coalesce(close / pc - 1, 0) * volume) OVER {UNB}, 5) AS vpt,
+CAST(abs(close - open) <= 0.1 * (high - low) AS INTEGER) AS doji, CAST((least(open, close) - low >= 2 * abs(close - open)) AND (high - greatest(open, close) <= abs(close - open)) AS INTEGER) AS hammer, round(open / pc - 1, 5) AS gap FROM p""")
 def bar_filters(s, d):
     b = flow(s, d).select("series_id", "ts", (F.col("low") + (F.col("high") - F.col("low")) * 0.5).alias("open"), "high", "low", F.col("value").alias("close"), "volume")
     out = features.candles(features.volume_flow(features.average_true_range(b)))
-    return rounded(out.select("series_id", "ts", "atr", "roc", "breakout", "obv", "vpt", "doji", "hammer", "gap"), 2)
+    return rounded(out.select("series_id", "ts", "atr", "roc", "breakout", "obv", "vpt", "doji", "hammer", "gap"), 5)
 
 
 @query(f"""WITH {PX}, {_R}, f AS (SELECT series_id, ts, value / lag(value, 5) OVER w - 1 AS mom_5, value / lag(value, 60) OVER w - 1 AS mom_60, {rolled('stddev_samp({})', 'r', 20)} AS vol_20, value / ({rolled('avg({})', 'value', 50)}) - 1 AS sma_50_dev, value / ({rolled('max({})', 'value', 60)}) - 1 AS high_60 FROM rr WINDOW w AS ({W}))
@@ -199,19 +199,19 @@ def tbill_index(s, d):
     return rounded(_cash(s, d))
 
 
-@query(f"WITH {RET}, {_LEV} SELECT series_id, ts, round(r, 6) AS ret_pct, round(index, 6) AS index FROM lev")
+@query(f"WITH {RET}, {_LEV} SELECT series_id, ts, round(r, 3) AS ret_pct, round(index, 3) AS index FROM lev")
 def levered_index(s, d):
-    return rounded(indices.levered(returns(s, d)))
+    return rounded(indices.levered(returns(s, d)), 3)
 
 
-@query(f"WITH {RET}, {_CASH}, {_LEV}, {_GROSS} SELECT series_id, ts, round(r, 6) AS ret_pct, round(100 * product(coalesce(1 + r / 100, 1)) OVER ({W}), 6) AS index FROM gr")
+@query(f"WITH {RET}, {_CASH}, {_LEV}, {_GROSS} SELECT series_id, ts, round(r, 3) AS ret_pct, round(100 * product(coalesce(1 + r / 100, 1)) OVER ({W}), 3) AS index FROM gr")
 def gross_index(s, d):
-    return rounded(indices.gross(indices.levered(returns(s, d)), _cash(s, d)))
+    return rounded(indices.gross(indices.levered(returns(s, d)), _cash(s, d)), 3)
 
 
-@query(f"WITH {RET}, {_CASH}, {_LEV}, {_GROSS}, nt AS (SELECT series_id, ts, CASE WHEN r - (0.90 + 0.20) / 365 > 0 THEN 0.85 * (r - (0.90 + 0.20) / 365) ELSE r - (0.90 + 0.20) / 365 END AS r FROM gr) SELECT series_id, ts, round(r, 6) AS ret_pct, round(100 * product(coalesce(1 + r / 100, 1)) OVER ({W}), 6) AS index FROM nt")
+@query(f"WITH {RET}, {_CASH}, {_LEV}, {_GROSS}, nt AS (SELECT series_id, ts, CASE WHEN r - (0.90 + 0.20) / 365 > 0 THEN 0.85 * (r - (0.90 + 0.20) / 365) ELSE r - (0.90 + 0.20) / 365 END AS r FROM gr) SELECT series_id, ts, round(r, 3) AS ret_pct, round(100 * product(coalesce(1 + r / 100, 1)) OVER ({W}), 3) AS index FROM nt")
 def net_index(s, d):
-    return rounded(indices.net(indices.gross(indices.levered(returns(s, d)), _cash(s, d))))
+    return rounded(indices.net(indices.gross(indices.levered(returns(s, d)), _cash(s, d))), 3)
 
 
 # strategies
@@ -280,11 +280,11 @@ p AS (SELECT *, CAST(coalesce(last_value(CASE WHEN isodow(ts) = 1 THEN onn END I
 g AS (SELECT *, coalesce(lag(pos) OVER (PARTITION BY series_id, rule_id ORDER BY ts) * r, 0) AS g FROM p),
 e AS (SELECT *, product(1 + g) OVER (PARTITION BY series_id, rule_id ORDER BY ts) AS eq FROM g), k AS (SELECT *, eq / max(eq) OVER (PARTITION BY series_id, rule_id ORDER BY ts) - 1 AS dd FROM e),
 z AS (SELECT series_id, rule_id, sum(ln(abs(1 + g))) AS lr, min(dd) AS dd FROM k GROUP BY series_id, rule_id)
-SELECT series_id, rule_id, round(lr, 5) AS log_growth, round(dd, 5) AS max_drawdown FROM z""")
+SELECT series_id, rule_id, round(lr, 3) AS log_growth, round(dd, 3) AS max_drawdown FROM z""")
 def rule_fitness(s, d):
     p = features.zscores(features.momentum(px(s, d), [5]), [20])
     out = genetic.fitness(p, ["(mom_5 > 0.05) & (z_20 < 1.0)", "(mom_5 < -0.1) | (z_20 > 1.5)"])
-    return rounded(out.select("series_id", "rule_id", F.ln(F.abs(1 + F.col("total_return"))).alias("log_growth"), "max_drawdown"), 5)
+    return rounded(out.select("series_id", "rule_id", F.ln(F.abs(1 + F.col("total_return"))).alias("log_growth"), "max_drawdown"), 3)
 
 
 @query()
