@@ -60,10 +60,10 @@ def rsi_returns(s, d):
 
 
 @query(f"""WITH {PX}, x AS (SELECT *, {rolled('avg({})', 'value', 20)} AS m, {rolled('stddev_samp({})', 'value', 20)} AS sd FROM px)
-SELECT series_id, ts, round(m, 5) AS bb_mid, round(m + 2 * sd, 5) AS bb_upper, round(m - 2 * sd, 5) AS bb_lower, round((value - (m - 2 * sd)) / (4 * sd), 4) AS bb_position, round(4 * sd / m, 4) AS bb_width FROM x""")
+SELECT series_id, ts, round(m + 2 * sd, 5) AS bb_upper, round(m - 2 * sd, 5) AS bb_lower, round((value - (m - 2 * sd)) / (4 * sd), 4) AS bb_position, round(4 * sd / m, 4) AS bb_width FROM x""")
 def bollinger(s, d):
     b = features.bollinger(px(s, d))
-    return b.select("series_id", "ts", *[F.round(c, 5).alias(c) for c in ("bb_mid", "bb_upper", "bb_lower")], *[(F.round(c, 4) + 0.0).alias(c) for c in ("bb_position", "bb_width")])
+    return b.select("series_id", "ts", *[F.round(c, 5).alias(c) for c in ("bb_upper", "bb_lower")], *[(F.round(c, 4) + 0.0).alias(c) for c in ("bb_position", "bb_width")])
 
 
 @query(f"WITH {PX}, x AS (SELECT *, {rolled('avg({})', 'value', 20)} AS m, {rolled('stddev_samp({})', 'value', 20)} AS sd FROM px) SELECT series_id, ts, round((value - m) / sd, 6) AS z_20 FROM x")
