@@ -31,7 +31,6 @@ LEAST_TEXTS = 50
 #: The pre-token pattern of the byte-level vocabulary; fixed value, public.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 LONGEST = 1000  # a longer word is measured in pieces of this length
-CACHED_WORDS = 200_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SCRIPTS = (("Latin", "A-Za-zÀ-ɏ"), ("Greek", "Ͱ-Ͽ"), ("Cyrillic", "Ѐ-ԯ"), ("Hebrew", "֐-׿"), ("Arabic", "؀-ۿ"), ("Devanagari", "ऀ-ॿ"), ("Kana", "぀-ヿ"), ("Han", "㐀-鿿"), ("Hangul", "가-힯"))
@@ -39,7 +38,7 @@ _loaded: dict[str, "Fertility"] = {}
 
 
 class Fertility:
-    """Token ids per word, kept for words seen before, up to CACHED_WORDS of them."""
+    """The two vocabularies of a folder."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -50,22 +49,23 @@ class Fertility:
         self.bpe = tiktoken.Encoding("byte_bpe_50k", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=f"{path}/piece_bpe_32k.model")
         self.bytes = {i for i in range(self.pieces.get_piece_size()) if self.pieces.is_byte(i)}
-        self.seen: dict[str, tuple[np.ndarray, int, int]] = {}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.seen) + len(words) > CACHED_WORDS:
-            self.seen.clear()
-        new = [w for w in words if w not in self.seen]
-        parts = [[w[i : i + LONGEST] for i in range(0, len(w), LONGEST)] for w in new]
-        flat = [x for p in parts for x in p]
-        ids = self.bpe.encode_ordinary_batch([" " + x for x in flat], num_threads=1)
-        pieces = self.pieces.encode(flat, num_threads=1)
-        k = 0
-        for w, p in zip(new, parts, strict=True):
-            n = len(p)
-            own = pieces[k] if n == 1 else [i for x in pieces[k : k + n] for i in x]
-            self.seen[w] = (np.array(ids[k] if n == 1 else [i for x in ids[k : k + n] for i in x], dtype=np.int32), len(own), sum(i in self.bytes for i in own))
-            k += n
+        self.known: dict[str, bool] = {}
+
+    def tokens(self, text: str) -> np.ndarray:
+        return self.bpe.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+
+    def fallback(self, text: str) -> float:
+        """Share of byte pieces. Only a character without a piece of its own becomes bytes, so a text without any has none
+        and isn't encoded."""
+        for c in set(text):
+            if c not in self.known:
+                self.known[c] = not self.bytes.intersection(self.pieces.encode(c))
+            if not self.known[c]:
+                break
+        else:
+            return 0.0
+        ids = self.pieces.encode(text)
+        return sum(i in self.bytes for i in ids) / max(1, len(ids))
 
 
 def script_of(text: str) -> str:
@@ -81,8 +81,8 @@ def measure(text: str | None, fertility: Fertility) -> tuple:
     lines = [x for x in text.split("\n") if x.strip(" \t\n\v\f\r")]
     if not ws:
         return 0, 0, symbols, 0, 0, None, None, None
-    local: dict[str, int] = {}
-    ids = np.fromiter((local.setdefault(w, len(local)) for w in ws), dtype=np.int64, count=len(ws))
+    local = {w: i for i, w in enumerate(dict.fromkeys(ws))}
+    ids = np.fromiter(map(local.__getitem__, ws), dtype=np.int64, count=len(ws))
     n, m = len(ws), len(local)
     repeated = 0
     if n > 2 and m < n:
@@ -96,23 +96,13 @@ def measure(text: str | None, fertility: Fertility) -> tuple:
         for k in range(3):
             cover[k : n - 2 + k] |= again
         repeated = int(cover.sum())
-    unseen = local.keys() - fertility.seen.keys()
-    if unseen:
-        fertility.learn(set(local) if len(fertility.seen) + len(unseen) > CACHED_WORDS else unseen)
-    got = [fertility.seen[w] for w in local]
-    times = np.bincount(ids, minlength=m)
-    lens = np.array([len(g[0]) for g in got])
-    tokens, weight = np.concatenate([g[0] for g in got]), np.repeat(times, lens)
-    order = np.argsort(tokens, kind="stable")
-    edge = np.flatnonzero(np.diff(tokens[order], prepend=-1))
-    counts = np.add.reduceat(weight[order], edge).astype(np.float64)
+    plain = " ".join(ws) if max(map(len, local)) <= LONGEST else " ".join(w[i : i + LONGEST] for w in ws for i in range(0, len(w), LONGEST))
+    counts = np.unique(fertility.tokens(" " + plain), return_counts=True)[1].astype(np.float64)
     total = counts.sum()
     share = counts / total
     entropy = float(-(share * np.log2(share)).sum() / np.log2(total)) if total > 1 else 0.0
-    pieces = int(np.dot(times, np.array([g[1] for g in got])))
-    fallback = int(np.dot(times, np.array([g[2] for g in got])))
     chars = sum(map(len, ws))
-    return n, chars, symbols, len(lines) - len(set(lines)), repeated, (chars + n) / float(total), fallback / max(1, pieces), entropy
+    return n, chars, symbols, len(lines) - len(set(lines)), repeated, (chars + n) / float(total), fertility.fallback(plain), entropy
 
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars_per_token double, fallback_share double, token_entropy double"
