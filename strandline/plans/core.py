@@ -236,7 +236,7 @@ def dates_except(s, d):
     return p.where("series_id = '1-URGENT'").select("ts").exceptAll(p.where("series_id = '5-LOW'").select("ts")).distinct()
 
 
-@query(f"WITH {PXN}, k AS (SELECT ts FROM pn WHERE value IS NOT NULL GROUP BY ts HAVING count(DISTINCT series_id) = (SELECT count(DISTINCT series_id) FROM pn)) SELECT series_id, ts, round(value, 6) AS value FROM pn WHERE ts >= (SELECT min(ts) FROM k)")
+@query(f"WITH {PXN}, k AS (SELECT ts FROM pn WHERE value IS NOT NULL GROUP BY ts HAVING count(DISTINCT series_id) = (SELECT count(DISTINCT series_id) FROM pn)) SELECT series_id, ts, round(value, 6) AS value FROM pn WHERE ts >= (SELECT min(ts) FROM k) OR NOT EXISTS (SELECT 1 FROM k)")
 def align_start(s, d):
     return rounded(select.align_start(px_null(s, d)))
 
