@@ -38,10 +38,13 @@ def row_key(id_col: str | Column, text_col: str | Column) -> list[Column]:
     return [F.xxhash64(i, t).alias("_k1"), F.hash(t, i).alias("_k2")]
 
 
-def words(text: str | Column) -> Column:
-    """Array of the words of a text; null: empty."""
-    t = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.coalesce(t, F.lit("")), SPACE), lambda w: w != "")
+def boxed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_row (all columns), _k1, _k2: rows with their key, safe from clashes of column names."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *row_key(id_col, text_col))
+
+
+def unboxed(columns: list[str]) -> list[Column]:
+    return [F.col("_row").getField(c).alias(c) for c in columns]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, row_key, written
+from .common import BROADCAST_ROWS, if_small, row_key, unboxed, written
 
 #: Units of measure, lower case, as they follow a number.
 UNITS = (
@@ -100,5 +100,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """docs without those that hold a benchmark item; rows without an id stay."""
-    bad = contaminated(docs, benchmark, id_col, **how).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("_bad"), "left_anti")
+    bad = written(contaminated(docs, benchmark, id_col, **how).select(F.col(id_col).alias("_bad")).distinct(), "bench-rejected")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return d.join(if_small(bad), F.col("_row").getField(id_col) == F.col("_bad"), "left_anti").select(*unboxed(docs.columns))

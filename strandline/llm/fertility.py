@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, row_key, written
+from .common import boxed, if_small, row_key, unboxed, written
 
 TOKENIZERS = "/opt/tokenizers"
 SYMBOLS = "#*$%&|<>"
@@ -164,5 +164,4 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
     """docs without the rows that the rules reject. Only the rejected rows' keys travel, or are joined by a shuffle if many."""
     bad = written(verdicts(docs, id_col, text_col, lang_col, **how).where(~F.col("kept")).select("_k1", "_k2").distinct(), "fertility-rejected")
-    d = docs.withColumns(dict(zip(("_k1", "_k2"), row_key(id_col, text_col), strict=True)))
-    return d.join(if_small(bad), ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    return boxed(docs, id_col, text_col).join(if_small(bad), ["_k1", "_k2"], "left_anti").select(*unboxed(docs.columns))

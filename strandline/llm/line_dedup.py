@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import boxed, unboxed
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -26,15 +26,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A window takes part in the shuffles with 40 bytes and without its text. The counts are combined before the
     shuffle, and the join that follows is one that adaptive execution splits when a window is hot.
     """
-    d = docs.drop("n_lines", "n_removed")
-    k1, k2 = row_key(id_col, text_col)
-    d = d.withColumns({"_k1": k1, "_k2": k2})
-    h = F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.xxhash64(x))
-    runs = (
-        d.where(F.col(text_col).contains("\n" if width > 1 else ""))
-        .select("_k1", "_k2", F.col(id_col).cast("string").alias("_sid"), F.col(id_col).alias("_id"), h.alias("_h"))
-        .where(F.size("_h") >= width)
-    )
+    d = boxed(docs.drop("n_lines", "n_removed"), id_col, text_col)
+    text, own_id = F.col("_row").getField(text_col), F.col("_row").getField(id_col)
+    lines = F.split(text, "\n", -1)
+    h = F.transform(lines, lambda x: F.xxhash64(x))
+    runs = d.where(text.contains("\n" if width > 1 else "")).select("_k1", "_k2", own_id.cast("string").alias("_sid"), own_id.alias("_id"), h.alias("_h")).where(F.size("_h") >= width)
     if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint"):
         order = [F.col("_id").isNull().alias("x"), F.col("_id").cast("bigint").alias("i"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col("_p").alias("p")]
     else:
@@ -57,14 +53,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("_k1", "_k2")
         .agg(F.collect_set(F.struct("_a", "_b")).alias("_gone"))
     )
-    lines = F.split(F.col(text_col), "\n", -1)
     covered = F.flatten(F.transform("_gone", lambda s: F.sequence(s["_a"], s["_b"])))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
-    out = d.join(gone, ["_k1", "_k2"], "left").withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)), "_stay": F.when(F.col("_gone").isNotNull(), stay)})
-    out = out.withColumns(
-        {
-            "n_removed": F.when(F.col("_stay").isNull(), 0).otherwise(F.col("n_lines") - F.size("_stay")),
-            text_col: F.when(F.col("_stay").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform("_stay", lambda i: lines[i]), "\n")),
-        }
-    )
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    out = d.join(gone, ["_k1", "_k2"], "left").withColumns({"_n": F.when(text.isNull(), 0).otherwise(F.size(lines)), "_stay": F.when(F.col("_gone").isNotNull(), stay)})
+    rest = F.when(F.col("_stay").isNull(), text).otherwise(F.array_join(F.transform("_stay", lambda i: lines[i]), "\n"))
+    removed = F.when(F.col("_stay").isNull(), 0).otherwise(F.col("_n") - F.size("_stay"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*[rest.alias(c) if c == text_col else x for c, x in zip(names, unboxed(names), strict=True)], F.col("_n").alias("n_lines"), removed.alias("n_removed"))

@@ -80,7 +80,7 @@ def assign_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``per_bucket`` documents, so a hot source is spread over many tasks.
     """
     order = F.md5(F.concat_ws("\x1f", F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    d = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), size_of(text_col).alias("size"), order.alias("_o"), *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)])
+    d = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), size_of(text_col).alias("size"), order.alias("_o"), *[F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)])
     slim = written(d.select("_id", "source", "size", "_o"), "mix-sizes") if not keep else None
     base = slim if slim is not None else d
     n = (slim if slim is not None else docs).count()
@@ -111,8 +111,8 @@ def assign_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: a row for each copy that is taken, with its text, ``copy`` (1 or 2), ``words`` taken of it and
-    ``position``, range-sorted by position (ties by id)."""
-    own = (id_col, source_col, "size", "source_size", "target", "taken", "taken_once", "taken_twice", "first_position", "second_position")
+    ``position``, range-sorted by position (ties by id). Columns of docs by the names of the result's give way to them."""
+    own = (id_col, source_col, "size", "source_size", "target", "taken", "taken_once", "taken_twice", "first_position", "second_position", "copy", "words", "position")
     keep = [c for c in docs.columns if c not in own]
     a = assign_positions(docs, id_col, text_col, source_col, keep=keep, **how)
     copies = F.filter(F.array(F.struct(F.lit(1).alias("copy"), F.col("taken_once").alias("words"), F.col("first_position").alias("position")), F.struct(F.lit(2).alias("copy"), F.col("taken_twice").alias("words"), F.col("second_position").alias("position"))), lambda c: c["words"] > 0)

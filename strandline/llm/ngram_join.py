@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, row_key, written
+from .common import boxed, if_small, row_key, unboxed, written
 from .components import components
 
 WORDS_PER_SHINGLE = 5
@@ -303,5 +303,4 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each class: the one of the least id. Rows without an id or words stay."""
     bad = written(classes(docs, id_col, text_col, threshold).where(F.col(id_col) != F.col("class_id")).select("_k1", "_k2").distinct(), "join-dropped")
-    d = docs.withColumns(dict(zip(("_k1", "_k2"), row_key(id_col, text_col), strict=True)))
-    return d.join(if_small(bad), ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    return boxed(docs, id_col, text_col).join(if_small(bad), ["_k1", "_k2"], "left_anti").select(*unboxed(docs.columns))

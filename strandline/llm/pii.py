@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, row_key, written
+from .common import boxed, if_small, row_key, unboxed, written
 
 #: Base kinds in their order. The patterns find what the contract's do, but never scan a run of characters twice:
 #: possessive quantifiers, and no start inside a run whose start has failed (\\G: right after the match before).
@@ -143,13 +143,14 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gener
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with each span of ``text`` replaced: [EMAIL] etc. for base kinds, [TERM] for generalised terms, nothing for
     removed ones. Spans that overlap an earlier one give way to it. Null stays null."""
-    d = docs.withColumns(dict(zip(("_k1", "_k2"), row_key(id_col, text_col), strict=True)))
+    d = boxed(docs, id_col, text_col)
     s = spans(docs, id_col, text_col, **how).where(F.size("found") > 0).select("_k1", "_k2", "found").dropDuplicates(["_k1", "_k2"])
     put = lambda x: F.when(x["action"] == "remove", "").when(x["action"] == "generalise", "[TERM]").otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
-    t = F.col(text_col)
+    t = F.col("_row").getField(text_col)
     step = lambda acc, x: F.when(x["start"] < acc["at"], acc).otherwise(F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["start"] - acc["at"]), put(x)).alias("out")))
     whole = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.char_length(t))))
-    return d.join(s, ["_k1", "_k2"], "left").withColumn(text_col, F.when(F.col("found").isNull(), t).otherwise(whole)).select(*docs.columns)
+    new = F.when(F.col("found").isNull(), t).otherwise(whole)
+    return d.join(s, ["_k1", "_k2"], "left").select(*[new.alias(c) if c == text_col else x for c, x in zip(docs.columns, unboxed(docs.columns), strict=True)])
 
 
 def digest(spanned: DataFrame, id_col: str = "doc_id") -> DataFrame:

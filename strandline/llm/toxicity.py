@@ -46,6 +46,10 @@ def bag(text: str | None, cache: dict[str, list[int]]) -> np.ndarray:
     return np.array(out, dtype=np.int32)
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 class Linear:
     """Logistic regression with an L2 penalty, by L-BFGS, on the FEATURES features that tell most."""
 
@@ -64,7 +68,7 @@ class Linear:
 
         def grad(w: np.ndarray) -> tuple[float, np.ndarray]:
             z = np.bincount(r, weights=w[a], minlength=n) + fed @ w[k : k + m] + w[-1]
-            p = 1 / (1 + np.exp(-z))
+            p = sigmoid(z)
             loss = np.logaddexp(0, z).sum() - (y * z).sum() + penalty / 2 * (w[:-1] ** 2).sum()
             e = p - y
             g = np.concatenate([np.bincount(a, weights=e[r], minlength=k) + penalty * w[:k], fed.T @ e + penalty * w[k : k + m], [e.sum()]])
@@ -131,7 +135,7 @@ class Chain:
                 oof[~train] = m.logits(at, row, n, fed)[~train]
             self.models.append(Linear(at, row, n, y, fed))
             fed = np.column_stack([fed, np.clip(oof, -8, 8)])
-        self.threshold = best_threshold(1 / (1 + np.exp(-fed[:, -1])), labels[:, -1]) if n else 1.0
+        self.threshold = best_threshold(sigmoid(fed[:, -1]), labels[:, -1]) if n else 1.0
 
     def probabilities(self, bags: Sequence[np.ndarray]) -> np.ndarray:
         n = len(bags)
@@ -140,7 +144,7 @@ class Chain:
         fed = np.zeros((n, 0))
         for m in self.models:
             fed = np.column_stack([fed, np.clip(m.logits(at, row, n, fed), -8, 8)])
-        return 1 / (1 + np.exp(-fed))
+        return sigmoid(fed)
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
