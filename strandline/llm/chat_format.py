@@ -58,7 +58,7 @@ def parse(formatted: str) -> list[tuple[str, str, int, int]]:
 PACKED = "pack string, text string, nodes array<struct<start:long,end:long,position:long,parent:int,role:string,loss_start:long,loss_end:long>>, conversations array<struct<conv_id:long,nodes:array<int>>>"
 
 
-def pack(turns: DataFrame, conv: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def pack(turns: DataFrame, conv: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", conversations: int = PACK_CONVERSATIONS, chars: int = PACK_CHARS) -> DataFrame:
     """Packed rows of the prefix trees of all conversations.
 
     ``text``: the walk. ``nodes``: each emitted turn's place in it, its first position id (code points from the
@@ -70,7 +70,7 @@ def pack(turns: DataFrame, conv: str = "conv_id", order: str = "turn", role: str
     id is one conversation without an id. Repeated rows are turns of their own. Other columns play no part. An empty
     table gives an empty result.
 
-    A pack is closed at PACK_CONVERSATIONS or PACK_CHARS, and a shared turn is emitted once per pack.
+    A pack is closed at so many ``conversations`` or ``chars``, and a shared turn is emitted once per pack.
     """
     c = turns.select(F.col(conv).cast("long").alias("_conv"), F.struct(F.col(order).alias("o"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("r"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).alias("_turn"))
     c = c.groupBy("_conv").agg(F.array_sort(F.collect_list("_turn")).alias("_turns"))
@@ -83,7 +83,7 @@ def pack(turns: DataFrame, conv: str = "conv_id", order: str = "turn", role: str
         state = _Pack()
         for b in batches:
             for i, path, roles, texts in zip(b["_conv"], b["_path"], b["_roles"], b["_texts"], strict=True):
-                if state.full():
+                if len(state.conversations) >= conversations or state.size >= chars:
                     yield state.row()
                     state = _Pack()
                 state.add(None if pd.isna(i) else int(i), path, list(roles), list(texts))
@@ -99,9 +99,6 @@ class _Pack:
     def __init__(self) -> None:
         self.parts, self.size, self.nodes, self.conversations, self.open, self.name = [], 0, [], [], [], hashlib.sha256()
 
-    def full(self) -> bool:
-        return len(self.conversations) >= PACK_CONVERSATIONS or self.size >= PACK_CHARS
-
     def add(self, conv: int | None, path: str, roles: list[str], texts: list[str]) -> None:
         keys = [path[i : i + 16] for i in range(0, len(path), 16)]
         shared = 0

@@ -22,7 +22,8 @@ CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 TRAINING_ROWS = 12_000
 BUCKETS = 1 << 20
 BEGINNINGS = (4, 5)
-FEATURES = 3_000  # the strongest by chi-square of each fit
+#: Features of a fit: the strongest by chi-square, of those beyond chance among so many (but at least a few).
+FEATURES, CHANCE, A_FEW = 3_000, 25.0, 20
 LEAST_TEXTS = 4
 FOLDS = 3
 CACHED_WORDS = 200_000
@@ -59,7 +60,8 @@ class Linear:
         expect = all_ * rate
         chi = np.where(all_ >= LEAST_TEXTS, (pos - expect) ** 2 / np.maximum(expect * (1 - rate), 1e-9), 0.0)
         top = np.argsort(-chi, kind="stable")[:FEATURES]
-        self.top = np.sort(top[chi[top] > 0])
+        self.top = np.sort(top[: max(A_FEW, int((chi[top] > CHANCE).sum()))])
+        self.top = self.top[chi[self.top] > 0]
         where = np.full(BUCKETS, -1, dtype=np.int64)
         where[self.top] = np.arange(len(self.top))
         use = where[at] >= 0
