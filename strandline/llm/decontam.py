@@ -81,7 +81,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     pairs = hits.join(b, ["_h", "_g"])
     bare = lambda x: F.regexp_replace(F.lower(x), rf"{CLOSING}$", "")
     slots = F.filter(F.transform(F.arrays_zip("_btpl", "_braw", "_draw"), lambda z: F.struct(z["_btpl"].alias("kind"), bare(z["_braw"]).alias("was"), bare(z["_draw"]).alias("now"))), lambda z: z["kind"].isin("<num>", "<unit>", "<name>"))
-    pairs = pairs.select("_id", "_k1", "_k2", "_item", "_bp", "_p", F.array_distinct(slots).alias("_slots"))
+    pairs = written(pairs.select("_id", "_k1", "_k2", "_item", "_bp", "_p", F.array_distinct(slots).alias("_slots")), "bench-pairs")
     # a value's replacement: the one most windows of the pair show, least on ties
     votes = pairs.select("_id", "_k1", "_k2", "_item", F.explode("_slots").alias("_z")).groupBy("_id", "_k1", "_k2", "_item", "_z").agg(F.count(F.lit(1)).alias("_n"))
     best = votes.groupBy("_id", "_k1", "_k2", "_item", F.col("_z.kind").alias("kind"), F.col("_z.was").alias("was")).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col("_z.now").alias("now"))).alias("_m"))
