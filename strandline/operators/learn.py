@@ -118,3 +118,50 @@ def bootstrap_cagr(returns: DataFrame, draws: int = 200, af: int = 252, seed: in
 def leaking_names(features: Sequence[str]) -> list[str]:
     """Feature names that look ahead."""
     return [x for x in features if "shift(-" in x or "fwd" in x.lower() or "future" in x.lower()]
+
+
+def horizon_ensemble(df: DataFrame, features: Sequence[str], horizons: Sequence[int], kind: str = "boosting", share: float = 0.7, **how) -> DataFrame:
+    """Mean probability of models for several label horizons, each fitted on the first part of every series: df plus p."""
+    from .signals import labels
+
+    d = split(df, share)
+    for h in horizons:
+        x = labels(d, h)
+        fitted = model(kind, features, **how).fit(x.where("part = 'train'"))
+        d = score(fitted, d, f"_p{h}")
+    names = [f"_p{h}" for h in horizons]
+    return ensemble(d, dict.fromkeys(names, 1.0)).drop(*names)
+
+
+def forest_ensemble(df: DataFrame, features: Sequence[str], horizon: int, forests: Sequence[tuple[float, dict]], share: float = 0.7) -> DataFrame:
+    """Weighted probability of several forests of different shapes: (weight, settings) each. df plus p."""
+    from .signals import labels
+
+    d = split(labels(df, horizon), share)
+    train = d.where("part = 'train'").persist()
+    try:
+        for i, (_, settings) in enumerate(forests):
+            d = score(model("forest", features, seed=42 + i, **settings).fit(train), d, f"_p{i}")
+    finally:
+        train.unpersist()
+    return ensemble(d, {f"_p{i}": w for i, (w, _) in enumerate(forests)}).drop(*[f"_p{i}" for i in range(len(forests))])
+
+
+def expanding_retrain(df: DataFrame, features: Sequence[str], periods: int = 3, first: float = 0.5, kind: str = "logit", **how) -> DataFrame:
+    """Models refitted on all rows before each of several consecutive periods and applied to the period: rows with period and p."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
+    at = (F.row_number().over(W()) - 1) / n
+    d = df.withColumn("period", F.when(at >= first, F.least(F.floor((at - first) / ((1 - first) / periods)), F.lit(periods - 1)).cast("int")).otherwise(-1))
+    out = None
+    for k in range(periods):
+        fitted = model(kind, features, **how).fit(d.where(F.col("period") < k))
+        scored = score(fitted, d.where(F.col("period") == k))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(a, b, corr) of all pairs of columns, per series, from one aggregation."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    g = df.groupBy("series_id").agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr")) for a, b in pairs]).alias("m"))
+    return g.select("series_id", F.explode("m").alias("x")).select("series_id", "x.a", "x.b", "x.corr")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-
+from ..functions import ordered as o
 from ..operators import align, features, learn, research, signals
 from .views import PX, RET, Book, W, px, returns, rounded, table
 
@@ -98,3 +98,57 @@ SELECT series_id, run_id, round(total_return, 6) AS total_return, round(max_draw
 def pareto_front(s, d):
     r = returns(s, d).groupBy("series_id", F.year("ts").cast("long").alias("run_id")).agg(F.round(F.product(1 + F.col("ret")) - 1, 9).alias("total_return"), F.round(F.min("ret"), 9).alias("max_drawdown"))
     return rounded(research.pareto(r))
+
+
+def _featured(s, d):
+    names = ["mom_5", "mom_20", "vol_20", "z_20"]
+    return features.feature_set(returns(s, d).select("series_id", "ts", "value")).select("series_id", "ts", "value", *names), names
+
+
+@query()
+def boosting_ensemble(s, d):
+    f, names = _featured(s, d)
+    p = learn.horizon_ensemble(f, names, (1, 5), "boosting", maxIter=3, maxDepth=3)
+    return signals.edges(p.withColumn("_pos", F.col("p") > 0.5)).select("series_id", "ts", "p", "position", "entry", "exit")
+
+
+@query()
+def forest_ensemble(s, d):
+    f, names = _featured(s, d)
+    shapes = [(0.30, {"numTrees": 8, "maxDepth": 4}), (0.30, {"numTrees": 8, "maxDepth": 5}), (0.25, {"numTrees": 6, "maxDepth": 3}), (0.15, {"numTrees": 6, "maxDepth": 6})]
+    p = learn.forest_ensemble(f, names, 7, shapes)
+    held = signals.hold_greedy(p.select("series_id", "ts", "value", "p", (F.col("p") >= 0.55).cast("int").alias("raw")), "raw", 7)
+    return signals.edges(held.withColumn("_pos", F.col("held") == 1)).select("series_id", "ts", "p", "position", "entry", "exit")
+
+
+@query()
+def expanding_retrain(s, d):
+    f, names = _featured(s, d)
+    return learn.expanding_retrain(signals.labels(f, 5), names, 3, n_train=3000).select("series_id", "ts", "period", "p")
+
+
+@query(f"""WITH {RET}, m AS (SELECT series_id, value / lag(value, 5) OVER ({W}) - 1 AS m5, value / lag(value, 20) OVER ({W}) - 1 AS m20, ret FROM rt)
+SELECT series_id, a, b, round(c, 6) AS corr FROM (SELECT series_id, 'mom_20' AS a, 'mom_20' AS b, corr(m20, m20) AS c FROM m GROUP BY series_id UNION ALL SELECT series_id, 'mom_20', 'ret', corr(m20, ret) FROM m GROUP BY series_id UNION ALL SELECT series_id, 'ret', 'ret', corr(ret, ret) FROM m GROUP BY series_id
+UNION ALL SELECT series_id, 'mom_5', 'mom_5', corr(m5, m5) FROM m GROUP BY series_id UNION ALL SELECT series_id, 'mom_5', 'mom_20', corr(m5, m20) FROM m GROUP BY series_id UNION ALL SELECT series_id, 'mom_5', 'ret', corr(m5, ret) FROM m GROUP BY series_id) q""")
+def correlation_matrix(s, d):
+    return rounded(learn.correlation_matrix(features.momentum(returns(s, d), [5, 20]), ["mom_5", "mom_20", "ret"]))
+
+
+@query(f"""WITH {PX}, b AS (SELECT series_id, CAST(ts + CAST(((5 - isodow(ts) + 7) % 7) AS INTEGER) AS DATE) AS p, arg_max(value, ts) AS v FROM px GROUP BY ALL), m AS (SELECT series_id, min(p) AS lo, max(p) AS hi FROM b GROUP BY series_id),
+g AS (SELECT series_id, CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS ts FROM m),
+w AS (SELECT g.series_id, g.ts, last_value(b.v IGNORE NULLS) OVER (PARTITION BY g.series_id ORDER BY g.ts) AS value FROM g LEFT JOIN b ON g.series_id = b.series_id AND g.ts = b.p)
+SELECT series_id, ts, round(value / lag(value, 4) OVER ({W}) - 1, 6) AS mom_4, round(CASE WHEN count(value) OVER f >= 12 THEN (value - avg(value) OVER f) / stddev_samp(value) OVER f END, 6) AS z_12,
+coalesce(CAST(value > CASE WHEN count(value) OVER f >= 12 THEN quantile_cont(value, 0.75) OVER f END AS INTEGER), 0) AS above_q75 FROM w WINDOW f AS ({W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""")
+def weekly_features(s, d):
+    w = align.resample(px(s, d), "W", "last")
+    x = features.zscores(features.momentum(w, [4]), [12]).withColumn("above_q75", F.coalesce((F.col("value") > o.rolling_quantile("value", 0.75, 12, o.series())).cast("int"), F.lit(0)))
+    return rounded(x.select("series_id", "ts", "mom_4", "z_12", "above_q75"))
+
+
+@query()
+def text_report(s, d):
+    from ..operators import metrics
+    from ..sources import sinks
+
+    m = metrics.performance(returns(s, d)).select("series_id", "total_return", "sharpe", "max_drawdown").orderBy("series_id")
+    return s.createDataFrame([(i, x) for i, x in enumerate(sinks.report("Performance", m).splitlines())], "line int, text string")
