@@ -65,7 +65,7 @@ def _position(share: Column, rank: Column, schedules: Sequence[Sequence[tuple[fl
     return out
 
 
-def assign_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, share: float = 1.5, per_bucket: int = 20_000, keep: Sequence[str] = ()) -> DataFrame:
+def assign_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, share: float = 1.5, per_bucket: int = 4_000, keep: Sequence[str] = ()) -> DataFrame:
     """One row per document: id, source, size, source_size, target, taken, first_position, second_position, and ``keep``.
 
     A source gives its documents in a fixed order (by md5 of id and text), as often as its target asks; the document
