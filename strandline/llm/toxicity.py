@@ -62,7 +62,7 @@ class Linear:
         top = np.argsort(-chi, kind="stable")[:FEATURES]
         self.top = np.sort(top[: max(A_FEW, int((chi[top] > CHANCE).sum()))])
         self.top = self.top[chi[self.top] > 0]
-        where = np.full(BUCKETS, -1, dtype=np.int64)
+        where = np.full(BUCKETS, -1, dtype=np.int32)
         where[self.top] = np.arange(len(self.top))
         use = where[at] >= 0
         a, r = where[at][use], row[use]
@@ -121,8 +121,11 @@ class Chain:
 
     def __init__(self, bags: Sequence[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> None:
         n = len(bags)
-        row = np.repeat(np.arange(n), [len(b) for b in bags])
-        at = np.concatenate(bags).astype(np.int64) if n else np.zeros(0, dtype=np.int64)
+        row = np.repeat(np.arange(n, dtype=np.int32), [len(b) for b in bags])
+        at = np.concatenate(bags) if n else np.zeros(0, dtype=np.int32)
+        often = np.bincount(at, minlength=BUCKETS) >= LEAST_TEXTS  # what is rarer can't be chosen by any fit
+        use = often[at]
+        at, row = at[use], row[use]
         fed, self.models = np.zeros((n, 0)), []
         for j in range(labels.shape[1]):
             y = labels[:, j].astype(float)
@@ -141,8 +144,8 @@ class Chain:
 
     def probabilities(self, bags: Sequence[np.ndarray]) -> np.ndarray:
         n = len(bags)
-        row = np.repeat(np.arange(n), [len(b) for b in bags])
-        at = np.concatenate(bags).astype(np.int64) if n else np.zeros(0, dtype=np.int64)
+        row = np.repeat(np.arange(n, dtype=np.int32), [len(b) for b in bags])
+        at = np.concatenate(bags) if n else np.zeros(0, dtype=np.int32)
         fed = np.zeros((n, 0))
         for m in self.models:
             fed = np.column_stack([fed, np.clip(m.logits(at, row, n, fed), -8, 8)])
