@@ -296,6 +296,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     own = whole.join(least, "c").select(F.col("v").alias("_v"), "_class").join(links, "_v")
     per = reps.select("_v", "_copies", "_rep").join(own, "_v", "left")
     per = per.select(F.col("_v").alias("_w"), "_copies", F.coalesce("_class", "_rep").alias("_class"), (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links"))
+    per = written(per, "join-classes")  # so that the join below has an exchange of its own on either side, and copies split
     out = signed.select("_id", "_k1", "_k2", F.when(F.col("_id").isNotNull(), F.col("_v")).alias("_v")).join(per, F.col("_v") == F.col("_w"), "left")
     return out.select(F.col("_id").alias(id_col), "_k1", "_k2", F.coalesce("_class", "_id").alias("class_id"), F.coalesce("_links", F.lit(0)).alias("n_links"), F.coalesce("_copies", F.lit(1)).alias("n_copies"))
 
