@@ -3,7 +3,7 @@
 Public vocabularies tell odd text from usual text of its language: how many characters a token covers, what share of
 the tokens are single bytes that the vocabulary has no piece for, and how evenly tokens are used. Every text is
 measured; per language (or script, where the language isn't known) bands around the quartiles of all measured texts
-decide. Simple counts of words, symbols, repeated lines and repeated word windows come along as base rules.
+decide; a language of few texts gets those of its script too. Simple counts of words, symbols, repeated lines and repeated word windows come along as base rules.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ SYMBOLS = "#*$%&|<>"
 FENCE = 3.5
 LEAST_RANGE = {"chars_per_token": 0.05, "fallback_share": 0.02, "token_entropy": 0.03}
 EVEN_WORDS = 300
-#: A language or script with fewer measured texts takes the bands of all texts.
+#: A language with fewer measured texts takes the wider of its own bands and those of its script, whatever the language; if
+#: the script has fewer too, its texts are kept.
 LEAST_TEXTS = 50
 #: The pre-token pattern of the byte-level vocabulary; fixed value, public.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -69,8 +70,12 @@ class Fertility:
 
 
 def script_of(text: str) -> str:
-    counts = [(len(re.findall(f"[{r}]", text)), name) for name, r in _SCRIPTS]
-    return max(counts)[1] if max(counts)[0] else "none"
+    """The script with the most letters; 'none' without any of _SCRIPTS."""
+    letters = "".join(set(text))
+    there = [(name, r) for name, r in _SCRIPTS if re.search(f"[{r}]", letters)]
+    if len(there) < 2:
+        return there[0][0] if there else "none"
+    return max((len(re.findall(f"[{r}]", text)), name) for name, r in there)[1]
 
 
 def measure(text: str | None, fertility: Fertility) -> tuple:
@@ -109,7 +114,7 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", path: str = TOKENIZERS) -> DataFrame:
-    """id, _k1, _k2, ``band`` (lang, or else the script) and MEASURES per row. path: the vocabularies' folder on every worker."""
+    """id, _k1, _k2, ``band`` (lang, or else the script), ``script`` and MEASURES per row. path: the vocabularies' folder on every worker."""
     d = docs.select(F.col(id_col).alias("_id"), *row_key(id_col, text_col), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,13 +125,14 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         for b in batches:
             rows = pd.DataFrame([measure(t, f) for t in b["_text"]], columns=names)
             out = b[["_id", "_k1", "_k2"]].reset_index(drop=True)
-            out["band"] = [x if x is not None else "script:" + script_of(t or "") for x, t in zip(b["_lang"], b["_text"], strict=True)]
+            out["script"] = [script_of(t or "") for t in b["_text"]]
+            out["band"] = [x if x is not None else "script:" + y for x, y in zip(b["_lang"], out["script"], strict=True)]
             for c in names:
                 out[c] = rows[c].astype("float64" if c in LEAST_RANGE else "int64")
             yield out
 
     kind = d.schema["_id"].dataType.simpleString()
-    return d.mapInPandas(run, f"_id {kind}, _k1 long, _k2 int, band string, {MEASURES}").withColumnRenamed("_id", id_col)
+    return d.mapInPandas(run, f"_id {kind}, _k1 long, _k2 int, script string, band string, {MEASURES}").withColumnRenamed("_id", id_col)
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", path: str = TOKENIZERS, fence: float = FENCE, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
@@ -135,7 +141,9 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     base_failed: under ``least_words`` words, or over ``most_repeated`` percent of them in repeated windows. kept: not
     that, and every measure within the bands of the row's language or script: the quartiles of all rows that pass the
     base rules, plus or minus ``fence`` interquartile ranges, wider for short texts (values rounded to thousandths, so that the exact
-    quartiles need a bounded table). Bands come from all rows; nothing is sampled.
+    quartiles need a bounded table). Bands come from all rows; nothing is sampled. A language with under LEAST_TEXTS such
+    rows has too few to be judged by them alone: its bands reach as far as its own or those of all rows of the row's
+    script. Rows of a script that has under LEAST_TEXTS rows too are kept. No row is judged by another script.
 
     Null and empty texts have no words and fail. Null lang: by script. Rows alike in id and text are measured alike.
     Other columns play no part. An empty table gives an empty result.
@@ -144,20 +152,23 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     m = written(measures(docs, id_col, text_col, lang_col, path), "fertility")
     m = m.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words")))
     quart = F.array(F.lit(0.25), F.lit(0.75))
-    use = m.where(~F.col("base_failed")).select(F.explode(F.array(F.col("band"), F.lit("*"))).alias("band"), *[F.round(c, 3).alias(c) for c in names])
-    bands = use.groupBy("band").agg(F.count(F.lit(1)).alias("_n"), *[F.percentile(c, quart).alias(c) for c in names])
+    groups = F.array(F.struct(F.lit(False).alias("all"), F.col("band")), F.struct(F.lit(True).alias("all"), F.col("script").alias("band")))
+    use = m.where(~F.col("base_failed")).select(F.explode(groups).alias("_g"), *[F.round(c, 3).alias(c) for c in names]).select("_g.*", *names)
+    bands = use.groupBy("all", "band").agg(F.count(F.lit(1)).alias("_n"), *[F.percentile(c, quart).alias(c) for c in names])
     spread = {c: F.greatest(F.col(c)[1] - F.col(c)[0], F.lit(least)) for c, least in LEAST_RANGE.items()}
-    bands = written(bands.select("band", "_n", *[F.struct(F.col(c)[0].alias("low"), F.col(c)[1].alias("high"), (fence * spread[c]).alias("by")).alias(f"_{c}") for c in names]), "fertility-bands")
-    own = bands.where((F.col("_n") >= LEAST_TEXTS) & (F.col("band") != "*")).drop("_n")
-    pooled = bands.where("band = '*'").select(*[F.col(f"_{c}").alias(f"_all_{c}") for c in names])
-    j = m.join(if_small(own), "band", "left").join(F.broadcast(pooled), how="left")  # at most one row
+    bands = written(bands.select("all", "band", "_n", *[F.struct(F.col(c)[0].alias("low"), F.col(c)[1].alias("high"), (fence * spread[c]).alias("by")).alias(f"_{c}") for c in names]), "fertility-bands")
+    own = bands.where(~F.col("all")).drop("all")
+    scripts = bands.where(F.col("all") & (F.col("_n") >= LEAST_TEXTS)).select(F.col("band").alias("script"), F.lit(True).alias("_known"), *[F.col(f"_{c}").alias(f"_all_{c}") for c in names])
+    j = m.join(if_small(own), "band", "left").join(F.broadcast(scripts), "script", "left")  # a row per script
+    many = F.coalesce(F.col("_n") >= LEAST_TEXTS, F.lit(False))
     ok, wider = F.lit(True), F.sqrt(F.greatest(F.lit(1.0), F.lit(float(EVEN_WORDS)) / F.greatest(F.lit(1), F.col("n_words"))))
     for c in names:
-        b = F.coalesce(f"_{c}", f"_all_{c}")
+        own_b, all_b = F.col(f"_{c}"), F.when(~many, F.col(f"_all_{c}"))
         if c != "fallback_share":
-            ok = ok & (F.col(c) >= b["low"] - wider * b["by"])
+            ok = ok & (F.col(c) >= F.least(own_b["low"] - wider * own_b["by"], all_b["low"] - wider * all_b["by"]))
         if c != "token_entropy":
-            ok = ok & (F.col(c) <= b["high"] + wider * b["by"])
+            ok = ok & (F.col(c) <= F.greatest(own_b["high"] + wider * own_b["by"], all_b["high"] + wider * all_b["by"]))
+    ok = ok | ~many & F.col("_known").isNull()
     return j.withColumn("kept", ~F.col("base_failed") & F.coalesce(ok, F.lit(False))).select(*m.columns, "kept")
 
 

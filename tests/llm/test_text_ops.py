@@ -87,6 +87,21 @@ def test_fertility_bands_reject_noise_and_keep_the_rest(spark, make):
     assert kept == set(range(120))
 
 
+def test_fertility_keeps_a_rare_language_and_script(make):
+    rng = random.Random(10)
+    text = lambda words: " ".join(rng.choice(words.split()) + rng.choice(["", ",", "."]) for _ in range(200))
+    plain = [text("time people water house small green river garden morning because under light") for _ in range(200)]
+    rare = [text("ጊዜ ሰዎች ውሃ ቤት ትንሽ አረንጓዴ ወንዝ አትክልት ጠዋት ምክንያቱም ከታች ብርሃን") for _ in range(20)]  # a script without pieces
+    near = [text("thời gian người nước nhà nhỏ xanh sông vườn buổi sáng bởi vì dưới ánh") for _ in range(20)]  # another of the same script
+    rows = [(i, t, "en" if i < 200 else "am" if i < 220 else "vi") for i, t in enumerate(plain + rare + near)]
+    kept = {r.doc_id for r in fertility.keep_good(make(rows)).collect()}
+    assert kept == set(range(240))
+
+
+def test_script_is_that_of_most_letters():
+    assert [fertility.script_of(x) for x in ("", "12 ?", "abc где", "ab где", "где 7", "日本 a")] == ["none", "none", "Latin", "Cyrillic", "Cyrillic", "Han"]
+
+
 def test_fallback_share_is_that_of_the_encoding():
     f, rng = fertility.Fertility(fertility.TOKENIZERS), random.Random(2)
     for _ in range(300):
