@@ -3,7 +3,8 @@
 Texts become templates: numbers, units after numbers and names turn into typed placeholders, other words lose case and
 closing punctuation. Every window of ``width`` template words of every document is joined by hash with those of the
 benchmark. Windows of one document and item must then agree on their slots: a value of the item (a name, a number)
-has one replacement throughout. That keeps re-parameterised questions and drops windows alike by chance.
+has one replacement throughout, or at least throughout one occurrence of the item in the document. That keeps
+re-parameterised questions and drops windows alike by chance.
 """
 
 from __future__ import annotations
@@ -53,12 +54,25 @@ def _windows(df: DataFrame, names: list[str], width: int) -> DataFrame:
     return d.select(*names, "_p", F.xxhash64(*at).alias("_h"), F.hash(*reversed(at)).alias("_g"), "_raw", "_tpl")
 
 
+def _agreeing(pairs: DataFrame, on: list[str]) -> DataFrame:
+    """on, _hits, _slots, _changed: per group of matched windows the item's windows that agree on their slots, and the
+    values replaced. A value's replacement is the one most windows of the group show, least on ties."""
+    votes = pairs.select(*on, F.explode("_slots").alias("_z")).groupBy(*on, "_z").agg(F.count(F.lit(1)).alias("_n"))
+    best = votes.groupBy(*on, F.col("_z.kind").alias("kind"), F.col("_z.was").alias("was")).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col("_z.now").alias("now"))).alias("_m"))
+    best = best.groupBy(*on).agg(F.collect_list(F.struct("kind", "was", F.col("_m.now").alias("now"))).alias("_best"))
+    kept = pairs.join(best, on, "left").where(F.size(F.array_except("_slots", F.coalesce("_best", F.array().cast("array<struct<kind:string,was:string,now:string>>")))) == 0)
+    found = kept.groupBy(*on).agg(F.countDistinct("_bp").alias("_hits")).join(best, on, "left")
+    count = lambda a: F.coalesce(F.when(F.col("_best").isNotNull(), F.size(a)), F.lit(0))
+    return found.select(*on, "_hits", count(F.col("_best")).alias("_slots"), count(F.filter("_best", lambda z: z["was"] != z["now"])).alias("_changed"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 8, literals: int = 5, share: float = 0.5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Pairs of a document and a benchmark item whose text it holds.
 
     Returns id, item, ``n_windows`` (windows of the item), ``n_hits`` (those found in the document with
     consistent slots), ``n_slots`` (distinct values replaced) and ``exact`` (no slot differs), for pairs with n_hits of
-    at least ``share`` of n_windows. Windows of fewer than ``literals`` plain words don't count. Items shorter than
+    at least ``share`` of n_windows. Slots are consistent over the whole document or, where that gives too few hits, over
+    the item's best occurrence in it. Windows of fewer than ``literals`` plain words don't count. Items shorter than
     ``width`` words are matched by no window.
 
     Null ids don't match anything; null and empty texts have no windows; rows alike in id and text count once;
@@ -82,19 +96,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bare = lambda x: F.regexp_replace(F.lower(x), rf"{CLOSING}$", "")
     slots = F.filter(F.transform(F.arrays_zip("_btpl", "_braw", "_draw"), lambda z: F.struct(z["_btpl"].alias("kind"), bare(z["_braw"]).alias("was"), bare(z["_draw"]).alias("now"))), lambda z: z["kind"].isin("<num>", "<unit>", "<name>"))
     pairs = written(pairs.select("_id", "_k1", "_k2", "_item", "_bp", "_p", F.array_distinct(slots).alias("_slots")), "bench-pairs")
-    # a value's replacement: the one most windows of the pair show, least on ties
-    votes = pairs.select("_id", "_k1", "_k2", "_item", F.explode("_slots").alias("_z")).groupBy("_id", "_k1", "_k2", "_item", "_z").agg(F.count(F.lit(1)).alias("_n"))
-    best = votes.groupBy("_id", "_k1", "_k2", "_item", F.col("_z.kind").alias("kind"), F.col("_z.was").alias("was")).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col("_z.now").alias("now"))).alias("_m"))
-    best = best.groupBy("_id", "_k1", "_k2", "_item").agg(F.collect_list(F.struct("kind", "was", F.col("_m.now").alias("now"))).alias("_best"))
     on = ["_id", "_k1", "_k2", "_item"]
-    kept = pairs.join(best, on, "left").where(F.size(F.array_except("_slots", F.coalesce("_best", F.array().cast("array<struct<kind:string,was:string,now:string>>")))) == 0)
-    found = kept.groupBy(*on).agg(F.countDistinct("_bp").alias("_hits")).join(best, on, "left")
-    n_slots = F.coalesce(F.size("_best"), F.lit(0))
-    changed = F.coalesce(F.size(F.filter("_best", lambda z: z["was"] != z["now"])), F.lit(0))
-    per = found.select("_id", "_item", "_hits", F.when(F.col("_best").isNull(), 0).otherwise(n_slots).alias("_slots"), F.when(F.col("_best").isNull(), 0).otherwise(changed).alias("_changed"))
-    per = per.groupBy("_id", "_item").agg(F.max("_hits").alias("n_hits"), F.max("_slots").alias("n_slots"), F.min("_changed").alias("_changed"))
+    whole = _agreeing(pairs, on).groupBy("_id", "_item").agg(F.max("_hits").alias("n_hits"), F.max("_slots").alias("n_slots"), F.min("_changed").alias("_changed"))
+    # several copies with other values may tie the votes of the whole document: each occurrence, told by where the item would begin, is judged by itself too
+    apart = _agreeing(pairs.withColumn("_at", F.col("_p") - F.col("_bp")), [*on, "_at"]).groupBy("_id", "_item").agg(F.max(F.struct("_hits", (-F.col("_changed")).alias("_same"), "_slots")).alias("_one"))
     positions = b.select("_item", "_bp").distinct().groupBy("_item").agg(F.count(F.lit(1)).alias("n_windows"))
-    out = per.join(positions, "_item").where(F.col("n_hits") >= F.col("n_windows") * share)
+    enough = F.coalesce(F.col("n_hits") >= F.col("n_windows") * share, F.lit(False))
+    out = apart.join(whole, ["_id", "_item"], "full").join(positions, "_item")
+    one = {"n_hits": F.col("_one._hits"), "n_slots": F.col("_one._slots"), "_changed": -F.col("_one._same")}
+    out = out.select("_id", "_item", "n_windows", *[F.when(enough, F.col(c)).otherwise(x).alias(c) for c, x in one.items()]).where(enough)
     return out.select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), "n_windows", "n_hits", F.col("n_slots").cast("long").alias("n_slots"), (F.col("_changed") == 0).alias("exact"))
 
 

@@ -113,3 +113,10 @@ def test_inconsistent_slots_are_dropped(make, spark):
     assert hits[1] == got[0].n_windows and hits[2] < hits[1]
 
 
+def test_each_occurrence_is_consistent_by_itself(make, spark):
+    item = "Then Alice gave 5 coins to old Robert near the gate and Alice gave 7 coins to old Robert near the door"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    change = lambda *to: item.replace("Alice", to[0]).replace("5", to[1]).replace("Robert", to[2]).replace("7", to[3])
+    sheet = ". ".join(change(*to) for to in (("Zoe", "1", "Bert", "9"), ("Ann", "8", "Carl", "3"), ("Mia", "4", "Abe", "6")))  # tied votes, least values of different copies
+    got = decontam.contaminated(make([(1, sheet), (2, sheet + ". " + item)]), bench).collect()
+    assert {r.doc_id: r.n_hits for r in got} == {1: got[0].n_windows, 2: got[0].n_windows}
