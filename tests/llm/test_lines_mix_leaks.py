@@ -1,4 +1,6 @@
 import collections
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +34,40 @@ def test_line_edges(make, spark):
     assert line_dedup.dedup_lines(make([])).count() == 0
 
 
+def brute_lines(rows):
+    """Texts, in order of (id, position), less the lines of windows seen before."""
+    first, out = {}, {}
+    for i, t in sorted(rows):
+        own = t.split("\n")
+        gone = set()
+        for p in range(len(own) - 2):
+            w = tuple(own[p : p + 3])
+            d, q = first.setdefault(w, (i, p))
+            if (d, q) != (i, p):
+                gone |= set(range(max(p, q + 3) if d == i else p, p + 3))
+        out[i] = "\n".join(x for p, x in enumerate(own) if p not in gone)
+    return out
+
+
+def test_lines_match_brute_force(make):
+    rng = random.Random(13)
+    rows = [(i, "\n".join(rng.choice("abcd") for _ in range(rng.randrange(1, 30)))) for i in range(80)]
+    assert {i: t for i, (t, _, _) in lines(line_dedup.dedup_lines(make(rows))).items()} == brute_lines(rows)
+
+
+def test_a_long_text_loses_lines_in_linear_time(make):
+    def took(n):
+        rows = [(1, "\n".join(f"line {i}" for i in range(0, n, 3))), (2, "\n".join(f"line {i}" if i % 3 == 0 else "x" * (i % 50) for i in range(n))), (3, "\n".join(f"line {i // 2}" for i in range(n)))]
+        rows.append((4, rows[2][1] + "\nend"))
+        start = time.time()
+        got = lines(line_dedup.dedup_lines(make(rows)))
+        assert {i: t for i, (t, _, _) in got.items()} == brute_lines(rows)
+        return time.time() - start
+
+    took(1000)
+    assert took(32_000) < 4 * took(8_000) + 3
+
+
 def brute_targets(sizes, weights, share=1.5, cap=2.0):
     total, target, left = share * sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
     while left:
