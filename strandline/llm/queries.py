@@ -76,8 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-_UNITS = "|".join(decontam.UNITS)
-_CLOSING = r"""[.,;:!?"''\)\]]+"""
+_UNITS, _NUMBERS = "|".join(decontam.UNITS), "|".join(decontam.NUMBERS)
+_CLOSING = r"""[.,;:!?"''\)\]]"""
 
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_join": r"""
@@ -226,47 +226,66 @@ FROM z
 """,
     "op10_decontamination": rf"""
 WITH src AS (
-  SELECT 'd' AS side, doc_id AS id, trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS s FROM documents
-  UNION ALL SELECT 'b', item_id, trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') FROM benchmark
+  SELECT 'd' AS side, doc_id AS id, trim(regexp_replace(coalesce(text, ''), '[\x01-\x07\x20\x09-\x0D]+', ' ', 'g'), ' ') AS s FROM documents
+  UNION ALL SELECT 'b', item_id, trim(regexp_replace(coalesce(text, ''), '[\x01-\x07\x20\x09-\x0D]+', ' ', 'g'), ' ') FROM benchmark
 ),
-w AS (SELECT side, id, unnest(string_split(s, ' ')) AS raw, unnest(range(len(string_split(s, ' ')))) AS p FROM src),
-v AS (SELECT *, lag(raw) OVER (PARTITION BY side, id ORDER BY p) AS prev FROM w),
+w AS (SELECT side, id, unnest(string_split(s, ' ')) AS raw, unnest(range(len(string_split(s, ' ')))) AS p FROM src WHERE s <> ''),
 k AS (
-  SELECT *, CASE WHEN prev IS NOT NULL AND NOT regexp_matches(prev, '[.!?:]$') AND regexp_matches(raw, '^\p{{Lu}}') THEN '<name>'
-    WHEN regexp_matches(raw, '^[^\p{{L}}\p{{N}}<]*\p{{N}}') THEN '<num>' ELSE lower(raw) END AS t1 FROM v
+  SELECT *, regexp_replace(lower(raw), '(.){_CLOSING}+$', '\1') AS lit, regexp_replace(lower(raw), '{_CLOSING}+$', '') AS val,
+    CASE WHEN regexp_matches(raw, '^[^\p{{L}}\p{{N}}]*(\p{{N}}|(?i:{_NUMBERS})(-(?i:{_NUMBERS}))*[^\p{{L}}\p{{N}}]*$)') THEN 'n' WHEN regexp_matches(raw, '^[^\p{{L}}\p{{N}}]*\p{{Lu}}') THEN 'c' ELSE '' END AS k1
+  FROM w
 ),
-u AS (
-  SELECT *, CASE WHEN t1 NOT IN ('<name>', '<num>') AND lag(t1) OVER (PARTITION BY side, id ORDER BY p) = '<num>' AND regexp_matches(t1, '^({_UNITS})({_CLOSING})?$')
-    THEN '<unit>' ELSE regexp_replace(t1, '(.){_CLOSING}$', '\1') END AS t FROM k
+u AS (SELECT *, CASE WHEN k1 = '' AND lag(k1) OVER o = 'n' AND regexp_matches(raw, '^({_UNITS}){_CLOSING}*$') THEN 'u' ELSE k1 END AS kind FROM k WINDOW o AS (PARTITION BY side, id ORDER BY p)),
+-- tok: the number of plain words before; run: consecutive slots of a kind
+r AS (
+  SELECT *, coalesce(sum(CAST(kind = '' AS INT)) OVER (PARTITION BY side, id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tok,
+    sum(CAST(kind <> prev AS INT)) OVER (PARTITION BY side, id ORDER BY p) AS run
+  FROM (SELECT *, coalesce(lag(kind) OVER (PARTITION BY side, id ORDER BY p), '-') AS prev FROM u) q
 ),
-win AS (
-  SELECT side, id, p, [t, lead(t, 1) OVER o, lead(t, 2) OVER o, lead(t, 3) OVER o, lead(t, 4) OVER o, lead(t, 5) OVER o, lead(t, 6) OVER o, lead(t, 7) OVER o] AS ts,
-    [raw, lead(raw, 1) OVER o, lead(raw, 2) OVER o, lead(raw, 3) OVER o, lead(raw, 4) OVER o, lead(raw, 5) OVER o, lead(raw, 6) OVER o, lead(raw, 7) OVER o] AS rs, lead(raw, 7) OVER o AS last
-  FROM u WINDOW o AS (PARTITION BY side, id ORDER BY p)
+runs AS (SELECT side, id, tok, run, kind, kind || string_agg(val, chr(6) ORDER BY p) AS slot FROM r WHERE kind <> '' GROUP BY side, id, tok, run, kind),
+pre AS (SELECT side, id, tok, string_agg(kind, '' ORDER BY run) AS kinds, list(slot ORDER BY run) AS slots FROM runs GROUP BY side, id, tok),
+toks AS (
+  SELECT r.side, r.id, list(r.lit ORDER BY r.tok) AS own, list(coalesce(pre.kinds, '') || ' ' || r.lit ORDER BY r.tok) AS tpl, list(coalesce(pre.slots, []) ORDER BY r.tok) AS slots
+  FROM r LEFT JOIN pre ON r.side = pre.side AND r.id = pre.id AND r.tok = pre.tok WHERE r.kind = '' GROUP BY r.side, r.id
+),
+lits AS (SELECT side, id, list(lit ORDER BY p) AS lit FROM k GROUP BY side, id),
+x AS (SELECT l.side, l.id, l.lit, coalesce(t.own, []) AS own, coalesce(t.tpl, []) AS tpl, coalesce(t.slots, []) AS slots FROM lits l LEFT JOIN toks t ON l.side = t.side AND l.id = t.id),
+f AS (SELECT *, CASE WHEN len(own) >= 5 THEN 't' WHEN len(lit) >= 5 THEN 'x' ELSE 'w' END AS form, CASE WHEN len(own) >= 5 THEN least(len(own), 6) ELSE least(len(lit), 8) END AS width FROM x WHERE side = 'b'),
+forms AS (SELECT DISTINCT form, CASE WHEN form = 'w' THEN 0 ELSE width END AS width FROM f),
+v AS (
+  SELECT x.*, forms.form, CASE WHEN forms.form = 'w' THEN len(lit) ELSE forms.width END AS width FROM x CROSS JOIN forms WHERE side = 'd' AND (forms.form <> 'w' OR len(lit) < 5)
+  UNION ALL SELECT * FROM f
 ),
-x AS (SELECT * FROM win WHERE last IS NOT NULL),
-b AS (SELECT * FROM x WHERE side = 'b' AND len(list_filter(ts, lambda q: q NOT IN ('<num>', '<unit>', '<name>'))) >= 5),
-pairs AS (SELECT d.id AS doc_id, b.id AS item_id, b.p AS bp, d.p AS dp, b.ts, b.rs AS was, d.rs AS now FROM x d JOIN b ON d.ts = b.ts WHERE d.side = 'd'),
-slots AS (
-  SELECT DISTINCT doc_id, item_id, bp, dp, kind, regexp_replace(lower(was), '{_CLOSING}$', '') AS was, regexp_replace(lower(now), '{_CLOSING}$', '') AS now
-  FROM (SELECT doc_id, item_id, bp, dp, unnest(ts) AS kind, unnest(was) AS was, unnest(now) AS now FROM pairs) q WHERE kind IN ('<num>', '<unit>', '<name>')
+y AS (SELECT *, unnest(range(CASE WHEN form = 't' THEN len(own) ELSE len(lit) END - width + 1)) AS p FROM v),
+win AS (
+  SELECT side, id, p, form, CASE WHEN form = 't' THEN [own[p + 1]] || tpl[p + 2:p + width] ELSE lit[p + 1:p + width] END AS ws,
+    CASE WHEN form = 't' THEN flatten(slots[p + 2:p + width]) ELSE [] END AS slots
+  FROM y
 ),
-votes AS (SELECT doc_id, item_id, kind, was, now, count(*) AS n FROM slots GROUP BY ALL),
+b AS (SELECT * FROM win WHERE side = 'b'),
+hit AS (SELECT d.id AS doc_id, b.id AS item_id, b.p AS bp, d.p AS dp, b.slots AS was, d.slots AS now FROM win d JOIN b ON d.form = b.form AND d.ws = b.ws WHERE d.side = 'd'),
+pairs AS (SELECT *, 'all' AS grp FROM hit UNION ALL SELECT *, CAST(dp - bp AS VARCHAR) FROM hit),
+slots AS (SELECT DISTINCT * FROM (SELECT doc_id, item_id, grp, bp, dp, unnest(was) AS was, unnest(now) AS now FROM pairs WHERE len(was) > 0) q),
+votes AS (SELECT doc_id, item_id, grp, was, now, count(*) AS n FROM slots GROUP BY ALL),
 best AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, kind, was ORDER BY n DESC, now) AS r FROM votes) q WHERE r = 1
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, grp, was ORDER BY n DESC, now) AS r FROM votes) q WHERE r = 1
 ),
 bad AS (
-  SELECT DISTINCT s.doc_id, s.item_id, s.bp, s.dp FROM slots s JOIN best m ON s.doc_id = m.doc_id AND s.item_id = m.item_id AND s.kind = m.kind AND s.was = m.was
+  SELECT DISTINCT s.doc_id, s.item_id, s.grp, s.bp, s.dp FROM slots s JOIN best m ON s.doc_id = m.doc_id AND s.item_id = m.item_id AND s.grp = m.grp AND s.was = m.was
   WHERE s.now <> m.now
 ),
 hits AS (
-  SELECT p.doc_id, p.item_id, count(DISTINCT p.bp) AS n_hits FROM pairs p
-  LEFT JOIN bad ON p.doc_id = bad.doc_id AND p.item_id = bad.item_id AND p.bp = bad.bp AND p.dp = bad.dp WHERE bad.bp IS NULL GROUP BY p.doc_id, p.item_id
+  SELECT p.doc_id, p.item_id, p.grp, count(DISTINCT p.bp) AS n FROM pairs p
+  LEFT JOIN bad ON p.doc_id = bad.doc_id AND p.item_id = bad.item_id AND p.grp = bad.grp AND p.bp = bad.bp AND p.dp = bad.dp WHERE bad.bp IS NULL GROUP BY p.doc_id, p.item_id, p.grp
 ),
+sl AS (SELECT doc_id, item_id, grp, count(*) AS n_slots, sum(CAST(was <> now AS INT)) AS changed FROM best GROUP BY doc_id, item_id, grp),
 tot AS (SELECT id AS item_id, count(DISTINCT p) AS n_windows FROM b GROUP BY id),
-sl AS (SELECT doc_id, item_id, count(*) AS n_slots, bool_and(was = now) AS exact FROM best GROUP BY doc_id, item_id)
-SELECT h.doc_id, h.item_id, t.n_windows, h.n_hits, coalesce(sl.n_slots, 0) AS n_slots, coalesce(sl.exact, true) AS exact
-FROM hits h JOIN tot t ON h.item_id = t.item_id LEFT JOIN sl ON h.doc_id = sl.doc_id AND h.item_id = sl.item_id
-WHERE h.n_hits >= t.n_windows * 0.5
+g AS (
+  SELECT h.doc_id, h.item_id, h.n, coalesce(sl.n_slots, 0) AS n_slots, coalesce(sl.changed, 0) AS changed, t.n_windows
+  FROM hits h JOIN tot t ON h.item_id = t.item_id LEFT JOIN sl ON h.doc_id = sl.doc_id AND h.item_id = sl.item_id AND h.grp = sl.grp
+  WHERE h.n >= t.n_windows * 0.5
+)
+SELECT doc_id, item_id, n_windows, n AS n_hits, n_slots, changed = 0 AS exact
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, changed, n_slots DESC) AS r FROM g) q WHERE r = 1
 """,
 }

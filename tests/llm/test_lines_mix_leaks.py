@@ -134,8 +134,9 @@ def test_leaks_exact_changed_and_clean(make, spark):
     got = {r.doc_id: r for r in decontam.contaminated(make(rows, clash=True), bench).collect()}
     assert set(got) == {1, 2, 6, 7}
     assert got[1].exact and got[6].exact and not got[2].exact and got[2].n_slots >= 3 and not got[7].exact
+    rows.append((6, "A clean text under the id of one that leaks, it talks of gardens and of rain."))
     kept = sorted(x.doc_id or -1 for x in decontam.decontaminate(make(rows, clash=True), bench).collect())
-    assert kept == [-1, 3, 4, 5]
+    assert kept == [3, 4, 5, 6]  # the row without an id leaks too
     assert decontam.contaminated(make([]), bench).count() == 0
     assert decontam.contaminated(make(rows), bench.limit(0)).count() == 0
 
@@ -156,3 +157,57 @@ def test_each_occurrence_is_consistent_by_itself(make, spark):
     sheet = ". ".join(change(*to) for to in (("Zoe", "1", "Bert", "9"), ("Ann", "8", "Carl", "3"), ("Mia", "4", "Abe", "6")))  # tied votes, least values of different copies
     got = decontam.contaminated(make([(1, sheet), (2, sheet + ". " + item)]), bench).collect()
     assert {r.doc_id: r.n_hits for r in got} == {1: got[0].n_windows, 2: got[0].n_windows}
+
+
+NAMES = "Tom Bob Alice Carol Zoe Dan Ann Mary Kim Lee Omar Ines Mei Raj Eva Max".split()
+THINGS = "apples wagons coins pens stamps eggs books tickets marbles chairs".split()
+ITEMS = (
+    "{A} has {a} red {T} in a basket. {B} has {b} green {T} in a box. How many {T} do they have in all?",
+    "{A} bought {a} pens for {b} dollars and {B} bought {c} pens for {d} dollars each",
+    "{A} walks {a} km to school every day. {A} also runs {b} km home. How far does {A} go in {c} days?",
+    "If {a} workers build {b} walls in {c} hours, how long do {d} workers need for the same work?",
+    "There are {a} {T} on the table. {A} takes {b} of them and {B} puts {c} back. How many are left there?",
+    "{A} gave {a} {T} to {B}. {B} gave {b} of them back to {A} later. Who has more {T} now and by how many?",
+)
+
+
+def worded(rng, n):
+    return rng.choice([str(n), decontam.NUMBERS[n]]) if n < 20 else rng.choice([str(n), f"{decontam.NUMBERS[18 + n // 10]}{f'-{decontam.NUMBERS[n % 10]}' if n % 10 else ''}"])
+
+
+def test_reparameterised_questions_are_found_and_others_left(make, spark):
+    rng = random.Random(21)
+    fill = lambda t, thing: t.format(T=thing, **dict(zip("AB", rng.sample(NAMES, 2), strict=True)), **{k: worded(rng, rng.randrange(2, 99)) for k in "abcd"})
+    items = [(i, ITEMS[i % len(ITEMS)], THINGS[i // len(ITEMS) % len(THINGS)]) for i in range(len(ITEMS) * len(THINGS))]
+    bench = spark.createDataFrame([(i, fill(t, thing)) for i, t, thing in items], "item_id long, text string")
+    filler = "the garden lies behind a wall and nobody has seen the old gate open since the rain began to fall that year".split()
+    noise = lambda: " ".join(rng.choice(filler) for _ in range(rng.randrange(5, 60)))
+    rows = [(i, f"{noise()}. {fill(t, thing)} {noise()}") for i, t, thing in items for _ in range(5)]
+    clean = [(10_000 + i, ". ".join(f"{rng.choice(NAMES)} has {rng.randrange(99)} {rng.choice(THINGS)} and {noise()}" for _ in range(5))) for i in range(200)]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(make([(1000 * k + i, t) for k, (i, t) in enumerate(rows)] + [(10**7 + i, t) for i, t in clean]), bench).collect()}
+    found = sum((1000 * k + i, i) in got for k, (i, _) in enumerate(rows))
+    assert found >= 0.97 * len(rows)
+    assert not [d for d, _ in got if d >= 10**7]
+
+
+def test_short_and_dense_items(make, spark):
+    short = {1: "What is the capital of France", 2: "What is 12 + 30 - 7 * 2?", 3: "How Many Apples Does Tom Have Left Today", 4: "Who wrote it?", 5: "the seven words of a short item"}
+    bench = spark.createDataFrame(list(short.items()), "item_id long, text string")
+    rows = [(i, t if i == 4 else f"Some words before. {t} And some after it.") for i, t in short.items()]
+    rows += [(11, "What is the capital of Peru you ask"), (12, "What is 13 + 31 - 8 * 3?"), (14, "He asked who wrote it? Nobody knew."), (15, "And the nine words of a short item")]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(make(rows), bench).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (15, 5)}
+
+
+def test_long_texts_the_shuffled_way(make, spark):
+    rng = random.Random(5)
+    bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    long_ = " ".join(f"w{rng.randrange(5000)}" if rng.random() < 0.1 else rng.choice("of in at by the on to or".split()) for _ in range(100_000))
+    changed = QUESTION.replace("12", "57").replace("Alice", "Robert")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = decontam.contaminated(make([(1, long_ + " " + changed), (2, long_)]), bench, broadcast_rows=0).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [(r.doc_id, r.item_id, r.exact) for r in got] == [(1, 1, False)]
