@@ -1,82 +1,144 @@
 """Main text of web pages by deduction of the site's template from equivalence classes.
 
-Pages of a host come from a template that repeats. A page is read as tokens: tags with their place in the document
-tree, and runs of text. Tokens of a host that occur the same number of times in the same pages share an occurrence
-vector and form an equivalence class; large classes, of tokens in the same order and properly nested, are the
-template. What stands between template tokens are slots. Slots of chrome (menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments) are told by the tags that hold them; the text of the remaining slots is the article.
+Pages of a host come from templates that repeat. A page is read as tokens: tags with their place in the document tree,
+and runs of text. Tokens of a host that occur the same number of times in the same pages share an occurrence vector
+and form an equivalence class. Large and frequent classes whose tokens stand in one order in every page, and which
+nest in one slot of another class without crossing it, make up the host's templates. What stands between template
+tokens are the slots. Text of the template goes; slots are ranked by how much text they hold and how much it varies
+between pages, and those far below the best, outside article or main elements, go too. Tags and names of elements
+tell varying chrome (adverts, comments, forms) from the article, and serve hosts without a template.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, written
+from .common import written
 
 #: A template token occurs in at least so many pages of its host, and that share of them; its class has so many tokens.
-LEAST_PAGES, LEAST_SHARE, LEAST_CLASS = 3, 0.5, 4
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: The share bounds a host's templates to 1 / LEAST_SHARE times the tokens of an average page, however many its pages.
+LEAST_PAGES, LEAST_SHARE, LEAST_CLASS = 3, 0.05, 4
+#: Classes in this share of the host's pages are its main template. Others are those of some kinds of its pages if they
+#: have tags and so many pages; else they are passages that articles share. Within article or main only the main one counts.
+MAIN_SHARE, KIND_PAGES = 0.5, 10
+#: Slots that hold less than this part of what the host's best slot does (characters times variation) are poor.
+POOR = 0.05
+#: Where template text is more than this part of the text in article or main, the pages are copies, and it stays.
+MOST_IN_MAIN = 0.5
+#: Bytes of templates up to which they are broadcast to the pages.
+BROADCAST_BYTES = 32 << 20
+
+_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*"[^"]{0,65536}"|=\s*'[^']{0,65536}'|=)*+)(?:>|$)""", re.S)
 _ATTRS = re.compile(r"""([^\s=\"'<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_SPACE = re.compile(r"[\x20\x09-\x0D\xa0]+")
 _RAW = {"script", "style", "template", "noscript", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-_CHROME = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head"}
-_CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
-_CHROME_NAMES = re.compile(r"(?:^|[-_\s])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|aside|footer|foot|header|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|respond|disqus|replies|pagination|pager|toolbar|widget|skip|legal|copyright)(?:$|[-_\s\d])", re.I)
-_MAIN = {"article", "main"}
+_HEADINGS = {"h1", "h2"}
+_CHROME = {"header", "footer", "aside", "button", "select", "dialog", "menu", "head", "label", "legend"}
+_CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar"}
+#: Words that name chrome at the end of a class or id, or at its start if the rest are HOLDERS.
+_NAMES = set(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promotions banner banners menu menus nav navbar navigation breadcrumb breadcrumbs "
+    "sidebar aside footer header masthead cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing shares social related "
+    "recommended recommendations comment comments commentlist respond disqus replies reply pagination pager toolbar widget widgets skip legal copyright".split()
+)
+#: More of them, within an article.
+_NAMES_WITHIN = {"thread", "discussion", "responses", "reactions"}
+_HOLDERS = set(
+    "container wrapper wrap box bar block links link buttons button section area item items posts post list inner outer content body text group panel row col column unit slot top bottom "
+    "left right form feed icons icon title heading sticky fixed mobile desktop primary secondary global wide small large".split()
+)
+_NEGATED = {"has", "with", "without", "no", "not", "is"}
+_LAYOUTS = {"content", "main", "layout", "page", "body", "site"}
 #: Start tags that close an open tag of the same group.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BLOCKS_END_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
+#: What holds a token: chrome by tag, a form, chrome by name, article or main, a heading, nav.
+STRONG, FORM, NAMED, MAIN, HEADING, NAV = 1, 2, 4, 8, 16, 32
+#: Kinds of tokens: text, tags within a line, line breaks, other tags.
+TEXT, INLINE, BREAK, BLOCK = range(4)
+
 
 def host_of(url: Column) -> Column:
     """Lower-case host of a URL; '' for null or without one."""
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-class Token:
-    __slots__ = ("chrome", "end", "key", "kind", "main", "name", "start")
-
-    def __init__(self, kind: str, name: str, start: int, end: int, path: str, chrome: bool, main: bool, text: str = "") -> None:
-        self.kind, self.name, self.start, self.end, self.chrome, self.main = kind, name, start, end, chrome, main
-        self.key = xxhash.xxh3_64_intdigest(f"{kind}\x1f{path}\x1f{text}") - (1 << 63)
+def _hash(x: str) -> int:
+    return xxhash.xxh3_64_intdigest(x) - (1 << 63)
 
 
-def _is_chrome(tag: str, attrs: str) -> bool:
-    if tag in _CHROME:
-        return True
-    if not attrs:
-        return False
-    for m in _ATTRS.finditer(attrs):
-        name, value = m.group(1).lower(), next((x for x in m.groups()[1:] if x is not None), "")
-        if name == "role" and value.strip().lower() in _CHROME_ROLES or name in ("class", "id") and _CHROME_NAMES.search(value) or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+def names_chrome(value: str, within: bool = False) -> bool:
+    """Whether one of the names in a class or id attribute is that of chrome."""
+    for name in value.lower().split():
+        parts = [p.rstrip("0123456789") for p in re.split(r"[-_]+", name)]
+        parts = [p for p in parts if p]
+        if not parts or parts[0] in _NEGATED or parts[-1] == "sidebar" and parts[0] in _LAYOUTS:
+            continue
+        words = _NAMES | _NAMES_WITHIN if within else _NAMES
+        if parts[-1] in words or parts[0] in words and all(p in _HOLDERS or p in words for p in parts[1:]):
             return True
     return False
 
 
-def tokens(page: str) -> list[Token]:
-    """Tags (open, close) and text runs of a page with their place in its tree; comments and raw elements are no tokens.
+def _held(tag: str, attrs: str, up: int) -> int:
+    """Flags of an element's contents, from its tag and those of what holds it."""
+    if tag == "main":
+        return MAIN
+    if tag == "article" and not up & (STRONG | NAMED):
+        return MAIN
+    own = up | (HEADING if tag in _HEADINGS else 0)
+    if tag == "nav":
+        own |= NAV
+    elif tag == "form":
+        own |= FORM
+    elif tag in _CHROME and not (tag == "header" and up & MAIN):
+        own |= STRONG
+    for m in _ATTRS.finditer(attrs) if attrs and tag not in ("html", "body") else ():
+        name, value = m.group(1).lower(), next((x for x in m.groups()[1:] if x is not None), "")
+        if name == "role" and value.strip().lower() in _CHROME_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            own |= STRONG
+        elif name in ("class", "id") and not (tag == "header" and up & MAIN) and names_chrome(value, bool(up & MAIN)):
+            own |= NAMED
+    return own
+
+
+def tokens(page: str) -> tuple[list[int], list[int], list[int], list[str]]:
+    """Keys, kinds and flags of a page's tags and text runs, and the texts of the runs, unescaped.
 
-    Broken markup is read as browsers do, roughly: a start tag ends open paragraphs or items that it can't stand in, an
-    end tag closes what is open inside its element, an end tag without a start is passed over.
+    A key is a hash of the token's place in the tree and its marks (class, id, role) or text. Comments and raw elements
+    are no tokens. Broken markup is read as browsers do, roughly: a start tag ends open paragraphs or items that it can't
+    stand in, an end tag closes what is open inside its element, an end tag without a start is passed over.
     """
-    out: list[Token] = []
-    stack: list[tuple[str, bool, bool, str]] = []  # tag, in chrome, in main, path
+    keys: list[int] = []
+    kinds: list[int] = []
+    flags: list[int] = []
+    texts: list[str] = []
+    stack: list[tuple[str, int, int]] = []  # tag, flags, path
     at, n = 0, len(page)
 
+    def put(key: str, kind: int, flag: int) -> None:
+        keys.append(_hash(key)), kinds.append(kind), flags.append(flag)
+
     def text(a: int, b: int) -> None:
-        if a < b and page[a:b].strip():
-            _, c, m, p = stack[-1] if stack else ("", False, False, "")
-            out.append(Token("text", "", a, b, p, c, m, _SPACE.sub(" ", page[a:b]).strip()))
+        if a >= b:
+            return
+        t = entities.unescape(page[a:b])
+        if t.strip():
+            _, f, path = stack[-1] if stack else ("", 0, 0)
+            put(f"text\x1f{path}\x1f{' '.join(t.split())}", TEXT, f)
+            texts.append(t)
+        elif texts:
+            texts[-1] += " "  # if a block ends in between, it is trimmed
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -88,12 +150,12 @@ def tokens(page: str) -> list[Token]:
         tag = (m.group(2) or "").lower()
         if not tag:
             continue
+        kind = BREAK if tag == "br" else INLINE if tag in _INLINE else BLOCK
         if m.group(1):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    _, c, mm, p = stack[k]
+                    put(f"close\x1f{stack[k][2]}", kind, stack[k][1])
                     del stack[k:]
-                    out.append(Token("close", tag, m.start(), m.end(), p, c, mm))
                     break
             continue
         if tag in _RAW:
@@ -108,115 +170,276 @@ def tokens(page: str) -> list[Token]:
                     break
                 if stack[k][0] not in _INLINE:
                     break
-        up = stack[-1] if stack else ("", False, False, "")
-        main = up[2] or tag in _MAIN and not up[1]
-        chrome = up[1] or _is_chrome(tag, m.group(3)) and not (tag == "header" and up[2]) and tag not in ("html", "body")
-        marks = " ".join(sorted(f"{a.group(1).lower()}={next((x for x in a.groups()[1:] if x is not None), '')}" for a in _ATTRS.finditer(m.group(3)) if a.group(1).lower() in ("class", "id", "role")))
-        path = f"{up[3]}/{tag}" if len(up[3]) < 2000 else up[3]
-        out.append(Token("open", tag, m.start(), m.end(), path, chrome, main, marks))
-        if tag not in _VOID and not m.group(3).rstrip().endswith("/"):
-            stack.append((tag, chrome, main, path))
+        _, held, path = stack[-1] if stack else ("", 0, 0)
+        attrs = m.group(3)
+        f = _held(tag, attrs, held)
+        path = _hash(f"{path}/{tag}")
+        marks = " ".join(sorted(f"{a.group(1).lower()}={next((x for x in a.groups()[1:] if x is not None), '')}" for a in _ATTRS.finditer(attrs) if a.group(1).lower() in ("class", "id", "role"))) if attrs else ""
+        put(f"open\x1f{path}\x1f{marks}", kind, f)
+        if tag not in _VOID and not attrs.rstrip().endswith("/"):
+            stack.append((tag, f, path))
+    return keys, kinds, flags, texts
+
+
+class Template:
+    """A host's valid classes: each token's class and place in its order."""
+
+    def __init__(self, classes: list[tuple[int, int, list[int]]], poor: set[tuple[int, int]] | None = None) -> None:
+        self.place = {t: (c, i) for c, _, order in classes for i, t in enumerate(order)}
+        self.last = {c: len(order) - 1 for c, _, order in classes}
+        self.main = {t for _, is_main, order in classes for t in order if is_main}
+        self.poor = poor or set()
+
+    def parse(self, keys: list[int]) -> tuple[list[tuple[int, int] | None], dict[int, tuple[int, int]], set[int]]:
+        """The slot (class, place) of each token, None for template tokens; the slot that each class lies in; and classes that
+        are crossed by another or lie in several slots. The slot outside all classes is (0, 0)."""
+        open_: list[list[int]] = []
+        slots: list[tuple[int, int] | None] = []
+        parents: dict[int, tuple[int, int]] = {}
+        bad: set[int] = set()
+        for t in keys:
+            if (m := self.place.get(t)) is None:
+                slots.append((open_[-1][0], open_[-1][1]) if open_ else (0, 0))
+                continue
+            c, i = m
+            slots.append(None)
+            if not any(x[0] == c for x in open_):
+                if i:
+                    bad.add(c)
+                    continue
+                at = (open_[-1][0], open_[-1][1]) if open_ else (0, 0)
+                if parents.setdefault(c, at) != at:
+                    bad.add(c)
+                open_.append([c, 0])
+                continue
+            while open_[-1][0] != c:
+                bad.add(open_.pop()[0])
+            open_[-1][1] = i
+            if i == self.last[c]:
+                open_.pop()
+        bad.update(c for c, _ in open_)
+        return slots, parents, bad
+
+
+def order_of(keys: list[int], of: dict) -> dict:
+    """Each class's order of tokens in a page, if they repeat in one order; else None. of: classes of tokens."""
+    seen: dict = {}
+    for t in keys:
+        if (c := of.get(t)) is not None:
+            seen.setdefault(c, []).append(t)
+    out = {}
+    for c, s in seen.items():
+        k = len(set(s))
+        out[c] = tuple(s[:k]) if len(s) % k == 0 and s == s[:k] * (len(s) // k) else None
     return out
 
 
-def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, vector, pages, total) from (_id, _host, _html): vector hashes in which pages a token occurs how often."""
+def article(keys: list[int], kinds: list[int], flags: list[int], texts: list[str], template: Template) -> str:
+    """The text of a page's remaining slots, its blocks joined by one space."""
+    slots, _, _ = template.parse(keys) if template.place else ([(0, 0)] * len(keys), {}, set())
+    runs = [i for i, k in enumerate(kinds) if k == TEXT]
+    text_at = dict(zip(runs, texts, strict=True))
+    block = np.cumsum([k == BLOCK for k in kinds]).tolist()
+
+    def chosen(chrome: int) -> tuple[set[int], int]:
+        own = [i for i in runs if not flags[i] & chrome]
+        within = [i for i in own if flags[i] & MAIN]
+        if within:
+            size = sum(len(text_at[i]) for i in within)
+            varied = {block[i] for i in within if keys[i] not in template.main}  # a block goes if all of it is template
+            if sum(len(text_at[i]) for i in within if block[i] not in varied) <= MOST_IN_MAIN * size:
+                within = [i for i in within if block[i] in varied]
+            own = within
+        else:
+            own = [i for i in own if slots[i] is not None and (slots[i] not in template.poor or flags[i] & HEADING)]
+        return set(own), sum(len(text_at[i]) for i in own)
+
+    keep, size = chosen(STRONG | FORM | NAMED | NAV)
+    wider, more = chosen(STRONG | NAMED | NAV)
+    if size < more / 4:  # the page itself is in a form
+        keep = wider
+    blocks: list[str] = []
+    run: list[str] = []
+    for i, kind in enumerate(kinds):
+        if kind == TEXT and i in keep:
+            run.append(text_at[i])
+        elif kind == BREAK:
+            run.append(" ")
+        elif kind != INLINE and run:
+            blocks.append("".join(run))
+            run = []
+    blocks.append("".join(run))
+    return " ".join(s for b in blocks if (s := " ".join(b.split())))
+
+
+TOKENS = "_host string, _key long, _keys binary, _kinds binary, _flags binary, _texts array<string>"
+
+
+def tokenised(pages: DataFrame) -> DataFrame:
+    """_id, _url and TOKENS of each page, from _id, _url, _host, _key and _html: pages are read once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            hosts, keys, vectors, counts = [], [], [], []
-            for key, host, page in zip(b["_key"], b["_host"], b["_html"], strict=True):
-                seen: dict[int, int] = {}
-                for t in tokens(page or ""):
-                    seen[t.key] = seen.get(t.key, 0) + 1
-                for k, c in seen.items():
-                    hosts.append(host)
-                    keys.append(k)
-                    vectors.append(xxhash.xxh3_64_intdigest(f"{key}:{c}") - (1 << 63))
-                    counts.append(c)
-            yield pd.DataFrame({"host": hosts, "token": keys, "vector": vectors, "n": counts})
-
-    each = pages.select("_key", "_host", "_html").mapInPandas(run, "host string, token long, vector long, n long")
-    each = each.distinct()  # copies of a page are one
-    return each.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.count(F.lit(1)).alias("pages"), F.sum("n").alias("total"))
+            rows = [tokens(x or "") for x in b["_html"]]
+            out = b[["_id", "_url", "_host", "_key"]].reset_index(drop=True)
+            out["_keys"] = [np.array(k, dtype=np.int64).tobytes() for k, _, _, _ in rows]
+            out["_kinds"], out["_flags"] = [bytes(k) for _, k, _, _ in rows], [bytes(f) for _, _, f, _ in rows]
+            out["_texts"] = [t for _, _, _, t in rows]
+            yield out
 
+    kinds = dict(pages.dtypes)
+    return pages.mapInPandas(run, f"_id {kinds['_id']}, _url {kinds['_url']}, {TOKENS}")
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the tokens of the host's large and frequent equivalence classes, and of their nested ones.
 
-    A class is a host's tokens of equal vectors; kept are those in LEAST_PAGES pages and LEAST_SHARE of the host's,
-    with LEAST_CLASS tokens. Pages that are exact copies count as one.
-    """
-    occ = occurrences(pages).where(F.col("pages") >= LEAST_PAGES)
-    size = pages.select("_host", "_key").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("of")).select(F.col("_host").alias("host"), "of").where(F.col("of") >= LEAST_PAGES)
-    classes = occ.groupBy("host", "vector", "pages").agg(F.collect_set("token").alias("tokens"), F.count(F.lit(1)).alias("k")).where(F.col("k") >= LEAST_CLASS)
-    classes = classes.join(size, "host").where(F.col("pages") >= F.col("of") * LEAST_SHARE)
-    return classes.groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("template"))
+def _ints(b: bytes) -> list[int]:
+    return np.frombuffer(b, dtype=np.int64).tolist()
+
+
+def occurrences(distinct: DataFrame) -> DataFrame:
+    """(host, token, vector, pages, text) from distinct pages: vector hashes in which pages a token occurs how often; text: it is a run of text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            hosts, found = [], []
+            for key, host, keys, kinds in zip(b["_key"], b["_host"], b["_keys"], b["_kinds"], strict=True):
+                k, first, c = np.unique(np.frombuffer(keys, dtype=np.int64), return_index=True, return_counts=True)
+                times = {n: _hash(f"{key}:{n}") for n in np.unique(c).tolist()}
+                found.append((k, [times[n] for n in c.tolist()], np.frombuffer(kinds, dtype=np.uint8)[first] == TEXT))
+                hosts += [host] * len(k)
+            if hosts:
+                yield pd.DataFrame({"host": hosts, "token": np.concatenate([x for x, _, _ in found]), "vector": [v for _, x, _ in found for v in x], "text": np.concatenate([x for _, _, x in found])})
+
+    each = distinct.select("_host", "_key", "_keys", "_kinds").mapInPandas(run, "host string, token long, vector long, text boolean")
+    return each.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.count(F.lit(1)).alias("pages"), F.max("text").alias("text"))
 
 
-def article(page: str | None, template: set[int]) -> str:
-    """The text of a page's remaining slots.
+def _per_host(pages: DataFrame, hosts: DataFrame, *payload: str) -> DataFrame:
+    """pages with the payload of their host: by a broadcast up to BROADCAST_BYTES, else by a join that adaptive execution splits."""
+    size = hosts.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in payload), F.lit(64)))).first()[0] or 0
+    h = hosts.select(F.col("host").alias("_th"), *payload)
+    return pages.join(F.broadcast(h) if size <= BROADCAST_BYTES else h, F.col("_host") == F.col("_th"), "left").drop("_th")
 
-    Text runs that are template tokens are dropped, unless they stand in an article or main element. If the page has
-    such an element, only slots in it remain; else all that chrome tags don't hold.
+
+def _packed(df: DataFrame) -> DataFrame:
+    """(host, _classes): the (class, main, tokens) rows of each host as bytes: per class its id, whether it is of the main template, the number of its tokens, and they."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("class")
+        return pd.DataFrame({"host": [key[0]], "_classes": [_bytes(zip(rows["class"], rows["main"], rows["tokens"], strict=True))]})
+
+    return df.groupBy("host").applyInPandas(run, "host string, _classes binary")  # a host's templates, bounded by LEAST_SHARE
+
+
+def _bytes(classes: Iterable[tuple[int, int, list[int]]]) -> bytes:
+    return b"".join(np.array([c, m, len(t), *t], dtype=np.int64).tobytes() for c, m, t in classes)
+
+
+def unpacked(classes: bytes | None) -> list[tuple[int, int, list[int]]]:
+    a, out, at = _ints(classes or b""), [], 0
+    while at < len(a):
+        out.append((a[at], a[at + 1], a[at + 3 : at + 3 + a[at + 2]]))
+        at += 3 + a[at + 2]
+    return out
+
+
+class _Known:
+    """What was made of the last hosts' payloads."""
+
+    def __init__(self, make) -> None:
+        self.make, self.of = make, {}
+
+    def __call__(self, host: str, *payload):
+        if host not in self.of:
+            if len(self.of) > 200:
+                self.of.clear()
+            self.of[host] = self.make(*payload)
+        return self.of[host]
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, _classes, _poor) from tokenised pages: the host's valid classes in order of their tokens, and its poor slots.
+
+    A class is a host's tokens of equal vectors: LEAST_CLASS of them, in LEAST_PAGES pages and LEAST_SHARE of the host's
+    (see MAIN_SHARE and KIND_PAGES). It is valid if its tokens repeat in one order, the same in all pages, and if it lies
+    in one slot of the classes around it and crosses none. Pages that are exact copies count as one.
     """
-    if not page:
-        return ""
-    toks = tokens(page)
-    within = any(t.main and not t.chrome and t.kind == "text" for t in toks)
-    blocks: list[str] = []
-    run: list[str] = []
+    distinct = written(pages.where(F.octet_length("_keys") > 0).dropDuplicates(["_host", "_key"]).select("_host", "_key", "_keys", "_kinds", "_texts"), "page-distinct")
+    size = distinct.groupBy("_host").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") >= LEAST_PAGES).select(F.col("_host").alias("host"), "of")
+    occ = occurrences(distinct).where(F.col("pages") >= LEAST_PAGES).join(size, "host").where(F.col("pages") >= F.col("of") * LEAST_SHARE)
+    classes = occ.groupBy("host", F.col("vector").alias("class"), "pages", "of").agg(F.collect_list("token").alias("tokens"), F.count_if(~F.col("text")).alias("tags"))
+    main = F.col("pages") >= F.col("of") * MAIN_SHARE
+    classes = classes.where((F.size("tokens") >= LEAST_CLASS) & (main | (F.col("tags") > 0) & (F.col("pages") >= KIND_PAGES)))
+    found = written(_packed(classes.select("host", "class", main.cast("long").alias("main"), "tokens")), "page-classes")
+
+    def orders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Known(lambda c: {t: (k, m) for k, m, ts in unpacked(c) for t in ts})
+        for b in batches:
+            out = []
+            for host, keys, c in zip(b["_host"], b["_keys"], b["_classes"], strict=True):
+                out += [(host, k, m, None if o is None else np.array(o, dtype=np.int64).tobytes()) for (k, m), o in order_of(_ints(keys), known(host, c)).items()]
+            yield pd.DataFrame(out, columns=["host", "class", "main", "tokens"])
+
+    ordered = _per_host(distinct, found, "_classes").where("_classes is not null").select("_host", "_keys", "_classes").mapInPandas(orders, "host string, class long, main long, tokens binary")
+    ordered = ordered.groupBy("host", "class", "main").agg(F.min("tokens").alias("a"), F.max("tokens").alias("b"), F.count_if(F.col("tokens").isNull()).alias("n")).where("n = 0 and a = b")
+    longs = F.pandas_udf(lambda s: s.map(_ints), "array<long>")
+    ordered = written(_packed(ordered.select("host", "class", "main", longs("a").alias("tokens"))), "page-orders")
+
+    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Known(lambda c: Template(unpacked(c)))
+        for b in batches:
+            out = []
+            for host, keys, kinds, texts, c in zip(b["_host"], b["_keys"], b["_kinds"], b["_texts"], b["_classes"], strict=True):
+                at, parents, bad = known(host, c).parse(_ints(keys))
+                out += [(host, k, -1, 0, 0 if k in bad else _hash(f"{p}")) for k, p in parents.items()] + [(host, k, -1, 0, 0) for k in bad if k not in parents]
+                held: dict[tuple[int, int], list[str]] = {}
+                runs = iter(texts)
+                for s, kind in zip(at, kinds, strict=True):
+                    if kind == TEXT:
+                        t = next(runs)
+                        if s is not None:
+                            held.setdefault(s, []).append(t)
+                out += [(host, k, i, sum(map(len, ts)), _hash("".join(ts))) for (k, i), ts in held.items()]
+            yield pd.DataFrame(out, columns=["host", "class", "at", "chars", "told"])
+
+    seen = _per_host(distinct, ordered, "_classes").where("_classes is not null").mapInPandas(slots, "host string, class long, at int, chars long, told long")
+    seen = written(seen.groupBy("host", "class", "at", "told").agg(F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars")), "page-slots")
+    bad = seen.where("at = -1").groupBy("host", "class").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("told") == 0).alias("crossed")).where("n > 1 or crossed > 0").select("host", "class")
+    ranked = seen.where("at >= 0").groupBy("host", "class", "at").agg((F.sum("chars") * F.count(F.lit(1)) / F.sum("pages")).alias("score"))
+    best = ranked.groupBy("host").agg(F.max("score").alias("best"))
+    poor = ranked.join(best, "host").where(F.col("score") < F.col("best") * POOR).groupBy("host").agg(F.collect_list(F.struct("class", "at")).alias("_poor"))
+    bad = bad.groupBy("host").agg(F.collect_list("class").alias("_bad"))
+
+    def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for host, c, no, poor_ in zip(b["host"], b["_classes"], b["_bad"], b["_poor"], strict=True):
+                gone = set() if no is None else set(map(int, no))
+                out.append((host, _bytes(x for x in unpacked(c) if x[0] not in gone), b"" if poor_ is None else np.array([(x["class"], x["at"]) for x in poor_], dtype=np.int64).tobytes()))
+            yield pd.DataFrame(out, columns=["host", "_classes", "_poor"])
 
-    def close() -> None:
-        if run:
-            s = _SPACE.sub(" ", entities.unescape("".join(run))).strip(" ")
-            if s:
-                blocks.append(s)
-            run.clear()
-
-    last = None
-    for t in toks:
-        if t.kind != "text":
-            if t.name == "br":
-                run.append("\n")
-            elif t.name not in _INLINE:
-                close()
-            last = t
-            continue
-        if t.chrome or within and not t.main or t.key in template and not t.main:
-            close()
-            continue
-        if last is not None and run and page[last.end : t.start].strip() == "" and last.end < t.start:
-            run.append(" ")
-        run.append(page[t.start : t.end])
-    close()
-    return " ".join(blocks)
+    return written(ordered.join(bad, "host", "left").join(poor, "host", "left").mapInPandas(final, "host string, _classes binary, _poor binary"), "page-templates")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, ``text`` and ``n_chars`` per page.
 
-    Null or empty html: empty text. Null URLs share one host ''. Hosts of fewer than LEAST_PAGES distinct pages have no
-    template; their pages are read by their tags alone. Repeated rows give the same text. Other columns play no part.
+    Null or empty html: empty text; an empty table: an empty result. Null URLs share one host ''. Hosts of fewer than
+    LEAST_PAGES distinct pages have no template; their pages are read by their tags alone. Repeated rows give the same
+    text. Slots of equal scores are alike: all poor, or none. Long pages are read in time linear in their length. Other
+    columns play no part.
 
-    Tokens of a host are counted with partial sums, so a hot host is spread; its template goes back to its pages by a
-    broadcast if templates are few, else by a join that adaptive execution splits.
+    Pages are tokenised once, into a table; all that follows reads tokens. Tokens of a host are counted with partial
+    sums, so a hot host is spread over all tasks; what comes back to its pages is its templates, whose size LEAST_SHARE
+    bounds.
     """
-    p = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host_of(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html"), F.xxhash64(F.col(html_col)).alias("_key"))
-    distinct = p.where(F.col("_html").isNotNull()).select("_host", "_key", "_html")
-    t = written(templates(distinct), "page-templates")
-    j = p.join(if_small(t.withColumnRenamed("host", "_th"), 20_000), F.col("_host") == F.col("_th"), "left").select("_id", "_url", "_host", "_html", "template")
+    p = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host_of(F.col(url_col)).alias("_host"), F.xxhash64(F.col(html_col)).alias("_key"), F.col(html_col).alias("_html"))
+    read = written(tokenised(p), "page-tokens")
+    j = _per_host(read, templates(read), "_classes", "_poor")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, set[int]] = {}
+        known = _Known(lambda c, poor: Template(unpacked(c), set(map(tuple, np.frombuffer(poor or b"", dtype=np.int64).reshape(-1, 2).tolist()))))
         for b in batches:
-            texts = []
-            for host, page, template in zip(b["_host"], b["_html"], b["template"], strict=True):
-                if host not in known:
-                    if len(known) > 500:
-                        known.clear()
-                    known[host] = set() if template is None else set(map(int, template))
-                texts.append(article(page, known[host]))
+            texts = [article(_ints(keys), list(kinds), list(flags), list(t), known(host, c, poor)) for host, keys, kinds, flags, t, c, poor in zip(b["_host"], b["_keys"], b["_kinds"], b["_flags"], b["_texts"], b["_classes"], b["_poor"], strict=True)]
             yield pd.DataFrame({"_id": b["_id"], "_url": b["_url"], "text": texts, "n_chars": [len(x) for x in texts]})
 
     kinds = dict(j.dtypes)

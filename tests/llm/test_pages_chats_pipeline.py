@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +34,71 @@ def test_text_of_the_template_goes_where_tags_do_not_tell(spark):
     assert got[4] == "Story number 4 tells a tale of 28 birds"
 
 
+def text_of(html):
+    return he.article(*he.tokens(html), he.Template([]))
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        '<div class="page has-sidebar"><nav>Menu</nav><article><p>The story.</p></article><div class="sidebar">Links</div></div>',
+        '<body><form id="aspnetForm"><nav>Menu</nav><div><p>The story.</p><label>Name</label><button>Go</button></div></form></body>',
+        '<div id="social-science"><p>The story.</p></div><div class="social">Tweet</div>',
+        '<div id="main-side"><main><p>The story.</p></main></div>',
+        '<nav><ul><li>Menu</li></ul><article><p>The story.</p></article>',
+        '<article><p>The story.</p><ol class="thread"><li>First!</li></ol></article>',
+        '<p title="foo>The story.</p>',
+        "<p title=it's>The\u2003\u2028 story.\x85</p><!-- no end",
+        '<div class="related-posts"><article>Teaser</article></div><main><h1>The</h1><form>Subscribe</form><p>story.</p><section id="comments"><article>First!</article></section></main>',
+        '<a href="x>y" title=\'a "b" > c\'>The</a> <b>story</b>.<footer>me',
+    ],
+)
+def test_pages_that_names_and_broken_markup_mislead(html):
+    assert text_of(html) == "The story."
+
+
+@pytest.mark.parametrize("html", ["<p>" * 30_000 + "x", "<div>" * 5000 + "x", '<a href="' * 3000 + "x", "<!--" * 50_000, "x " * 300_000, "<b>x</b>" * 30_000])
+def test_long_and_nested_pages_take_linear_time(html):
+    start = time.time()
+    text_of(html)
+    assert time.time() - start < 20
+
+
+def test_template_decides_without_names_and_within_articles(spark):
+    """Two kinds of pages of one host without telling names, copies, and a host whose articles share a notice."""
+    rng = random.Random(12)
+    words = "river garden light morning house under small time people water green because".split()
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows, want = [], {}
+    for i in range(60):
+        title, body, quote = prose(4), [prose(rng.randrange(20, 60)) for _ in range(rng.randrange(1, 5))], prose(1)
+        told = " ".join([title, *body])
+        ps = "".join(f"<p>{x}</p>" for x in body)
+        if i % 2:
+            html = f'<body><div class="q1"><span>Our daily paper</span><i>Since 1901</i></div><div class="q2"><h1>{title}</h1>{ps}</div><div class="q3"><u>Quote</u><em>{quote}</em></div></body>'
+        else:
+            html = f'<body><table><tr><td>Gallery of the town</td><td>All rooms are open</td></tr></table><section class="z"><h1>{title}</h1>{ps}</section><dl><dt>Ask us</dt><dd>Write to us</dd></dl></body>'
+        rows.append((i, f"https://soup.example/{i}", html))
+        want[i] = told
+        rows.append((100 + i, f"https://news.example/{i}", f"<article><h1>{title}</h1>{ps}<div class='zz'><p>Support our work today</p><p>It costs little</p></div></article>"))
+        want[100 + i] = told
+    same = [prose(30) for _ in range(6)]
+    for i in range(4):  # near copies under one host: shared text is content
+        rows.append((300 + i, f"https://few.example/{i}", f"<article><h1>{same[0]}</h1>{''.join(f'<p>{x}</p>' for x in same[1:])}<p>{i}</p></article>"))
+        want[300 + i] = " ".join([*same, str(i)])
+    rows += rows[:3]
+    got = he.extract(spark.createDataFrame(rows, PAGES)).collect()
+    assert len(got) == len(rows) and not [(r.page_id, r.text, want[r.page_id]) for r in got if r.text != want[r.page_id]]
+
+
+def test_classes_are_ordered_and_nested():
+    t = he.Template([(7, 1, [1, 2, 3, 4]), (8, 1, [11, 12])])
+    slots, parents, bad = t.parse([1, 99, 2, 11, 98, 12, 11, 12, 3, 4, 97])
+    assert slots == [None, (7, 0), None, None, (8, 0), None, None, None, None, None, (0, 0)] and parents == {7: (0, 0), 8: (7, 1)} and not bad
+    assert t.parse([1, 11, 2, 12, 3, 4])[2] == {8} and t.parse([11, 12, 1, 2, 11, 12, 3, 4])[2] == {8}
+    assert he.order_of([1, 2, 5, 1, 2], {1: 0, 2: 0, 5: 9}) == {0: (1, 2), 9: (5,)} and he.order_of([1, 2, 2, 1], {1: 0, 2: 0}) == {0: None}
+
+
 def test_hosts(spark):
     d = spark.createDataFrame([("http://User@A.example:80/x",), ("//b.example",), ("nonsense",), (None,)], "u string")
     assert [r.h for r in d.select(he.host_of(F.col("u")).alias("h")).collect()] == ["a.example", "b.example", "", ""]
