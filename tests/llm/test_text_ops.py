@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 import re
@@ -126,6 +127,68 @@ def test_language_models_are_distributions_and_held_out_accuracy(documents, make
     assert langid.predict(make([(1, "x")]), langid.fit(make([]))).first().lang_pred == "und"
 
 
+def brute_kneser_ney(words, floor):
+    """P(last letter | three before) by the textbook, from the padded words."""
+    counts = collections.Counter(("   " + w + " ")[i : i + 4] for w in words for i in range(len(w) + 1))
+    levels = [counts]
+    for _ in range(3):
+        levels.append(collections.Counter(g[1:] for g in levels[-1]))
+
+    def p(gram):
+        if not gram:
+            return floor
+        c = levels[4 - len(gram)]
+        n1, n2 = (sum(v == k for v in c.values()) for k in (1, 2))
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        after = [v for g, v in c.items() if g[:-1] == gram[:-1]]
+        if not after:
+            return p(gram[1:])
+        return max(c[gram] - d, 0) / sum(after) + d * len(after) / sum(after) * p(gram[1:])
+
+    return p
+
+
+def test_language_models_match_brute_force(make):
+    rng = random.Random(3)
+    texts = {x: " ".join("".join(rng.choice(ab) for _ in range(rng.randrange(1, 6))) for _ in range(80)) for x, ab in (("aa", "abcd"), ("bb", "cdeé"), ("cc", "z"))}
+    rows = [(i, t, x) for i, (x, t) in enumerate(texts.items())] + [(9, "", "dd"), (10, None, "aa"), (11, "qq", None)] + [(0, texts["aa"], "aa")]
+    m = langid.Models.gathered(langid.gram_counts(make(rows)))
+    assert m.langs == ["aa", "bb", "cc"]
+    probe = ["   ", "  a", "abc", "dcd", "éec", "zzz", "qqq"]
+    letters = sorted(set("".join(texts.values())))
+    keys = np.array([sum(ord(c) << (16 * (3 - i)) for i, c in enumerate(g + x)) for g in probe for x in letters], dtype=np.uint64)
+    got = np.exp(m.log_probs(keys).astype(float))
+    for j, lang in enumerate(m.langs):
+        words = texts[lang].split() * (2 if lang == "aa" else 1)
+        want = brute_kneser_ney(words, np.exp(m.of[j].floor))
+        assert got[:, j] == pytest.approx([want(g + x) for g in probe for x in letters], rel=1e-4)
+
+
+def test_close_languages_and_held_out_calibration(make):
+    """Two languages of one alphabet that differ in their letters' order, mixed with texts of neither."""
+    rng = random.Random(31)
+    chain = {x: {a: rng.sample("aeioutnrs", 4) for a in "aeioutnrs "} for x in ("p", "q")}
+
+    def text(lang, words):
+        out = []
+        for _ in range(words):
+            w, a = "", " "
+            while len(w) < 2 or rng.random() < 0.75:
+                a = rng.choice(chain[lang][a]) if rng.random() < 0.9 else rng.choice("aeioutnrs")
+                w += a
+            out.append(w)
+        return " ".join(out)
+
+    rows = [(i, text(x, 25), x) for i, x in enumerate("pq" * 400)]
+    m = langid.fit(make(rows[:600]))
+    p = langid.predict(make(rows[600:] + [(9000 + i, " ".join("".join(rng.choice("bcdfgjkq") for _ in range(7)) for _ in range(25)), "x") for i in range(50)]), m).toPandas()
+    truth = {i: x for i, _, x in rows[600:]}
+    known = p[p.doc_id < 9000]
+    right = known["lang_pred"] == known["doc_id"].map(truth)
+    assert right.mean() > 0.95 and known["rejected"].mean() < 0.02 and p[p.doc_id >= 9000]["rejected"].all()
+    assert abs(known["score"].mean() - right.mean()) < 0.05  # calibrated on rows that the models had not counted
+
+
 def test_unseen_text_scores_do_not_depend_on_lang_or_source(documents):
     m = langid.fit(documents.where(~langid.held_out()))
     a = langid.predict(documents, m).orderBy("doc_id").toPandas()
