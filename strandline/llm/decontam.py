@@ -150,7 +150,8 @@ def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     hits = written(w.join(if_small(b.select(*keys).distinct(), broadcast_rows), keys, "left_semi"), "bench-hits")
     held = written(hits.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("_form", "_p", "_h", "_g")).alias("_at")), "bench-held")  # at most a text's windows
     texts = d.join(F.broadcast(held) if hits.count() <= broadcast_rows else held, ["_k1", "_k2"])
-    texts = texts.select("_id", "_k1", "_k2", F.split(marked(F.col("_s")), " ").alias("_marks"), F.explode("_at").alias("_a"))
+    texts = texts.select("_id", "_k1", "_k2", "_at", F.split(marked(F.col("_s")), " ").alias("_marks"))  # before the rows of hits, so once a text
+    texts = texts.select("_id", "_k1", "_k2", "_marks", F.explode("_at").alias("_a"))
     texts = texts.select("_id", "_k1", "_k2", "_a.*", "_marks").select("_id", "_k1", "_k2", *keys, "_p", _slots("_marks").alias("_ds")).distinct()
     pairs = texts.join(b, keys)
     both = F.transform(F.arrays_zip("_bs", "_ds"), lambda z: F.struct(z["_bs"].alias("was"), z["_ds"].alias("now")))
