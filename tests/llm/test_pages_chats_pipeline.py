@@ -135,17 +135,39 @@ def test_chats_read_back_from_the_walk(spark, most):
     assert set(got) == set(convs)
     for i, turns in convs.items():
         assert (got[i].n_turns, got[i].turns_sha256, got[i].loss_chars, got[i].loss_sha256) == digest(turns)
-    for p in packed.collect():
+    rows_ = packed.collect()
+    own = [n.id for p in rows_ for n in p.nodes]
+    assert len(own) == len(set(own))  # no node is emitted twice, in all rows
+    every = {tuple((r or "", t or "") for r, t in turns[: k + 1]) for turns in convs.values() for k in range(len(turns))}
+    assert len(own) == len(every) and sum(len(p.text) for p in rows_) == sum(len(cf.turn(*path[-1])) for path in every)
+    for p in rows_:
         assert len(p.conversations) <= most
+        place = lambda i: (None, p.nodes[i].start, p.nodes[i].end) if i >= 0 else (p.context[-2 - i].id, 0, p.context[-2 - i].length)  # noqa: B023, E731
         for c in p.conversations:
             seen = 0
             for k, n in enumerate(c.nodes):
-                assert p.nodes[n].position == seen
-                seen += p.nodes[n].end - p.nodes[n].start
-                assert cf.attention(p.nodes, n) == [(p.nodes[m].start, p.nodes[m].end) for m in c.nodes[:k]]
-    if most == 256:
-        assert sum(len(p.text) for p in packed.collect()) < sum(r.formatted_chars for r in got.values())
-    assert cf.pack(d.limit(0)).count() == 0
+                _, x, y = place(n)
+                assert (p.nodes[n].position if n >= 0 else p.context[-2 - n].position) == seen
+                seen += y - x
+                assert cf.attention(p, n) == [place(m) for m in c.nodes[:k]]
+    assert most == 256 or any(p.context for p in rows_)
+    assert cf.pack(d.limit(0)).count() == 0 and cf.read_back(cf.pack(d.limit(0))).count() == 0
+
+
+def test_one_beginning_in_many_packs_is_emitted_once(spark):
+    d = spark.range(3000).selectExpr("id conv_id", "explode(array(0L, 1L, 2L)) turn").selectExpr("conv_id", "turn", "if(turn = 1, 'assistant', 'user') role", "if(turn < 2, concat('the same ', repeat('x', 500)), concat('own ', conv_id)) text")
+    packed = cf.pack(d.repartition(5), conversations=50)
+    got = packed.selectExpr("sum(size(nodes))", "sum(length(text))", "count(*)").first()
+    assert got[0] == 3002 and got[2] >= 60
+    back = cf.read_back(packed).toPandas()
+    assert len(back) == 3000 and (back["n_turns"] == 3).all() and back["turns_sha256"].nunique() == 3000 and (back["loss_chars"] == 509).all()
+
+
+def test_a_long_conversation(spark):
+    d = spark.range(20_000).selectExpr("id % 2 conv_id", "id turn", "if(id % 4 < 2, 'user', 'assistant') role", "cast(id div 2 as string) text")
+    back = {r.conv_id: r for r in cf.read_back(cf.pack(d)).collect()}
+    turns = [("assistant" if k % 2 else "user", str(k)) for k in range(10_000)]
+    assert {(r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in back.values()} == {digest(turns)} and set(back) == {0, 1}
 
 
 def test_components_of_paths_stars_and_rings(spark):
