@@ -272,23 +272,25 @@ def article(keys: list[int], kinds: list[int], flags: list[int], texts: list[str
     return " ".join(s for b in blocks if (s := " ".join(b.split())))
 
 
-TOKENS = "_host string, _key long, _keys binary, _kinds binary, _flags binary, _texts array<string>"
+TOKENS = "_host string, _key long, _keys binary, _kinds binary, _sizes binary"
 
 
 def tokenised(pages: DataFrame) -> DataFrame:
-    """_id, _url and TOKENS of each page, from _id, _url, _host, _key and _html: pages are read once."""
+    """TOKENS of each page (keys, kinds and sizes of its tokens; a size is that of a text) from _host, _key and _html."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [tokens(x or "") for x in b["_html"]]
-            out = b[["_id", "_url", "_host", "_key"]].reset_index(drop=True)
-            out["_keys"] = [np.array(k, dtype=np.int64).tobytes() for k, _, _, _ in rows]
-            out["_kinds"], out["_flags"] = [bytes(k) for _, k, _, _ in rows], [bytes(f) for _, _, f, _ in rows]
-            out["_texts"] = [t for _, _, _, t in rows]
+            out = b[["_host", "_key"]].reset_index(drop=True)
+            keys, kinds, sizes = [], [], []
+            for x in b["_html"]:
+                k, kind, _, texts = tokens(x or "")
+                runs = iter(texts)
+                keys.append(np.array(k, dtype=np.int64).tobytes()), kinds.append(bytes(kind))
+                sizes.append(np.array([len(next(runs)) if i == TEXT else 0 for i in kind], dtype=np.int32).tobytes())
+            out["_keys"], out["_kinds"], out["_sizes"] = keys, kinds, sizes
             yield out
 
-    kinds = dict(pages.dtypes)
-    return pages.mapInPandas(run, f"_id {kinds['_id']}, _url {kinds['_url']}, {TOKENS}")
+    return pages.select("_host", "_key", "_html").mapInPandas(run, TOKENS)
 
 
 def _ints(b: bytes) -> list[int]:
@@ -357,13 +359,13 @@ class _Known:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, _classes, _poor) from tokenised pages: the host's valid classes in order of their tokens, and its poor slots.
+    """(host, _classes, _poor) from _host, _key and _html of pages: the host's valid classes in order of their tokens, and its poor slots.
 
     A class is a host's tokens of equal vectors: LEAST_CLASS of them, in LEAST_PAGES pages and LEAST_SHARE of the host's
     (see MAIN_SHARE and KIND_PAGES). It is valid if its tokens repeat in one order, the same in all pages, and if it lies
     in one slot of the classes around it and crosses none. Pages that are exact copies count as one.
     """
-    distinct = written(pages.where(F.octet_length("_keys") > 0).dropDuplicates(["_host", "_key"]).select("_host", "_key", "_keys", "_kinds", "_texts"), "page-distinct")
+    distinct = written(tokenised(pages.where("_html <> ''")).dropDuplicates(["_host", "_key"]), "page-tokens")
     size = distinct.groupBy("_host").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") >= LEAST_PAGES).select(F.col("_host").alias("host"), "of")
     occ = occurrences(distinct).where(F.col("pages") >= LEAST_PAGES).join(size, "host").where(F.col("pages") >= F.col("of") * LEAST_SHARE)
     classes = occ.groupBy("host", F.col("vector").alias("class"), "pages", "of").agg(F.collect_list("token").alias("tokens"), F.count_if(~F.col("text")).alias("tags"))
@@ -388,17 +390,15 @@ def templates(pages: DataFrame) -> DataFrame:
         known = _Known(lambda c: Template(unpacked(c)))
         for b in batches:
             out = []
-            for host, keys, kinds, texts, c in zip(b["_host"], b["_keys"], b["_kinds"], b["_texts"], b["_classes"], strict=True):
-                at, parents, bad = known(host, c).parse(_ints(keys))
+            for host, keys, kinds, sizes, c in zip(b["_host"], b["_keys"], b["_kinds"], b["_sizes"], b["_classes"], strict=True):
+                keys = _ints(keys)
+                at, parents, bad = known(host, c).parse(keys)
                 out += [(host, k, -1, 0, 0 if k in bad else _hash(f"{p}")) for k, p in parents.items()] + [(host, k, -1, 0, 0) for k in bad if k not in parents]
-                held: dict[tuple[int, int], list[str]] = {}
-                runs = iter(texts)
-                for s, kind in zip(at, kinds, strict=True):
-                    if kind == TEXT:
-                        t = next(runs)
-                        if s is not None:
-                            held.setdefault(s, []).append(t)
-                out += [(host, k, i, sum(map(len, ts)), _hash("".join(ts))) for (k, i), ts in held.items()]
+                held: dict[tuple[int, int], list[tuple[int, int]]] = {}
+                for s, kind, t, n in zip(at, kinds, keys, np.frombuffer(sizes, dtype=np.int32).tolist(), strict=True):
+                    if kind == TEXT and s is not None:
+                        held.setdefault(s, []).append((n, t))
+                out += [(host, k, i, sum(n for n, _ in ts), _hash(f"{[t for _, t in ts]}")) for (k, i), ts in held.items()]
             yield pd.DataFrame(out, columns=["host", "class", "at", "chars", "told"])
 
     seen = _per_host(distinct, ordered, "_classes").where("_classes is not null").mapInPandas(slots, "host string, class long, at int, chars long, told long")
@@ -428,18 +428,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     text. Slots of equal scores are alike: all poor, or none. Long pages are read in time linear in their length. Other
     columns play no part.
 
-    Pages are tokenised once, into a table; all that follows reads tokens. Tokens of a host are counted with partial
-    sums, so a hot host is spread over all tasks; what comes back to its pages is its templates, whose size LEAST_SHARE
-    bounds.
+    Distinct pages are tokenised into a table of numbers, a fifth of their size, from which templates are deduced; whole
+    pages are read once more in the end. Tokens of a host are counted with partial sums, so a hot host is spread over
+    all tasks; what comes back to its pages is its templates, whose size LEAST_SHARE bounds.
     """
     p = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host_of(F.col(url_col)).alias("_host"), F.xxhash64(F.col(html_col)).alias("_key"), F.col(html_col).alias("_html"))
-    read = written(tokenised(p), "page-tokens")
-    j = _per_host(read, templates(read), "_classes", "_poor")
+    j = _per_host(p, templates(p), "_classes", "_poor").select("_id", "_url", "_host", "_html", "_classes", "_poor")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Known(lambda c, poor: Template(unpacked(c), set(map(tuple, np.frombuffer(poor or b"", dtype=np.int64).reshape(-1, 2).tolist()))))
         for b in batches:
-            texts = [article(_ints(keys), list(kinds), list(flags), list(t), known(host, c, poor)) for host, keys, kinds, flags, t, c, poor in zip(b["_host"], b["_keys"], b["_kinds"], b["_flags"], b["_texts"], b["_classes"], b["_poor"], strict=True)]
+            texts = [article(*tokens(page), known(host, c, poor)) if page else "" for host, page, c, poor in zip(b["_host"], b["_html"], b["_classes"], b["_poor"], strict=True)]
             yield pd.DataFrame({"_id": b["_id"], "_url": b["_url"], "text": texts, "n_chars": [len(x) for x in texts]})
 
     kinds = dict(j.dtypes)
