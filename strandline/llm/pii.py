@@ -1,9 +1,13 @@
-"""Personal data: base patterns, and information-theoretic sanitisation of what surrounds them, with DataFrame functions only.
+"""Personal data: base patterns, secrets, and information-theoretic sanitisation of what gives them away, with DataFrame functions only.
 
-A protected entity is a value that a base pattern finds (one address, one number). The words around it are terms. Over
-the distinct texts of the corpus, the pointwise mutual information of a term and an entity, as a share of the
-entity's own information, says how much the term gives away: PMI(e, t) / IC(e) = 1 if the term never occurs without
-the entity, 0 if it says nothing. Terms beyond ``generalise`` are replaced by a typed word, beyond ``remove`` dropped.
+A protected entity is a value that a base pattern finds (one address, one number) or a secret (a long string of high
+entropy). All words of the texts are terms. Over the distinct texts of the corpus, the pointwise mutual information of a
+term and an entity, as a share of the entity's own information, says how much the term gives away: PMI(e, t) / IC(e) = 1
+if the term never occurs without the entity, 0 if it says nothing. Terms beyond ``generalise`` are replaced by a word
+that says what kind of term it was, beyond ``remove`` dropped, wherever they stand in a text that holds the entity.
+
+Entities of the same texts are one for this purpose, and so are terms of the same texts: they share their counts. What
+is paired within a text are these classes, and only of terms rare enough for the commonest entity of the text.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, if_small, row_key, unboxed, written
+from .common import BROADCAST_ROWS, boxed, if_small, row_key, unboxed, written
 
 #: Base kinds in their order. The patterns find what the contract's do, but never scan a run of characters twice:
 #: possessive quantifiers, and no start inside a run whose start has failed (\\G: right after the match before).
@@ -22,10 +26,13 @@ KINDS = {
     "card": r"[0-9](?:[ -]?[0-9]){11,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-_HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){11}", "phone": "+"}
-#: Code points around an entity in which terms are looked for, and what a term is.
-REACH = 60
-TERM = r"\p{L}{4,}"
+#: A secret: so many characters of keys and tokens, with digits among them and no long run of small letters as words have, and
+#: so many bits a character.
+SECRET = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST_BITS = 3.0
+_HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){11}", "phone": "+", "secret": SECRET}
+#: What parts terms; a term is a run of letters, marks and digits in lower case.
+NO_TERM = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def _starts(matches: Column, pieces: Column) -> Column:
@@ -40,7 +47,16 @@ def _indices(a: Column) -> Column:
     return F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def entropy(v: Column) -> Column:
+    """Bits a character."""
+    n = F.char_length(v)
+    share = lambda c: (n - F.char_length(F.replace(v, c, F.lit("")))) / n
+    return -F.aggregate(F.array_remove(F.array_distinct(F.split(v, "")), ""), F.lit(0.0), lambda acc, c: acc + share(c) * F.log2(share(c)))
+
+
 def _valid(kind: str, v: Column) -> Column:
+    if kind == "secret":
+        return v.rlike("[0-9].*[0-9].*[0-9].*[0-9]") & v.rlike("[A-Za-z]") & ~v.rlike("[a-z]{7}") & (entropy(v) >= LEAST_BITS)
     if kind == "ip":
         part = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
         return v.rlike(rf"^{part}(?:\.{part}){{3}}$")
@@ -55,98 +71,111 @@ def _valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-def _terms(context: Column, base: Column, cut_head: Column, cut_tail: Column) -> Column:
-    """Terms in a short string that starts at code point base; not those a cut may have shortened."""
-    m = F.regexp_extract_all(context, F.lit(TERM), F.lit(0))
-    starts = _starts(m, F.split(context, TERM, -1))
-    rows = F.transform(F.arrays_zip(m.alias("m"), starts.alias("s")), lambda z: F.struct(F.lower(z["m"]).alias("term"), (base + z["s"]).alias("start"), (base + z["s"] + F.char_length(z["m"])).alias("end")))
-    return F.filter(rows, lambda z: ~(cut_head & (z["start"] == base)) & ~(cut_tail & (z["end"] == base + F.char_length(context))))
-
-
 def _found(no: int, kind: str) -> Column:
-    """The valid matches of a kind, from the columns _m, _p and _s of that kind, with what stands around them."""
-    m, pieces, starts = F.col(f"_m{no}"), F.col(f"_p{no}"), F.col(f"_s{no}")
+    """The valid matches of a kind, from the columns _m, _p and _s of that kind."""
+    m, starts = F.col(f"_m{no}"), F.col(f"_s{no}")
 
     def one(i: Column) -> Column:
-        v, before, after = F.get(m, i), F.get(pieces, i), F.get(pieces, i + 1)
-        entity = F.xxhash64(F.lit(kind), F.lower(v) if kind in ("email", "ip") else F.regexp_replace(v, "[^0-9]", ""))
-        return F.struct(
-            F.get(starts, i).alias("start"), F.lit(no).alias("no"), (F.get(starts, i) + F.char_length(v)).alias("end"), F.lit(kind).alias("kind"), entity.alias("entity"), v.alias("value"),
-            F.right(before, F.lit(REACH)).alias("left"), (F.char_length(before) > REACH).alias("lcut"), F.left(after, F.lit(REACH)).alias("right"), (F.char_length(after) > REACH).alias("rcut"),
-        )
+        v = F.get(m, i)
+        entity = F.xxhash64(F.lit(kind), F.lower(v) if kind in ("email", "ip") else v if kind == "secret" else F.regexp_replace(v, "[^0-9]", ""))
+        return F.struct(F.get(starts, i).alias("start"), F.lit(no).alias("no"), (F.get(starts, i) + F.char_length(v)).alias("end"), F.lit(kind).alias("kind"), entity.alias("entity"), v.alias("value"))
 
     return F.filter(F.transform(_indices(m), one), lambda z: _valid(kind, z["value"]))
 
 
+def terms_of(text: Column) -> Column:
+    """Distinct terms of a text."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), NO_TERM)), "")
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, _k1, _k2, _kt (hashes), ``base`` (array of start, no, end, kind, entity) and ``near`` (array of entity, term, start, end)."""
+    """Per row: id, _k1, _k2, _kt (hashes), ``base`` (array of start, no, end, kind, entity; secrets come last) and, if it isn't empty, ``_terms``."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col), *row_key(id_col, text_col), F.xxhash64(t).alias("_kt"), t.alias("_t"))
     none = F.array().cast("array<string>")
-    for no, (kind, pattern) in enumerate(KINDS.items()):
+    kinds = KINDS | {"secret": SECRET}
+    for no, (kind, pattern) in enumerate(kinds.items()):
         hint = F.contains(F.col("_t"), F.lit(_HINT[kind])) if kind in ("email", "phone") else F.col("_t").rlike(_HINT[kind])
         d = d.withColumn(f"_h{no}", hint)
         d = d.withColumns({f"_m{no}": F.when(F.col(f"_h{no}"), F.regexp_extract_all("_t", F.lit(pattern), F.lit(0))).otherwise(none), f"_p{no}": F.when(F.col(f"_h{no}"), F.split("_t", pattern, -1)).otherwise(none)})
-    d = d.drop("_t")
-    d = d.withColumns({f"_s{no}": _starts(F.col(f"_m{no}"), F.col(f"_p{no}")) for no in range(len(KINDS))})
-    d = d.withColumn("_all", F.concat(*[_found(no, kind) for no, kind in enumerate(KINDS)]))
+    d = d.withColumns({f"_s{no}": _starts(F.col(f"_m{no}"), F.col(f"_p{no}")) for no in range(len(kinds))})
+    d = d.withColumn("_all", F.concat(*[_found(no, kind) for no, kind in enumerate(kinds)]))
     d = d.withColumn("base", F.array_sort(F.transform("_all", lambda s: F.struct(s["start"], s["no"], s["end"], s["kind"], s["entity"]))))
-    no_lit = F.lit(False)
-    both = lambda s: F.transform(F.concat(_terms(s["left"], s["start"] - F.char_length(s["left"]), s["lcut"], no_lit), _terms(s["right"], s["end"], no_lit, s["rcut"])), lambda z: F.struct(s["entity"].alias("entity"), z["term"], z["start"], z["end"]))
-    near = F.filter(F.flatten(F.transform("_all", both)), lambda z: ~F.exists("base", lambda b: (z["start"] < b["end"]) & (b["start"] < z["end"])))
-    return d.select(id_col, "_k1", "_k2", "_kt", "base", near.alias("near"))
+    return d.select(id_col, "_k1", "_k2", "_kt", "base", F.when(F.size("base") > 0, terms_of(F.col("_t"))).alias("_terms"))
+
+
+def _share(et: str, e: str, t: str) -> Column:
+    """PMI / IC from the counts of texts with both, with the entity, with the term, and of all (_n); null for an entity in all texts."""
+    return F.try_divide(F.log2(F.col(et) * F.col("_n") / (F.col(e) * F.col(t))), F.log2(F.col("_n") / F.col(e)))
 
 
 def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text", generalise: float = 0.9, support: int = 3) -> DataFrame:
-    """(entity, term, share) of the terms that give an entity away: share = PMI / IC of at least ``generalise``, and at
-    least ``support`` distinct texts hold both. Counts are over all distinct texts."""
-    seen = found.where(F.size("near") > 0).select("_kt", F.explode("near").alias("z")).select("_kt", "z.entity", "z.term").distinct()
-    both = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("_et")).where(F.col("_et") >= support)
-    of_entity = found.where(F.size("base") > 0).select("_kt", F.explode("base.entity").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("_e"))
-    # texts with the term beside any entity are a lower bound of those with the term: what it rules out needs no count
-    n = found.select("_kt").distinct().agg(F.count(F.lit(1)).alias("_n"))
-    beside = seen.select("_kt", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("_t"))
-    both = both.join(of_entity, "entity").join(beside, "term").join(F.broadcast(n))  # one row
-    both = written(both.where(_share() >= generalise).drop("_t"), "pii-pairs")
-    terms = both.select("term").distinct()
-    bag = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(text_col)).alias("_kt"), F.explode(F.array_distinct(F.split(F.lower(text_col), r"[^\p{L}]+"))).alias("term"))
-    of_term = bag.join(if_small(terms), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("_t"))
-    pairs = both.join(of_term, "term")
-    return pairs.withColumn("share", _share()).where(F.col("share") >= generalise).select("entity", "term", "share")
-
-
-def _share() -> Column:
-    """PMI / IC from the counts of texts _et (both), _e (entity), _t (term), _n (all); null for an entity in all texts."""
-    return F.try_divide(F.log2(F.col("_et") * F.col("_n") / (F.col("_e") * F.col("_t"))), F.log2(F.col("_n") / F.col("_e")))
+    """(_kt, term, share) of the terms that give away an entity of the text: PMI / IC of at least ``generalise``, and at
+    least ``support`` distinct texts hold both. Counts are over all distinct texts.
+
+    A term in t texts and an entity in e of n can reach the share g only if t <= e^g n^(1-g); what is rarer goes on.
+    """
+    n = F.broadcast(found.select("_kt").distinct().agg(F.count(F.lit(1)).alias("_n")))  # one row
+    held = found.where(F.size("base") > 0).select("_kt", F.explode("base.entity").alias("entity")).distinct()
+    entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("_e"), F.bit_xor(F.xxhash64("_kt")).alias("_ev")).where(F.col("_e") >= support)
+    held = written(held.join(entities, "entity").join(n).where("_e < _n").select("_kt", "_ev", "_e", "_n").distinct(), "pii-held")
+    reach = lambda e: F.pow(F.col(e), generalise) * F.pow(F.col("_n"), 1 - generalise) + 1e-6
+    top = held.groupBy("_kt").agg(F.max("_e").alias("_top"), F.max("_n").alias("_n"))
+    words = written(found.where(F.size("base") > 0).select("_kt", "_terms").join(if_small(top), "_kt").select("_kt", "_top", "_n", F.explode("_terms").alias("term")).distinct(), "pii-words")
+    # texts with the term among those with an entity are a lower bound of those with the term: what it rules out needs no count
+    terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("_t"), F.bit_xor(F.xxhash64("_kt")).alias("_tv")).where(F.col("_t") >= support)
+    words = written(words.join(terms, "term").where(F.col("_t") <= reach("_top")).select("_kt", "term", "_tv", "_t"), "pii-rare")
+    pairs = words.select("_kt", "_tv", "_t").distinct().join(held, "_kt").where(F.col("_t") <= reach("_e"))
+    pairs = pairs.groupBy("_ev", "_e", "_tv", "_t", "_n").agg(F.count(F.lit(1)).alias("_et")).where((F.col("_et") >= support) & (_share("_et", "_e", "_t") >= generalise))
+    pairs = written(pairs.join(words.select("_tv", "term").distinct(), "_tv").select("_ev", "_e", "_et", "_n", "term"), "pii-pairs")
+    bag = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(text_col)).alias("_kt"), F.explode(terms_of(F.col(text_col))).alias("term"))
+    of_term = bag.join(if_small(pairs.select("term").distinct()), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("_t"))
+    told = pairs.join(of_term, "term").withColumn("share", _share("_et", "_e", "_t")).where(F.col("share") >= generalise).select("_ev", "term", "share")
+    told = written(told, "pii-told")
+    here = words.join(if_small(told.select("term").distinct()), "term", "left_semi").select("_kt", "term").join(held.select("_kt", "_ev"), "_kt")
+    return here.join(if_small(told), ["_ev", "term"]).groupBy("_kt", "term").agg(F.max("share").alias("share"))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = 0.9, remove: float = 0.98, support: int = 3) -> DataFrame:
     """Per row of docs: id, _k1, _k2 and ``found``, an array of (start, no, end, kind, action) sorted by start, then kind.
 
-    Kinds: email, ip, card, phone (action mask), and term (action generalise or remove): a word within REACH code
-    points of an entity that it gives away. Offsets are code points, end exclusive. Base spans never change.
+    Kinds: email, ip, card, phone, secret (action mask), and term (action generalise or remove): every occurrence, outside
+    the other spans, of a word that gives away an entity of the text. Offsets are code points, end exclusive. Base
+    spans never change.
 
     Null and empty texts have no spans. Rows alike in id and text have the same spans. Entities and terms of texts
-    that are exact copies count once. Other columns play no part. An empty table gives an empty result.
+    that are exact copies count once. A term that gives away several entities counts with its largest share. Long texts
+    are searched whole. Other columns play no part. An empty table gives an empty result.
     """
     found = written(find(docs, id_col, text_col), "pii-found")
     told = disclosures(docs, found, text_col, generalise, support)
-    at = found.where(F.size("near") > 0).select("_k1", "_k2", F.explode("near").alias("z")).select("_k1", "_k2", "z.*").distinct()
-    hit = at.join(told, ["entity", "term"]).groupBy("_k1", "_k2", "start", "end").agg(F.max("share").alias("share"))
-    no = len(KINDS)
-    add = hit.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", F.lit(no).alias("no"), "end", F.lit("term").alias("kind"), F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))).alias("_add"))
+    told = written(told.groupBy("_kt").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_told")), "pii-texts")  # at most a text's own terms
+    d = docs.select(*row_key(id_col, text_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_kt"), F.col(text_col).alias("_t"))
+    some = told.agg(F.sum(F.size("_told"))).first()[0] or 0
+    d = d.join(F.broadcast(told) if some <= BROADCAST_ROWS else told, "_kt")
+    edge = r"[\p{L}\p{M}\p{N}]"
+    pattern = F.concat(F.lit(f"(?<!{edge})(?iu:"), F.array_join(F.map_keys("_told"), "|"), F.lit(f")(?!{edge})"))
+    d = d.select("_k1", "_k2", "_told", "_t", pattern.alias("_re")).select("_k1", "_k2", "_told", F.regexp_extract_all("_t", "_re", F.lit(0)).alias("_m"), F.split("_t", F.col("_re"), -1).alias("_p"))
+    at = F.transform(F.arrays_zip(F.col("_m").alias("m"), _starts(F.col("_m"), F.col("_p")).alias("s")), lambda z: F.struct(z["s"].alias("start"), (z["s"] + F.char_length(z["m"])).alias("end"), F.element_at("_told", F.lower(z["m"])).alias("share")))
+    add = d.select("_k1", "_k2", F.filter(at, lambda z: z["share"].isNotNull()).alias("_add")).dropDuplicates(["_k1", "_k2"])
+    no = len(KINDS) + 1
+    put = lambda z: F.struct(z["start"], F.lit(no).alias("no"), z["end"], F.lit("term").alias("kind"), F.when(z["share"] >= remove, "remove").otherwise("generalise").alias("action"))
     base = F.transform("base", lambda b: F.struct(b["start"], b["no"], b["end"], b["kind"], F.lit("mask").alias("action")))
+    free = F.filter("_add", lambda z: ~F.exists("base", lambda b: (z["start"] < b["end"]) & (b["start"] < z["end"])))
     out = found.join(add, ["_k1", "_k2"], "left")
-    return out.select(id_col, "_k1", "_k2", F.array_sort(F.concat(base, F.coalesce("_add", F.array().cast("array<struct<start:int,no:int,end:int,kind:string,action:string>>")))).alias("found"))
+    return out.select(id_col, "_k1", "_k2", F.when(F.col("_add").isNull(), base).otherwise(F.array_sort(F.concat(base, F.transform(free, put)))).alias("found"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with each span of ``text`` replaced: [EMAIL] etc. for base kinds, [TERM] for generalised terms, nothing for
-    removed ones. Spans that overlap an earlier one give way to it. Null stays null."""
+    """docs with each span of ``text`` replaced: [EMAIL] etc. for base kinds and secrets, [NUMBER], [NAME] or [WORD] for
+    generalised terms (with a digit; capitalised; others), nothing for removed ones. Spans that overlap an earlier one
+    give way to it. Null stays null."""
     d = boxed(docs, id_col, text_col)
     s = spans(docs, id_col, text_col, **how).where(F.size("found") > 0).select("_k1", "_k2", "found").dropDuplicates(["_k1", "_k2"])
-    put = lambda x: F.when(x["action"] == "remove", "").when(x["action"] == "generalise", "[TERM]").otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
     t = F.col("_row").getField(text_col)
+    word = lambda x: F.substring(t, x["start"] + 1, x["end"] - x["start"])
+    broader = lambda x: F.when(word(x).rlike(r"\p{N}"), "[NUMBER]").when(word(x).rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+    put = lambda x: F.when(x["action"] == "remove", "").when(x["action"] == "generalise", broader(x)).otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
     step = lambda acc, x: F.when(x["start"] < acc["at"], acc).otherwise(F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["start"] - acc["at"]), put(x)).alias("out")))
     whole = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.char_length(t))))
     new = F.when(F.col("found").isNull(), t).otherwise(whole)
@@ -158,5 +187,5 @@ def digest(spanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     line = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("found", lambda s: s["no"] < len(KINDS))
     count = lambda no: F.size(F.filter("found", lambda s: s["no"] == no)).cast("long")
-    n = [count(no).alias(f"n_{kind}") for no, kind in enumerate([*KINDS, "term"])]
-    return spanned.select(id_col, *n[:4], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("found")).alias("spans"), n[4])
+    n = [count(no).alias(f"n_{kind}") for no, kind in enumerate([*KINDS, "secret", "term"])]
+    return spanned.select(id_col, *n[:4], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("found")).alias("spans"), *n[4:], F.size("found").cast("long").alias("n_spans"))

@@ -123,34 +123,42 @@ b AS (
       ELSE (CAST(digits[length(digits) - i] AS INTEGER) * 2) // 10 + (CAST(digits[length(digits) - i] AS INTEGER) * 2) % 10 END)) % 10 = 0
     WHEN 3 THEN length(digits) BETWEEN 9 AND 15 ELSE true END
 ),
--- terms within 60 code points of an entity, whole words only, outside base spans
-c AS (
-  SELECT doc_id, text, entity, substr(before, greatest(1, length(before) - 59)) AS ctx, s - least(60, length(before)) AS pos, length(before) > 60 AS cut_head, false AS cut_tail FROM b
-  UNION ALL SELECT doc_id, text, entity, substr(after, 1, 60), e, false, length(after) > 60 FROM b
-),
-cm AS (SELECT *, regexp_extract_all(ctx, '\p{L}{4,}') AS ms, string_split_regex(ctx, '\p{L}{4,}') AS ps FROM c),
-cw AS (SELECT doc_id, text, entity, pos, cut_head, cut_tail, pos + length(ctx) AS ctx_end, row_number() OVER () AS r, ms, ps FROM cm WHERE len(ms) > 0),
-cx AS (SELECT doc_id, text, entity, pos, cut_head, cut_tail, ctx_end, r, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS w, unnest(ps[:len(ms)]) AS pre FROM cw),
-cy AS (SELECT *, CAST(pos + sum(length(pre) + length(w)) OVER (PARTITION BY r ORDER BY i) AS BIGINT) AS e FROM cx),
-near AS (
-  SELECT DISTINCT doc_id, text, entity, lower(w) AS term, e - length(w) AS s, e FROM cy t
-  WHERE NOT (cut_head AND e - length(w) = pos) AND NOT (cut_tail AND e = ctx_end)
-    AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = t.doc_id AND t.e - length(t.w) < b.e AND b.s < t.e)
+-- secrets: long strings of high entropy
+sm AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z0-9+/_=-]{20,}') AS ms, string_split_regex(text, '[A-Za-z0-9+/_=-]{20,}') AS ps FROM documents WHERE text IS NOT NULL),
+sx AS (SELECT doc_id, text, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS v, unnest(ps[:len(ms)]) AS before FROM sm WHERE len(ms) > 0),
+sy AS (SELECT *, CAST(sum(length(before) + length(v)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e, list_distinct(string_split(v, '')) AS cs FROM sx),
+sb AS (
+  SELECT doc_id, text, 4 AS no, 'secret' AS kind, e - length(v) AS s, e, 'secret:' || v AS entity FROM sy
+  WHERE regexp_matches(v, '[0-9].*[0-9].*[0-9].*[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '[a-z]{7}')
+    AND -list_sum(list_transform(cs, lambda c: (length(v) - length(replace(v, c, ''))) / length(v) * log2((length(v) - length(replace(v, c, ''))) / length(v)))) >= 3.0
 ),
-et AS (SELECT entity, term, count(DISTINCT text) AS n FROM near GROUP BY entity, term HAVING count(DISTINCT text) >= 3),
-ent AS (SELECT entity, count(DISTINCT text) AS n FROM b GROUP BY entity),
-ter AS (SELECT term, count(DISTINCT text) AS n FROM (SELECT text, unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS term FROM documents) q WHERE term IN (SELECT term FROM et) GROUP BY term),
+ab AS (SELECT doc_id, text, no, kind, s, e, entity FROM b UNION ALL SELECT * FROM sb),
+-- every word of every text
+bag AS (SELECT DISTINCT text, term FROM (SELECT text, unnest(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+')) AS term FROM documents) q WHERE term <> ''),
+held AS (SELECT DISTINCT text, entity FROM ab),
+ent AS (SELECT entity, count(*) AS n FROM held GROUP BY entity HAVING count(*) >= 3),
+et AS (SELECT held.entity, bag.term, count(*) AS n FROM held JOIN ent ON held.entity = ent.entity JOIN bag ON held.text = bag.text GROUP BY held.entity, bag.term HAVING count(*) >= 3),
+ter AS (SELECT term, count(*) AS n FROM bag WHERE term IN (SELECT term FROM et) GROUP BY term),
 told AS (
   SELECT et.entity, et.term FROM et JOIN ent ON et.entity = ent.entity JOIN ter ON et.term = ter.term CROSS JOIN (SELECT CAST(count(DISTINCT coalesce(text, '')) AS DOUBLE) AS n FROM documents) a
   WHERE a.n > ent.n AND log2(et.n * a.n / (ent.n * ter.n)) / log2(a.n / ent.n) >= 0.9
 ),
-h AS (SELECT DISTINCT doc_id, s, e FROM near JOIN told ON near.entity = told.entity AND near.term = told.term),
-u AS (SELECT doc_id, no, kind, s, e FROM b UNION ALL SELECT doc_id, 4, 'term', s, e FROM h),
+-- where they stand, outside the other spans
+ht AS (SELECT DISTINCT held.text, told.term FROM held JOIN told ON held.entity = told.entity),
+hm AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+') AS ms, string_split_regex(text, '[\p{L}\p{M}\p{N}]+') AS ps FROM documents WHERE text IN (SELECT text FROM ht)),
+hx AS (SELECT doc_id, text, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS w, unnest(ps[:len(ms)]) AS pre FROM hm),
+hy AS (SELECT *, CAST(sum(length(pre) + length(w)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM hx),
+h AS (
+  SELECT hy.doc_id, hy.e - length(hy.w) AS s, hy.e FROM hy JOIN ht ON hy.text = ht.text AND lower(hy.w) = ht.term
+  WHERE NOT EXISTS (SELECT 1 FROM ab WHERE ab.doc_id = hy.doc_id AND hy.e - length(hy.w) < ab.e AND ab.s < hy.e)
+),
+u AS (SELECT doc_id, no, kind, s, e FROM ab UNION ALL SELECT doc_id, 5, 'term', s, e FROM h),
 line AS (
   SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) FILTER (no < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) AS spans,
-    count(*) FILTER (no = 0) AS n_email, count(*) FILTER (no = 1) AS n_ip, count(*) FILTER (no = 2) AS n_card, count(*) FILTER (no = 3) AS n_phone, count(*) FILTER (no = 4) AS n_term FROM u GROUP BY doc_id
+    count(*) FILTER (no = 0) AS n_email, count(*) FILTER (no = 1) AS n_ip, count(*) FILTER (no = 2) AS n_card, count(*) FILTER (no = 3) AS n_phone, count(*) FILTER (no = 4) AS n_secret, count(*) FILTER (no = 5) AS n_term FROM u GROUP BY doc_id
 )
-SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_term, 0) AS n_term
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_secret, 0) AS n_secret, coalesce(n_term, 0) AS n_term, coalesce(n_email, 0) + coalesce(n_ip, 0) + coalesce(n_card, 0) + coalesce(n_phone, 0) + coalesce(n_secret, 0) + coalesce(n_term, 0) AS n_spans
 FROM documents d LEFT JOIN line ON d.doc_id = line.doc_id
 """,
     "op6_line_dedup": r"""

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -45,7 +46,7 @@ def test_pii_base_matches_brute_force(make):
 
 def test_pii_terms_that_give_away(make):
     rows = [(i, f"number {i} of the list: please write to Zebulon at zeb@mail.example.org about item {i}") for i in range(6)]
-    rows += [(100 + i, f"please write about the number of item {i} of the list at once") for i in range(60)] + [(None, rows[0][1]), (0, rows[0][1]), (999, None)]
+    rows += [(100 + i, f"please write to us about the number of item {i} of the list at once") for i in range(60)] + [(None, rows[0][1]), (0, rows[0][1]), (999, None)]
     d = make(rows)
     found = pii.digest(pii.spans(d)).toPandas().set_index("doc_id")
     texts = dict(rows)
@@ -58,6 +59,53 @@ def test_pii_terms_that_give_away(make):
     assert pii.spans(make([])).count() == 0
 
 
+def brute_terms(texts, least=0.9, support=3):
+    """The terms of each distinct text that give away an entity of it, by the definition, over all words of all texts."""
+    own = {t: set(re.findall(r"[^\W_]+", t.lower())) for t in set(texts)}
+    held = {t: {(k, m.group().lower()) for k, p in KINDS.items() for m in re.finditer(p, t) if k in ("email", "ip")} for t in own}
+    out = {t: set() for t in own}
+    for e in set().union(*held.values()):
+        with_e = [t for t in own if e in held[t]]
+        for w in set().union(*(own[t] for t in with_e)):
+            with_t = [t for t in own if w in own[t]]
+            both = len(set(with_e) & set(with_t))
+            if both >= support and len(with_e) < len(own) and math.log2(both * len(own) / (len(with_e) * len(with_t))) / math.log2(len(own) / len(with_e)) >= least:
+                for t in with_e:
+                    if w in own[t]:
+                        out[t].add(w)
+    return out
+
+
+def test_pii_terms_match_brute_force_wherever_they_stand(make):
+    rng = random.Random(17)
+    people = [(n, f"{n.lower()}{k}@mail.example") for k, n in enumerate(["Ann", "Li", "李雷", "Zebulon", "Ngo7"])]
+    common = "we met by the old river and saw how small green birds came over house after house all day".split()
+    texts = []
+    for k in range(150):
+        ws = [rng.choice(common) for _ in range(rng.randrange(10, 90))]
+        for n, mail in rng.sample(people, rng.randrange(0, 3)):
+            ws.insert(rng.randrange(len(ws)), mail)
+            for _ in range(rng.randrange(0, 3)):
+                ws.insert(rng.randrange(len(ws)), n + rng.choice(["", ",", "'s", "."]))
+        texts.append(" ".join(ws))
+    want = brute_terms(texts)
+    got = {r.doc_id: r for r in pii.digest(pii.spans(make([(i, t) for i, t in enumerate(texts)], clash=True))).collect()}
+    assert any(want.values())
+    for i, t in enumerate(texts):
+        base = [tuple(map(int, s.split(":")[1:])) for s in brute_spans(t).split(",") if s]
+        spans = {m.span() for m in re.finditer(r"[^\W_]+", t) if m.group().lower() in want[t] and not any(m.start() < b and a < m.end() for a, b in base)}
+        assert {tuple(map(int, s.split(":")[1:])) for s in got[i].spans.split(",") if s.startswith("term")} == spans, t
+
+
+def test_secrets_and_ties(make):
+    key = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    rows = [(1, f'set token = "{key}" now'), (2, "an-ordinary-slug-of-2024-with-many-words and 12345678901234567890123"), (3, "a" * 30 + "1111"), (4, f"{key} {key}")]
+    got = {r.doc_id: r for r in pii.digest(pii.spans(make(rows))).collect()}
+    assert got[1].spans == "secret:13:53" and got[1].n_secret == got[1].n_spans == 1 and got[2].n_secret == got[3].n_secret == 0 and got[4].n_secret == 2
+    tie = "call me on +49 30 1234567 or at 1.2.3.4"  # the ip starts within no other span; equal starts sort by kind
+    assert {r.doc_id: r.spans for r in pii.digest(pii.spans(make([(1, tie), (2, tie)]))).collect()} == {i: brute_spans(tie) for i in (1, 2)}
+
+
 def brute_base(text):
     ws = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     tri = [tuple(ws[i : i + 3]) for i in range(len(ws) - 2)]
