@@ -135,12 +135,13 @@ def pack(turns: DataFrame, conv: str = "conv_id", order: str = "turn", role: str
     walk = _walk(turns, conv, order, role, text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = None
+        state, after = None, None
         for b in batches:
-            for i, path, shared, roles, texts in zip(b["_conv"], b["_path"], b["_shared"], b["_roles"], b["_texts"], strict=True):
-                if state is not None and (len(state.conversations) >= conversations or state.size >= chars):
+            for part, seq, i, path, shared, roles, texts in zip(b["_part"], b["_seq"], b["_conv"], b["_path"], b["_shared"], b["_roles"], b["_texts"], strict=True):
+                if state is not None and (len(state.conversations) >= conversations or state.size >= chars or (part, seq) != after):
                     yield state.row()
                     state = None
+                after = part, seq + 1  # a task may read files of the walk that are no neighbours
                 state = state or _Pack(path, shared, roles, texts)
                 state.add(None if pd.isna(i) else int(i), path, shared, list(roles), list(texts))
         if state is not None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import chat_format as cf
 from strandline.llm import html_extract as he
+from strandline.llm.common import written
 from strandline.llm.components import components
 
 PAGES = "page_id long, url string, html string"
@@ -156,7 +157,14 @@ def test_chats_read_back_from_the_walk(spark, most):
 
 def test_one_beginning_in_many_packs_is_emitted_once(spark):
     d = spark.range(3000).selectExpr("id conv_id", "explode(array(0L, 1L, 2L)) turn").selectExpr("conv_id", "turn", "if(turn = 1, 'assistant', 'user') role", "if(turn < 2, concat('the same ', repeat('x', 500)), concat('own ', conv_id)) text")
-    packed = cf.pack(d.repartition(5), conversations=50)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 40)  # small files of the walk, read several in a task and in any order
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        packed = written(cf.pack(d.repartition(5), conversations=50), "test-packs")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     got = packed.selectExpr("sum(size(nodes))", "sum(length(text))", "count(*)").first()
     assert got[0] == 3002 and got[2] >= 60
     back = cf.read_back(packed).toPandas()
