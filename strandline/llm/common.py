@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +17,13 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, as in tests, a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/strandline"
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local one in local mode, as
+    in tests; on a cluster, whose executors would each write to a disk of their own, an error."""
+    if (dir_ := spark.conf.get("spark.checkpoint.dir", None)) is not None:
+        return dir_
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "/tmp/checkpoints/strandline"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

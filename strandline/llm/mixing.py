@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, if_small, written
+from .common import SPACE, WORD, if_small, written
 
 #: Weights of the sources in order of code point, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -26,6 +26,15 @@ def size_of(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def first_words(text: str | Column, n: Column) -> Column:
+    """A text up to the end of its n-th word, what parts the words untouched; the whole text if it has no more words."""
+    t = F.col(text) if isinstance(text, str) else text
+    n = n.cast("int") + t.rlike(f"^{SPACE}").cast("int")  # white space in front makes an empty piece
+    pieces = F.split(t, SPACE, n + 1)
+    cut = F.left(t, F.char_length(t) - F.char_length(F.element_at(pieces, -1)))
+    return F.when(F.size(pieces) > n, F.regexp_replace(cut, f"(?<!{SPACE[:-1]}){SPACE}$", "")).otherwise(t)
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """(source, size) rows per source to (source, rank, source_size, target).
 
@@ -73,7 +82,7 @@ def assign_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeats; with targets at most twice a source's size, no document gives more than twice its size.
     first_position and second_position (0..1) say when its first and second copy are trained on; null: not taken.
 
-    Null text: size 0, taken 0. Null source: a source of its own, last in order. Rows alike in id and text are
+    Null text: size 0, taken 0. Long texts are counted whole. Null source: a source of its own, last in order. Rows alike in id and text are
     interchangeable. Columns of clashing names in docs play no part. An empty table gives an empty result.
 
     Offsets are two-level sums: documents fall into buckets of their source by md5 prefix, long enough for about
@@ -111,10 +120,12 @@ def assign_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: a row for each copy that is taken, with its text, ``copy`` (1 or 2), ``words`` taken of it and
-    ``position``, range-sorted by position (ties by id). Columns of docs by the names of the result's give way to them."""
+    ``position``, range-sorted by position (ties by id). A copy that is taken in part ends after its last word taken.
+    Columns of docs by the names of the result's give way to them."""
     own = (id_col, source_col, "size", "source_size", "target", "taken", "taken_once", "taken_twice", "first_position", "second_position", "copy", "words", "position")
     keep = [c for c in docs.columns if c not in own]
     a = assign_positions(docs, id_col, text_col, source_col, keep=keep, **how)
     copies = F.filter(F.array(F.struct(F.lit(1).alias("copy"), F.col("taken_once").alias("words"), F.col("first_position").alias("position")), F.struct(F.lit(2).alias("copy"), F.col("taken_twice").alias("words"), F.col("second_position").alias("position"))), lambda c: c["words"] > 0)
     out = a.select(id_col, source_col, *keep, "size", "target", F.explode(copies).alias("_c")).select(id_col, source_col, *keep, "size", "target", "_c.copy", "_c.words", "_c.position")
+    out = out.withColumn(text_col, F.when(F.col("words") < F.col("size"), first_words(text_col, F.col("words"))).otherwise(F.col(text_col)))
     return out.repartitionByRange("position", id_col, "copy").sortWithinPartitions("position", id_col, "copy")
