@@ -28,9 +28,11 @@ KINDS = {
 }
 #: A secret: so many characters of keys and tokens, with digits among them and no long run of small letters as words have, and
 #: so many bits a character.
-SECRET = r"[A-Za-z0-9+/_=-]{20,}"
+SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 LEAST_BITS = 3.0
 _HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){11}", "phone": "+", "secret": SECRET}
+#: Terms, as hashes of 8 bytes, up to which they are broadcast to find them in all texts (some 30 MB); else texts' words are shuffled.
+BROADCAST_HASHES = 1_000_000
 #: What parts terms; a term is a run of letters, marks and digits in lower case.
 NO_TERM = r"[^\p{L}\p{M}\p{N}]+"
 
@@ -128,9 +130,10 @@ def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text", gener
     pairs = words.select("_kt", "_tv", "_t").distinct().join(held, "_kt").where(F.col("_t") <= reach("_e"))
     pairs = pairs.groupBy("_ev", "_e", "_tv", "_t", "_n").agg(F.count(F.lit(1)).alias("_et")).where((F.col("_et") >= support) & (_share("_et", "_e", "_t") >= generalise))
     pairs = written(pairs.join(words.select("_tv", "term").distinct(), "_tv").select("_ev", "_e", "_et", "_n", "term"), "pii-pairs")
-    bag = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(text_col)).alias("_kt"), F.explode(terms_of(F.col(text_col))).alias("term"))
-    of_term = bag.join(if_small(pairs.select("term").distinct()), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("_t"))
-    told = pairs.join(of_term, "term").withColumn("share", _share("_et", "_e", "_t")).where(F.col("share") >= generalise).select("_ev", "term", "share")
+    bag = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(text_col)).alias("_kt"), F.explode(terms_of(F.col(text_col))).alias("term")).select("_kt", F.xxhash64("term").alias("_h"))
+    pairs = pairs.withColumn("_h", F.xxhash64("term"))
+    of_term = bag.join(if_small(pairs.select("_h").distinct(), BROADCAST_HASHES), "_h", "left_semi").distinct().groupBy("_h").agg(F.count(F.lit(1)).alias("_t"))
+    told = pairs.join(of_term, "_h").withColumn("share", _share("_et", "_e", "_t")).where(F.col("share") >= generalise).select("_ev", "term", "share")
     told = written(told, "pii-told")
     here = words.join(if_small(told.select("term").distinct()), "term", "left_semi").select("_kt", "term").join(held.select("_kt", "_ev"), "_kt")
     return here.join(if_small(told), ["_ev", "term"]).groupBy("_kt", "term").agg(F.max("share").alias("share"))
