@@ -8,8 +8,9 @@ divisions that may meet a zero are try_divide.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,41 +140,73 @@ def islands(change: Column, w: WindowSpec) -> Column:
     return F.sum(F.when(change, 1).otherwise(0)).over(so_far(w))
 
 
+def _streamed(df: DataFrame, keys: list[str], order: list[str], piece: Callable[[pd.DataFrame, object], object], fields: str) -> DataFrame:
+    """df in order of each series, in pieces of one series each: piece(rows, state) adds columns to the rows and returns the
+    state for the next piece of that series; it is None at a series' beginning.
+
+    Rows are dealt out by series and sorted by Spark, which spills, and read in Arrow batches: a worker holds a batch at a
+    time, however long a series is.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for b in batches:
+            if not len(b):
+                continue
+            k = b[keys].astype(object).where(b[keys].notna(), None)
+            new = (k != k.shift()).any(axis=1) & ~(k.isna() & k.shift().isna()).all(axis=1)
+            cuts = [0, *(i for i in np.flatnonzero(new.to_numpy()).tolist() if i), len(b)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                now = tuple(k.iloc[i])
+                if now != last:
+                    last, state = now, None
+                g = b.iloc[i:j].copy()
+                state = piece(g, state)
+                yield g
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, fields)
+
+
 def ewma(df: DataFrame, columns: Sequence[tuple[str, str, int]], keys: str | Sequence[str] = "series_id", order: str = "ts") -> DataFrame:
     """df with exponentially weighted means: (column, new name, span), y0 = first value, alpha = 2 / (span + 1).
 
-    A recursion over a whole series, which no built-in function has: one Arrow batch per series. Nulls decay the old
-    weight, so fill them first if that isn't wanted.
+    A recursion over a whole series, which no built-in function has. It only needs its last mean, and how many nulls came
+    after it, so series go through in batches. Nulls decay the old weight, so fill them first if that isn't wanted.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, kind="stable")
+    def piece(g: pd.DataFrame, state: dict | None) -> dict:
+        after = {}
         for c, name, span in columns:
-            g[name] = g[c].astype("float64").ewm(span=span, adjust=False).mean()
-        return g
+            before = (state or {}).get(name, [])
+            x = np.concatenate([before, g[c].astype("float64").to_numpy()])
+            g[name] = pd.Series(x).ewm(span=span, adjust=False).mean().to_numpy()[len(before) :]
+            known = np.flatnonzero(~np.isnan(x))
+            y = pd.Series(x).ewm(span=span, adjust=False).mean().iloc[known[-1]] if len(known) else None
+            after[name] = [] if y is None else [float(y), *[np.nan] * (len(x) - 1 - int(known[-1]))]
+        return after
 
-    return df.groupBy(*keys).applyInPandas(run, fields + "".join(f", `{name}` double" for _, name, _ in columns))
+    return _streamed(df, keys, [order], piece, fields + "".join(f", `{name}` double" for _, name, _ in columns))
 
 
 def fold(df: DataFrame, step: Callable[[tuple, tuple], tuple], start: tuple, inputs: Sequence[str], outputs: str, keys: str | Sequence[str] = "series_id", order: str | Sequence[str] = "ts") -> DataFrame:
     """df with the outputs of a state machine that walks each series in order.
 
     step(state, values of ``inputs``) gives (new state, outputs). For state that no window expresses, such as holds
-    that ignore what happens while they last.
+    that ignore what happens while they last. Series go through in batches; only the state is carried.
     """
     keys, order = ([x] if isinstance(x, str) else list(x) for x in (keys, order))
     fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
     names = [x.split()[0] for x in outputs.split(", ")]
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g, state, made = g.sort_values(order, kind="stable"), start, []
+    def piece(g: pd.DataFrame, state: tuple | None) -> tuple:
+        state, made = start if state is None else state, []
         for values in zip(*(g[c].tolist() for c in inputs), strict=True):
             state, out = step(state, values)
             made.append(out)
         for i, name in enumerate(names):
             g[name] = [m[i] for m in made]
-        return g
+        return state
 
-    return df.groupBy(*keys).applyInPandas(run, f"{fields}, {outputs}")
+    return _streamed(df, keys, order, piece, f"{fields}, {outputs}")

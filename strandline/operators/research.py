@@ -175,7 +175,12 @@ def parameter_paths(n: int, population: Sequence[float], fitness: Sequence[float
 
 
 def pareto(runs: DataFrame) -> DataFrame:
-    """Runs (run_id, total_return, max_drawdown) that no other beats in both: sorted by drawdown, the running best of return."""
-    w = Window.partitionBy("series_id").orderBy(F.col("max_drawdown").desc(), F.col("total_return").desc(), "run_id").rowsBetween(o.START, -1)
-    d = runs.withColumn("_best", F.max("total_return").over(w))
-    return d.where(F.col("_best").isNull() | (F.col("total_return") > F.col("_best"))).drop("_best")
+    """Runs (run_id, total_return, max_drawdown) that no other beats: none is as good in both and better in one. Sorted by
+    drawdown, a run stays if its return is the best of its own drawdown and beats all of better drawdowns; equal runs stay
+    together."""
+    w = Window.partitionBy("series_id").orderBy(F.col("max_drawdown").desc()).rangeBetween(o.START, 0)
+    above = Window.partitionBy("series_id").orderBy(F.col("max_drawdown").desc(), F.col("total_return").desc())
+    d = runs.withColumns({"_best": F.max("total_return").over(w), "_first": F.dense_rank().over(above)})
+    at = Window.partitionBy("series_id", "total_return")
+    # equal in return to the best, and the first of that return by drawdown
+    return d.withColumn("_least", F.min("_first").over(at)).where((F.col("total_return") == F.col("_best")) & (F.col("_first") == F.col("_least"))).drop("_best", "_first", "_least")

@@ -126,3 +126,9 @@ class Strategies:
 STRATEGIES = Strategies()
 for _name, _plan in {"cross_asset_momentum": cross_momentum, "multi_asset_momentum": mean_momentum, "two_of_three": cross_momentum, "vol_adaptive": vol_adaptive, "rule": by_rule}.items():
     STRATEGIES.register(_name, _plan)
+
+
+def statistics(df: DataFrame, entry: str = "entry", confirmations: str = "n_confirmed") -> DataFrame:
+    """(series_id, n_signals, signal_share, monday_confirmations): how often a strategy enters, and what its confirmations average on Mondays."""
+    on = F.coalesce(F.col(entry).cast("int"), F.lit(0))
+    return df.groupBy("series_id").agg(F.sum(on).cast("long").alias("n_signals"), F.avg(on).alias("signal_share"), F.avg(F.when(F.weekday("ts") == 0, F.col(confirmations))).alias("monday_confirmations"))

@@ -42,8 +42,14 @@ def purge(intervals: DataFrame, folds: DataFrame) -> DataFrame:
     return d.withColumn("role", F.when((F.col("role") == "train") & meets, "purged").otherwise(F.col("role"))).select("series_id", "ts", "fold", "role")
 
 
-def combinatorial_folds(df: DataFrame, k: int = 5, m: int = 2, embargo: float = 0.01, mode: str = "correct") -> DataFrame:
-    """(series_id, split, n_train, n_test) of all C(k, m) choices of test groups; the last group takes the remainder.
+def n_splits(k: int, m: int | None = None) -> int:
+    """Number of folds: k, or of choices of m test groups out of k."""
+    return k if m is None else math.comb(k, m)
+
+
+def combinatorial_members(df: DataFrame, k: int = 5, m: int = 2, embargo: float = 0.01, mode: str = "correct") -> DataFrame:
+    """(series_id, ts, split, role) of all C(k, m) choices of test groups; the last group takes the remainder. role: test,
+    train, or embargo.
 
     mode 'correct' trains on all other rows outside each test group's embargo; 'reference' only on rows after the
     embargo of the last test group, which leaves some splits without any."""
@@ -57,8 +63,47 @@ def combinatorial_folds(df: DataFrame, k: int = 5, m: int = 2, embargo: float =
         train = F.col("rn") >= end(F.element_at(groups, -1)) + emb
     else:
         train = ~F.exists(groups, lambda g: (F.col("rn") >= end(g)) & (F.col("rn") < end(g) + emb))
-    d = d.withColumns({"split": F.col("_s.split"), "_test": test, "_train": train & ~test})
-    return d.groupBy("series_id", "split").agg(F.count_if("_train").alias("n_train"), F.count_if("_test").alias("n_test"))
+    return d.select("series_id", "ts", F.col("_s.split").alias("split"), F.when(test, "test").when(train, "train").otherwise("embargo").alias("role"))
+
+
+def combinatorial_folds(df: DataFrame, k: int = 5, m: int = 2, embargo: float = 0.01, mode: str = "correct") -> DataFrame:
+    """(series_id, split, n_train, n_test): how many rows each of combinatorial_members() trains and tests on."""
+    d = combinatorial_members(df, k, m, embargo, mode)
+    return d.groupBy("series_id", "split").agg(F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") == "test").alias("n_test"))
+
+
+def per_fold(members: DataFrame, df: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], dict], outputs: str, fold: str = "fold") -> DataFrame:
+    """(series_id, fold, outputs) of a Python callable that gets a fold's training and test rows of a series, in order, and
+    gives a dict of the outputs ("score double, ..."). Folds run side by side; a fold's rows, which a model needs together,
+    are one task's."""
+    names = [x.split()[0] for x in outputs.split(", ")]
+    d = members.where(F.col("role").isin("train", "test")).select("series_id", "ts", F.col(fold).alias("_fold"), F.col("role").alias("_role")).join(df, ["series_id", "ts"])
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("ts")
+        rows = [g[g["_role"] == r].drop(columns=["_role", "_fold"]) for r in ("train", "test")]
+        got = run(*rows)
+        return pd.DataFrame({"series_id": [g["series_id"].iloc[0]], "fold": [int(g["_fold"].iloc[0])], **{n: [got[n]] for n in names}})
+
+    return d.groupBy("series_id", "_fold").applyInPandas(one, f"series_id string, fold int, {outputs}")
+
+
+def cross_validate(df: DataFrame, scorer: Callable[[pd.DataFrame, pd.DataFrame], float], folds: DataFrame, fold: str = "fold") -> DataFrame:
+    """(series_id, n_scores, cv_mean, cv_std): a scorer's results over the folds (purged_folds(), purge() or
+    combinatorial_members()); sample weights are a column of df, if wanted."""
+    s = per_fold(folds, df, lambda train, test: {"score": float(scorer(train, test))}, "score double", fold)
+    return s.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_scores"), F.avg("score").alias("cv_mean"), F.stddev_pop("score").alias("cv_std"))
+
+
+def walk_forward_members(df: DataFrame, train: int = 252, test: int = 63, step: int = 21, mode: str = "expanding") -> DataFrame:
+    """(series_id, ts, fold, role): fold f tests the rows from f * step + train on. mode 'expanding' trains on all rows before;
+    'rolling' on those from f * step - train on, up to twice ``train``, as the analyser defines it; 'fixed' on ``train`` rows."""
+    d = numbered(df).withColumn("_last", F.floor((F.col("n") - train - test) / step)).where("_last >= 0")
+    d = d.withColumn("fold", F.explode(F.sequence(F.lit(0), F.col("_last").cast("int"))))
+    at = F.col("fold") * step
+    start = {"expanding": F.lit(0), "rolling": F.greatest(F.lit(0), at - train), "fixed": at}[mode]
+    role = F.when((F.col("rn") >= start) & (F.col("rn") < at + train), "train").when((F.col("rn") >= at + train) & (F.col("rn") < at + train + test), "test")
+    return d.withColumn("role", role).where("role is not null").select("series_id", "ts", "fold", "role")
 
 
 def intervals(df: DataFrame, horizon: int) -> DataFrame:
@@ -114,6 +159,15 @@ def pbo(returns: DataFrame, is_share: float = 0.5, af: int = 252) -> DataFrame:
     return g.agg(F.avg((F.col("sharpe_oos") < F.col("m")).cast("double")).alias("pbo"), best.alias("b"), F.count(F.lit(1)).alias("n_configs")).select("pbo", "n_configs", F.col("b.config_id").alias("best_is"), (F.col("b.sharpe_oos") < F.col("b.m")).alias("best_is_below_median"))
 
 
+def overfitting(runs: DataFrame, is_share: float = 0.5) -> DataFrame:
+    """(series_id, pbo): per series, the share of its configurations (series_id, config_id, ts, ret) whose out-of-sample Sharpe
+    ratio is below their median."""
+    w, p = Window.partitionBy("series_id", "config_id"), Window.partitionBy("series_id")
+    d = runs.withColumns({"_k": F.row_number().over(w.orderBy("ts")), "_n": F.count(F.lit(1)).over(w)}).where(F.col("_k") > F.floor(F.col("_n") * is_share))
+    g = d.groupBy("series_id", "config_id").agg(F.coalesce(F.try_divide(F.avg("ret"), F.stddev_samp("ret")), F.lit(0.0)).alias("s"))
+    return g.withColumn("m", F.percentile("s", 0.5).over(p)).groupBy("series_id").agg(F.avg((F.col("s") < F.col("m")).cast("double")).alias("pbo"))
+
+
 def uniform(*keys, seed: int = 0):
     """A number in (0, 1) from a hash of keys: the same wherever the row is computed."""
     return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(2**52)) + 0.5) / float(2**52)
@@ -182,18 +236,37 @@ def sequential_bootstrap(iv: DataFrame, draws: int, replicates: int = 1, seed: i
 
 def status(metrics: DataFrame) -> DataFrame:
     """PASS, WARNING or FAIL from (pbo, dsr, cv_ratio)."""
-    fail = (F.col("pbo") > 0.7) | (F.col("dsr") < 0.80)
-    warn = (F.col("pbo") > 0.3) | (F.col("dsr") < 0.95) | (F.col("cv_ratio") > 0.2)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    fail = yes(F.col("pbo") > 0.7) | yes(F.col("dsr") < 0.80)
+    warn = yes(F.col("pbo") > 0.3) | yes(F.col("dsr") < 0.95) | yes(F.col("cv_ratio") > 0.2)
     return metrics.withColumn("status", F.when(fail, "FAIL").when(warn, "WARNING").otherwise("PASS"))
 
 
-def validate(bt: DataFrame, horizon: int = 7, trials: int = 10) -> DataFrame:
-    """One row per series: fold summary, uniqueness, probabilistic ratios and status of a backtest's returns."""
+def quality(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """(series_id, n_rows, missing_share, n_constant, minority_share): what a data-quality check of a training table looks at."""
+    gaps = sum((F.col(c).isNull().cast("double") for c in features), F.lit(0.0)) / max(1, len(features))
+    flat = sum(((F.min(c) == F.max(c)) | F.min(c).isNull()).cast("long") for c in features)
+    share = F.avg(F.col(label).cast("double"))
+    return df.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_rows"), F.avg(gaps).alias("missing_share"), flat.alias("n_constant"), F.least(share, 1 - share).alias("minority_share"))
+
+
+def validate(bt: DataFrame, horizon: int = 7, trials: int = 10, runs: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
+    """One row per series: fold summary, uniqueness, probabilistic ratios, minimum length and status of a backtest's returns.
+
+    runs: returns of the configurations tried (series_id, config_id, ts, ret), from which the probability of overfitting is
+    estimated; without them it is null and takes no part in the status. scores: cross_validate()'s result, whose spread
+    then stands for that of the walk-forward folds.
+    """
     from . import metrics, portfolio
 
     wf = portfolio.walk_forward_summary(portfolio.walk_forward(bt, 252, 63, 21, include_last=True))
     u = uniqueness(intervals(bt, horizon)).groupBy("series_id").agg(F.avg("uniqueness").alias("mean_uniqueness"))
     p = metrics.sharpe_probabilities(bt, trials)
     d = p.join(u, "series_id").join(wf.select("series_id", "n_folds", "mean_sharpe", "std_sharpe"), "series_id", "left")
-    d = d.withColumns({"pbo": F.lit(0.0), "cv_ratio": F.coalesce(F.try_divide("std_sharpe", F.abs("mean_sharpe")), F.lit(0.0))})
-    return status(d).drop("pbo")
+    ratio = F.try_divide("std_sharpe", F.abs("mean_sharpe"))
+    if scores is not None:
+        d, ratio = d.join(scores, "series_id", "left"), F.coalesce(F.try_divide("cv_std", F.abs("cv_mean")), ratio)
+    d = d.withColumn("cv_ratio", F.coalesce(ratio, F.lit(0.0)))
+    d = d.withColumn("pbo", F.lit(None).cast("double")) if runs is None else d.join(overfitting(runs), "series_id", "left")
+    length = bt.groupBy("series_id").agg(F.count("ret").alias("n_returns"))
+    return status(d.join(length, "series_id").withColumn("long_enough", F.col("n_returns") >= F.col("min_backtest")))

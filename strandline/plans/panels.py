@@ -6,9 +6,10 @@ A panel's roles are dealt to the price series in order of name, over and over, s
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import align, feature_sets
-from .views import PX, Book, px, rolled, rounded
+from ..operators import align, feature_sets, features, signals, validation
+from .views import PX, RET, Book, W, px, returns, rolled, rounded
 
 BOOK = Book()
 query = BOOK.add
@@ -165,3 +166,71 @@ def _weekly_sql() -> str:
 def weekly_feature_set(s, d):
     w = align.resample(px(s, d), "W", "last")
     return rounded(feature_sets.create("weekly", feature_sets.panel(w, roles(w, WEEKLY)), asset="price"), 4)
+
+
+# folds whose members and callables are asked for
+
+
+@query(f"""WITH {PX}, n AS (SELECT series_id, ts, row_number() OVER ({W}) - 1 AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM px), g AS (SELECT *, least(rn // (n // 5), 4) AS g FROM n),
+c AS (SELECT a.g AS a, b.g AS b, row_number() OVER (ORDER BY a.g, b.g) - 1 AS split FROM (SELECT unnest(range(5)) AS g) a JOIN (SELECT unnest(range(5)) AS g) b ON a.g < b.g),
+e AS (SELECT g.*, c.split, c.a, c.b, CASE WHEN c.a = 4 THEN n ELSE (c.a + 1) * (n // 5) END AS ea, CASE WHEN c.b = 4 THEN n ELSE (c.b + 1) * (n // 5) END AS eb, n // 100 AS emb FROM g CROSS JOIN c)
+SELECT series_id, ts, CAST(split AS INTEGER) AS split, CASE WHEN g IN (a, b) THEN 'test' WHEN (rn >= ea AND rn < ea + emb) OR (rn >= eb AND rn < eb + emb) THEN 'embargo' ELSE 'train' END AS role FROM e""")
+def cpcv_members(s, d):
+    return validation.combinatorial_members(px(s, d))
+
+
+def _forward_sql(start: str) -> str:
+    return f"""WITH {RET}, n AS (SELECT series_id, ts, ret, row_number() OVER ({W}) - 1 AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM rt),
+f AS (SELECT *, CAST(unnest(range(CASE WHEN n >= 150 THEN (n - 150) // 20 + 1 ELSE 0 END)) AS INTEGER) AS fold FROM n),
+m AS (SELECT series_id, ts, fold, ret, CASE WHEN rn >= {start} AND rn < fold * 20 + 100 THEN 'train' WHEN rn >= fold * 20 + 100 AND rn < fold * 20 + 150 THEN 'test' END AS role FROM f)"""
+
+
+@query(_forward_sql("0") + " SELECT series_id, ts, fold, role FROM m WHERE role IS NOT NULL")
+def forward_members_expanding(s, d):
+    return validation.walk_forward_members(returns(s, d), 100, 50, 20)
+
+
+@query(_forward_sql("greatest(0, fold * 20 - 100)") + " SELECT series_id, ts, fold, role FROM m WHERE role IS NOT NULL")
+def forward_members_rolling(s, d):
+    return validation.walk_forward_members(returns(s, d), 100, 50, 20, "rolling")
+
+
+@query(_forward_sql("fold * 20") + " SELECT series_id, fold, round(1000 * (avg(ret) FILTER (role = 'test') - avg(ret) FILTER (role = 'train')), 6) AS edge, count(*) FILTER (role = 'train') AS n_train FROM m WHERE role IS NOT NULL GROUP BY series_id, fold")
+def forward_model(s, d):
+    """A model callable per fold."""
+    r = returns(s, d)
+    run = lambda train, test: {"edge": float(1000 * (test["ret"].mean() - train["ret"].mean())), "n_train": len(train)}
+    return rounded(validation.per_fold(validation.walk_forward_members(r, 100, 50, 20, "fixed"), r, run, "edge double, n_train long"))
+
+
+@query(f"""WITH {RET}, n AS (SELECT series_id, ts, ret, row_number() OVER ({W}) - 1 AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM rt), f AS (SELECT *, unnest(range(5)) AS fold FROM n),
+m AS (SELECT series_id, fold, 1000 * avg(ret) FILTER (rn >= fold * (n // 5) AND rn < (fold + 1) * (n // 5)) - 1000 * avg(ret) FILTER (rn < fold * (n // 5) OR rn >= (fold + 1) * (n // 5) + n // 100) AS score FROM f GROUP BY series_id, fold)
+SELECT series_id, count(*) AS n_scores, round(avg(score), 6) AS cv_mean, round(stddev_pop(score), 6) AS cv_std FROM m GROUP BY series_id""")
+def cross_validation(s, d):
+    """A scorer callable over purged folds."""
+    r = returns(s, d)
+    return rounded(validation.cross_validate(r, lambda train, test: 1000 * (test["ret"].mean() - train["ret"].mean()), validation.purged_folds(r)))
+
+
+@query(f"""WITH {PX}, m AS (SELECT series_id, ts, {", ".join(f"value / lag(value, {k}) OVER ({W}) - 1 AS m{k}" for k in (5, 20, 60))} FROM px), x AS (SELECT *, 0.0::DOUBLE AS flat, CAST(coalesce(m5 > 0, false) AS INTEGER) AS label FROM m)
+SELECT series_id, count(*) AS n_rows, round(avg((CAST(m5 IS NULL AS DOUBLE) + CAST(m20 IS NULL AS DOUBLE) + CAST(m60 IS NULL AS DOUBLE) + 0) / 4), 6) AS missing_share, 1 + CAST(count(m60) = 0 AS BIGINT) + CAST(count(m20) = 0 AS BIGINT) + CAST(count(m5) = 0 AS BIGINT) AS n_constant, round(least(avg(label), 1 - avg(label)), 6) AS minority_share FROM x GROUP BY series_id""")
+def data_quality(s, d):
+    x = features.momentum(px(s, d), [5, 20, 60]).withColumns({"flat": F.lit(0.0), "label": F.coalesce((F.col("mom_5") > 0).cast("int"), F.lit(0))})
+    return rounded(validation.quality(x, ["mom_5", "mom_20", "mom_60", "flat"], "label"))
+
+
+@query(f"""WITH {PX}, m AS (SELECT series_id, ts, {" + ".join(f"CAST(coalesce(value / lag(value, {k}) OVER ({W}) - 1 > 0, false) AS INTEGER)" for k in (5, 20, 60))} AS c FROM px), e AS (SELECT *, c >= 2 AS on_, coalesce(lag(c >= 2) OVER ({W}), false) AS was FROM m)
+SELECT series_id, CAST(sum(CAST(on_ AND NOT was AS INTEGER)) AS BIGINT) AS n_signals, round(avg(CAST(on_ AND NOT was AS INTEGER)), 6) AS signal_share, round(avg(c) FILTER (isodow(ts) = 1), 6) AS monday_confirmations FROM e GROUP BY series_id""")
+def signal_statistics(s, d):
+    c = features.confirmations(px(s, d), [5, 20, 60]).withColumn("_pos", F.col("n_confirmed") >= 2)
+    return rounded(signals.statistics(signals.edges(c)))
+
+
+@query(f"""WITH {RET}, c AS (SELECT series_id, k AS config_id, ts, CASE WHEN rn % (k + 2) = 0 THEN 0 ELSE ret END AS ret, row_number() OVER (PARTITION BY series_id, k ORDER BY ts) AS rk, count(*) OVER (PARTITION BY series_id, k) AS n FROM rt CROSS JOIN (SELECT unnest(range(5)) AS k) q),
+g AS (SELECT series_id, config_id, coalesce(avg(ret) / stddev_samp(ret), 0) AS s FROM c WHERE rk > floor(n * 0.5) GROUP BY series_id, config_id), m AS (SELECT *, quantile_cont(s, 0.5) OVER (PARTITION BY series_id) AS md FROM g)
+SELECT series_id, round(avg(CAST(s < md AS DOUBLE)), 6) AS pbo FROM m GROUP BY series_id""")
+def overfitting_by_series(s, d):
+    from ..functions import ordered as o
+
+    r = returns(s, d).withColumn("rn", F.row_number().over(o.series())).withColumn("config_id", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    return rounded(validation.overfitting(r.withColumn("ret", F.when(F.col("rn") % (F.col("config_id") + 2) == 0, F.lit(0.0)).otherwise(F.col("ret")))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -116,9 +117,10 @@ def mapping(keys: Mapping[str, str]) -> list[tuple[str, str, str, str]]:
 class HistorySource(DataSource):
     """Vendor history as a Spark data source: spark.read.format("series_history").
 
-    Options: tickers and fields (comma-separated), start, end, override, and provider, "package.module:function", which
-    gives (date, value) pairs for (ticker, field, start, end, override). One partition per ticker and field, so that
-    requests run side by side; a vendor's own library is only touched by its provider.
+    Options: pairs (a JSON list of [ticker, field]) or tickers and fields (comma-separated: all pairs of them), start,
+    end, override, and provider, "package.module:function", which gives (date, value) pairs for (ticker, field, start,
+    end, override). One partition per ticker and field, so that requests run side by side; a vendor's own library is
+    only touched by its provider.
     """
 
     @classmethod
@@ -143,6 +145,8 @@ class _HistoryReader(DataSourceReader):
         self.o = dict(options)
 
     def partitions(self) -> list[InputPartition]:
+        if "pairs" in self.o:
+            return [_Request(t, f) for t, f in json.loads(self.o["pairs"])]
         return [_Request(t.strip(), f.strip()) for t in self.o["tickers"].split(",") for f in self.o["fields"].split(",")]
 
     def read(self, p: _Request) -> Iterator[tuple]:
@@ -165,17 +169,23 @@ def fixture_provider(ticker: str, field_: str, start: str | None, end: str | Non
 
 
 def history(spark: SparkSession, keys: Mapping[str, str], provider: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Prices of the mapped (ticker, field, override) keys under their column names; each override is a request of its
-    own, aligned to the dates of the first series fetched."""
+    """Prices of the mapped (ticker, field, override) keys under their column names. Only mapped pairs are asked for.
+
+    Series without an override keep all their dates. Overrides are requests of their own; their series are aligned to the
+    dates of the first of them, in the order of the keys, that has any.
+    """
     spark.dataSource.register(HistorySource)
     maps = mapping(keys)
-    m = spark.createDataFrame(maps, "ticker string, field string, override string, series_id string")
+    m = spark.createDataFrame([(*x, i) for i, x in enumerate(maps)], "ticker string, field string, override string, series_id string, _no int")
     out = None
     for override in sorted({x[2] for x in maps}):
-        part = [x for x in maps if x[2] == override]
-        r = spark.read.format("series_history").option("provider", provider).option("tickers", ",".join(sorted({x[0] for x in part}))).option("fields", ",".join(sorted({x[1] for x in part}))).option("override", override)
+        pairs = sorted({(t, f) for t, f, o, _ in maps if o == override})
+        r = spark.read.format("series_history").option("provider", provider).option("pairs", json.dumps(pairs)).option("override", override)
         r = r.option("start", start) if start else r
-        d = (r.option("end", end) if end else r).load().join(F.broadcast(m), ["ticker", "field", "override"]).select("series_id", "ts", "value")
+        d = (r.option("end", end) if end else r).load().join(F.broadcast(m), ["ticker", "field", "override"])  # the mapping
         out = d if out is None else out.unionByName(d)
-    first = next(x[3] for x in maps)
-    return out.join(out.where(F.col("series_id") == first).select("ts").distinct(), "ts", "left_semi").select("series_id", "ts", "value")
+    over = out.where("override <> ''")
+    if not any(x[2] for x in maps):
+        return out.select("series_id", "ts", "value")
+    first = over.select("ts", "_no").join(F.broadcast(over.agg(F.min("_no").alias("_first"))), F.col("_no") == F.col("_first")).select("ts").distinct()  # one row
+    return out.where("override = ''").unionByName(over.join(first, "ts", "left_semi")).select("series_id", "ts", "value")

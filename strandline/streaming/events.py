@@ -31,18 +31,20 @@ def sessions(events: DataFrame, gap: str = "30 minutes", lateness: str = "1 day"
 
 
 def held_signals(events: DataFrame, threshold: float, hold: int) -> DataFrame:
-    """A value above the threshold holds a user's signal for so many events; values within a hold are passed over."""
+    """A value above the threshold holds a user's signal for so many events; values within a hold are passed over.
+
+    A trigger's events of a user are folded in order of time, however many Arrow batches they come in; an event that is
+    late by a trigger counts when it arrives.
+    """
 
     def run(key, batches, state: GroupState):
-        left = state.get[0] if state.exists else 0
-        for b in batches:
-            b, out = b.sort_values(["ts", "event_id"]), []
-            for v in b["value"]:
-                on = left > 0 or v > threshold
-                left = left - 1 if left > 0 else (hold - 1 if v > threshold else 0)
-                out.append(on)
-            yield pd.DataFrame({"user_id": b["user_id"], "event_id": b["event_id"], "held": out})
+        left, out = state.get[0] if state.exists else 0, []
+        b = pd.concat(list(batches)).sort_values(["ts", "event_id"])  # what one user did within a trigger
+        for v in b["value"]:
+            out.append(left > 0 or v > threshold)
+            left = left - 1 if left > 0 else (hold - 1 if v > threshold else 0)
         state.update((left,))
+        yield pd.DataFrame({"user_id": b["user_id"].to_numpy(), "event_id": b["event_id"].to_numpy(), "held": out})
 
     return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, held boolean", "rows int", "append", GroupStateTimeout.NoTimeout)
 
