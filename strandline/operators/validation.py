@@ -194,6 +194,12 @@ def synthetic_paths(returns: DataFrame, n_paths: int, n_rows: int, method: str =
     return d.select("series_id", "sim", "step", "ret", (F.lit(start) * F.product(1 + F.col("ret")).over(o.so_far(w))).alias("value"))
 
 
+def path_summary(paths: DataFrame) -> DataFrame:
+    """(series_id, sim, n, total_return, last, low): a row per simulated path."""
+    end = F.max_by("value", "step")
+    return paths.groupBy("series_id", "sim").agg(F.count(F.lit(1)).alias("n"), (F.product(1 + F.col("ret")) - 1).alias("total_return"), end.alias("last"), F.min("value").alias("low"))
+
+
 def robustness(paths: DataFrame, strategy: Callable[[pd.DataFrame], dict] | None = None) -> DataFrame:
     """Mean, deviation, extremes and success share over simulated paths of a statistic, by default the total return; a
     Python strategy gets one path at a time and gives {'total_return': x}."""

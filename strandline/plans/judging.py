@@ -10,6 +10,7 @@ from ..functions import ordered as o
 from ..operators import bars, features, learn, metrics, signals, validation
 from ..streaming import events as stream
 from .trading import _bt
+from ..session import shared_dir
 from .views import FLOW, PX, RET, TICKS, Book, W, flow, px, returns, rolled, rounded, table, ticks
 
 BOOK = Book()
@@ -176,24 +177,31 @@ def pbo(s, d):
     return rounded(validation.pbo(returns(s, d).select(F.col("series_id").alias("config_id"), "ts", "ret")))
 
 
+def _simulated(s, d, method: str):
+    """1,000 paths of each series, as long as the longest."""
+    r = returns(s, d).select("series_id", "ts", "ret")
+    rows = r.groupBy("series_id").count().agg(F.max("count")).first()[0]
+    return validation.synthetic_paths(r, 1000, rows, method)
+
+
 @query()
 def synthetic_paths(s, d):
-    return validation.synthetic_paths(returns(s, d).select("series_id", "ts", "ret"), 5, 50)
+    return validation.path_summary(_simulated(s, d, "normal"))
 
 
 @query()
 def bootstrap_paths(s, d):
-    return validation.synthetic_paths(returns(s, d).select("series_id", "ts", "ret"), 5, 50, "bootstrap")
+    return validation.path_summary(_simulated(s, d, "bootstrap"))
 
 
 @query()
 def robustness(s, d):
-    return validation.robustness(validation.synthetic_paths(returns(s, d).select("series_id", "ts", "ret"), 20, 60))
+    return validation.robustness(_simulated(s, d, "normal"))
 
 
 @query()
 def sequential_bootstrap(s, d):
-    return validation.sequential_bootstrap(validation.intervals(px(s, d), 7), 40, 2)
+    return validation.sequential_bootstrap(validation.intervals(px(s, d), 7), 1_000_000)  # as many draws as labels
 
 
 @query("SELECT name, pbo, dsr, cv_ratio, CASE WHEN pbo > 0.7 OR dsr < 0.80 THEN 'FAIL' WHEN pbo > 0.3 OR dsr < 0.95 OR cv_ratio > 0.2 THEN 'WARNING' ELSE 'PASS' END AS status FROM (SELECT r_name AS name, r_regionkey / 5.0::DOUBLE AS pbo, 1 - r_regionkey / 50.0::DOUBLE AS dsr, r_regionkey / 10.0::DOUBLE AS cv_ratio FROM region) q")
@@ -286,7 +294,7 @@ def boosting_signals(s, d):
 
 @query()
 def bootstrap_ci(s, d):
-    return learn.bootstrap_cagr(returns(s, d), 50)
+    return learn.bootstrap_cagr(returns(s, d), 1000)
 
 
 # bars and microstructure
@@ -364,9 +372,12 @@ def hurst(s, d):
     return rounded(bars.hurst(returns(s, d)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PX}, r AS (SELECT * FROM (SELECT series_id, ts, value / lag(value) OVER ({W}) - 1 AS r FROM px) q WHERE r IS NOT NULL), n AS (SELECT *, row_number() OVER ({W}) AS rn FROM r),
+e AS (SELECT series_id, ts, rn, r AS m, r * r AS v FROM n WHERE rn = 1
+  UNION ALL SELECT n.series_id, n.ts, n.rn, e.m + (2.0 / 21) * (n.r - e.m), e.v + (2.0 / 21) * (n.r * n.r - e.v) FROM e JOIN n ON n.series_id = e.series_id AND n.rn = e.rn + 1)
+SELECT series_id, ts, round(sqrt(greatest(0, v - m * m)), 5) AS ewm_vol FROM e""")
 def ewm_volatility(s, d):
-    return bars.daily_volatility(px(s, d)).select("series_id", "ts", "ewm_vol")
+    return rounded(bars.daily_volatility(px(s, d)).select("series_id", "ts", "ewm_vol"), 5)
 
 
 @query()
@@ -397,8 +408,7 @@ def _stream(s, d):
 
 
 def _shared(s) -> str:
-    base = s.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/strandline"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -407,6 +417,9 @@ def stream_tumbling(s, d):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+h AS (SELECT user_id, event_id, rn, value > 400 AS held, CASE WHEN value > 400 THEN 2 ELSE 0 END AS rest FROM n WHERE rn = 1
+  UNION ALL SELECT n.user_id, n.event_id, n.rn, h.rest > 0 OR n.value > 400, CASE WHEN h.rest > 0 THEN h.rest - 1 WHEN n.value > 400 THEN 2 ELSE 0 END FROM h JOIN n ON n.user_id = h.user_id AND n.rn = h.rn + 1)
+SELECT user_id, event_id, held FROM h""")
 def stream_holds(s, d):
     return stream.run_once(stream.held_signals(_stream(s, d), 400.0, 3), f"holds_{uuid.uuid4().hex[:8]}", _shared(s))

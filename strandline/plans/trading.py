@@ -290,7 +290,7 @@ def rule_fitness(s, d):
 @query()
 def ga_search(s, d):
     f = features.zscores(features.momentum(returns(s, d).select("series_id", "ts", "value"), [5, 10]), [20])
-    found = genetic.Search(genetic.thresholds(f, ["mom_5", "mom_10", "z_20"])).run(f, population=8, generations=2, elite=3)
+    found = genetic.Search(genetic.thresholds(f, ["mom_5", "mom_10", "z_20"])).run(f, population=120, generations=3, elite=25)
     return s.createDataFrame([(i, genetic.text_of(x["rule"]), float(x["total_return"]), float(x["fitness"])) for i, x in enumerate(found)], "rank int, rule string, total_return double, fitness double")
 
 

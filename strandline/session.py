@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +18,13 @@ def get_session(app: str = "strandline", cpus: int | str = "*", shuffle_partitio
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local one in local mode, as in
+    tests; on a cluster, whose executors would each write to a disk of their own, an error."""
+    if (dir_ := spark.conf.get("spark.checkpoint.dir", None)) is not None:
+        return dir_.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "/tmp/checkpoints/strandline"
