@@ -137,10 +137,10 @@ class Chain:
                 into = np.cumsum(train) - 1
                 use = train[row]
                 m = Linear(at[use], into[row[use]], int(train.sum()), y[train], fed[train])
-                oof[~train] = m.logits(at, row, n, fed)[~train]
+                oof[~train] = sigmoid(m.logits(at, row, n, fed))[~train]
             self.models.append(Linear(at, row, n, y, fed))
-            fed = np.column_stack([fed, np.clip(oof, -8, 8)])
-        self.threshold = best_threshold(sigmoid(fed[:, -1]), labels[:, -1]) if n else 1.0
+            fed = np.column_stack([fed, oof])
+        self.threshold = best_threshold(fed[:, -1], labels[:, -1]) if n else 1.0
 
     def probabilities(self, bags: Sequence[np.ndarray]) -> np.ndarray:
         n = len(bags)
@@ -148,8 +148,8 @@ class Chain:
         at = np.concatenate(bags) if n else np.zeros(0, dtype=np.int32)
         fed = np.zeros((n, 0))
         for m in self.models:
-            fed = np.column_stack([fed, np.clip(m.logits(at, row, n, fed), -8, 8)])
-        return sigmoid(fed)
+            fed = np.column_stack([fed, sigmoid(m.logits(at, row, n, fed))])
+        return fed
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -189,10 +189,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def predict(docs: DataFrame, model: Chain | None, id_col: str = "doc_id", text_col: str = "text", chain: Sequence[tuple[str, str, int]] = CHAIN) -> DataFrame:
-    """Per row: id, p_<category> for each of the chain, and the last category as boolean.
+    """Per row: id, p_<category> for each of the chain, and the last category as boolean: its probability is at least the
+    threshold.
 
     Null texts and texts without words are false with probability 0, as is every row without a model. Repeated rows are
-    scored alike; other columns play no part.
+    scored alike; long texts are scored whole, by their distinct words; other columns play no part. An empty table gives
+    an empty result.
     """
     names = [name for name, _, _ in chain]
     if model is None:

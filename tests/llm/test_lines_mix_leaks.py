@@ -105,6 +105,20 @@ def test_mix_takes_its_targets(make):
     assert mixing.assign_positions(make([])).count() == 0
 
 
+def test_thousands_of_sources(make):
+    a = mixing.assign_positions(make([(i, "w " * (1 + i % 9), "en", f"s{i % 3000}") for i in range(6000)])).toPandas()
+    per = a.groupby("source").agg(taken=("taken", "sum"), target=("target", "max"), size=("source_size", "max"))
+    assert len(per) == 3000 and (abs(per["taken"] - per["target"]) <= 0.5 + 1e-9).all() and (per["target"] <= 2 * per["size"] + 1e-9).all()
+    assert per["target"].sum() == pytest.approx(1.5 * per["size"].sum())
+
+
+def test_first_words_cut(make):
+    rows = [(1, "  a b\tc\n\nd  "), (2, "one"), (3, None), (4, ""), (5, "x " * 100_000)]
+    cut = lambda n: {r.doc_id: r.t for r in make(rows).select("doc_id", mixing.first_words("text", F.lit(n)).alias("t")).collect()}
+    assert cut(3) == {1: "  a b\tc", 2: "one", 3: None, 4: "", 5: "x x x"} and cut(4)[1] == "  a b\tc\n\nd" and cut(9)[1] == rows[0][1]
+    assert cut(60_000)[5] == "x " * 59_999 + "x"
+
+
 def test_positions_invert_the_schedule(spark):
     d = spark.range(101).select((F.col("id") / 100).alias("y"))
     for k, knots in enumerate(mixing.SCHEDULES):

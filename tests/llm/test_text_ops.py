@@ -256,6 +256,83 @@ def test_toxicity_learns_and_handles_edges(spark, documents, small, make):
     assert not toxicity.predict(documents, toxicity.fit(documents, labels.limit(0))).where("toxic").count()
 
 
+def plain_logistic(x, y, penalty=1.0):
+    """The optimum by Newton's method, the intercept free of the penalty."""
+    a = np.column_stack([x, np.ones(len(x))])
+    w, shrink = np.zeros(a.shape[1]), np.diag([penalty] * x.shape[1] + [0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ w))
+        w -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + shrink, a.T @ (p - y) + shrink @ w)
+    return w
+
+
+def test_chain_matches_brute_force():
+    """Each model is the optimum on its chosen features and what it is fed: out-of-fold probabilities in training, the
+    model's own in use."""
+    rng = np.random.default_rng(5)
+    bags = [np.unique(rng.integers(0, 12, 5)).astype(np.int32) for _ in range(240)]
+    y = np.array([[int(3 in b) ^ int(rng.random() < 0.1), int(3 in b or 7 in b) ^ int(rng.random() < 0.1)] for b in bags])
+    fold = np.arange(240) % toxicity.FOLDS
+    c = toxicity.Chain(bags, y, fold)
+    dense = np.array([[float(k in b) for k in range(12)] for b in bags])
+
+    def chosen(rows, labels):
+        n, pos = dense[rows].sum(axis=0), dense[rows][labels == 1].sum(axis=0)
+        e = n * labels.mean()
+        chi = np.where(n >= toxicity.LEAST_TEXTS, (pos - e) ** 2 / np.maximum(e * (1 - labels.mean()), 1e-9), 0)
+        return np.array([k for k in range(12) if chi[k] > 0])
+
+    def scores(x, w):
+        return 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+
+    oof = np.zeros(240)
+    for f in range(toxicity.FOLDS):
+        on, off = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        top = chosen(on, y[on, 0])
+        oof[off] = scores(dense[off][:, top], plain_logistic(dense[on][:, top], y[on, 0]))
+    every = np.arange(240)
+    top0, top1 = chosen(every, y[:, 0]), chosen(every, y[:, 1])
+    w0 = plain_logistic(dense[:, top0], y[:, 0])
+    w1 = plain_logistic(np.column_stack([dense[:, top1], oof]), y[:, 1])
+    first = scores(dense[:, top0], w0)
+    want = np.column_stack([first, scores(np.column_stack([dense[:, top1], first]), w1)])
+    assert np.abs(c.probabilities(bags) - want).max() < 2e-3
+
+
+def test_toxicity_edges(spark, make):
+    rows = [(i, ("vile nasty awful " if i % 3 == 0 else "kind gentle sweet ") * (1 + i % 4) + f"word{i % 7}") for i in range(90)]
+    rows += [(500, "vile " * 100_000), (501, "kind"), (0, rows[0][1]), (0, rows[0][1])]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)] + [(None, 1, 1), (7, None, 1)], "doc_id long, quality int, toxic int")
+    m = toxicity.fit(make(rows, clash=True), labels)
+    got = toxicity.predict(make(rows, clash=True), m).toPandas()
+    assert len(got) == len(rows) and got[got.doc_id == 500].toxic.all() and not got[got.doc_id == 501].toxic.any()
+    assert got[got.doc_id == 0]["p_toxic"].nunique() == 1 and (got[got.doc_id < 90].toxic == (got[got.doc_id < 90].doc_id % 3 == 0)).all()
+    assert toxicity.predict(make([]), m).count() == 0 and toxicity.fit(make([]), labels) is None
+    assert toxicity.best_threshold(np.array([0.9, 0.5, 0.5, 0.1]), np.array([1, 1, 0, 0])) <= 0.5  # of equal probabilities all or none
+
+
+def test_language_ties_and_repeated_rows(make):
+    same = [(i, "abc abd bcd abc", x) for i, x in enumerate(("bb", "aa", "aa", "bb"))]
+    m = langid.Models.gathered(langid.gram_counts(make(same)))
+    got = langid.predict(make([(1, "abc abd"), (1, "abc abd"), (2, "ABC")]), m).collect()
+    assert [r.lang_pred for r in got] == ["aa"] * 3  # equal entropies: the first by name
+    assert len({(r.score, r.cross_entropy) for r in got if r.doc_id == 1}) == 1 and langid.predict(make([]), m).count() == 0
+
+
+def test_values_on_the_fence_stay(make, monkeypatch):
+    """Bands of no width beyond the least: texts at the very fence are kept, those beyond are not."""
+    text = " ".join(f"word{i}" for i in range(391))
+    rows = [(i, text) for i in range(60)] + [(60, text + " word1")]
+    d = make(rows)
+    base = fertility.measures(d).where("doc_id < 2").toPandas()
+    other = fertility.measures(d).where("doc_id = 60").toPandas()
+    by = abs(other["chars_per_token"][0] - round(base["chars_per_token"][0], 3))
+    for width, stays in ((by * 1.0001, True), (by * 0.9, False)):
+        monkeypatch.setattr(fertility, "LEAST_RANGE", {"chars_per_token": width, "fallback_share": 1.0, "token_entropy": 1.0})
+        kept = {r.doc_id for r in fertility.verdicts(d, fence=1.0).where("kept").collect()}
+        assert (60 in kept) == stays
+
+
 def test_later_models_see_out_of_fold_probabilities():
     rng = np.random.default_rng(0)
     bags = [rng.integers(0, 50, 8).astype(np.int32) for _ in range(300)]
