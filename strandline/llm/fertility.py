@@ -23,8 +23,8 @@ TOKENIZERS = "/opt/tokenizers"
 SYMBOLS = "#*$%&|<>"
 #: Fences: quartiles plus or minus this many interquartile ranges, each at least so wide; texts of fewer words than
 #: EVEN_WORDS get wider ones, by the square root of what they lack, as a mean over fewer tokens scatters more. FENCE is the
-#: narrowest of 1.25, 1.5, 2, 2.5, 3 and 3.5 that rejected at most 0.5 % of the good texts in one half of the labels of sf0.1.
-FENCE = 2.0
+#: narrowest of 1.25, 1.5, 2, 2.5, 3 and 3.5 that rejected at most 0.2 % of the good texts in one half of the labels of sf0.1.
+FENCE = 2.5
 LEAST_RANGE = {"chars_per_token": 0.05, "fallback_share": 0.02, "token_entropy": 0.03}
 EVEN_WORDS = 300
 #: A language with fewer measured texts takes the wider of its own bands and those of its script, whatever the language; if
