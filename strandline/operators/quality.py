@@ -122,6 +122,13 @@ def coverage(df: DataFrame, least: float = 0.5) -> DataFrame:
     return df.groupBy(*KEY).agg(share.alias("share"), F.when(F.count("value") == 0, "failed").when(share < least, "partial").otherwise("success").alias("status"))
 
 
+def extent(df: DataFrame, rows: int = 3) -> DataFrame:
+    """Per series: first and last date, rows, and the values of its first and last ``rows`` rows, in order."""
+    d = df.withColumns({"_up": F.row_number().over(W()), "_n": F.count(F.lit(1)).over(o.Window.partitionBy(*KEY))})
+    some = lambda on: F.transform(F.array_sort(F.collect_list(F.when(on, F.struct("_up", "value")))), lambda z: z["value"])
+    return d.groupBy(*KEY).agg(F.min("ts").alias("first_date"), F.max("ts").alias("last_date"), F.count(F.lit(1)).alias("n_rows"), some(F.col("_up") <= rows).alias("head"), some(F.col("_up") > F.col("_n") - rows).alias("tail"))
+
+
 def profile(df: DataFrame, columns: Sequence[str] = ("value",)) -> DataFrame:
     """Per series: count, mean, deviation, quartiles, extremes, skewness and kurtosis of each column."""
     made = []

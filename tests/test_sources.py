@@ -58,3 +58,13 @@ def test_sinks(spark, tmp_path):
     sinks.write_csv(d, f"{tmp_path}/csv", one_file=True)
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 1
     assert "1.0000" in sinks.report("T", d)
+
+
+def test_reports_tell_what_they_leave_out(spark, tmp_path):
+    d = spark.range(5).selectExpr("id", "cast(id as double) / 3 as x")
+    text = sinks.report("Rows", d.orderBy("id"), 2)
+    assert "... and 3 more rows" in text and "0.3333" in text and "1.3333" not in text and "more rows" not in sinks.report("Rows", d)
+    whole = sinks.full_report("Run", performance=d, trade_blotter=d.limit(0))
+    assert "Performance" in whole and "Trade blotter" in whole and len(whole.splitlines()) > 12
+    sinks.write_text(spark, whole, f"{tmp_path}/r")
+    assert spark.read.text(f"{tmp_path}/r").count() == len(whole.split("\n"))
