@@ -128,8 +128,10 @@ def zscore(x: str | Column, n: int, w: WindowSpec) -> Column:
 
 
 def rolling_corr(a: str | Column, b: str | Column, n: int, w: WindowSpec) -> Column:
-    both = F.when(col(a).isNotNull() & col(b).isNotNull(), 1)
-    return F.when(F.count(both).over(last_rows(w, n)) >= n, F.corr(col(a), col(b)).over(last_rows(w, n)))
+    """Null where either side doesn't vary (corr() raises there)."""
+    both, f = col(a).isNotNull() & col(b).isNotNull(), last_rows(w, n)
+    x, y = F.when(both, col(a)), F.when(both, col(b))
+    return F.when(F.count(x).over(f) >= n, F.try_divide(F.covar_samp(x, y).over(f), F.stddev_samp(x).over(f) * F.stddev_samp(y).over(f)))
 
 
 # runs

@@ -44,7 +44,7 @@ def move(x: str, k: int) -> str:
 
 
 def z(x: str, n: int) -> str:
-    return f"(({x} - {roll('avg({})', x, n)}) / {roll('stddev_samp({})', x, n)})"
+    return f"(({x} - {roll('avg({})', x, n)}) / nullif({roll('stddev_samp({})', x, n)}, 0))"
 
 
 def yes(c: str) -> str:
@@ -156,7 +156,7 @@ def _weekly_sql() -> str:
     for n in (4, 8, 12, 26):
         x |= {f"target_sma_{n}": roll("avg({})", "price", n), f"target_dist_sma_{n}": f"price / {roll('avg({})', 'price', n)} - 1"}
     x |= {f"target_zscore_{n}w": z("price", n) for n in (8, 12)}
-    x["target_tsx_corr_12w"] = f"CASE WHEN count(price) OVER ({O} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) >= 12 THEN corr(price, tsx) OVER ({O} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) END"
+    x["target_tsx_corr_12w"] = f"({roll('covar_samp({}, tsx)', 'price', 12)} / nullif({roll('stddev_samp({})', 'price', 12)} * {roll('stddev_samp({})', 'tsx', 12)}, 0))"
     x["vix_high"] = yes(f"vix > {roll('quantile_cont({}, 0.75)', 'vix', 12)}")
     cols = ", ".join(f"{v} AS {c}" for c, v in x.items())
     return f"WITH {WEEKS}, {panel_sql(WEEKLY, 'wk')}, {t}, x AS (SELECT ts, {cols} FROM t)\nSELECT 'all' AS panel_id, ts, {', '.join(f'round({c}, 4) AS {c}' for c in x)} FROM x WHERE {' AND '.join(f'{c} IS NOT NULL' for c in x)}"
