@@ -111,7 +111,7 @@ def _share(et: str, e: str, t: str) -> Column:
     return F.try_divide(F.log2(F.col(et) * F.col("_n") / (F.col(e) * F.col(t))), F.log2(F.col("_n") / F.col(e)))
 
 
-def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text", generalise: float = 0.9, support: int = 3) -> DataFrame:
+def disclosures(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = 0.9, support: int = 3) -> DataFrame:
     """(_kt, term, share) of the terms that give away an entity of the text: PMI / IC of at least ``generalise``, and at
     least ``support`` distinct texts hold both. Counts are over all distinct texts.
 
@@ -130,9 +130,15 @@ def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text", gener
     pairs = words.select("_kt", "_tv", "_t").distinct().join(held, "_kt").where(F.col("_t") <= reach("_e"))
     pairs = pairs.groupBy("_ev", "_e", "_tv", "_t", "_n").agg(F.count(F.lit(1)).alias("_et")).where((F.col("_et") >= support) & (_share("_et", "_e", "_t") >= generalise))
     pairs = written(pairs.join(words.select("_tv", "term").distinct(), "_tv").select("_ev", "_e", "_et", "_n", "term"), "pii-pairs")
-    bag = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(text_col)).alias("_kt"), F.explode(terms_of(F.col(text_col))).alias("term")).select("_kt", F.xxhash64("term").alias("_h"))
     pairs = pairs.withColumn("_h", F.xxhash64("term"))
-    of_term = bag.join(if_small(pairs.select("_h").distinct(), BROADCAST_HASHES), "_h", "left_semi").distinct().groupBy("_h").agg(F.count(F.lit(1)).alias("_t"))
+    # a text counts once: rows weigh 1, but for copies, of which only those of one key count, together as one
+    keys = found.groupBy("_kt", "_k1", "_k2").agg(F.count(F.lit(1)).alias("_r"))
+    one = keys.groupBy("_kt").agg(F.sum("_r").alias("_m"), F.min(F.struct("_k1", "_k2")).alias("_rep")).where("_m > 1")
+    copies = keys.join(one, "_kt").select("_k1", "_k2", F.when(F.struct("_k1", "_k2") == F.col("_rep"), 1 / F.col("_r")).otherwise(0.0).alias("_weight"))
+    texts = docs.where(F.col(text_col).isNotNull()).select(*row_key(id_col, text_col), F.col(text_col).alias("_t"))
+    texts = texts.join(if_small(written(copies, "pii-copies")), ["_k1", "_k2"], "left").where("_weight is null or _weight > 0")
+    bag = texts.select(F.coalesce("_weight", F.lit(1.0)).alias("_weight"), F.explode(terms_of(F.col("_t"))).alias("term")).select("_weight", F.xxhash64("term").alias("_h"))
+    of_term = bag.join(if_small(pairs.select("_h").distinct(), BROADCAST_HASHES), "_h", "left_semi").groupBy("_h").agg(F.round(F.sum("_weight")).alias("_t"))
     told = pairs.join(of_term, "_h").withColumn("share", _share("_et", "_e", "_t")).where(F.col("share") >= generalise).select("_ev", "term", "share")
     told = written(told, "pii-told")
     here = words.join(if_small(told.select("term").distinct()), "term", "left_semi").select("_kt", "term").join(held.select("_kt", "_ev"), "_kt")
@@ -151,7 +157,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gener
     are searched whole. Other columns play no part. An empty table gives an empty result.
     """
     found = written(find(docs, id_col, text_col), "pii-found")
-    told = disclosures(docs, found, text_col, generalise, support)
+    told = disclosures(docs, found, id_col, text_col, generalise, support)
     told = written(told.groupBy("_kt").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_told")), "pii-texts")  # at most a text's own terms
     d = docs.select(*row_key(id_col, text_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_kt"), F.col(text_col).alias("_t"))
     some = told.agg(F.sum(F.size("_told"))).first()[0] or 0
