@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, fertility, html_extract, langid, line_dedup, mixing, ngram_join, pii, toxicity
+from . import chat_format, collocations, decontam, exact_dedup, fertility, hard_negatives, html_extract, langid, line_dedup, mixing, ngram_join, pii, toxicity
 from .common import table
 
 
@@ -63,6 +63,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark_copies(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return hard_negatives.mine(v.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_join": op2_ngram_join,
@@ -74,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fertility": op9_fertility,
     "op8_mixing": op8_mixing,
     "op10_decontamination": op10_decontamination,
+    "op11_collocations": op11_collocations,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _UNITS, _NUMBERS = "|".join(decontam.UNITS), "|".join(decontam.NUMBERS)
@@ -295,5 +311,46 @@ g AS (
 )
 SELECT doc_id, item_id, n_windows, n AS n_hits, n_slots, changed = 0 AS exact
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, changed, n_slots DESC) AS r FROM g) q WHERE r = 1
+""",
+    "op11_collocations": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text, row_number() OVER () AS row FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+pos AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM pos CROSS JOIN range(1, 6) r(m) WHERE i + m - 1 <= len(ws)),
+f AS (SELECT lang, phrase, m, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+p AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE f >= 100),
+cut AS (SELECT lang, phrase, m, f, array_to_string(ws[:k], ' ') AS first, array_to_string(ws[k + 1:], ' ') AS rest, k FROM (SELECT *, unnest(range(1, m)) AS k FROM p WHERE m > 1) q),
+s AS (
+  SELECT cut.lang, cut.phrase, cut.f AS a, l.f AS l, r.f AS r, n.n, CAST((1000::HUGEINT * cut.f * n.n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score, k
+  FROM cut JOIN p l ON cut.lang = l.lang AND cut.first = l.phrase JOIN p r ON cut.lang = r.lang AND cut.rest = r.phrase JOIN n ON cut.lang = n.lang
+),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, f, array_to_string(ws[i:j], ' ') AS phrase FROM p CROSS JOIN range(1, 6) x(i) CROSS JOIN range(1, 6) y(j) WHERE i <= j AND j <= m AND j - i + 1 < m),
+longer AS (SELECT lang, phrase, max(f) AS f FROM inside GROUP BY lang, phrase)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank, b.phrase, a, l, r, n, score
+FROM b LEFT JOIN longer ON b.lang = longer.lang AND b.phrase = longer.phrase WHERE longer.f IS NULL OR 100 * longer.f < 100 * a
+QUALIFY rank <= 2000
+""",
+    "op12_exact_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
+SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER g = 1 AS kept, sha256(norm) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id)
+""",
+    "op13_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 3
 """,
 }

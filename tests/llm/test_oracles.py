@@ -14,7 +14,7 @@ from strandline.llm import fertility, queries
 
 def connected(spark, small):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE TABLE {t} AS SELECT * FROM '{small}/{t}.parquet'")
     return con
 
