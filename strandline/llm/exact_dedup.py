@@ -10,6 +10,7 @@ range.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ def _range_of(key: Column, splitters: list[str]) -> Column:
     return F.transform(F.array(upto(heads)), lambda c: F.when(c == 0, 0).otherwise((c - 1) * b + upto(F.get(rest, c - 1))))[0]
 
 
-def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None, samples: int = SAMPLES) -> DataFrame:
+def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None, samples: int = SAMPLES, keep: Sequence[str] | None = None) -> DataFrame:
     """docs plus ``keep_id`` (id of the row that stays), ``group_size`` (long), ``kept`` (boolean) and ``text_sha256``
     (lowercase hex of the normalised text in UTF-8), a row for every row.
 
@@ -67,15 +68,16 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     - Null text counts as empty, and empty and blank texts are equal; each is its own length long.
     - Repeated rows (same id, equal text) are a group as any other: one of them, any, stays.
     - Long texts travel once, whole, in a shuffle and a sort that spill. An empty table gives an empty result.
-    - Other columns pass through; columns of the four names above are replaced.
+    - Other columns pass through; columns of the four names above are replaced. ``keep`` names the columns to pass
+      through, if not all are wanted: the text then travels once, normalised, and is never written.
 
     ``ranges`` (RANGES for each shuffle partition if None) and ``samples`` only say how rows are dealt out.
     """
     spark = docs.sparkSession
     ranges = ranges or RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = [c for c in docs.columns if c not in RESULTS]
-    src = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)])
-    doc_id, text = f"_c{names.index(id_col)}", f"_c{names.index(text_col)}"
+    names = [c for c in (docs.columns if keep is None else keep) if c not in RESULTS]
+    doc_id, text = "_doc", "_text"
+    src = docs.select(F.col(f"`{id_col}`").alias(doc_id), F.col(f"`{text_col}`").alias(text), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)])
     splitters = _splitters(src.select(doc_id, text), doc_id, text, ranges, samples)
 
     d = src.withColumns({"_norm": normalised(F.col(text)), "_n": F.coalesce(F.char_length(text), F.lit(0)).cast("long")})
@@ -89,7 +91,7 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = [F.col(f"_c{i}").alias(c) for i, c in enumerate(names)]
     if not splitters:
         return d.select(*out, F.col("_first.id").alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_at") == 1).alias("kept"), F.col("_sha").alias("text_sha256"))
-    d = written(d.drop("_norm", "_n"), "copies-marked")
+    d = written(d.drop("_norm", "_n", doc_id, text), "copies-marked")
     cut = spark.createDataFrame([(k,) for k in sorted({s.rpartition(".")[0] for s in splitters})], "_key string")  # fewer than ranges
     leaders = d.where("_at = 1").join(F.broadcast(cut), "_key", "left_semi")
     joint = leaders.groupBy("_key", "_sha").agg(F.min(F.struct("_first", "_range")).alias("_best"), F.sum("_size").alias("_all"))
