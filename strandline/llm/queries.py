@@ -68,7 +68,7 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.mark_copies(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup.mark_copies(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
