@@ -56,7 +56,7 @@ def test_collocations_match_brute_force(spark, make, size):
     rng = random.Random(size)
     texts = random_docs(rng, 120) + ["a a a a a a a b", "", None, "one two three four five six seven " * 9, "A B C D " * 8]
     rows = [(i, t, rng.choice(["en", "de", None])) for i, t in enumerate(texts)]
-    got = collocations.collocations(make(rows, clash=True), least=6, top=25, shard_bytes=size)
+    got = collocations.collocations(make(rows, clash=True), least=6, top=25, shard_bytes=size, shard_places=size)
     assert sorted(map(tuple, got.collect())) == brute_phrases([r[1:3] for r in rows], 6, 25)
     assert {t for c, t in got.dtypes if c not in ("lang", "phrase")} == {"bigint"}
 
@@ -79,7 +79,7 @@ def test_automaton_is_the_classes_of_end_places():
         for s, e in ends.items():
             if places := frozenset(x for x in e if x >= counted):
                 classes.setdefault((places, s[-1]), []).append(len(s))
-        a = collocations.automaton(codes, 3, 5, counted)
+        a = collocations.automaton(codes, 3, 5, np.arange(80) < counted)
         got = sorted(zip(a.longest.tolist(), a.link.tolist(), a.places.tolist(), strict=True))
         # phrases that end at the same places are suffixes of one another, so a class is a run of lengths
         assert got == sorted((max(v), min(v) - 1, len(k[0])) for k, v in classes.items())
