@@ -50,6 +50,34 @@ def tick_rule(ticks: DataFrame, order: tuple[str, ...] = ("ts",)) -> DataFrame:
     return d.withColumn("imbalance", F.sum("side").over(o.so_far(w)))
 
 
+def imbalance_bars(ticks: DataFrame, ticks_expected: float = 50.0, imbalance_expected: float = 0.2, ticks_alpha: float = 0.1, imbalance_alpha: float = 0.1, volume: bool = False, most_ticks: float = 1000.0, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """A bar when the signed ticks (or signed volume) since the last one reach, on either side, what was expected of a bar:
+    expected ticks times expected imbalance per tick.
+
+    Both expectations are exponential means over the bars so far, so the threshold is an estimate that the state carries
+    along: alpha 0 keeps the first ones (a fixed threshold of ticks_expected * imbalance_expected). Expected ticks stay
+    within 1 and ``most_ticks``, or a bar of much one-sided flow would put off the next one for ever. Rows get theta, the
+    bar's imbalance, and threshold, what it was held against; the last, open bar is left out.
+    """
+    d = tick_rule(ticks, order).withColumn("_b", F.col("side") * (F.col("volume").cast("double") if volume else F.lit(1.0)))
+
+    def step(state, x):
+        theta, n, t, b, bar = state
+        theta, n = theta + x[0], n + 1
+        edge = t * abs(b)
+        if abs(theta) < edge:
+            return (theta, n, t, b, bar), (bar, theta, edge, False)
+        t = min(most_ticks, max(1.0, t + ticks_alpha * (n - t)))
+        b = b + imbalance_alpha * (theta / n - b)
+        return (0.0, 0, t, b, bar + 1), (bar, theta, edge, True)
+
+    d = o.fold(d, step, (0.0, 0, float(ticks_expected), float(imbalance_expected), 0), ["_b"], "bar long, _theta double, _edge double, _full boolean", order=order)
+    w = Window.partitionBy("series_id", "bar")
+    closed = lambda c: F.max(F.when(F.col("_full"), F.col(c))).over(w)
+    d = d.withColumns({"theta": closed("_theta"), "threshold": closed("_edge")}).where("theta is not null")
+    return _ohlc(d, ["series_id", "bar", "theta", "threshold"], list(order))
+
+
 def cusum(df: DataFrame, threshold: float) -> DataFrame:
     """event 1 or -1 where the sum of returns above (below) zero reaches the threshold; the sums then start anew."""
 

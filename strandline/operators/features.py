@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ordered as o
@@ -189,3 +189,41 @@ def candles(df: DataFrame) -> DataFrame:
     return df.withColumns({"doji": (body <= 0.1 * span).cast("int"), "hammer": ((lower >= 2 * body) & (upper <= body)).cast("int"), "gap": gap})
 
 
+def directional(df: DataFrame, n: int = 14) -> DataFrame:
+    """+DI, -DI and ADX of bars (series_id, ts, high, low, close): directional moves and true range smoothed by alpha 1 / n
+    from their first values, in percent of the smoothed range; ADX is the smoothed share of what the two differ in."""
+    up, down, prev = o.diff("high", 1, W()), -o.diff("low", 1, W()), F.lag("close").over(W())
+    d = df.withColumns({"_up": up, "_down": down, "_tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))})
+    d = d.withColumns({"_tr": F.when(prev.isNotNull(), F.col("_tr")), "_plus": F.when(F.col("_up").isNull(), None).when((F.col("_up") > F.col("_down")) & (F.col("_up") > 0), F.col("_up")).otherwise(0.0), "_minus": F.when(F.col("_down").isNull(), None).when((F.col("_down") > F.col("_up")) & (F.col("_down") > 0), F.col("_down")).otherwise(0.0)})
+    span = 2 * n - 1  # alpha = 2 / (span + 1) = 1 / n
+    d = o.ewma(d, [("_tr", "_atr", span), ("_plus", "_p", span), ("_minus", "_m", span)])
+    d = d.withColumns({"plus_di": 100 * F.try_divide("_p", "_atr"), "minus_di": 100 * F.try_divide("_m", "_atr")})
+    d = d.withColumn("_dx", 100 * F.coalesce(F.try_divide(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")), F.when(F.col("_atr").isNotNull(), F.lit(0.0))))
+    return o.ewma(d, [("_dx", "adx", span)]).drop("_up", "_down", "_tr", "_plus", "_minus", "_atr", "_p", "_m", "_dx")
+
+
+def squeeze(df: DataFrame, n: int = 20, width: float = 2.0, look: int = 10, q: float = 0.2) -> DataFrame:
+    """band_width (of Bollinger bands, over their mean) and squeeze: 1 where it is below its own q quantile of the last rows."""
+    d = df.withColumn("band_width", F.try_divide(2 * width * o.full(F.stddev_samp, "close", n, W()), o.full(F.avg, "close", n, W())))
+    return d.withColumn("squeeze", F.coalesce((F.col("band_width") < o.rolling_quantile("band_width", q, look, W())).cast("int"), F.lit(0)))
+
+
+def pivots(df: DataFrame, k: int = 5) -> DataFrame:
+    """(series_id, ts, kind, level, known): highs above (lows below) all others of the k rows before and after, known k rows
+    later, so that nothing is used before it can be seen."""
+    top = lambda c: F.greatest(F.max(c).over(W().rowsBetween(-k, -1)), F.max(c).over(W().rowsBetween(1, k)))
+    low = lambda c: F.least(F.min(c).over(W().rowsBetween(-k, -1)), F.min(c).over(W().rowsBetween(1, k)))
+    whole = (F.count(F.lit(1)).over(W().rowsBetween(-k, -1)) == k) & (F.count(F.lit(1)).over(W().rowsBetween(1, k)) == k)
+    d = df.withColumns({"_r": whole & (F.col("high") > top("high")), "_s": whole & (F.col("low") < low("low")), "known": F.lead("ts", k).over(W())})
+    kinds = F.filter(F.array(F.struct(F.col("_r").alias("on"), F.lit("resistance").alias("kind"), F.col("high").alias("level")), F.struct(F.col("_s").alias("on"), F.lit("support").alias("kind"), F.col("low").alias("level"))), lambda x: x["on"])
+    return d.select("series_id", "ts", "known", F.explode(kinds).alias("_p")).select("series_id", "ts", "_p.kind", "_p.level", "known")
+
+
+def levels(pivots_: DataFrame, gap: float = 0.02) -> DataFrame:
+    """(series_id, kind, level, touches, first_known, last_known): pivots clustered by gaps. Sorted by level, one that lies more
+    than ``gap`` of its value above the one below begins a new cluster."""
+    w = Window.partitionBy("series_id", "kind").orderBy("level", "ts")
+    new = F.coalesce(F.col("level") > F.lag("level").over(w) * (1 + gap), F.lit(True))
+    d = pivots_.withColumn("_c", F.sum(new.cast("int")).over(w.rowsBetween(o.START, 0)))
+    g = d.groupBy("series_id", "kind", "_c").agg(F.avg("level").alias("level"), F.count(F.lit(1)).alias("touches"), F.min("known").alias("first_known"), F.max("known").alias("last_known"))
+    return g.drop("_c")

@@ -85,12 +85,12 @@ def confusion(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     return g.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def auc(scored: DataFrame) -> DataFrame:
-    """Area under the ROC curve by mean ranks of the positives."""
-    w = Window.partitionBy("series_id").orderBy("p")
-    d = scored.withColumn("_r", F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy("series_id", "p")) - 1) / 2)
-    g = d.groupBy("series_id").agg(F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg"), F.sum(F.when(F.col("label") == 1, F.col("_r"))).alias("_s"))
-    return g.select("series_id", "n_pos", "n_neg", F.try_divide(F.col("_s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2, F.col("n_pos") * F.col("n_neg")).alias("auc"))
+def auc(scored: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """Area under the ROC curve by mean ranks of the positives, per series or other keys."""
+    w = Window.partitionBy(*keys).orderBy("p")
+    d = scored.withColumn("_r", F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, "p")) - 1) / 2)
+    g = d.groupBy(*keys).agg(F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg"), F.sum(F.when(F.col("label") == 1, F.col("_r"))).alias("_s"))
+    return g.select(*keys, "n_pos", "n_neg", F.try_divide(F.col("_s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2, F.col("n_pos") * F.col("n_neg")).alias("auc"))
 
 
 def balance(labelled: DataFrame) -> DataFrame:

@@ -1,0 +1,271 @@
+"""Queries of boosting by rounds, clustered importance, meta-labels, imbalance bars, tails, attribution, baskets, trend
+strength and levels, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import ordered as o
+from ..session import written
+from ..operators import attribution, bars, baskets, boosting, extremes, feature_sets, features, importance, learn, meta_labels, signals
+from . import panels
+from .views import FLOW, META, PX, RET, TICKS, Book, W, flow, meta, px, returns, rounded, ticks
+
+BOOK = Book()
+query = BOOK.add
+
+# boosting
+
+
+def _boosting_set(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """The boosting features of the daily panel, with its price as value."""
+    return _with_price(panels.daily(s, d, panels.DAILY), lambda p: feature_sets.boosting_set(p, "price"))
+
+
+def _with_price(p: DataFrame, features_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[str]]:
+    """(series_id, ts, value, features) of a panel, written, as many fits read it; and the features' names."""
+    f = features_of(p)
+    names = [c for c in f.columns if c not in ("panel_id", "ts")]
+    f = f.join(p.select("panel_id", "ts", F.col("price").alias("value")), ["panel_id", "ts"]).withColumnRenamed("panel_id", "series_id")
+    return written(f.select("series_id", "ts", "value", *names), "panel-features"), names
+
+
+AHEAD = (1, 5, 10)
+ROUNDS = {"rounds": 200, "tol": 0.0001}
+
+
+@query()
+def boosting_rounds(s, d):
+    f, names = _boosting_set(s, d)
+    if f.isEmpty():  # too few dates that all series have
+        return s.createDataFrame([], "series_id string, part string, round int, n_pos long, n_neg long, auc double, horizon int")
+    out = None
+    for h in AHEAD:
+        rows = boosting.judged(f, h)
+        a = boosting.round_auc(boosting.fit_until(rows, names, **ROUNDS), rows).withColumn("horizon", F.lit(h))
+        out = a if out is None else out.unionByName(a)
+    return rounded(out)
+
+
+@query()
+def boosting_horizons(s, d):
+    f, names = _boosting_set(s, d)
+    if f.isEmpty():
+        return s.createDataFrame([], "series_id string, ts date, p double, position int, entry boolean, exit boolean")
+    _, scored = boosting.horizons(f, names, AHEAD, **ROUNDS)
+    return boosting.strategy(scored, boosting.sweeps(scored, AHEAD), AHEAD)
+
+
+# importance
+
+
+@query()
+def clustered_importance(s, d):
+    f, names = _with_price(panels.daily(s, d, panels.DAILY), feature_sets.credit_set)
+    if f.isEmpty():  # too few dates that all series have
+        return s.createDataFrame([], importance.CLUSTERED)
+    x = written(learn.split(signals.labels(f, 5)), "labelled")
+    groups = importance.clusters(importance.correlation(x, names), names, 20)
+    fitted = learn.model("logit", names, n_train=1000).fit(x.where("part = 'train'"))
+    return rounded(importance.clustered(fitted, x.where("part = 'test'").select("series_id", "ts", "label", *names), groups))
+
+
+def _four(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    names = ["mom_5", "mom_20", "vol_20", "z_20"]
+    return written(features.feature_set(returns(s, d).select("series_id", "ts", "value")).select("series_id", "ts", "value", *names).dropna(), "four-features"), names
+
+
+@query()
+def single_importance(s, d):
+    f, names = _four(s, d)
+    x = learn.split(signals.labels(f, 5))
+    return rounded(importance.single(x.where("part = 'train'"), x.where("part = 'test'"), names, n_train=5000))
+
+
+# meta-labels
+
+
+@query()
+def meta_bets(s, d):
+    f, names = _four(s, d)
+    return rounded(meta_labels.bets(f, names, 5, n_train=3000))
+
+
+# imbalance bars
+
+
+def _imbalance_sql(amount: str, t0: float, b0: float) -> str:
+    return f"""WITH RECURSIVE {TICKS}, sg AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts, event_id) AS rn, sign(price - lag(price) OVER (PARTITION BY series_id ORDER BY ts, event_id)) AS s FROM tk),
+n AS (SELECT *, coalesce(last_value(CASE WHEN s <> 0 THEN s END IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) * {amount} AS a FROM sg),
+f AS (
+  SELECT series_id, rn, CAST(a AS DOUBLE) AS th, 1 AS k, {t0}::DOUBLE AS te, {b0}::DOUBLE AS be, 0::BIGINT AS bar, abs(a) >= {t0}::DOUBLE * abs({b0}::DOUBLE) AS shut FROM n WHERE rn = 1
+  UNION ALL
+  SELECT series_id, rn, th, k, te, be, bar, abs(th) >= te * abs(be) FROM (
+    SELECT n.series_id, n.rn, CASE WHEN f.shut THEN n.a ELSE f.th + n.a END AS th, CASE WHEN f.shut THEN 1 ELSE f.k + 1 END AS k,
+      CASE WHEN f.shut THEN least(1000.0::DOUBLE, greatest(1.0::DOUBLE, f.te + 0.1::DOUBLE * (f.k - f.te))) ELSE f.te END AS te, CASE WHEN f.shut THEN f.be + 0.1::DOUBLE * (f.th / f.k - f.be) ELSE f.be END AS be, f.bar + CAST(f.shut AS BIGINT) AS bar
+    FROM f JOIN n ON n.series_id = f.series_id AND n.rn = f.rn + 1) q
+),
+j AS (SELECT n.*, f.bar, f.shut, f.th, f.te * abs(f.be) AS edge FROM n JOIN f ON n.series_id = f.series_id AND n.rn = f.rn)
+SELECT series_id, bar, round(max(th) FILTER (shut), 6) AS theta, round(max(edge) FILTER (shut), 6) AS threshold, min(ts) AS start, max(ts) AS "end", round(arg_min(price, rn), 6) AS open, round(max(price), 6) AS high, round(min(price), 6) AS low, round(arg_max(price, rn), 6) AS close, round(sum(volume), 6) AS volume, count(*) AS ticks
+FROM j GROUP BY series_id, bar HAVING bool_or(shut)"""
+
+
+@query(_imbalance_sql("1.0::DOUBLE", 30, 0.2))
+def tick_imbalance_bars(s, d):
+    return rounded(bars.imbalance_bars(ticks(s, d), 30, 0.2, order=("ts", "event_id")))
+
+
+@query(_imbalance_sql("volume", 30, 1.0))
+def volume_imbalance_bars(s, d):
+    return rounded(bars.imbalance_bars(ticks(s, d), 30, 1.0, volume=True, order=("ts", "event_id")))
+
+
+# tails
+
+
+@query(f"""WITH {RET}, r AS (SELECT series_id, -ret AS loss, row_number() OVER (PARTITION BY series_id ORDER BY -ret DESC, ts) AS i, count(*) OVER (PARTITION BY series_id) AS n FROM rt),
+u AS (SELECT series_id, n, loss AS threshold FROM r WHERE i = 41),
+g AS (SELECT u.series_id, u.n, u.threshold, avg(CASE WHEN i <= 40 AND u.threshold > 0 THEN ln(loss) - ln(u.threshold) END) AS hill, avg(CASE WHEN i <= 40 THEN loss - u.threshold END) AS m, var_samp(CASE WHEN i <= 40 THEN loss - u.threshold END) AS v,
+  max(loss) FILTER (i = 10) AS a, max(loss) FILTER (i = 20) AS b, max(loss) FILTER (i = 40) AS c FROM r JOIN u ON r.series_id = u.series_id WHERE i <= 41 GROUP BY ALL),
+h AS (SELECT *, CASE WHEN (a - b) / nullif(b - c, 0) > 0 THEN ln((a - b) / (b - c)) / ln(2) END AS pickands, 0.5 * (1 - m * m / v) AS shape, 0.5 * m * (m * m / v + 1) AS scale FROM g),
+w AS (SELECT *, threshold + scale / shape * (pow(0.01 * n / 40, -shape) - 1) AS var_99, threshold + scale / shape * (pow(0.005 * n / 40, -shape) - 1) AS var_99_5 FROM h)
+SELECT series_id, n, round(threshold, 6) AS threshold, round(hill, 6) AS hill, round(pickands, 6) AS pickands, round(shape, 6) AS shape, round(scale, 6) AS scale, round(var_99, 6) AS var_99, round((var_99 + scale - shape * threshold) / (1 - shape), 6) AS es_99, round(var_99_5, 6) AS var_99_5, round((var_99_5 + scale - shape * threshold) / (1 - shape), 6) AS es_99_5 FROM w""")
+def tail_estimates(s, d):
+    return rounded(extremes.tail(returns(s, d), 40, (0.99, 0.995)))
+
+
+# attribution
+
+
+def _factors(r: DataFrame, m: DataFrame) -> DataFrame:
+    """(ts, market, tilt): the equal-weight mean of all series, and of one class less the other."""
+    k = r.join(m, "series_id", "left")
+    mean = lambda c: F.avg(F.when(F.col("asset_class") == c, F.col("ret")))
+    return k.groupBy("ts").agg(F.avg("ret").alias("market"), (mean("rates") - mean("credit")).alias("tilt"))
+
+
+_FACTORS = "k AS (SELECT rt.*, meta.asset_class FROM rt LEFT JOIN meta ON rt.series_id = meta.series_id), f AS (SELECT ts, avg(ret) AS market, avg(ret) FILTER (asset_class = 'rates') - avg(ret) FILTER (asset_class = 'credit') AS tilt FROM k GROUP BY ts)"
+_RETM = f"{RET}{META.removeprefix(PX)}"
+
+
+@query(f"""WITH {_RETM}, {_FACTORS}, x AS (SELECT rt.series_id, rt.ret AS y, f.market AS a, f.tilt AS b FROM rt JOIN f ON rt.ts = f.ts WHERE f.tilt IS NOT NULL),
+c AS (SELECT series_id, count(*) AS n, avg(y) AS y, avg(a) AS a, avg(b) AS b, covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(b, b) AS bb, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, covar_pop(y, y) AS yy FROM x GROUP BY series_id),
+w AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS wa, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM c)
+SELECT series_id, n, round((y - wa * a - wb * b) * 252, 6) AS alpha, round((wa * ay + wb * by_) / yy, 6) AS r2, round(wa, 6) AS beta_market, round(wb, 6) AS beta_tilt, round(wa * a * 252, 6) AS part_market, round(wb * b * 252, 6) AS part_tilt, round(sqrt((yy - wa * ay - wb * by_) * n / (n - 3) * 252), 6) AS specific FROM w""")
+def factor_attribution(s, d):
+    r = returns(s, d)
+    return rounded(attribution.factor_attribution(r, _factors(r, meta(s, d)), ["market", "tilt"]))
+
+
+@query(f"""WITH {_RETM}, {_FACTORS}, x AS (SELECT rt.series_id, rt.ret AS y, f.market AS m FROM rt JOIN f ON rt.ts = f.ts), b AS (SELECT series_id, covar_samp(y, m) / var_samp(m) AS beta FROM x GROUP BY series_id)
+SELECT x.series_id, round(b.beta, 6) AS beta, round(b.beta * stddev_samp(m) * sqrt(252), 6) AS systematic, round(stddev_samp(y - b.beta * m) * sqrt(252), 6) AS idiosyncratic, round(stddev_samp(y) * sqrt(252), 6) AS total FROM x JOIN b ON x.series_id = b.series_id GROUP BY x.series_id, b.beta""")
+def risk_attribution(s, d):
+    r = returns(s, d)
+    return rounded(attribution.risk_attribution(r, _factors(r, meta(s, d)).select("ts", "market")))
+
+
+@query(f"""WITH {_RETM}, h AS (SELECT rt.ts, coalesce(meta.asset_class, 'other') AS asset_class, rt.ret, 1.0 / count(*) OVER (PARTITION BY rt.ts) AS b, (1 + rt.rn % 3) / CAST(sum(1 + rt.rn % 3) OVER (PARTITION BY rt.ts) AS DOUBLE) AS w FROM rt LEFT JOIN meta ON rt.series_id = meta.series_id),
+g AS (SELECT ts, asset_class, sum(w) AS w, sum(b) AS b, sum(w * ret) / sum(w) AS rw, sum(b * ret) / sum(b) AS rb FROM h GROUP BY ts, asset_class), q AS (SELECT *, sum(b * rb) OVER (PARTITION BY ts) AS whole FROM g)
+SELECT asset_class, round(sum((w - b) * (rb - whole)), 6) AS allocation, round(sum(b * (rw - rb)), 6) AS selection, round(sum((w - b) * (rw - rb)), 6) AS interaction, round(sum((w - b) * (rb - whole)) + sum(b * (rw - rb)) + sum((w - b) * (rw - rb)), 6) AS total FROM q GROUP BY asset_class""")
+def brinson_attribution(s, d):
+    day = Window.partitionBy("ts")
+    r = returns(s, d).withColumn("_t", 1 + F.row_number().over(o.series()) % 3).join(meta(s, d).select("series_id", "asset_class"), "series_id", "left")
+    h = r.select("ts", F.coalesce("asset_class", F.lit("other")).alias("asset_class"), "ret", (F.col("_t") / F.sum("_t").over(day)).alias("weight"), (1 / F.count(F.lit(1)).over(day)).alias("bench_weight"))
+    return rounded(attribution.brinson(h))
+
+
+# baskets
+
+_BASKET = ("a", "b", "c")
+_BPANEL = panels.panel_sql(_BASKET)
+
+
+def _members(s: SparkSession, d: str) -> DataFrame:
+    """Three price series; weights by month on the first date of each, carry every fifth date."""
+    p = panels.daily(s, d, _BASKET).withColumn("rn", F.row_number().over(o.series("panel_id")))
+    first = F.coalesce(F.month("ts") != F.lag(F.month("ts")).over(o.series("panel_id")), F.lit(True))
+    p = p.withColumn("_first", first)
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("series_id"), F.col(c).alias("price"), F.when(F.col("_first"), 1.0 + (F.month("ts") + i) % 3).alias("weight"), F.when(F.col("rn") % 5 == 0, F.col(c) * 0.0002 * (i + 1)).otherwise(0.0).alias("carry")) for i, c in enumerate(_BASKET)]))
+    return p.select(F.col("panel_id").alias("basket_id"), "ts", rows.alias("_r")).select("basket_id", "ts", "_r.*")
+
+
+def _basket_sql() -> str:
+    c = _BASKET
+    weight = [f"(1.0::DOUBLE + (month(ts) + {i}) % 3)" for i in range(3)]
+    total = " + ".join(weight)
+    n = f"n AS (SELECT *, row_number() OVER (ORDER BY ts) AS rn, coalesce(month(ts) <> lag(month(ts)) OVER (ORDER BY ts), true) AS go FROM pn), m AS (SELECT *, {', '.join(f'{w} / ({total}) AS w{x}' for w, x in zip(weight, c, strict=True))}, {', '.join(f'CASE WHEN rn % 5 = 0 THEN {x} * 0.0002 * {i + 1} ELSE 0 END AS y{x}' for i, x in enumerate(c))} FROM n)"
+    grown = " + ".join(f"f.h{x} * (m.{x} - f.{x} + m.y{x})" for x in c)
+    new = ", ".join(f"CASE WHEN go THEN w{x} * v / {x} ELSE o{x} END AS h{x}" for x in c)
+    spent = " + ".join(f"abs(w{x} * v / {x} - o{x}) * {x}" for x in c)
+    outer = f"SELECT ts, rn, {', '.join(c)}, v - 0.001::DOUBLE * t AS value, t AS traded, {', '.join(f'h{x}' for x in c)} FROM (SELECT *, {new}, CASE WHEN go THEN {spent} ELSE 0 END AS t FROM ({{}}) q) q"
+    base = outer.format(f"SELECT m.*, 1.0::DOUBLE AS v, {', '.join(f'0.0::DOUBLE AS o{x}' for x in c)} FROM m WHERE rn = 1")
+    more = outer.format(f"SELECT m.*, f.value + {grown} AS v, {', '.join(f'f.h{x} AS o{x}' for x in c)} FROM f JOIN m ON m.rn = f.rn + 1")
+    return f"WITH RECURSIVE {PX}, {_BPANEL}, {n}, f AS ({base} UNION ALL {more}) SELECT 'all' AS basket_id, ts, round(value, 6) AS value, round(traded, 6) AS traded, round(0.001 * traded, 6) AS cost FROM f"
+
+
+@query(_basket_sql())
+def basket_value(s, d):
+    return rounded(baskets.basket_value(_members(s, d), 0.001))
+
+
+def _contracts(s: SparkSession, d: str) -> DataFrame:
+    """Two price series that take turns as front and back contract, by month."""
+    p = panels.daily(s, d, ("a", "b"))
+    odd = F.month("ts") % 2 == 1
+    return p.select(F.col("panel_id").alias("series_id"), "ts", F.trunc("ts", "month").alias("period"), F.when(odd, F.col("a")).otherwise(F.col("b")).alias("front"), F.when(odd, F.col("b")).otherwise(F.col("a")).alias("back"))
+
+
+@query(f"""WITH {PX}, {panels.panel_sql(("a", "b"))}, c AS (SELECT ts, CAST(date_trunc('month', ts) AS DATE) AS period, CASE WHEN month(ts) % 2 = 1 THEN a ELSE b END AS front, CASE WHEN month(ts) % 2 = 1 THEN b ELSE a END AS back FROM pn),
+l AS (SELECT *, greatest(0, (5 - (row_number() OVER (PARTITION BY period ORDER BY ts DESC) - 1)) / 5) AS w FROM c), p AS (SELECT *, (1 - w) * front + w * back AS price, lag(w) OVER (ORDER BY ts) AS lw, lag(front) OVER (ORDER BY ts) AS lf, lag(back) OVER (ORDER BY ts) AS lb, lag(period) OVER (ORDER BY ts) AS lp FROM l),
+r AS (SELECT *, coalesce(CASE WHEN lp = period THEN (1 - lw) * (front / lf - 1) + lw * (back / lb - 1) ELSE front / lb - 1 END, 0) AS r FROM p)
+SELECT 'all' AS series_id, ts, period, front, back, round(w, 6) AS back_weight, round(price, 4) AS price, round(first_value(price) OVER (ORDER BY ts) * product(1 + r) OVER (ORDER BY ts), 4) AS continuous FROM r""".replace("front, back, round(w", "round(front, 4) AS front, round(back, 4) AS back, round(w"))
+def proportional_roll(s, d):
+    out = baskets.proportional_roll(_contracts(s, d))
+    return rounded(out.select("series_id", "ts", "period", "front", "back", F.round("back_weight", 6).alias("back_weight"), "price", "continuous"), 4)
+
+
+@query(f"""WITH {RET}, m AS (SELECT ts, avg(value) AS reference FROM rt GROUP BY ts), j AS (SELECT rt.series_id, rt.ts, rt.value, m.reference, coalesce(m.reference / lag(m.reference) OVER (PARTITION BY rt.series_id ORDER BY rt.ts) - 1, 0) AS r FROM rt JOIN m ON rt.ts = m.ts)
+SELECT series_id, ts, round(value, 4) AS value, round(reference, 4) AS reference, round(first_value(value) OVER ({W}) * product(1 + r) OVER ({W}), 4) AS continuous FROM j""")
+def reference_returns(s, d):
+    r = returns(s, d).select("series_id", "ts", "value")
+    return rounded(baskets.reference_returns(r, r.groupBy("ts").agg(F.avg("value").alias("reference"))), 4)
+
+
+# trend strength, squeeze, levels
+
+
+def _daily_bars(s: SparkSession, d: str) -> DataFrame:
+    return flow(s, d).withColumnRenamed("value", "close")
+
+
+@query(f"""WITH RECURSIVE {FLOW}, n AS (SELECT series_id, ts, row_number() OVER ({W}) AS rn, high - lag(high) OVER ({W}) AS up, lag(low) OVER ({W}) - low AS dn, greatest(high - low, abs(high - lag(value) OVER ({W})), abs(low - lag(value) OVER ({W}))) AS tr FROM fl),
+m AS (SELECT series_id, ts, rn, tr, CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END AS p, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS q FROM n),
+f AS (
+  SELECT series_id, ts, rn, CAST(tr AS DOUBLE) AS a, CAST(p AS DOUBLE) AS b, CAST(q AS DOUBLE) AS c, coalesce(100 * abs(p - q) / nullif(p + q, 0), 0)::DOUBLE AS adx FROM m WHERE rn = 2
+  UNION ALL
+  SELECT series_id, ts, rn, a, b, c, adx + (coalesce(100 * abs(b / nullif(a, 0) - c / nullif(a, 0)) / nullif(b / nullif(a, 0) + c / nullif(a, 0), 0), 0) - adx) / 14 FROM (
+    SELECT m.series_id, m.ts, m.rn, f.a + (m.tr - f.a) / 14 AS a, f.b + (m.p - f.b) / 14 AS b, f.c + (m.q - f.c) / 14 AS c, f.adx FROM f JOIN m ON m.series_id = f.series_id AND m.rn = f.rn + 1) q
+)
+SELECT n.series_id, n.ts, round(100 * f.b / nullif(f.a, 0), 4) AS plus_di, round(100 * f.c / nullif(f.a, 0), 4) AS minus_di, round(f.adx, 4) AS adx FROM n LEFT JOIN f ON n.series_id = f.series_id AND n.rn = f.rn""")
+def adx(s, d):
+    return rounded(features.directional(_daily_bars(s, d)).select("series_id", "ts", "plus_di", "minus_di", "adx"), 4)
+
+
+@query(f"""WITH {FLOW}, b AS (SELECT series_id, ts, CASE WHEN count(value) OVER f >= 20 THEN 4 * stddev_samp(value) OVER f / avg(value) OVER f END AS bw FROM fl WINDOW f AS ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+q AS (SELECT *, CASE WHEN count(bw) OVER g >= 10 THEN quantile_cont(bw, 0.2) OVER g END AS q FROM b WINDOW g AS ({W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
+SELECT series_id, ts, round(bw, 6) AS band_width, coalesce(CAST(bw < q - 1e-12 AS INTEGER), 0) AS squeeze FROM q""")
+def squeeze(s, d):
+    return rounded(features.squeeze(_daily_bars(s, d)).select("series_id", "ts", "band_width", "squeeze"))
+
+
+_PIVOTS = f"""{FLOW}, w AS (SELECT series_id, ts, high, low, lead(ts, 5) OVER ({W}) AS known, max(high) OVER b AS hb, max(high) OVER a AS ha, min(low) OVER b AS lb, min(low) OVER a AS la, count(*) OVER b AS nb, count(*) OVER a AS na FROM fl WINDOW b AS ({W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), a AS ({W} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
+p AS (SELECT series_id, ts, known, 'resistance' AS kind, high AS level FROM w WHERE nb = 5 AND na = 5 AND high > greatest(hb, ha) UNION ALL SELECT series_id, ts, known, 'support', low FROM w WHERE nb = 5 AND na = 5 AND low < least(lb, la))"""
+
+
+@query(f"""WITH {_PIVOTS}, c AS (SELECT *, coalesce(level > lag(level) OVER g * 1.002, true) AS new FROM p WINDOW g AS (PARTITION BY series_id, kind ORDER BY level, ts)), k AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY series_id, kind ORDER BY level, ts) AS c FROM c)
+SELECT series_id, kind, round(avg(level), 4) AS level, count(*) AS touches, min(known) AS first_known, max(known) AS last_known FROM k GROUP BY series_id, kind, c""")
+def support_resistance(s, d):
+    return rounded(features.levels(features.pivots(_daily_bars(s, d)), 0.002), 4)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "strandline", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -28,3 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return "/tmp/checkpoints/strandline"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: for tables that many jobs read, and to cut lineage."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
