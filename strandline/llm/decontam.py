@@ -1,8 +1,10 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
-Texts become templates: runs of numbers (in digits or words), units after numbers and runs of names (capitalised words,
-wherever they stand) turn into typed placeholders, other words lose case and closing punctuation. A window is a run of
-plain words with the placeholders between them, so placeholders never crowd out words. Every window of every document
+Texts become templates: runs of numbers (in digits or words), units after numbers and runs of names turn into typed
+placeholders, other words lose case and closing punctuation. What is a name is told by the benchmark's own words, not
+by capitals, so that texts in capitals, in title case or in lower case come out alike: plain words are those that some
+item has in lower case, and any other word stands where a name may. A window is a run of plain words with the
+placeholders between them, so placeholders never crowd out words. Every window of every document
 is joined by hash with those of the benchmark. Windows of one document and item must then agree on their slots: a
 value of the item (a name, a number) has one replacement throughout, or at least throughout one occurrence of the
 item in the document. That keeps re-parameterised questions and drops windows alike by chance.
@@ -50,18 +52,37 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x07\x20\x09-\x0D]+", " "))
 
 
-def marked(text: Column) -> Column:
-    """A squeezed text with its slots marked and put before the word that follows, so that a space parts plain words.
+def _numbered(text: Column) -> Column:
+    """A squeezed text with a space before it, and with its numbers and the units after them marked.
 
-    A number is a word whose first letter or digit is a digit, or made of NUMBERS; a name any other whose first letter or
-    digit is a capital; a unit a word of UNITS right after a number. Every pattern starts with a character that is rare or
-    a space, so texts are scanned fast.
+    A number is a word whose first letter or digit is a digit, or made of NUMBERS; a unit a word of UNITS right after one.
+    Every pattern starts with a character that is rare or a space, so texts are scanned fast.
     """
     n = "|".join(NUMBERS)
     t = F.concat(F.lit(" "), text)
     t = F.regexp_replace(t, rf" ([^ \p{{L}}\p{{N}}]*+(?:\p{{N}}[^ ]*+|(?i:{n})(?:-(?i:{n}))*+[^ \p{{L}}\p{{N}}]*+(?= |$)))", " \x01$1\x04")
-    t = F.regexp_replace(t, r" ([^ \p{L}\p{N}\x01]*+\p{Lu}[^ ]*+)", " \x02$1\x05")
-    t = F.regexp_replace(t, rf"\x04 ((?:{'|'.join(UNITS)}){CLOSING}*+)(?= |$)", "\x04 \x03$1\x07")
+    return F.regexp_replace(t, rf"\x04 ((?i:{'|'.join(UNITS)}){CLOSING}*+)(?= |$)", "\x04 \x03$1\x07")
+
+
+def vocabulary(benchmark: DataFrame, item_text: str = "text") -> list[str]:
+    """The plain words of the items: those, less case and closing punctuation, that stand somewhere without a capital, a
+    number or a unit. They come to the driver and go to all tasks; they grow with the benchmark, not with the documents."""
+    w = benchmark.select(F.explode(F.split(_numbered(squeezed(F.col(item_text))), " ")).alias("_w")).where(F.col("_w").rlike(r"^[^\x01\x03]") & ~F.col("_w").rlike(r"^[^\p{L}\p{N}]*+\p{Lu}"))
+    return sorted(r[0] for r in w.select(bare(F.col("_w"))).distinct().collect() if r[0])
+
+
+def marked(text: Column, plain: list[str]) -> Column:
+    """A squeezed text with its slots marked and put before the word that follows, so that a space parts plain words. A name
+    is a word, neither number nor unit, that is not in ``plain``."""
+
+    def named(both: Column) -> Column:
+        known = lambda w: w.isin(plain) if plain else F.lit(False)
+        slot = lambda w: w.startswith("\x01") | w.startswith("\x03") | (w == "")
+        return F.transform(both["raw"], lambda w, i: F.when(slot(w) | known(F.get(both["low"], i)), w).otherwise(F.concat(F.lit("\x02"), w, F.lit("\x05"))))
+
+    t = _numbered(text)
+    both = F.struct(F.split(t, " ").alias("raw"), F.split(bare(t), " ").alias("low"))
+    t = F.array_join(F.transform(F.array(both), named)[0], " ")
     for end in "\x04\x05\x07":
         t = F.replace(t, F.lit(end + " "), F.lit(end))
     for run in ("\x04\x01", "\x05\x02"):
@@ -79,9 +100,9 @@ def template(marks: Column) -> Column:
     return F.regexp_replace(bare(marks), rf"({_SLOT})[^\x04\x05\x07]*+{_END}", "$1")
 
 
-def _prepared(df: DataFrame, names: list[str]) -> DataFrame:
+def _prepared(df: DataFrame, names: list[str], plain: list[str]) -> DataFrame:
     """names, _tpl (template words with the slots before them), _own (those words alone), _n (their number), _lit (all words), from _s."""
-    d = df.select(*names, "_s", template(marked(F.col("_s"))).alias("_t"))
+    d = df.select(*names, "_s", template(marked(F.col("_s"), plain)).alias("_t"))
     d = d.select(*names, F.split("_t", " ").alias("_tpl"), F.split(F.translate("_t", "\x01\x02\x03", ""), " ").alias("_own"), F.split(bare(F.col("_s")), " ").alias("_lit"))
     return d.withColumn("_n", F.size("_own") - (F.element_at("_own", -1) == "").cast("int"))  # slots at the end have no word
 
@@ -129,10 +150,10 @@ def _agreeing(pairs: DataFrame, on: list[str]) -> DataFrame:
     return found.select(*on, "_hits", count(F.col("_best")).alias("_slots"), count(F.filter("_best", lambda z: z["was"] != z["now"])).alias("_changed"))
 
 
-def benchmark_windows(benchmark: DataFrame, item_col: str, item_text: str, width: int) -> DataFrame:
+def benchmark_windows(benchmark: DataFrame, item_col: str, item_text: str, width: int, plain: list[str]) -> DataFrame:
     """_item, _form, _bp, _h, _g, _bs (slots) per window of the items; each item has windows of one form."""
     b = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("_item"), squeezed(F.col(item_text)).alias("_s")).where("_s <> ''").distinct()
-    d = _prepared(b.withColumn("_marks", F.split(marked(F.col("_s")), " ")), ["_item", "_marks"])
+    d = _prepared(b.withColumn("_marks", F.split(marked(F.col("_s"), plain), " ")), ["_item", "_marks"], plain)
     words = F.size("_lit")
     own = F.when(F.col("_n") >= LITERALS, F.concat(F.lit("t"), F.least("_n", F.lit(width)))).when(words >= LITERALS, F.concat(F.lit("x"), F.least(words, F.lit(EXACT)))).otherwise("w0")
     forms = [*(f"t{w}" for w in range(LITERALS, width + 1)), *(f"x{w}" for w in range(LITERALS, EXACT + 1)), "w0"]
@@ -142,15 +163,16 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, item_text: str, width
 
 def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, width: int, share: float, broadcast_rows: int) -> DataFrame:
     """_id, _k1, _k2, _item, n_windows, n_hits, n_slots, _changed per row key and item with enough hits."""
-    b = written(benchmark_windows(benchmark, item_col, item_text, width), "bench-windows")
+    plain = vocabulary(benchmark.where(F.col(item_col).isNotNull()), item_text)
+    b = written(benchmark_windows(benchmark, item_col, item_text, width, plain), "bench-windows")
     forms = [r["_form"] for r in b.select("_form").distinct().orderBy("_form").collect()] or ["w0"]  # a few kinds of windows
     keys = ["_form", "_h", "_g"]
     d = docs.select(F.col(id_col).alias("_id"), squeezed(F.col(text_col)).alias("_s"), *row_key(id_col, text_col))
-    w = _windows(_prepared(d, ["_k1", "_k2"]), ["_k1", "_k2"], forms)
+    w = _windows(_prepared(d, ["_k1", "_k2"], plain), ["_k1", "_k2"], forms)
     hits = written(w.join(if_small(b.select(*keys).distinct(), broadcast_rows), keys, "left_semi"), "bench-hits")
     held = written(hits.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("_form", "_p", "_h", "_g")).alias("_at")), "bench-held")  # at most a text's windows
     texts = d.join(F.broadcast(held) if hits.count() <= broadcast_rows else held, ["_k1", "_k2"])
-    texts = texts.select("_id", "_k1", "_k2", "_at", F.split(marked(F.col("_s")), " ").alias("_marks"))  # before the rows of hits, so once a text
+    texts = texts.select("_id", "_k1", "_k2", "_at", F.split(marked(F.col("_s"), plain), " ").alias("_marks"))  # before the rows of hits, so once a text
     texts = texts.select("_id", "_k1", "_k2", "_marks", F.explode("_at").alias("_a"))
     texts = texts.select("_id", "_k1", "_k2", "_a.*", "_marks").select("_id", "_k1", "_k2", *keys, "_p", _slots("_marks").alias("_ds")).distinct()
     pairs = texts.join(b, keys)
@@ -175,8 +197,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     at least ``share`` of n_windows. Slots are consistent over the whole document or over the item's best occurrence
     in it, whichever gives more hits.
 
+    Letter case plays no part on the documents' side: neither in words nor in what is a name. An item's own capitals only
+    tell, together with all other items, which words are plain.
+
     An item's windows are of ``width`` plain words; those of an item with LITERALS or more, but fewer than ``width``, are
-    of all it has. An item with under LITERALS plain words is matched by its words as they are (case and closing
+    of all it has. An item with under LITERALS plain words is matched by its words as they are (closing
     punctuation apart), in windows of up to EXACT words; one of under LITERALS words in all only by a document that
     says nothing else.
 

@@ -256,10 +256,13 @@ WITH src AS (
 w AS (SELECT side, id, unnest(string_split(s, ' ')) AS raw, unnest(range(len(string_split(s, ' ')))) AS p FROM src WHERE s <> ''),
 k AS (
   SELECT *, regexp_replace(lower(raw), '(.){_CLOSING}+$', '\1') AS lit, regexp_replace(lower(raw), '{_CLOSING}+$', '') AS val,
-    CASE WHEN regexp_matches(raw, '^[^\p{{L}}\p{{N}}]*(\p{{N}}|(?i:{_NUMBERS})(-(?i:{_NUMBERS}))*[^\p{{L}}\p{{N}}]*$)') THEN 'n' WHEN regexp_matches(raw, '^[^\p{{L}}\p{{N}}]*\p{{Lu}}') THEN 'c' ELSE '' END AS k1
+    CASE WHEN regexp_matches(raw, '^[^\p{{L}}\p{{N}}]*(\p{{N}}|(?i:{_NUMBERS})(-(?i:{_NUMBERS}))*[^\p{{L}}\p{{N}}]*$)') THEN 'n' ELSE '' END AS k1
   FROM w
 ),
-u AS (SELECT *, CASE WHEN k1 = '' AND lag(k1) OVER o = 'n' AND regexp_matches(raw, '^({_UNITS}){_CLOSING}*$') THEN 'u' ELSE k1 END AS kind FROM k WINDOW o AS (PARTITION BY side, id ORDER BY p)),
+k2 AS (SELECT *, CASE WHEN k1 = '' AND lag(k1) OVER o = 'n' AND regexp_matches(raw, '^(?i:{_UNITS}){_CLOSING}*$') THEN 'u' ELSE k1 END AS k2 FROM k WINDOW o AS (PARTITION BY side, id ORDER BY p)),
+-- plain words are those that an item has in lower case; any other is a name
+voc AS (SELECT DISTINCT lit FROM k2 WHERE side = 'b' AND k2 = '' AND id IS NOT NULL AND NOT regexp_matches(raw, '^[^\p{{L}}\p{{N}}]*\p{{Lu}}')),
+u AS (SELECT k2.*, CASE WHEN k2 = '' AND voc.lit IS NULL THEN 'c' ELSE k2 END AS kind FROM k2 LEFT JOIN voc ON k2.lit = voc.lit),
 -- tok: the number of plain words before; run: consecutive slots of a kind
 r AS (
   SELECT *, coalesce(sum(CAST(kind = '' AS INT)) OVER (PARTITION BY side, id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tok,

@@ -204,6 +204,39 @@ def test_reparameterised_questions_are_found_and_others_left(make, spark):
     assert not [d for d, _ in got if d >= 10**7]
 
 
+CASES = {"capitals": str.upper, "title": str.title, "lower": str.lower, "swapped": str.swapcase}
+
+
+def test_letter_case_plays_no_part(make, spark):
+    """Verbatim items in any case are found, whole; and, generated anew in any case, 0.95 of them; clean texts are left."""
+    rng = random.Random(22)
+    fill = lambda t, thing: t.format(T=thing, **dict(zip("AB", rng.sample(NAMES, 2), strict=True)), **{k: worded(rng, rng.randrange(2, 99)) for k in "abcd"})
+    items = [(i, ITEMS[i % len(ITEMS)], THINGS[i // len(ITEMS) % len(THINGS)]) for i in range(len(ITEMS) * len(THINGS))]
+    text = {i: fill(t, thing) for i, t, thing in items}
+    text |= {1000: QUESTION, 1001: "What is the capital of France", 1002: "Who wrote it?"}
+    bench = spark.createDataFrame(list(text.items()), "item_id long, text string")
+    filler = "the garden lies behind a wall and nobody has seen the old gate open since the rain began to fall that year".split()
+    noise = lambda: " ".join(rng.choice(filler) for _ in range(rng.randrange(5, 40)))
+    rows, owner = [], {}
+    for case in CASES.values():
+        for i, t in text.items():
+            owner[len(rows)] = ("verbatim", i)
+            rows.append((len(rows), case(t) if i == 1002 else f"{noise()}. {case(t)} {noise()}"))
+        for i, t, thing in items:
+            owner[len(rows)] = ("anew", i)
+            rows.append((len(rows), case(f"{noise()}. {fill(t, thing)} {noise()}")))
+        for _ in range(60):
+            owner[len(rows)] = ("clean", None)
+            rows.append((len(rows), case(". ".join(f"{rng.choice(NAMES)} has {rng.randrange(99)} {rng.choice(THINGS)} and {noise()}" for _ in range(5)))))
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(make(rows), bench).collect()}
+    for d, (kind, i) in owner.items():
+        if kind == "verbatim":
+            assert got[d, i].n_hits == got[d, i].n_windows, (rows[d], text[i])
+    anew = [(d, i) for d, (kind, i) in owner.items() if kind == "anew"]
+    assert sum(k in got for k in anew) >= 0.95 * len(anew)
+    assert not [d for d, _ in got if owner[d][0] == "clean"]
+
+
 def test_short_and_dense_items(make, spark):
     short = {1: "What is the capital of France", 2: "What is 12 + 30 - 7 * 2?", 3: "How Many Apples Does Tom Have Left Today", 4: "Who wrote it?", 5: "the seven words of a short item"}
     bench = spark.createDataFrame(list(short.items()), "item_id long, text string")
