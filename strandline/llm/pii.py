@@ -12,10 +12,10 @@ is paired within a text are these classes, and only of terms rare enough for the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, boxed, if_small, row_key, unboxed, written
+from .common import boxed, if_small, row_key, unboxed, written
 
 #: Base kinds in their order. The patterns find what the contract's do, but never scan a run of characters twice:
 #: possessive quantifiers, and no start inside a run whose start has failed (\\G: right after the match before).
@@ -33,16 +33,33 @@ LEAST_BITS = 3.0
 _HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){11}", "phone": "+", "secret": SECRET}
 #: Terms, as hashes of 8 bytes, up to which they are broadcast to find them in all texts (some 30 MB); else texts' words are shuffled.
 BROADCAST_HASHES = 1_000_000
-#: What parts terms; a term is a run of letters, marks and digits in lower case.
-NO_TERM = r"[^\p{L}\p{M}\p{N}]+"
+#: A term is a run of letters, marks and digits, in lower case: of the word alone, which may have more code points than it.
+TERM = r"[\p{L}\p{M}\p{N}]+"
+
+
+#: Matches of a block, in finding where matches start.
+BLOCK = 64
 
 
 def _starts(matches: Column, pieces: Column) -> Column:
-    """The code point at which each match starts, from the matches and the pieces between them."""
-    until = lambda acc, i: acc["at"] + F.char_length(F.get(pieces, i))
-    step = lambda acc, i: F.struct((until(acc, i) + F.char_length(F.get(matches, i))).alias("at"), F.array_append(acc["out"], until(acc, i)).alias("out"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(_indices(matches), zero, step, lambda acc: acc["out"])
+    """The code point at which each match starts, from the matches and the pieces between them: sums over blocks of matches,
+    then within the block, so time grows with their number."""
+    n, zero = F.size(matches), F.lit(0).cast("long")
+    total = lambda a: F.aggregate(a, zero, lambda x, y: x + y)
+    step = F.transform(_indices(matches), lambda i: (F.char_length(F.get(pieces, i)) + F.char_length(F.get(matches, i))).cast("long"))
+
+    def placed(steps: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: total(F.slice(steps, b * BLOCK + 1, BLOCK)))
+        grow = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        before = F.aggregate(sums, F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")), grow, lambda acc: acc["out"])
+
+        def at(offsets: Column) -> Column:
+            block = lambda i: F.floor(i / BLOCK).cast("int")
+            return F.transform(_indices(matches), lambda i: (F.get(offsets, block(i)) + total(F.slice(steps, block(i) * BLOCK + 1, i % BLOCK)) + F.char_length(F.get(pieces, i))).cast("int"))
+
+        return F.transform(F.array(before), at)[0]
+
+    return F.when(n > 0, F.transform(F.array(step), placed)[0]).otherwise(F.array().cast("array<int>"))
 
 
 def _indices(a: Column) -> Column:
@@ -87,7 +104,7 @@ def _found(no: int, kind: str) -> Column:
 
 def terms_of(text: Column) -> Column:
     """Distinct terms of a text."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(text), NO_TERM)), "")
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,38 +174,53 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gener
     are searched whole. Other columns play no part. An empty table gives an empty result.
     """
     found = written(find(docs, id_col, text_col), "pii-found")
-    told = disclosures(docs, found, id_col, text_col, generalise, support)
-    told = written(told.groupBy("_kt").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_told")), "pii-texts")  # at most a text's own terms
+    told = written(disclosures(docs, found, id_col, text_col, generalise, support), "pii-texts")
+    key = ["_k1", "_k2"]
     d = docs.select(*row_key(id_col, text_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_kt"), F.col(text_col).alias("_t"))
-    some = told.agg(F.sum(F.size("_told"))).first()[0] or 0
-    d = d.join(F.broadcast(told) if some <= BROADCAST_ROWS else told, "_kt")
-    edge = r"[\p{L}\p{M}\p{N}]"
-    pattern = F.concat(F.lit(f"(?<!{edge})(?iu:"), F.array_join(F.map_keys("_told"), "|"), F.lit(f")(?!{edge})"))
-    d = d.select("_k1", "_k2", "_told", "_t", pattern.alias("_re")).select("_k1", "_k2", "_told", F.regexp_extract_all("_t", "_re", F.lit(0)).alias("_m"), F.split("_t", F.col("_re"), -1).alias("_p"))
-    at = F.transform(F.arrays_zip(F.col("_m").alias("m"), _starts(F.col("_m"), F.col("_p")).alias("s")), lambda z: F.struct(z["s"].alias("start"), (z["s"] + F.char_length(z["m"])).alias("end"), F.element_at("_told", F.lower(z["m"])).alias("share")))
-    add = d.select("_k1", "_k2", F.filter(at, lambda z: z["share"].isNotNull()).alias("_add")).dropDuplicates(["_k1", "_k2"])
-    no = len(KINDS) + 1
-    put = lambda z: F.struct(z["start"], F.lit(no).alias("no"), z["end"], F.lit("term").alias("kind"), F.when(z["share"] >= remove, "remove").otherwise("generalise").alias("action"))
+    d = d.join(if_small(written(told.select("_kt").distinct(), "pii-telling")), "_kt", "left_semi").dropDuplicates(key)
+    d = d.select(*key, "_kt", F.regexp_extract_all("_t", F.lit(TERM), F.lit(0)).alias("_m"), F.split("_t", TERM, -1).alias("_p"))
+    # a row per word of the texts that have something to hide, joined with what is to be hidden there
+    at = d.select(*key, "_kt", F.explode(F.arrays_zip(F.col("_m").alias("m"), _starts(F.col("_m"), F.col("_p")).alias("s"))).alias("_w"))
+    at = at.select(*key, "_kt", F.col("_w.s").alias("start"), (F.col("_w.s") + F.char_length("_w.m")).alias("end"), F.lower("_w.m").alias("term"))
+    hits = at.join(if_small(told), ["_kt", "term"]).select(*key, "start", "end", "share")
+    # those that meet a base span are left: of base spans that start before a word ends, does the furthest reach into it
+    based = found.where(F.size("base") > 0).dropDuplicates(key).join(if_small(written(d.select(*key), "pii-rows")), key, "left_semi")
+    based = based.select(*key, F.explode("base").alias("_b")).select(*key, F.col("_b.start").alias("start"), F.col("_b.end").alias("end"), F.lit(None).cast("double").alias("share"))
+    own = F.col("share").isNotNull()
+    w = Window.partitionBy(*key).orderBy(F.when(own, F.col("end")).otherwise(F.col("start")), F.when(own, 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
+    free = hits.unionByName(based).withColumn("_reach", F.max(F.when(~own, F.col("end"))).over(w)).where(own & F.coalesce(F.col("_reach") <= F.col("start"), F.lit(True)))
+    put = F.struct("start", F.lit(len(KINDS) + 1).alias("no"), "end", F.lit("term").alias("kind"), F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
+    add = free.groupBy(*key).agg(F.collect_list(put).alias("_add"))  # a text's own words
     base = F.transform("base", lambda b: F.struct(b["start"], b["no"], b["end"], b["kind"], F.lit("mask").alias("action")))
-    free = F.filter("_add", lambda z: ~F.exists("base", lambda b: (z["start"] < b["end"]) & (b["start"] < z["end"])))
-    out = found.join(add, ["_k1", "_k2"], "left")
-    return out.select(id_col, "_k1", "_k2", F.when(F.col("_add").isNull(), base).otherwise(F.array_sort(F.concat(base, F.transform(free, put)))).alias("found"))
+    out = found.join(add, key, "left")
+    return out.select(id_col, *key, F.when(F.col("_add").isNull(), base).otherwise(F.array_sort(F.concat(base, F.col("_add")))).alias("found"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with each span of ``text`` replaced: [EMAIL] etc. for base kinds and secrets, [NUMBER], [NAME] or [WORD] for
-    generalised terms (with a digit; capitalised; others), nothing for removed ones. Spans that overlap an earlier one
-    give way to it. Null stays null."""
+    generalised terms (with a digit; capitalised; others), nothing for removed ones. Spans that overlap are one, from the
+    first's start to the furthest end, replaced as the first is. Null stays null."""
+    key = ["_k1", "_k2"]
+    s = spans(docs, id_col, text_col, **how).where(F.size("found") > 0).select(*key, "found").dropDuplicates(key).select(*key, F.explode("found").alias("_f")).select(*key, "_f.*")
+    w = Window.partitionBy(*key).orderBy("start", "no")
+    s = s.withColumn("_new", F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("start"), F.lit(True)).cast("int"))
+    s = s.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = s.groupBy(*key, "_run").agg(F.min(F.struct("start", "no", "kind", "action")).alias("_m"), F.max("end").alias("end"))
+    runs = runs.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_m.start", "end", "_m.kind", "_m.action"))).alias("found"))  # a text's own spans
     d = boxed(docs, id_col, text_col)
-    s = spans(docs, id_col, text_col, **how).where(F.size("found") > 0).select("_k1", "_k2", "found").dropDuplicates(["_k1", "_k2"])
     t = F.col("_row").getField(text_col)
-    word = lambda x: F.substring(t, x["start"] + 1, x["end"] - x["start"])
-    broader = lambda x: F.when(word(x).rlike(r"\p{N}"), "[NUMBER]").when(word(x).rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
-    put = lambda x: F.when(x["action"] == "remove", "").when(x["action"] == "generalise", broader(x)).otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
-    step = lambda acc, x: F.when(x["start"] < acc["at"], acc).otherwise(F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["start"] - acc["at"]), put(x)).alias("out")))
-    whole = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.char_length(t))))
-    new = F.when(F.col("found").isNull(), t).otherwise(whole)
-    return d.join(s, ["_k1", "_k2"], "left").select(*[new.alias(c) if c == text_col else x for c, x in zip(docs.columns, unboxed(docs.columns), strict=True)])
+
+    def cut(chars: Column) -> Column:
+        """Pieces of the text and what stands for the spans, in order; each character is looked at once."""
+        part = lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), "")
+        broader = lambda v: F.when(v.rlike(r"\p{N}"), "[NUMBER]").when(v.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+        put = lambda x: F.when(x["action"] == "remove", "").when(x["action"] == "generalise", broader(part(x["start"], x["end"]))).otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
+        before = lambda i: F.when(i > 0, F.get("found", i - 1)["end"]).otherwise(0)
+        out = F.transform("found", lambda x, i: F.concat(part(before(i), x["start"]), put(x)))
+        return F.array_join(F.concat(out, F.array(part(F.element_at("found", -1)["end"], F.size(chars)))), "")
+
+    new = F.when(F.col("found").isNull(), t).otherwise(F.transform(F.array(F.regexp_extract_all(t, F.lit(r"(?s)."), F.lit(0))), cut)[0])
+    return d.join(runs, key, "left").select(*[new.alias(c) if c == text_col else x for c, x in zip(docs.columns, unboxed(docs.columns), strict=True)])
 
 
 def digest(spanned: DataFrame, id_col: str = "doc_id") -> DataFrame:

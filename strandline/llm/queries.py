@@ -150,7 +150,7 @@ sb AS (
 ),
 ab AS (SELECT doc_id, text, no, kind, s, e, entity FROM b UNION ALL SELECT * FROM sb),
 -- every word of every text
-bag AS (SELECT DISTINCT text, term FROM (SELECT text, unnest(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+')) AS term FROM documents) q WHERE term <> ''),
+bag AS (SELECT DISTINCT text, lower(term) AS term FROM (SELECT text, unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+')) AS term FROM documents) q),
 held AS (SELECT DISTINCT text, entity FROM ab),
 ent AS (SELECT entity, count(*) AS n FROM held GROUP BY entity HAVING count(*) >= 3),
 et AS (SELECT held.entity, bag.term, count(*) AS n FROM held JOIN ent ON held.entity = ent.entity JOIN bag ON held.text = bag.text GROUP BY held.entity, bag.term HAVING count(*) >= 3),

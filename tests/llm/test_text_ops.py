@@ -97,6 +97,49 @@ def test_pii_terms_match_brute_force_wherever_they_stand(make):
         assert {tuple(map(int, s.split(":")[1:])) for s in got[i].spans.split(",") if s.startswith("term")} == spans, t
 
 
+def test_pii_terms_whose_lower_case_is_another_length(make):
+    """Names with İ, ß, final sigma and combining marks go, in any case they stand in; offsets are those of the text."""
+    names = ["İsmailoğlu", "Weißmüller", "ΣΟΦΟΣ", "Zoe\u0301va", "KEMALETTİN"]
+    common = "we met by the old river and saw how small green birds came over the house all day".split()
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.sample(common, 12))) for i in range(200)]
+    for k, n in enumerate(names):
+        rows += [(1000 * (k + 1) + i, f"{' '.join(rng.sample(common, 9))} {n} wrote from box{k}@mail.example, {n if i % 2 else n.swapcase() if n.swapcase().lower() == n.lower() else n}.") for i in range(6)]
+    texts, d = dict(rows), make(rows)
+    got = {r.doc_id: r for r in pii.digest(pii.spans(d)).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
+    for k, n in enumerate(names):
+        for i in range(6):
+            t = texts[1000 * (k + 1) + i]
+            words = [t[int(a) : int(b)] for kind, a, b in (x.split(":") for x in got[1000 * (k + 1) + i].spans.split(",")) if kind == "term"]
+            assert len(words) == 2 and all(w.lower() == n.lower() for w in words), (t, words)
+            assert n not in clean[1000 * (k + 1) + i] and "[EMAIL]" in clean[1000 * (k + 1) + i]
+
+
+def test_pii_spans_are_linear(make):
+    """100,000 addresses in a text, and near copies with 20,000 words of their own that all give away an address: spans as by
+    hand, and a text without any of them left, in time that grows with their number."""
+    import time
+
+    addresses = " ".join(f"u{i}@m.example" for i in range(100_000))
+    own = " ".join(f"q{i}x" for i in range(20_000))
+    copies = [(i, f"{own} copy {i} me@far.example") for i in range(3)]
+    rows = [(9, addresses), *copies, *((100 + i, f"some other text about birds {i}") for i in range(60))]
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in pii.digest(pii.spans(make(rows))).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(make(rows)).collect()}
+    took = time.perf_counter() - began
+    assert got[9].n_email == 100_000 and got[9].base_sha256 == hashlib.sha256(brute_spans(addresses).encode()).hexdigest()
+    assert got[0].n_term >= 20_000 and "q7x" not in clean[1] and "@" not in clean[1] and clean[9] == " ".join(["[EMAIL]"] * 100_000)
+    assert took < 120, took
+
+
+def test_overlapping_spans_are_masked_whole(make):
+    t = "call +1 555 0102 44.1.2.3 or so"  # the phone number and the address overlap
+    assert brute_spans(t).count(":") == 4
+    assert {r.text for r in pii.sanitise(make([(1, t), (2, t)])).collect()} == {"call [PHONE] or so"}
+
+
 def test_secrets_and_ties(make):
     key = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
     rows = [(1, f'set token = "{key}" now'), (2, "an-ordinary-slug-of-2024-with-many-words and 12345678901234567890123"), (3, "a" * 30 + "1111"), (4, f"{key} {key}")]
