@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,12 +32,14 @@ LEAST_PAGES, LEAST_SHARE, LEAST_CLASS = 3, 0.05, 4
 MAIN_SHARE, KIND_PAGES = 0.5, 10
 #: Slots that hold less than this part of what the host's best slot does (characters times variation) are poor.
 POOR = 0.05
+#: Where less than this part of a page's text is outside elements with names of chrome, the names are not heeded.
+LEAST_UNNAMED = 0.05
 #: Where template text is more than this part of the text in article or main, the pages are copies, and it stays.
 MOST_IN_MAIN = 0.5
 #: Bytes of templates up to which they are broadcast to the pages.
 BROADCAST_BYTES = 32 << 20
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*"[^"]{0,65536}"|=\s*'[^']{0,65536}'|=)*+)(?:>|$)""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*"[^"]*+"|=\s*'[^']*+'|=)*+)(?:>|$)""", re.S)
 _ATTRS = re.compile(r"""([^\s=\"'<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _RAW = {"script", "style", "template", "noscript", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -62,8 +65,8 @@ _LAYOUTS = {"content", "main", "layout", "page", "body", "site"}
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BLOCKS_END_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
-#: What holds a token: chrome by tag, a form, chrome by name, article or main, a heading, nav.
-STRONG, FORM, NAMED, MAIN, HEADING, NAV = 1, 2, 4, 8, 16, 32
+#: What holds a token: chrome by tag, a form, chrome by name, article or main, a heading, nav, a heading of the first level.
+STRONG, FORM, NAMED, MAIN, HEADING, NAV, TITLE = 1, 2, 4, 8, 16, 32, 64
 #: Kinds of tokens: text, tags within a line, line breaks, other tags.
 TEXT, INLINE, BREAK, BLOCK = range(4)
 
@@ -96,7 +99,7 @@ def _held(tag: str, attrs: str, up: int) -> int:
         return MAIN
     if tag == "article" and not up & (STRONG | NAMED):
         return MAIN
-    own = up | (HEADING if tag in _HEADINGS else 0)
+    own = up | (HEADING if tag in _HEADINGS else 0) | (TITLE if tag == "h1" else 0)
     if tag == "nav":
         own |= NAV
     elif tag == "form":
@@ -124,11 +127,20 @@ def tokens(page: str) -> tuple[list[int], list[int], list[int], list[str]]:
     flags: list[int] = []
     texts: list[str] = []
     stack: list[tuple[str, int, int]] = []  # tag, flags, path
+    open_: Counter[str] = Counter()  # how often each tag is in it
+    wide: list[int] = []  # where in it tags are that stand for more than a line
     at, n = 0, len(page)
 
     def put(key: str, kind: int, flag: int) -> None:
         keys.append(_hash(key)), kinds.append(kind), flags.append(flag)
 
+    def close(k: int) -> None:
+        for x, _, _ in stack[k:]:
+            open_[x] -= 1
+        del stack[k:]
+        while wide and wide[-1] >= k:
+            wide.pop()
+
     def text(a: int, b: int) -> None:
         if a >= b:
             return
@@ -152,11 +164,10 @@ def tokens(page: str) -> tuple[list[int], list[int], list[int], list[str]]:
             continue
         kind = BREAK if tag == "br" else INLINE if tag in _INLINE else BLOCK
         if m.group(1):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    put(f"close\x1f{stack[k][2]}", kind, stack[k][1])
-                    del stack[k:]
-                    break
+            if open_[tag]:
+                k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag)  # what is passed over is closed
+                put(f"close\x1f{stack[k][2]}", kind, stack[k][1])
+                close(k)
             continue
         if tag in _RAW:
             e = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -164,12 +175,8 @@ def tokens(page: str) -> tuple[list[int], list[int], list[int], list[str]]:
             continue
         if tag in _BLOCKS_END_P or tag in _CLOSES:
             ends = _CLOSES.get(tag, set()) | ({"p"} if tag in _BLOCKS_END_P else set())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    del stack[k:]
-                    break
-                if stack[k][0] not in _INLINE:
-                    break
+            if wide and stack[wide[-1]][0] in ends:
+                close(wide[-1])
         _, held, path = stack[-1] if stack else ("", 0, 0)
         attrs = m.group(3)
         f = _held(tag, attrs, held)
@@ -177,7 +184,10 @@ def tokens(page: str) -> tuple[list[int], list[int], list[int], list[str]]:
         marks = " ".join(sorted(f"{a.group(1).lower()}={next((x for x in a.groups()[1:] if x is not None), '')}" for a in _ATTRS.finditer(attrs) if a.group(1).lower() in ("class", "id", "role"))) if attrs else ""
         put(f"open\x1f{path}\x1f{marks}", kind, f)
         if tag not in _VOID and not attrs.rstrip().endswith("/"):
+            if tag not in _INLINE:
+                wide.append(len(stack))
             stack.append((tag, f, path))
+            open_[tag] += 1
     return keys, kinds, flags, texts
 
 
@@ -242,7 +252,8 @@ def article(keys: list[int], kinds: list[int], flags: list[int], texts: list[str
     block = np.cumsum([k == BLOCK for k in kinds]).tolist()
 
     def chosen(chrome: int) -> tuple[set[int], int]:
-        own = [i for i in runs if not flags[i] & chrome]
+        # a name does not take its title from an article
+        own = [i for i in runs if not flags[i] & chrome or flags[i] & chrome == NAMED and flags[i] & TITLE and flags[i] & MAIN]
         within = [i for i in own if flags[i] & MAIN]
         if within:
             size = sum(len(text_at[i]) for i in within)
@@ -257,6 +268,9 @@ def article(keys: list[int], kinds: list[int], flags: list[int], texts: list[str
     keep, size = chosen(STRONG | FORM | NAMED | NAV)
     wider, more = chosen(STRONG | NAMED | NAV)
     if size < more / 4:  # the page itself is in a form
+        keep, size = wider, more
+    wider, more = chosen(STRONG | FORM | NAV)
+    if size < more * LEAST_UNNAMED:  # what looks like a name of chrome is that of the article
         keep = wider
     blocks: list[str] = []
     run: list[str] = []

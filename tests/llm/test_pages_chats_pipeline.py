@@ -58,13 +58,28 @@ def test_pages_that_names_and_broken_markup_mislead(html):
     assert text_of(html) == "The story."
 
 
-@pytest.mark.parametrize("html", ["<p>" * 30_000 + "x", "<div>" * 5000 + "x", '<a href="' * 3000 + "x", "<!--" * 50_000, "x " * 300_000, "<b>x</b>" * 30_000])
+@pytest.mark.parametrize("html", ["<p>" * 30_000 + "x", "<div>" * 5000 + "x", '<a href="' * 3000 + "x", "<!--" * 50_000, "x " * 300_000, "<b>x</b>" * 30_000, "<b>" * 40_000 + "<hr>" * 40_000, "<div>" * 40_000 + "</span>" * 40_000, "<li>" * 40_000 + "<i>" * 40_000 + "<p>" * 40_000, "<a b='" * 20_000 + '<a b="' * 20_001])
 def test_long_and_nested_pages_take_linear_time(html):
     start = time.time()
     text_of(html)
     assert time.time() - start < 20
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        '<div class="post social"><p>The story.</p></div>',
+        '<main><div id="menu"><p>The story.</p></div></main>',
+        '<main><div class="article comment"><p>The story.</p></div></main>',
+        '<body><div class="newsletter"><p>The</p><p>story.</p></div></body>',
+        '<article><div class="hero-banner"><h1>The</h1></div><p>story.</p></article>',
+        '<article><p>The <img alt="' + "a > b " * 12_000 + '"> story.</p></article>',
+    ],
+)
+def test_no_name_empties_a_page(html):
+    assert text_of(html) == "The story."
+
+
 def test_template_decides_without_names_and_within_articles(spark):
     """Two kinds of pages of one host without telling names, copies, and a host whose articles share a notice."""
     rng = random.Random(12)
