@@ -280,6 +280,25 @@ def test_close_languages_and_held_out_calibration(make):
     assert abs(known["score"].mean() - right.mean()) < 0.05  # calibrated on rows that the models had not counted
 
 
+def test_words_are_letters_and_their_marks():
+    assert langid.LETTERS.findall("½ ² Ⅷ ㊷ 7 _ a1b") == ["a", "b"]
+    assert langid.LETTERS.findall("हिन्दी भाषा, e\u0301a \u0301x") == ["हिन्दी", "भाषा", "e\u0301a", "x"]
+    keys, n = langid.grams(["ab", "𞤀𞤁", "𐌰"])
+    assert n.tolist() == [3, 5, 3] and len(keys) == 11 and len(set(keys.tolist())) == 11
+
+
+def test_languages_beyond_the_basic_plane_and_texts_without_letters(make):
+    """Three languages of one script there, that differ in their letters; numbers and fractions are no language."""
+    rng = random.Random(8)
+    text = lambda start, n: " ".join("".join(chr(start + rng.randrange(12)) for _ in range(rng.randrange(2, 7))) for _ in range(n))
+    langs = {"aa": 0x1E900, "bb": 0x1E90C, "cc": 0x1E918}
+    rows = [(i, text(langs[x], 30), x) for i, x in enumerate(["aa", "bb", "cc"] * 60)]
+    m = langid.fit(make(rows))
+    new = [(1000 + i, text(langs[x], 20), x) for i, x in enumerate(["aa", "bb", "cc"] * 10)]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(make([*new, (1, "½ ² Ⅷ ㊷"), (2, "12 + 7")]), m).collect()}
+    assert all(got[i] == x for i, _, x in new) and got[1] == got[2] == "und"
+
+
 def test_unseen_text_scores_do_not_depend_on_lang_or_source(documents):
     m = langid.fit(documents.where(~langid.held_out()))
     a = langid.predict(documents, m).orderBy("doc_id").toPandas()
