@@ -42,6 +42,9 @@ WIDTH, LITERALS = 6, 5
 #: Words of a window of items that have too few plain words, and are matched word by word.
 EXACT = 8
 
+#: Keys of texts, of 12 bytes, up to which they are broadcast (some 40 MB).
+BROADCAST_KEYS = 1_000_000
+
 CLOSING = r"""[.,;:!?"'\)\]]"""
 # a slot is its kind (number \x01, name \x02, unit \x03), its value, and an end (\x04, \x05, \x07); \x06 joins the words of a value
 _SLOT, _END = r"[\x01-\x03]", r"[\x04\x05\x07]"
@@ -72,17 +75,11 @@ def vocabulary(benchmark: DataFrame, item_text: str = "text") -> list[str]:
 
 
 def marked(text: Column, plain: list[str]) -> Column:
-    """A squeezed text with its slots marked and put before the word that follows, so that a space parts plain words. A name
-    is a word, neither number nor unit, that is not in ``plain``."""
-
-    def named(both: Column) -> Column:
-        known = lambda w: w.isin(plain) if plain else F.lit(False)
-        slot = lambda w: w.startswith("\x01") | w.startswith("\x03") | (w == "")
-        return F.transform(both["raw"], lambda w, i: F.when(slot(w) | known(F.get(both["low"], i)), w).otherwise(F.concat(F.lit("\x02"), w, F.lit("\x05"))))
-
-    t = _numbered(text)
-    both = F.struct(F.split(t, " ").alias("raw"), F.split(bare(t), " ").alias("low"))
-    t = F.array_join(F.transform(F.array(both), named)[0], " ")
+    """A squeezed text in lower case, without closing punctuation, with its slots marked and put before the word that
+    follows, so that a space parts plain words. A name is a word, neither number nor unit, that is not in ``plain``."""
+    slot = lambda w: w.startswith("\x01") | w.startswith("\x03") | (w == "")
+    known = lambda w: w.isin(plain) if plain else F.lit(False)
+    t = F.array_join(F.transform(F.split(bare(_numbered(text)), " "), lambda w: F.when(slot(w) | known(w), w).otherwise(F.concat(F.lit("\x02"), w, F.lit("\x05")))), " ")
     for end in "\x04\x05\x07":
         t = F.replace(t, F.lit(end + " "), F.lit(end))
     for run in ("\x04\x01", "\x05\x02"):
@@ -97,7 +94,7 @@ def bare(text: Column) -> Column:
 
 def template(marks: Column) -> Column:
     """The template of a marked text: slots without their values."""
-    return F.regexp_replace(bare(marks), rf"({_SLOT})[^\x04\x05\x07]*+{_END}", "$1")
+    return F.regexp_replace(marks, rf"({_SLOT})[^\x04\x05\x07]*+{_END}", "$1")
 
 
 def _prepared(df: DataFrame, names: list[str], plain: list[str]) -> DataFrame:
@@ -134,7 +131,7 @@ def _slots(words: str) -> Column:
     width = F.substring("_form", 2, 9).cast("int")
     t = F.array_join(F.slice(words, F.col("_p") + 1, F.greatest(width, F.lit(1))), " ")
     t = F.regexp_replace(t, rf"^(?:{_SLOT}[^\x04\x05\x07]*+{_END})+", "")
-    t = F.lower(F.regexp_replace(t, rf"{CLOSING}++(?=[\x04-\x07])", ""))
+    t = F.regexp_replace(t, rf"{CLOSING}++(?=[\x04-\x07])", "")
     return F.when(F.col("_form").startswith("t"), F.regexp_extract_all(t, F.lit(rf"({_SLOT}[^\x04\x05\x07]*){_END}"), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
 
@@ -170,12 +167,21 @@ def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     d = docs.select(F.col(id_col).alias("_id"), squeezed(F.col(text_col)).alias("_s"), *row_key(id_col, text_col))
     w = _windows(_prepared(d, ["_k1", "_k2"], plain), ["_k1", "_k2"], forms)
     hits = written(w.join(if_small(b.select(*keys).distinct(), broadcast_rows), keys, "left_semi"), "bench-hits")
-    held = written(hits.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("_form", "_p", "_h", "_g")).alias("_at")), "bench-held")  # at most a text's windows
-    texts = d.join(F.broadcast(held) if hits.count() <= broadcast_rows else held, ["_k1", "_k2"])
+    # slots can only rule windows out, so only texts with enough of them for some item are read again, for its windows
+    positions = written(b.groupBy("_item").agg(F.countDistinct("_bp").alias("n_windows")), "bench-items")
+    met = hits.join(b.select("_item", "_bp", *keys), keys).groupBy("_k1", "_k2", "_item").agg(F.countDistinct("_bp").alias("_n"))
+    met = met.join(positions, "_item").where((F.col("_n") >= F.col("n_windows") * share) & (F.col("_n") > 0)).select("_k1", "_k2", "_item")
+    met = written(met, "bench-met")
+    telling = if_small(written(met.select("_k1", "_k2").distinct(), "bench-telling"), BROADCAST_KEYS)
+    wanted = hits.join(telling, ["_k1", "_k2"], "left_semi")
+    held = written(wanted.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("_form", "_p", "_h", "_g")).alias("_at")), "bench-held")  # at most a text's windows
+    some = held.agg(F.sum(F.size("_at"))).first()[0] or 0
+    texts = d.join(telling, ["_k1", "_k2"], "left_semi")  # so that where windows are too many to broadcast, few texts travel
+    texts = texts.join(F.broadcast(held) if some <= broadcast_rows else held, ["_k1", "_k2"])
     texts = texts.select("_id", "_k1", "_k2", "_at", F.split(marked(F.col("_s"), plain), " ").alias("_marks"))  # before the rows of hits, so once a text
     texts = texts.select("_id", "_k1", "_k2", "_marks", F.explode("_at").alias("_a"))
     texts = texts.select("_id", "_k1", "_k2", "_a.*", "_marks").select("_id", "_k1", "_k2", *keys, "_p", _slots("_marks").alias("_ds")).distinct()
-    pairs = texts.join(b, keys)
+    pairs = texts.join(b, keys).join(if_small(met, broadcast_rows), ["_k1", "_k2", "_item"], "left_semi")
     both = F.transform(F.arrays_zip("_bs", "_ds"), lambda z: F.struct(z["_bs"].alias("was"), z["_ds"].alias("now")))
     pairs = written(pairs.select("_id", "_k1", "_k2", "_item", "_bp", "_p", F.array_distinct(both).alias("_slots")), "bench-pairs")
     on = ["_id", "_k1", "_k2", "_item"]
@@ -184,7 +190,6 @@ def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     # several copies with other values may tie the votes of the whole document: each occurrence, told by where the item would begin, is judged by itself too
     groups = _agreeing(pairs, key).unionByName(_agreeing(pairs.withColumn("_from", F.col("_p") - F.col("_bp")), [*key, "_from"]).drop("_from"))
     best = groups.groupBy(*key).agg(F.max(F.struct("_hits", (-F.col("_changed")).alias("_same"), "_slots")).alias("_m"))
-    positions = b.select("_item", "_bp").distinct().groupBy("_item").agg(F.count(F.lit(1)).alias("n_windows"))
     out = best.join(positions, "_item").where(F.col("_m._hits") >= F.col("n_windows") * share).join(pairs.select(*on).distinct(), key)
     return out.select(*on, "n_windows", F.col("_m._hits").alias("n_hits"), F.col("_m._slots").alias("n_slots"), (-F.col("_m._same")).alias("_changed"))
 
