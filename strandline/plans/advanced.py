@@ -3,6 +3,7 @@ strength and levels, and their SQL."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import ordered as o
 from ..session import written
 from ..operators import attribution, bars, baskets, boosting, extremes, feature_sets, features, importance, learn, meta_labels, signals
+from ..sources import intraday
 from . import panels
-from .views import FLOW, META, PX, RET, TICKS, Book, W, flow, meta, px, returns, rounded, ticks
+from .views import FLOW, META, PX, RET, TICKS, Book, W, flow, meta, px, returns, rounded, table, ticks
 
 BOOK = Book()
 query = BOOK.add
@@ -269,3 +271,25 @@ p AS (SELECT series_id, ts, known, 'resistance' AS kind, high AS level FROM w WH
 SELECT series_id, kind, round(avg(level), 4) AS level, count(*) AS touches, min(known) AS first_known, max(known) AS last_known FROM k GROUP BY series_id, kind, c""")
 def support_resistance(s, d):
     return rounded(features.levels(features.pivots(_daily_bars(s, d)), 0.002), 4)
+
+
+# intraday requests
+
+
+@query("""WITH b AS (SELECT min(ts) + INTERVAL 5 DAY AS lo, max(ts) - INTERVAL 5 DAY AS hi FROM events),
+e AS (SELECT event_type AS ticker, date_trunc('hour', ts) AS hour, ts, event_id, value FROM events, b WHERE ts >= lo AND ts < hi)
+SELECT ticker, hour, round(arg_min(value, (ts, event_id)), 6) AS open, round(max(value), 6) AS high, round(min(value), 6) AS low, round(arg_max(value, (ts, event_id)), 6) AS close, count(*) AS n FROM e GROUP BY ticker, hour""")
+def intraday_bars(s, d):
+    """Hourly bars of all tickers, less five days at either end, from requests that the bounds on ts narrow."""
+    e = table(s, d, "events")
+    lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
+    if lo is None:
+        return s.createDataFrame([], "ticker string, hour timestamp_ntz, open double, high double, low double, close double, n long")
+    tickers = [r[0] for r in e.select("event_type").distinct().collect()]  # a handful
+    path = f"{d.rstrip('/')}/events.parquet"
+    t = intraday.intraday(s, tickers, lo, hi + dt.timedelta(microseconds=1), "strandline.sources.intraday:table_provider", path=path)
+    days = dt.timedelta(days=5)
+    t = t.where((F.col("ts") >= F.lit(lo + days).cast("timestamp_ntz")) & (F.col("ts") < F.lit(hi - days).cast("timestamp_ntz")))
+    at = F.struct("ts", "number")
+    g = t.groupBy("ticker", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"))
+    return rounded(g.agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count(F.lit(1)).alias("n")))

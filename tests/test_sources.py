@@ -68,3 +68,40 @@ def test_reports_tell_what_they_leave_out(spark, tmp_path):
     assert "Performance" in whole and "Trade blotter" in whole and len(whole.splitlines()) > 12
     sinks.write_text(spark, whole, f"{tmp_path}/r")
     assert spark.read.text(f"{tmp_path}/r").count() == len(whole.split("\n"))
+
+
+def test_intraday_requests_are_narrowed_and_streamed(spark, small, tmp_path):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from strandline.sources import intraday
+
+    e = spark.read.parquet(f"{small}/events.parquet")
+    lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
+    kinds, end = sorted(r[0] for r in e.select("event_type").distinct().collect()), hi + dt.timedelta(microseconds=1)
+    how = {"provider": "strandline.sources.intraday:table_provider", "path": f"{small}/events.parquet"}
+    whole = intraday.intraday(spark, kinds, lo, end, **how)
+    want = sorted((r.event_type, r.ts, r.event_id, r.value) for r in e.collect())
+    assert sorted(map(tuple, whole.collect())) == want
+    cut = lo + dt.timedelta(days=3)
+    part = whole.where(F.col("ts") < F.lit(cut).cast("timestamp_ntz"))
+    assert sorted(map(tuple, part.collect())) == [r for r in want if r[1] < cut]
+    assert part.rdd.getNumPartitions() <= 4 * len(kinds) < whole.rdd.getNumPartitions()
+    q = intraday.intraday_stream(spark, kinds, lo, end, slices=11, **how).writeStream.format("memory").queryName("intraday").option("checkpointLocation", str(tmp_path)).start()
+    try:
+        q.processAllAvailable()
+        assert sorted(map(tuple, spark.table("intraday").collect())) == want
+    finally:
+        q.stop()
+
+
+def test_slices_meet_and_cover():
+    import datetime as dt
+
+    from strandline.sources import intraday
+
+    a, b = dt.datetime(2024, 1, 1, 7, 30), dt.datetime(2024, 1, 3, 1)
+    s = intraday.sliced(a, b, 86400)
+    assert s[0] == (a, dt.datetime(2024, 1, 2)) and s[-1][1] == b and all(x[1] == y[0] for x, y in zip(s, s[1:], strict=False))
+    assert intraday.sliced(a, a, 60) == []
