@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from ..session import written
+
 START, END = Window.unboundedPreceding, Window.unboundedFollowing
 
 
@@ -212,3 +214,117 @@ def fold(df: DataFrame, step: Callable[[tuple, tuple], tuple], start: tuple, inp
         return state
 
     return _streamed(df, keys, order, piece, f"{fields}, {outputs}")
+
+
+# one long series over many tasks
+
+
+def _sliced(df: DataFrame, keys: list[str], order: list[str], slices: int | None) -> DataFrame:
+    """df written in ranges of (keys, order) of about equal size, with the number of each: _slice. Ranges are cut by sampled
+    splitters, so a long series lies in many of them, and rows of one time in one."""
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, *keys, *order).withColumn("_slice", F.spark_partition_id()), "slices")
+
+
+def _mean_from(x: np.ndarray, y: float | None, gap: int, alpha: float) -> tuple[np.ndarray, float | None, int]:
+    """Exponential means of x after a mean y with so many nulls after it; the last mean, and the nulls after its value."""
+    out = np.full(len(x), np.nan if y is None else y)
+    known = np.flatnonzero(~np.isnan(x))
+    if not len(known):
+        return out, y, gap + len(x)
+    i = int(known[0])
+    old = (1 - alpha) ** (gap + i + 1)
+    first = x[i] if y is None else (old * y + alpha * x[i]) / (old + alpha)
+    out[i:] = pd.Series(np.concatenate([[first], x[i + 1 :]])).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+    return out, float(out[-1]), len(x) - 1 - int(known[-1])
+
+
+def ewma_sliced(df: DataFrame, columns: Sequence[tuple[str, str, int]], keys: str | Sequence[str] = "series_id", order: str = "ts", slices: int | None = None) -> DataFrame:
+    """As ewma(), for series longer than a task should walk: a slice turns the mean before it into the one after it by an
+    affine map, which is found without knowing either. Maps of all slices are made side by side, applied one after the
+    other (a row per series and slice), and the slices then walked side by side, each from its own start."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    d = _sliced(df, keys, [order], slices)
+    types = dict(d.dtypes)
+    alphas = [2 / (span + 1) for _, _, span in columns]
+    fields = [*(f"`{k}` {types[k]}" for k in keys), "_slice int", *(f"_{p}{i} double" for i in range(len(columns)) for p in "nlxcdt")]
+
+    def maps(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(order, kind="stable")
+        row = [*(g[k].iloc[0] for k in keys), int(g["_slice"].iloc[0])]
+        for (c, _, _), a in zip(columns, alphas, strict=True):
+            x = g[c].astype("float64").to_numpy()
+            known = np.flatnonzero(~np.isnan(x))
+            if not len(known):
+                row += [float(len(x)), 0.0, np.nan, 0.0, 0.0, 0.0]
+                continue
+            i = int(known[0])
+            zero, one = (_mean_from(np.concatenate([[v], x[i + 1 :]]), None, 0, a)[1] for v in (0.0, 1.0))
+            row += [float(len(x)), float(i), x[i], one - zero, zero, float(len(x) - 1 - known[-1])]
+        return pd.DataFrame([row], columns=[f.rsplit(" ", 1)[0].strip("`") for f in fields])
+
+    made = d.select(*keys, "_slice", order, *dict.fromkeys(c for c, _, _ in columns)).groupBy(*keys, "_slice").applyInPandas(maps, ", ".join(fields))
+
+    def through(state: tuple, x: tuple) -> tuple[tuple, tuple]:
+        after = []
+        for i, a in enumerate(alphas):
+            (y, gap), (n, lead, first, c, e, trail) = state[i], x[6 * i : 6 * i + 6]
+            if first != first or first is None:
+                after.append((y, gap + int(n)))
+                continue
+            old = (1 - a) ** (gap + lead + 1)
+            start = first if y is None else (old * y + a * first) / (old + a)
+            after.append((c * start + e, int(trail)))
+        return tuple(after), tuple(v for s in state for v in s)
+
+    names = [f"_{p}{i}" for i in range(len(columns)) for p in "nlxcdt"]
+    starts = fold(made, through, tuple((None, 0) for _ in columns), names, ", ".join(f"_y{i} double, _g{i} long" for i in range(len(columns))), keys, "_slice")
+    starts = written(starts.select(*keys, "_slice", *(f"_{p}{i}" for i in range(len(columns)) for p in "yg")), "slice-starts")
+    on = [d[k].eqNullSafe(starts[k]) for k in keys] + [d["_slice"] == starts["_slice"]]
+    rows = d.join(starts, on).select(*[d[c] for c in d.columns], *[starts[f"_{p}{i}"] for i in range(len(columns)) for p in "yg"])
+
+    def piece(g: pd.DataFrame, state: dict | None) -> dict:
+        after = {}
+        for i, ((c, name, _), a) in enumerate(zip(columns, alphas, strict=True)):
+            y, gap = state[i] if state else (None if pd.isna(y := g[f"_y{i}"].iloc[0]) else float(y), int(g[f"_g{i}"].iloc[0]))
+            g[name], y, gap = _mean_from(g[c].astype("float64").to_numpy(), y, gap, a)
+            after[i] = (y, gap)
+        return after
+
+    all_fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + "".join(f", `{name}` double" for _, name, _ in columns)
+    return _streamed(rows, [*keys, "_slice"], [order], piece, all_fields).drop("_slice", *(f"_{p}{i}" for i in range(len(columns)) for p in "yg"))
+
+
+def fold_sliced(df: DataFrame, step: Callable[[tuple, tuple], tuple], start: tuple, states: Sequence[tuple], inputs: Sequence[str], outputs: str, keys: str | Sequence[str] = "series_id", order: str | Sequence[str] = "ts", slices: int | None = None) -> DataFrame:
+    """As fold(), for long series and a machine of few states, all of which ``states`` lists: slices first say, side by side,
+    which state each state leads to; these tables are followed from slice to slice; then slices are walked side by side.
+    States that meet are walked once, so a table costs little more than one walk."""
+    keys, order = ([x] if isinstance(x, str) else list(x) for x in (keys, order))
+    d = _sliced(df, keys, order, slices)
+    types, number = dict(d.dtypes), {s: i for i, s in enumerate(states)}
+
+    def table(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(order, kind="stable")
+        now = list(states)
+        for values in zip(*(g[c].tolist() for c in inputs), strict=True):
+            met = {s: step(s, values)[0] for s in set(now)}
+            now = [met[s] for s in now]
+        return pd.DataFrame([[*(g[k].iloc[0] for k in keys), int(g["_slice"].iloc[0]), [number[s] for s in now]]], columns=[*keys, "_slice", "_to"])
+
+    made = d.select(*keys, "_slice", *dict.fromkeys([*order, *inputs])).groupBy(*keys, "_slice").applyInPandas(table, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "_slice int, _to array<int>"]))
+    starts = fold(made, lambda s, x: ((int(x[0][s[0]]),), (s[0],)), (number[start],), ["_to"], "_from int", keys, "_slice")
+    starts = written(starts.select(*keys, "_slice", "_from"), "slice-starts")
+    rows = d.join(starts, [d[k].eqNullSafe(starts[k]) for k in keys] + [d["_slice"] == starts["_slice"]]).select(*[d[c] for c in d.columns], starts["_from"])
+    names = [x.split()[0] for x in outputs.split(", ")]
+
+    def piece(g: pd.DataFrame, state: tuple | None) -> tuple:
+        state, out = states[int(g["_from"].iloc[0])] if state is None else state, []
+        for values in zip(*(g[c].tolist() for c in inputs), strict=True):
+            state, o_ = step(state, values)
+            out.append(o_)
+        for i, name in enumerate(names):
+            g[name] = [m[i] for m in out]
+        return state
+
+    fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    return _streamed(rows, [*keys, "_slice"], order, piece, f"{fields}, {outputs}").drop("_slice", "_from")

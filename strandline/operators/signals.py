@@ -71,12 +71,20 @@ def vol_adaptive(df: DataFrame, n: int = 20, k: int = 10, calm: float = 1.0, ten
 
 def hold_greedy(df: DataFrame, signal: str, hold: int, out: str = "held") -> DataFrame:
     """A signal holds for so many rows; signals within a hold are passed over, and the next is looked for after it."""
+    return o.fold(df, _greedy(hold), (0,), [signal], f"{out} int")
 
+
+def _greedy(hold: int) -> Callable[[tuple, tuple], tuple]:
     def step(state, x):
         left = state[0] - 1 if state[0] > 0 else (hold - 1 if x[0] else -1)
         return (max(left, 0),), (1 if state[0] > 0 or x[0] else 0,)
 
-    return o.fold(df, step, (0,), [signal], f"{out} int")
+    return step
+
+
+def hold_sliced(df: DataFrame, signal: str, hold: int, out: str = "held", slices: int | None = None) -> DataFrame:
+    """hold_greedy() for long series, by slices of time: what is left of a hold is one of ``hold`` states."""
+    return o.fold_sliced(df, _greedy(hold), (0,), [(i,) for i in range(hold)], [signal], f"{out} int", slices=slices)
 
 
 def by_rule(df: DataFrame, text: str) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions import ordered as o
 from ..session import written
 from ..operators import attribution, bars, baskets, boosting, extremes, feature_sets, features, importance, learn, meta_labels, signals
 from ..sources import intraday
-from . import panels
+from . import core, panels, trading
 from .views import FLOW, META, PX, RET, TICKS, Book, W, flow, meta, px, returns, rounded, table, ticks
 
 BOOK = Book()
@@ -293,3 +293,17 @@ def intraday_bars(s, d):
     at = F.struct("ts", "number")
     g = t.groupBy("ticker", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"))
     return rounded(g.agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count(F.lit(1)).alias("n")))
+
+
+# long series, by slices
+
+
+@query(core.BOOK.sql["ewma"])
+def ewma_sliced(s, d):
+    return rounded(o.ewma_sliced(px(s, d), [("value", "ewma_12", 12)], slices=16).select("series_id", "ts", "ewma_12"), 4)
+
+
+@query(trading.BOOK.sql["hold_greedy"])
+def hold_sliced(s, d):
+    p = px(s, d).withColumn("sig", F.coalesce((o.pct_change("value", 1, o.series()) > 0.1).cast("int"), F.lit(0)))
+    return signals.hold_sliced(p, "sig", 7, slices=16).select("series_id", "ts", "sig", "held")

@@ -290,3 +290,33 @@ def test_adx_and_pivots(spark):
     assert part == {k for k, p in got.items() if p.known <= D0 + dt.timedelta(days=50)}
     lv = features.levels(spark.createDataFrame([("a", D0, "support", v, D0) for v in (10.0, 10.1, 10.25, 12.0)], "series_id string, ts date, kind string, level double, known date"), 0.02)
     assert sorted((round(x.level, 4), x.touches) for x in lv.collect()) == [(10.1167, 3), (12.0, 1)]
+
+
+# long series by slices
+
+
+@pytest.mark.parametrize("slices", [1, 7, 40])
+def test_sliced_means_equal_one_walk(spark, slices):
+    """One long series with gaps, one of nulls alone, a short one: as pandas and as the walk in one task have it."""
+    import pandas as pd
+
+    from strandline.functions import ordered as o
+
+    rng = np.random.default_rng(slices)
+    x = [None if rng.random() < 0.3 or 60 < i < 140 else float(rng.normal()) for i in range(400)]
+    d = frame(spark, {"v": x}).union(frame(spark, {"v": [None] * 30}, "b")).union(frame(spark, {"v": [None, 2.0, 4.0]}, "c"))
+    cols = [("v", "fast", 3), ("v", "slow", 25)]
+    got = o.ewma_sliced(d, cols, slices=slices).orderBy("series_id", "ts").toPandas()
+    one = o.ewma(d, cols).orderBy("series_id", "ts").toPandas()
+    pd.testing.assert_frame_equal(got, one)
+    want = pd.Series(x, dtype=float).ewm(span=25, adjust=False).mean()
+    np.testing.assert_allclose(got[got.series_id == "a"]["slow"].to_numpy(float), want.to_numpy())
+
+
+def test_sliced_folds_equal_one_walk(spark):
+    rng = np.random.default_rng(6)
+    d = frame(spark, {"sig": (rng.random(500) < 0.15).astype(float)}).union(frame(spark, {"sig": [1.0] * 20}, "b"))
+    want = signals.hold_greedy(d, "sig", 7).orderBy("series_id", "ts").collect()
+    for slices in (1, 9, 60):
+        assert signals.hold_sliced(d, "sig", 7, slices=slices).orderBy("series_id", "ts").collect() == want
+    assert signals.hold_sliced(d.limit(0), "sig", 7).count() == 0
