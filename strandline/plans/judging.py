@@ -423,3 +423,13 @@ h AS (SELECT user_id, event_id, rn, value > 400 AS held, CASE WHEN value > 400 T
 SELECT user_id, event_id, held FROM h""")
 def stream_holds(s, d):
     return stream.run_once(stream.held_signals(_stream(s, d), 400.0, 3), f"holds_{uuid.uuid4().hex[:8]}", _shared(s))
+
+
+@query("""WITH RECURSIVE w AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY AS mark FROM events), n AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events, w WHERE ts <= mark),
+h AS (SELECT user_id, event_id, rn, value > 400 AS held, CASE WHEN value > 400 THEN 2 ELSE 0 END AS rest FROM n WHERE rn = 1
+  UNION ALL SELECT n.user_id, n.event_id, n.rn, h.rest > 0 OR n.value > 400, CASE WHEN h.rest > 0 THEN h.rest - 1 WHEN n.value > 400 THEN 2 ELSE 0 END FROM h JOIN n ON n.user_id = h.user_id AND n.rn = h.rn + 1)
+SELECT user_id, event_id, held FROM h""")
+def stream_ordered_holds(s, d):
+    """Holds by event time: what the watermark, a day behind the newest event, has reached."""
+    held = stream.ordered_holds(_stream(s, d), 400.0, 3)
+    return stream.run_once(held, f"ordered_{uuid.uuid4().hex[:8]}", _shared(s), state_store=stream.ROCKSDB)

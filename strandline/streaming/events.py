@@ -6,8 +6,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+#: The state store that timers and list states need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def read_events(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 8) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -49,10 +53,88 @@ def held_signals(events: DataFrame, threshold: float, hold: int) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, held boolean", "rows int", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """The stream's result over all that is there now, as a table of that name."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+class OrderedHolds(StatefulProcessor):
+    """Keeps a user's events until the watermark has passed them, then folds them in order of time.
+
+    State per user: what waits (the events between the watermark and the newest) and how many rows the hold still lasts. One
+    timer per user stands at the first event that waits.
+    """
+
+    def __init__(self, threshold: float, hold: int) -> None:
+        self.threshold, self.hold = threshold, hold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, event_id long, value double")
+        self.left = handle.getValueState("left", "rows int")
+
+    def _alarm(self, first: int) -> None:
+        """Moves the user's timer to the first event that waits."""
+        at = first // 1000  # timers are in milliseconds
+        for old in list(self.handle.listTimers()):
+            if old <= at:
+                return
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues):
+        first = None
+        for b in rows:
+            us = pd.to_datetime(b["ts"]).astype("datetime64[us]").astype("int64")
+            for row in zip(us.tolist(), b["event_id"].tolist(), [None if pd.isna(v) else float(v) for v in b["value"]], strict=True):
+                self.waiting.appendValue(row)
+            first = int(us.min()) if first is None else min(first, int(us.min()))
+        if first is not None:
+            self._alarm(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        waits = sorted((tuple(w) for w in self.waiting.get()), key=lambda w: w[:2])
+        ready = [w for w in waits if w[0] <= watermark]
+        rest = waits[len(ready) :]
+        left, held = self.left.get()[0] if self.left.exists() else 0, []
+        for _, _, v in ready:
+            starts = left == 0 and v is not None and v > self.threshold
+            held.append(left > 0 or starts)
+            left = left - 1 if left > 0 else (self.hold - 1 if starts else 0)
+        self.left.update((left,))
+        if rest:
+            self.waiting.put(rest)
+            self._alarm(rest[0][0])
+        else:
+            self.waiting.clear()
+        if ready:
+            yield pd.DataFrame({"user_id": key[0], "event_id": [w[1] for w in ready], "held": held})
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_holds(events: DataFrame, threshold: float, hold: int, lateness: str = "1 day") -> DataFrame:
+    """held_signals() by event time: an event counts at its place in time, whichever trigger brought it.
+
+    Events are let go once the watermark (the newest time of the triggers before, less ``lateness``) reaches them; what comes behind
+    events that were let go is left out, so what has been let go is what one batch over the same events gives. Ties in time go by event_id, null values
+    never start a hold, events without a time are left out. State grows with the events of a user within the lateness. Needs the
+    RocksDB state store (run_once(..., state_store=ROCKSDB), or the session's setting).
+    """
+    e = events.where("ts is not null").select("user_id", "event_id", "ts", F.col("value").cast("double").alias("value")).withWatermark("ts", lateness)
+    return e.groupBy("user_id").transformWithStateInPandas(OrderedHolds(threshold, hold), "user_id long, event_id long, held boolean", "append", "eventTime")
+
+
+def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append", state_store: str | None = None) -> DataFrame:
+    """The stream's result over all that is there now, as a table of that name. state_store: the provider for this query alone."""
+    setting, conf = "spark.sql.streaming.stateStore.providerClass", stream.sparkSession.conf
+    before = conf.get(setting, None)
+    if state_store is not None:
+        conf.set(setting, state_store)
+    try:
+        q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        if state_store is not None:
+            conf.unset(setting) if before is None else conf.set(setting, before)
     if q.exception() is not None:
         raise q.exception()
     return stream.sparkSession.table(name)

@@ -128,3 +128,40 @@ def test_feature_engineers_can_be_added(spark):
     with pytest.raises(ValueError):
         feature_sets.create("none", p)
     assert math.isfinite(feature_sets.create("boosting", p, asset="price").agg(F.sum("rsi_14d")).first()[0])
+
+
+def plain_holds(rows, threshold, hold):
+    out, left = {}, {}
+    for ts, user, event, value in sorted(rows, key=lambda r: (r[1], r[0], r[2])):
+        n = left.get(user, 0)
+        starts = n == 0 and value is not None and value > threshold
+        out[event] = n > 0 or starts
+        left[user] = n - 1 if n > 0 else hold - 1 if starts else 0
+    return out
+
+
+def test_ordered_holds_take_late_events_in_their_place(spark, tmp_path):
+    """Two triggers, the second with events older than the first's: the same holds as one batch. Events behind the watermark go."""
+    t0, rng = dt.datetime(2024, 1, 1), np.random.default_rng(8)
+    rows = [(t0 + dt.timedelta(seconds=int(x)), int(rng.integers(0, 4)), i, None if i % 11 == 0 else float(rng.integers(0, 10))) for i, x in enumerate(rng.permutation(400))]
+    rows += [(rows[5][0], rows[5][1], 1000, 9.0)]  # a tie in time
+    first, second = [r for r in rows if r[2] % 3], [r for r in rows if not r[2] % 3]
+    close = [(t0 + dt.timedelta(hours=5), 99, 2000, 1.0)]  # moves the watermark past all others, a trigger later
+    after = [(t0 + dt.timedelta(hours=5, seconds=1), 99, 2001, 1.0)]
+    too_late = [(t0 + dt.timedelta(seconds=7), 0, 3000, 9.0)]
+    schema, path = "ts timestamp, user_id long, event_id long, value double", str(tmp_path / "in")
+    for part in (first, second, close, after, too_late):  # a file, and so a trigger, each
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = events.run_once(events.ordered_holds(stream, 6.0, 3, "1 hour"), "ordered_late", str(tmp_path / "ck"), state_store=events.ROCKSDB)
+    got = [(r.event_id, r.held) for r in out.collect()]
+    assert len(got) == len(rows)
+    assert dict(got) == plain_holds(rows, 6.0, 3)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != events.ROCKSDB
+
+
+def test_ordered_holds_of_nothing(spark, tmp_path):
+    schema = "ts timestamp, user_id long, event_id long, value double"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "in"))
+    out = events.run_once(events.ordered_holds(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 1.0, 2), "ordered_none", str(tmp_path / "ck"), state_store=events.ROCKSDB)
+    assert out.count() == 0
