@@ -17,6 +17,17 @@ def momentum(df: DataFrame, ks: Sequence[int]) -> DataFrame:
     return df.withColumns({f"mom_{k}": o.pct_change("value", k, W()) for k in ks})
 
 
+def optional_momentum(df: DataFrame, column: str, ks: Sequence[int], constant: float = 0.0) -> DataFrame:
+    """<column>_mom_<k>: k-row changes of a column that a table may lack; then, and before k rows, the constant."""
+    there = column in df.columns
+    return df.withColumns({f"{column}_mom_{k}": F.coalesce(o.pct_change(column, k, W()), F.lit(float(constant))) if there else F.lit(float(constant)) for k in ks})
+
+
+def optional(df: DataFrame, column: str, name: str, constant: float = 0.0) -> DataFrame:
+    """A column taken over under a name, the constant where the table lacks it or it is null."""
+    return df.withColumn(name, F.coalesce(F.col(column).cast("double"), F.lit(float(constant))) if column in df.columns else F.lit(float(constant)))
+
+
 def volatility(df: DataFrame, ns: Sequence[int], k: int = 1) -> DataFrame:
     """Rolling deviation of k-row returns."""
     d = df.withColumn("_r", o.pct_change("value", k, W()))

@@ -156,3 +156,40 @@ def adjusted(p: DataFrame, by: str = "family") -> DataFrame:
     holm = F.max(R("p") * (R("_m") - R("_k") + 1)).over(up.rowsBetween(o.START, 0))
     fdr = F.min(R("p") * R("_m") / R("_k")).over(up.rowsBetween(0, o.END))
     return d.withColumns({"bonferroni": F.least(F.lit(1.0), R("p") * R("_m")), "holm": F.least(F.lit(1.0), holm), "fdr": F.least(F.lit(1.0), fdr)}).drop("_k", "_m")
+
+
+def normal_cdf(z: Column) -> Column:
+    """The standard normal integral, by its series of odd powers (all terms of one sign) within 8 deviations, 0 or 1 beyond."""
+    x = F.least(F.lit(8.0), F.greatest(F.lit(-8.0), z))
+    grow = lambda a, k: F.struct((a["term"] * x * x / (2 * k + 1)).alias("term"), (a["total"] + a["term"] * x * x / (2 * k + 1)).alias("total"))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(150)), F.struct(x.alias("term"), x.alias("total")), grow, lambda a: a["total"])
+    return F.when(z >= 8, 1.0).when(z <= -8, 0.0).when(z.isNotNull(), 0.5 + F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * total)
+
+
+def loss_probability(df: DataFrame, threshold: float = -0.10, horizon: int = 252) -> DataFrame:
+    """(series_id, n, z, probability): the chance that the returns of so many rows add up to less than the threshold, if they are
+    normal. Without spread (or with fewer than two returns) z and probability are null."""
+    g = df.groupBy("series_id").agg(F.count("ret").alias("n"), F.avg("ret").alias("_m"), F.stddev_samp("ret").alias("_s"))
+    g = g.withColumn("z", F.when(R("_s") > 0, (threshold - R("_m") * horizon) / (R("_s") * math.sqrt(horizon))))
+    return g.select("series_id", "n", "z", normal_cdf(R("z")).alias("probability"))
+
+
+def shortfall(fills: DataFrame) -> DataFrame:
+    """fills (decision and execution prices, side 1 to buy or -1 to sell) with ``shortfall``: the cost of being late, as a share
+    of the decision's price. Null prices and decisions at 0 give null."""
+    return fills.withColumn("shortfall", R("side") * F.try_divide(R("execution") - R("decision"), R("decision")))
+
+
+def shortfall_summary(fills: DataFrame) -> DataFrame:
+    """(series_id, n, mean, worst, total, share_adverse) of shortfall()'s rows; nulls take no part."""
+    x = R("shortfall")
+    return fills.groupBy("series_id").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.max(x).alias("worst"), F.sum(x).alias("total"), F.avg((x > 0).cast("double")).alias("share_adverse"))
+
+
+def degradation(df: DataFrame, split: str, n_features: int, af: int = 252) -> DataFrame:
+    """(series_id, sharpe_is, sharpe_oos, degradation, samples_per_feature): what of the in-sample ratio is lost from the date
+    ``split`` on (null if there was none to lose), and in-sample rows per feature."""
+    early = R("ts") < F.lit(split).cast("date")
+    a, b = F.when(early, R("ret")), F.when(~early, R("ret"))
+    g = df.groupBy("series_id").agg(_sharpe(F.avg(a), F.stddev_samp(a), af).alias("sharpe_is"), _sharpe(F.avg(b), F.stddev_samp(b), af).alias("sharpe_oos"), (F.count(a) / n_features).alias("samples_per_feature"))
+    return g.withColumn("degradation", 1 - F.try_divide("sharpe_oos", "sharpe_is"))

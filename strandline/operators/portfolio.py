@@ -33,6 +33,33 @@ def backtest(df: DataFrame, capital: float = 100.0, fee: float = 0.0, slippage:
     return d.withColumn("ret", F.when(F.row_number().over(w) == 1, F.lit(0.0)).otherwise(F.col("_f") - 1)).drop("_before", "_r", "_side", "_f")
 
 
+def buy_and_hold(df: DataFrame, capital: float = 100.0, fee: float = 0.0, slippage: float = 0.0, keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """backtest() of a position that is taken on the first row and kept."""
+    return backtest(df.withColumns({"entry": F.lit(True), "exit": F.lit(False)}), capital, fee, slippage, keys)
+
+
+def decisions(bt: DataFrame, delay: int = 1, keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """(keys, ts, side, decision, execution): every change of position, at the row's price and at that ``delay`` rows later, if
+    there is one."""
+    w = o.series(keys)
+    d = bt.withColumns({"side": F.col("position") - F.lag("position", 1, 0).over(w), "execution": F.lead("value", delay).over(w)})
+    return d.where("side <> 0 AND execution IS NOT NULL").select(*keys, "ts", "side", F.col("value").alias("decision"), "execution")
+
+
+def kelly_sizes(df: DataFrame, n: int = 60, fraction: float = 0.5, most: float = 1.0, keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """Adds ``kelly``: a fraction of the Kelly bet on the n returns before the row (never the row's own), from 0 to ``most``.
+
+    The bet is (win share x payoff - loss share) / payoff, payoff being the mean win over the mean loss; 0 where there was no win, and
+    ``most`` where there was no loss. Null until n returns are there.
+    """
+    w = o.series(keys).rowsBetween(-n, -1)
+    r = F.col("ret")
+    share, win, loss = F.avg((r > 0).cast("double")).over(w), F.avg(F.when(r > 0, r)).over(w), F.abs(F.avg(F.when(r <= 0, r)).over(w))
+    payoff = F.try_divide(win, loss)
+    bet = F.when(win.isNull(), 0.0).when(payoff.isNull(), float(most)).otherwise(fraction * (share * payoff - (1 - share)) / payoff)
+    return df.withColumn("kelly", F.when(F.count(r).over(w) >= n, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), bet))))
+
+
 def summary(bt: DataFrame, af: int = 252, keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """One row per run: total return, CAGR, volatility, Sharpe, Sortino, drawdown, final and initial value, trades, time in market."""
     w = o.series(keys)

@@ -145,6 +145,32 @@ def daily_mentions(docs: DataFrame, words: Sequence[str], ts: str = "ts", text:
     return docs.groupBy(F.col(ts).cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"), *hit)
 
 
+#: Words that turn the next one around.
+NEGATORS = ("not", "no", "never", "without")
+
+
+def sentiment(texts: DataFrame, lexicon: DataFrame, keys: Sequence[str], text: str = "text", negators: Sequence[str] = NEGATORS) -> DataFrame:
+    """(keys, n_scored, polarity, subjectivity): means over a text's words that the lexicon (word, polarity, subjectivity; one row
+    a word, lower case) has.
+
+    Words are runs of a-z of the lower-case text; after a negator a polarity counts as minus a half of it. A text without such words has
+    0 in all three, as have null and empty texts; rows alike in keys are one text. The lexicon is joined by word, broadcast
+    only if Spark finds it small.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+    t = texts.select(*keys, words.alias("_w"))
+    t = t.select(*keys, F.explode_outer(F.arrays_zip(F.col("_w").alias("word"), F.concat(F.array(F.lit("")), F.col("_w")).alias("before"))).alias("_p")).select(*keys, "_p.word", "_p.before")
+    d = t.join(lexicon.select("word", "polarity", "subjectivity"), "word", "left")
+    turned = F.when(F.col("before").isin(*negators), -0.5).otherwise(1.0) * F.col("polarity")
+    return d.groupBy(*keys).agg(F.count("polarity").alias("n_scored"), F.coalesce(F.avg(turned), F.lit(0.0)).alias("polarity"), F.coalesce(F.avg("subjectivity"), F.lit(0.0)).alias("subjectivity"))
+
+
+def daily_sentiment(scored: DataFrame, ts: str = "ts") -> DataFrame:
+    """sentiment()'s texts by day: how many, mean, deviation, extremes of the polarity, mean subjectivity."""
+    p = F.col("polarity")
+    return scored.groupBy(F.col(ts).cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean"), F.stddev_samp(p).alias("std"), F.min(p).alias("low"), F.max(p).alias("high"), F.avg("subjectivity").alias("subjectivity"))
+
+
 def permuted_importance(fitted, df: DataFrame, features: Sequence[str], label: str = "label", seed: int = 42) -> DataFrame:
     """Accuracy lost when a feature's values are dealt anew among the rows of its series (by hash order): feature, drop."""
     from .validation import uniform

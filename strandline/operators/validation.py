@@ -256,23 +256,70 @@ def quality(df: DataFrame, features: list[str], label: str) -> DataFrame:
     return df.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_rows"), F.avg(gaps).alias("missing_share"), flat.alias("n_constant"), F.least(share, 1 - share).alias("minority_share"))
 
 
-def validate(bt: DataFrame, horizon: int = 7, trials: int = 10, runs: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
-    """One row per series: fold summary, uniqueness, probabilistic ratios, minimum length and status of a backtest's returns.
-
-    runs: returns of the configurations tried (series_id, config_id, ts, ret), from which the probability of overfitting is
-    estimated; without them it is null and takes no part in the status. scores: cross_validate()'s result, whose spread
-    then stands for that of the walk-forward folds.
-    """
+def _judged(bt: DataFrame, horizon: int, trials: int, runs: DataFrame | None, scores: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """A row per series of all that validate() and report() tell of a backtest, and the labels' uniqueness."""
     from . import metrics, portfolio
 
     wf = portfolio.walk_forward_summary(portfolio.walk_forward(bt, 252, 63, 21, include_last=True))
-    u = uniqueness(intervals(bt, horizon)).groupBy("series_id").agg(F.avg("uniqueness").alias("mean_uniqueness"))
+    labels = uniqueness(intervals(bt, horizon))
+    u = labels.groupBy("series_id").agg(F.avg("uniqueness").alias("mean_uniqueness"))
     p = metrics.sharpe_probabilities(bt, trials)
-    d = p.join(u, "series_id").join(wf.select("series_id", "n_folds", "mean_sharpe", "std_sharpe"), "series_id", "left")
+    d = p.join(u, "series_id").join(wf, "series_id", "left")
     ratio = F.try_divide("std_sharpe", F.abs("mean_sharpe"))
     if scores is not None:
         d, ratio = d.join(scores, "series_id", "left"), F.coalesce(F.try_divide("cv_std", F.abs("cv_mean")), ratio)
     d = d.withColumn("cv_ratio", F.coalesce(ratio, F.lit(0.0)))
     d = d.withColumn("pbo", F.lit(None).cast("double")) if runs is None else d.join(overfitting(runs), "series_id", "left")
     length = bt.groupBy("series_id").agg(F.count("ret").alias("n_returns"))
-    return status(d.join(length, "series_id").withColumn("long_enough", F.col("n_returns") >= F.col("min_backtest")))
+    return status(d.join(length, "series_id").withColumn("long_enough", F.col("n_returns") >= F.col("min_backtest"))), labels
+
+
+def validate(bt: DataFrame, horizon: int = 7, trials: int = 10, runs: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
+    """One row per series: fold summary, uniqueness, probabilistic ratios, minimum length and status of a backtest's returns.
+
+    runs: returns of the configurations tried (series_id, config_id, ts, ret), from which the probability of overfitting is
+    estimated; without them it is null and takes no part in the status. scores: cross_validate()'s result, whose spread
+    then stands for that of the walk-forward folds.
+    """
+    return _judged(bt, horizon, trials, runs, scores)[0].drop("min_sharpe", "max_sharpe", "mean_return", "std_return", "mean_drawdown", "worst_drawdown", "success_share")
+
+
+#: What report() tells, by section.
+SECTIONS = {
+    "quality": ("n_rows", "missing_share", "n_constant", "minority_share"),
+    "labels": ("n_overlaps", "mean_uniqueness", "low_weight", "high_weight"),
+    "cross_validation": ("n_scores", "cv_mean", "cv_std", "cv_ratio"),
+    "walk_forward": ("n_folds", "mean_sharpe", "std_sharpe", "min_sharpe", "max_sharpe", "mean_return", "worst_drawdown", "success_share"),
+    "significance": ("psr", "dsr", "pbo"),
+    "length": ("n_returns", "min_backtest"),
+}
+
+
+def report(bt: DataFrame, data: DataFrame | None = None, features: list[str] | None = None, label: str = "label", horizon: int = 7, trials: int = 10, decay: float = 0.0, runs: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
+    """(series_id, section, metric, value, verdict): the whole validation of a backtest, a row per figure of SECTIONS.
+
+    data, features, label: the training table whose quality is told. decay: of the sample weights. verdict is PASS, WARNING or
+    FAIL where a figure has limits (those of status(), a missing share of 5 and 20 percent, any constant feature, a minority
+    class of 10 and 2 percent, a history shorter than the minimum), else null. What wasn't asked for (quality without data,
+    scores, runs) has null values and no verdict, as have the folds of a series too short for one (its cv_ratio is 0). An empty backtest gives no rows.
+    """
+    d, labels = _judged(bt, horizon, trials, runs, scores)
+    w = weights(labels, decay).groupBy("series_id").agg(F.min("weight").alias("low_weight"), F.max("weight").alias("high_weight"))
+    pairs = overlap_count(labels).select("series_id", F.col("pairs").alias("n_overlaps"))
+    d = d.join(w, "series_id").join(pairs, "series_id", "left")
+    if data is not None:
+        d = d.join(quality(data, features or [], label), "series_id", "left")
+    there = set(d.columns)
+    rows = [F.struct(F.lit(s).alias("section"), F.lit(m).alias("metric"), (F.col(m) if m in there else F.lit(None)).cast("double").alias("value")) for s, ms in SECTIONS.items() for m in ms]
+    r = d.select("series_id", F.col("min_backtest").alias("_least"), F.explode(F.array(*rows)).alias("_r")).select("series_id", "_least", "_r.*")
+    x, of = F.col("value"), lambda m: F.col("metric") == m
+    grade = lambda fail, warn: F.when(fail, "FAIL").when(warn, "WARNING").otherwise("PASS")
+    none = F.lit(False)
+    limits = {
+        "pbo": (x > 0.7, x > 0.3), "dsr": (x < 0.80, x < 0.95), "cv_ratio": (none, x > 0.2), "missing_share": (x > 0.2, x > 0.05),
+        "n_constant": (none, x > 0), "minority_share": (x < 0.02, x < 0.1), "n_returns": (none, x < F.col("_least")),
+    }
+    verdict = F.when(x.isNull(), None)
+    for m, (fail, warn) in limits.items():
+        verdict = verdict.when(of(m), grade(fail, warn))
+    return r.withColumn("verdict", verdict.cast("string")).drop("_least")

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import ordered as o
 from ..session import written
-from ..operators import attribution, bars, baskets, boosting, extremes, feature_sets, features, importance, learn, meta_labels, signals
-from ..sources import intraday
-from . import core, panels, trading
+from ..operators import attribution, bars, baskets, boosting, extremes, feature_sets, features, importance, learn, meta_labels, metrics, portfolio, research, signals, validation
+from ..sources import intraday, sinks
+from . import core, judging, panels, trading
 from .views import FLOW, META, PX, RET, TICKS, Book, W, flow, meta, px, returns, rounded, table, ticks
 
 BOOK = Book()
@@ -307,3 +307,118 @@ def ewma_sliced(s, d):
 def hold_sliced(s, d):
     p = px(s, d).withColumn("sig", F.coalesce((o.pct_change("value", 1, o.series()) > 0.1).cast("int"), F.lit(0)))
     return signals.hold_sliced(p, "sig", 7, slices=16).select("series_id", "ts", "sig", "held")
+
+
+# reports
+
+
+_TOLD = ", ".join(f"{{'section': '{section}', 'metric': '{m}', 'value': CAST({m} AS DOUBLE)}}" for section, ms in validation.SECTIONS.items() for m in ms)
+_REPORT = f"""WITH {judging.JUDGED}, dq AS ({panels.BOOK.sql['data_quality']}), cv AS ({panels.SCORES}), ov AS ({panels.BOOK.sql['overfitting_by_series']}), oc AS ({judging.BOOK.sql['overlap_count']}),
+j AS (SELECT pr.*, mean_uniqueness, low_weight, high_weight, pairs AS n_overlaps, w.* EXCLUDE (series_id), coalesce(CASE WHEN cv_mean <> 0 THEN cv_std / abs(cv_mean) END, CASE WHEN mean_sharpe <> 0 THEN std_sharpe / abs(mean_sharpe) END, 0) AS cv_ratio, n_scores, cv_mean, cv_std, n_returns, pbo, n_rows, missing_share, n_constant, minority_share
+  FROM pr JOIN un ON pr.series_id = un.series_id JOIN ln ON pr.series_id = ln.series_id LEFT JOIN w ON pr.series_id = w.series_id LEFT JOIN dq ON pr.series_id = dq.series_id LEFT JOIN cv ON pr.series_id = cv.series_id LEFT JOIN ov ON pr.series_id = ov.series_id LEFT JOIN oc ON pr.series_id = oc.series_id),
+r AS (SELECT series_id, min_backtest AS least_rows, unnest([{_TOLD}], recursive := true) FROM j)
+SELECT series_id, section, metric, round(value, 6) AS value, CASE WHEN value IS NULL THEN NULL WHEN metric = 'pbo' THEN CASE WHEN value > 0.7 THEN 'FAIL' WHEN value > 0.3 THEN 'WARNING' ELSE 'PASS' END WHEN metric = 'dsr' THEN CASE WHEN value < 0.8 THEN 'FAIL' WHEN value < 0.95 THEN 'WARNING' ELSE 'PASS' END
+WHEN metric = 'cv_ratio' THEN CASE WHEN value > 0.2 THEN 'WARNING' ELSE 'PASS' END WHEN metric = 'missing_share' THEN CASE WHEN value > 0.2 THEN 'FAIL' WHEN value > 0.05 THEN 'WARNING' ELSE 'PASS' END WHEN metric = 'n_constant' THEN CASE WHEN value > 0 THEN 'WARNING' ELSE 'PASS' END
+WHEN metric = 'minority_share' THEN CASE WHEN value < 0.02 THEN 'FAIL' WHEN value < 0.1 THEN 'WARNING' ELSE 'PASS' END WHEN metric = 'n_returns' THEN CASE WHEN value < least_rows THEN 'WARNING' ELSE 'PASS' END END AS verdict FROM r"""
+
+
+@query(_REPORT)
+def validation_report(s, d):
+    """All sections of a backtest's validation, with the data, the folds' scores and the configurations tried."""
+    return rounded(validation.report(trading._bt(s, d), panels.training_table(s, d), panels.TRAINING, runs=panels.tried(s, d), scores=panels.scores(s, d)))
+
+
+def _text_sql(title: str, sections: dict[str, tuple[str, tuple[str, ...]]]) -> str:
+    """SQL of sinks.full_report: sections are (query, columns), ordered by the first column."""
+    lines, parts = [f"SELECT 0 AS section, i AS n, x AS text FROM (VALUES (0, '{title}'), (1, '{'#' * len(title)}'), (2, '')) h(i, x)"], []
+    for k, (name, (sql, columns)) in enumerate(sections.items(), 1):
+        head = name.replace("_", " ").capitalize()
+        cell = lambda c: f"coalesce(CASE WHEN typeof({c}) = 'DOUBLE' THEN printf('%.4f', TRY_CAST({c} AS DOUBLE)) WHEN typeof({c}) = 'BOOLEAN' THEN CASE CAST({c} AS VARCHAR) WHEN 'true' THEN 'True' WHEN 'false' THEN 'False' END ELSE CAST({c} AS VARCHAR) END, '')"
+        row = lambda of, k=k, columns=columns: "rtrim(" + " || '  ' || ".join(f"rpad({of(c)}, CAST(w_{c} AS INTEGER), ' ')" for c in columns) + ")"
+        parts += [f"t{k} AS (SELECT {', '.join(f'{cell(c)} AS {c}' for c in columns)}, row_number() OVER (ORDER BY {columns[0]}) AS _k FROM ({sql}) q)", f"w{k} AS (SELECT {', '.join(f'greatest({len(c)}, coalesce(max(length({c})), 0)) AS w_{c}' for c in columns)} FROM t{k})"]
+        lines.append(f"SELECT {k}, i, x FROM (VALUES (-3, '{head}'), (-2, '{'=' * len(head)}')) h(i, x) UNION ALL SELECT {k}, -1, {row(lambda c: repr(c))} FROM w{k} UNION ALL SELECT {k}, _k, {row(lambda c: c)} FROM t{k}, w{k}")
+        if k < len(sections):
+            lines.append(f"SELECT {k}, 9223372036854775807, ''")
+    return f"WITH {', '.join(parts)}, l AS ({' UNION ALL '.join(lines)}) SELECT CAST(row_number() OVER (ORDER BY section, n) - 1 AS INTEGER) AS line, text FROM l"
+
+
+_SECTIONS = {
+    "performance": (judging.BOOK.sql["perf_metrics"], ("series_id", "n", "total_return", "sharpe", "max_drawdown", "calmar")),
+    "worst_and_best_years": (f"WITH {RET}, y AS (SELECT series_id, year(ts) AS year, product(1 + ret) - 1 AS r FROM rt GROUP BY ALL) SELECT series_id, min(r) AS worst, max(r) AS best, avg(r) AS mean FROM y GROUP BY series_id", ("series_id", "worst", "best", "mean")),
+    "validation": (judging.BOOK.sql["validate_backtest"], ("series_id", "dsr", "n_folds", "mean_sharpe", "long_enough", "status")),
+}
+
+
+@query(_text_sql("Run of the Monday momentum", _SECTIONS))
+def full_report(s, d):
+    """The text report of a run, a row per line, from tables of a row per series."""
+    year = metrics.yearly(returns(s, d)).groupBy("series_id").agg(*[f("year_return").alias(n) for f, n in ((F.min, "worst"), (F.max, "best"), (F.avg, "mean"))])
+    tables = {"performance": judging.perf_metrics(s, d), "worst_and_best_years": year, "validation": judging.validate_backtest(s, d)}
+    text = sinks.full_report("Run of the Monday momentum", **{k: df.select(*_SECTIONS[k][1]).orderBy("series_id") for k, df in tables.items()})
+    return s.createDataFrame(list(enumerate(text.splitlines())), "line int, text string")
+
+
+# risk, sizes, sentiment
+
+
+@query(f"""WITH {RET}, pv AS (SELECT series_id, count(ret) AS n, (-0.002 - avg(ret) * 20) / (stddev_samp(ret) * sqrt(20.0)) AS z FROM rt GROUP BY series_id),
+t AS (SELECT series_id, sum(exp((2 * i + 1) * ln(greatest(abs(z), 1e-9)) - (i + 1) * ln(2.0) - lgamma(i + 1.5) + ln(pi()) / 2)) AS t FROM pv CROSS JOIN (SELECT unnest(range(150)) AS i) r WHERE abs(z) <= 8 GROUP BY series_id)
+SELECT pv.series_id, n, round(z, 6) AS z, round(CASE WHEN z > 8 THEN 1 WHEN z < -8 THEN 0 ELSE 0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * t END, 6) AS probability FROM pv LEFT JOIN t ON pv.series_id = t.series_id""")
+def loss_probability(s, d):
+    """Chance of losing 0.2 % in 20 rows."""
+    return rounded(metrics.loss_probability(returns(s, d), -0.002, 20))
+
+
+@query(f"""WITH {RET}, {trading.BT}, x AS (SELECT bt.series_id, bt.ts, position - lag(position, 1, 0) OVER (PARTITION BY bt.series_id ORDER BY bt.ts) AS side, rt.value AS decision, lead(rt.value) OVER (PARTITION BY bt.series_id ORDER BY bt.ts) AS execution FROM bt JOIN rt ON bt.series_id = rt.series_id AND bt.ts = rt.ts),
+f AS (SELECT series_id, side * (execution - decision) / decision AS c FROM x WHERE side <> 0 AND execution IS NOT NULL)
+SELECT series_id, count(c) AS n, round(avg(c), 6) AS mean, round(max(c), 6) AS worst, round(sum(c), 6) AS total, round(avg(CAST(c > 0 AS DOUBLE)), 6) AS share_adverse FROM f GROUP BY series_id""")
+def implementation_shortfall(s, d):
+    """What acting a row late costs the Monday momentum."""
+    return rounded(metrics.shortfall_summary(metrics.shortfall(portfolio.decisions(trading._bt(s, d)))))
+
+
+@query(f"""WITH {RET}, k AS (SELECT series_id, ts, count(ret) OVER w AS n, avg(CAST(ret > 0 AS DOUBLE)) OVER w AS p, avg(CASE WHEN ret > 0 THEN ret END) OVER w AS a, abs(avg(CASE WHEN ret <= 0 THEN ret END) OVER w) AS b FROM rt WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
+SELECT series_id, ts, round(CASE WHEN n >= 60 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN a IS NULL THEN 0 WHEN b IS NULL OR b = 0 THEN 1 ELSE 0.5 * (p * a / b - (1 - p)) / (a / b) END)) END, 6) AS kelly FROM k""")
+def kelly_sizes(s, d):
+    return rounded(portfolio.kelly_sizes(returns(s, d)).select("series_id", "ts", "kelly"))
+
+
+@query(f"""WITH {RET}, {trading.BT.replace("THEN 1 - 0.001 ELSE", "THEN (1 - 0.001) * (1 - 0.002) ELSE")} SELECT series_id, ts, round(equity, 6) AS equity, round(ret, 6) AS ret FROM bt""")
+def slippage_backtest(s, d):
+    """The Monday momentum with a fee and slippage on each side."""
+    sig = signals.cross_momentum(px(s, d)).select("series_id", "ts", "entry", "exit")
+    bt = portfolio.backtest(returns(s, d).select("series_id", "ts", "value").join(sig, ["series_id", "ts"]), fee=0.001, slippage=0.002)
+    return rounded(bt.select("series_id", "ts", "equity", "ret"))
+
+
+@query(f"WITH {RET} SELECT series_id, ts, 1 AS position, round(100 * 0.999 * value / first_value(value) OVER ({W}), 6) AS equity FROM rt")
+def buy_and_hold(s, d):
+    return rounded(portfolio.buy_and_hold(returns(s, d).select("series_id", "ts", "value"), fee=0.001).select("series_id", "ts", "position", "equity"))
+
+
+@query(f"""WITH {RET}, g AS (SELECT series_id, avg(ret) FILTER (ts < DATE '1998-01-01') / stddev_samp(ret) FILTER (ts < DATE '1998-01-01') * sqrt(252.0) AS a, avg(ret) FILTER (ts >= DATE '1998-01-01') / stddev_samp(ret) FILTER (ts >= DATE '1998-01-01') * sqrt(252.0) AS b, count(ret) FILTER (ts < DATE '1998-01-01') AS n FROM rt GROUP BY series_id)
+SELECT series_id, round(a, 5) AS sharpe_is, round(b, 5) AS sharpe_oos, round(n / 12.0::DOUBLE, 5) AS samples_per_feature, round(1 - b / a, 5) AS degradation FROM g""")
+def degradation(s, d):
+    return rounded(metrics.degradation(returns(s, d), "1998-01-01", 12), 5)
+
+
+@query(f"WITH {PX} SELECT series_id, ts, round(coalesce(value / lag(value, 5) OVER ({W}) - 1, 0), 6) AS value_mom_5, round(coalesce(value / lag(value, 20) OVER ({W}) - 1, 0), 6) AS value_mom_20, 0.0::DOUBLE AS vix_mom_5, round(value, 4) AS surprise, 0.5::DOUBLE AS absent FROM px")
+def optional_features(s, d):
+    """Momenta and surprises of columns that are there and of columns that aren't."""
+    f = features.optional_momentum(features.optional_momentum(px(s, d), "value", [5, 20]), "vix", [5])
+    f = features.optional(features.optional(f, "value", "surprise"), "growth", "absent", 0.5)
+    return rounded(f.withColumn("surprise", F.round("surprise", 4)).drop("value"))
+
+
+_LEXICON = (("worthless", -0.8, 0.9), ("stupid", -0.8, 1.0), ("idiot", -0.8, 0.8), ("hate", -0.8, 0.9), ("by", 0.1, 0.2), ("the", 0.2, 0.3), ("this", 0.5, 0.5), ("that", -0.4, 0.1))
+
+
+@query(f"""WITH l AS (SELECT * FROM (VALUES {', '.join(f"('{w}', {p}::DOUBLE, {q}::DOUBLE)" for w, p, q in _LEXICON)}) v(word, polarity, subjectivity)),
+x AS (SELECT doc_id, ts, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS ws FROM documents JOIN events ON doc_id = event_id), t AS (SELECT doc_id, ts, i, ws[i] AS word, CASE WHEN i > 1 THEN ws[i - 1] ELSE '' END AS before FROM (SELECT *, unnest(range(1, greatest(len(ws), 1) + 1)) AS i FROM x) q),
+p AS (SELECT t.doc_id, t.ts, coalesce(avg(CASE WHEN before IN ('not', 'no', 'and', 'without') THEN -0.5::DOUBLE ELSE 1 END * polarity), 0) AS polarity, coalesce(avg(subjectivity), 0) AS subjectivity FROM t LEFT JOIN l ON t.word = l.word GROUP BY t.doc_id, t.ts)
+SELECT CAST(ts AS DATE) AS day, count(*) AS n, round(avg(polarity), 6) AS mean, round(stddev_samp(polarity), 6) AS std, round(min(polarity), 6) AS low, round(max(polarity), 6) AS high, round(avg(subjectivity), 6) AS subjectivity FROM p GROUP BY 1""")
+def daily_sentiment(s, d):
+    """Documents as the news of the event of their number."""
+    news = table(s, d, "documents").join(table(s, d, "events").select(F.col("event_id").alias("doc_id"), "ts"), "doc_id")
+    lexicon = s.createDataFrame(_LEXICON, "word string, polarity double, subjectivity double")
+    return rounded(research.daily_sentiment(research.sentiment(news, lexicon, ["doc_id", "ts"], negators=("not", "no", "and", "without"))))

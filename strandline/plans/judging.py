@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import uuid
+from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
 from ..functions import ordered as o
 from ..operators import bars, features, learn, metrics, signals, validation
 from ..streaming import events as stream
-from .trading import _bt
+from .trading import BT, _bt, wf_parts
 from ..session import shared_dir
 from .views import FLOW, PX, RET, TICKS, Book, W, flow, px, returns, rolled, rounded, table, ticks
 
@@ -75,9 +77,25 @@ def psr_inputs(s, d):
     return p.select("series_id", "n", *[F.round(c, 5).alias(c) for c in ("sharpe", "skew", "kurtosis")], F.round("psr_z", 4).alias("psr_z"))
 
 
-@query()
+#: Expected best ratio of ten trials, in deviations.
+_BEST = (1 - 0.5772156649015329) * NormalDist().inv_cdf(1 - 1 / 10) + 0.5772156649015329 * NormalDist().inv_cdf(1 - 1 / (10 * math.e))
+
+
+def probability_parts(source: str) -> str:
+    """The common tables of the probabilistic ratios of a table of returns, the last of which, pr, has a row per series. The
+    normal integral is its series of odd powers over double factorials, of which all terms have one sign."""
+    return f"""pg AS (SELECT series_id, count(ret) AS n, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(252.0) ELSE 0 END AS sr, skewness(ret) AS sk, kurtosis(ret) + 3 AS ku FROM {source} GROUP BY series_id),
+pv AS (SELECT *, 1 - sk * sr + (ku - 1) / 4 * sr * sr AS v FROM pg),
+pz AS (SELECT series_id, 'psr' AS k, sr * sqrt(n - 1) / sqrt(greatest(1e-12, v)) AS z FROM pv UNION ALL SELECT series_id, 'dsr', (sr - {_BEST!r} * sqrt((1 + v) / (n - 1))) * sqrt(n - 1) / sqrt(greatest(1e-12, v)) FROM pv),
+pt AS (SELECT series_id, k, z, sum(exp((2 * i + 1) * ln(greatest(abs(z), 1e-9)) - (i + 1) * ln(2.0) - lgamma(i + 1.5) + ln(pi()) / 2)) AS t FROM pz CROSS JOIN (SELECT unnest(range(150)) AS i) r WHERE abs(z) <= 8 GROUP BY ALL),
+pp AS (SELECT pz.series_id, pz.k, CASE WHEN pz.z > 8 THEN 1 WHEN pz.z < -8 THEN 0 ELSE 0.5 + sign(pz.z) * exp(-pz.z * pz.z / 2) / sqrt(2 * pi()) * t END AS p FROM pz LEFT JOIN pt ON pz.series_id = pt.series_id AND pz.k = pt.k),
+pr AS (SELECT pv.series_id, max(p) FILTER (k = 'psr') AS psr, max(p) FILTER (k = 'dsr') AS dsr, CASE WHEN any_value(sr) = 0 THEN 'infinity'::DOUBLE ELSE ceil(greatest(any_value(n), (pow(1 / any_value(sr), 2) - 1) * any_value(n))) END AS min_backtest FROM pv JOIN pp ON pv.series_id = pp.series_id GROUP BY pv.series_id)"""
+
+
+@query(f"WITH {RET}, {probability_parts('rt')} SELECT series_id, round(psr, 5) AS psr, round(dsr, 5) AS dsr, min_backtest FROM pr")
 def sharpe_probabilities(s, d):
-    return metrics.sharpe_probabilities(returns(s, d))
+    p = metrics.sharpe_probabilities(returns(s, d))
+    return p.select("series_id", F.round("psr", 5).alias("psr"), F.round("dsr", 5).alias("dsr"), "min_backtest")
 
 
 @query(f"""WITH {RET}, y AS (SELECT series_id, CAST(year(ts) AS INTEGER) AS year, product(1 + ret) - 1 AS yr, count(*) AS n FROM rt GROUP BY ALL) SELECT series_id, year, round(yr, 6) AS year_return, n, round(product(1 + yr) OVER (PARTITION BY series_id ORDER BY year), 6) AS growth FROM y""")
@@ -210,9 +228,18 @@ def overall_status(s, d):
     return validation.status(table(s, d, "region").select(F.col("r_name").alias("name"), (k / 5.0).alias("pbo"), (1 - k / 50.0).alias("dsr"), (k / 10.0).alias("cv_ratio")))
 
 
-@query()
+#: Common tables of a whole validation of bt: w has its folds' summary, pr its ratios, un its labels' uniqueness, ln its length.
+JUDGED = f"""{RET}, {BT}, {wf_parts(' + 1', 252, 63, 21)}, {probability_parts('bt')}, {_UNIQ}, un AS (SELECT series_id, avg(u) AS mean_uniqueness, min(w) AS low_weight, max(w) AS high_weight FROM (SELECT *, u / sum(u) OVER (PARTITION BY series_id) * count(*) OVER (PARTITION BY series_id) AS w FROM u) q GROUP BY series_id),
+w AS (SELECT series_id, count(*) AS n_folds, avg(sharpe) AS mean_sharpe, stddev_pop(sharpe) AS std_sharpe, min(sharpe) AS min_sharpe, max(sharpe) AS max_sharpe, avg(total_return) AS mean_return, min(max_drawdown) AS worst_drawdown, avg(CAST(total_return > 0 AS INTEGER)) AS success_share FROM wf GROUP BY series_id),
+ln AS (SELECT series_id, count(ret) AS n_returns FROM bt GROUP BY series_id)"""
+
+
+@query(f"""WITH {JUDGED}, j AS (SELECT pr.*, mean_uniqueness, n_folds, mean_sharpe, std_sharpe, coalesce(CASE WHEN mean_sharpe <> 0 THEN std_sharpe / abs(mean_sharpe) END, 0) AS cv_ratio, n_returns FROM pr JOIN un ON pr.series_id = un.series_id JOIN ln ON pr.series_id = ln.series_id LEFT JOIN w ON pr.series_id = w.series_id)
+SELECT series_id, round(psr, 5) AS psr, round(dsr, 5) AS dsr, min_backtest, round(mean_uniqueness, 5) AS mean_uniqueness, n_folds, round(mean_sharpe, 5) AS mean_sharpe, round(std_sharpe, 5) AS std_sharpe, round(cv_ratio, 4) AS cv_ratio, CAST(NULL AS DOUBLE) AS pbo, n_returns, n_returns >= min_backtest AS long_enough,
+CASE WHEN dsr < 0.80 THEN 'FAIL' WHEN dsr < 0.95 OR cv_ratio > 0.2 THEN 'WARNING' ELSE 'PASS' END AS status FROM j""")
 def validate_backtest(s, d):
-    return validation.validate(_bt(s, d))
+    v = validation.validate(_bt(s, d))
+    return rounded(v.withColumn("cv_ratio", F.round("cv_ratio", 4)), 5)
 
 
 # learning

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import ordered as o
 from ..operators import align, feature_sets, features, signals, validation
 from .views import PX, RET, Book, W, px, returns, rolled, rounded
 
@@ -203,20 +204,34 @@ def forward_model(s, d):
     return rounded(validation.per_fold(validation.walk_forward_members(r, 100, 50, 20, "fixed"), r, run, "edge double, n_train long"))
 
 
-@query(f"""WITH {RET}, n AS (SELECT series_id, ts, ret, row_number() OVER ({W}) - 1 AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM rt), f AS (SELECT *, unnest(range(5)) AS fold FROM n),
+SCORES = f"""WITH {RET}, n AS (SELECT series_id, ts, ret, row_number() OVER ({W}) - 1 AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM rt), f AS (SELECT *, unnest(range(5)) AS fold FROM n),
 m AS (SELECT series_id, fold, 1000 * avg(ret) FILTER (rn >= fold * (n // 5) AND rn < (fold + 1) * (n // 5)) - 1000 * avg(ret) FILTER (rn < fold * (n // 5) OR rn >= (fold + 1) * (n // 5) + n // 100) AS score FROM f GROUP BY series_id, fold)
-SELECT series_id, count(*) AS n_scores, round(avg(score), 6) AS cv_mean, round(stddev_pop(score), 6) AS cv_std FROM m GROUP BY series_id""")
+SELECT series_id, count(*) AS n_scores, avg(score) AS cv_mean, stddev_pop(score) AS cv_std FROM m GROUP BY series_id"""
+
+
+def scores(s, d):
+    r = returns(s, d)
+    return validation.cross_validate(r, lambda train, test: 1000 * (test["ret"].mean() - train["ret"].mean()), validation.purged_folds(r))
+
+
+@query(f"SELECT series_id, n_scores, round(cv_mean, 6) AS cv_mean, round(cv_std, 6) AS cv_std FROM ({SCORES}) q")
 def cross_validation(s, d):
     """A scorer callable over purged folds."""
-    r = returns(s, d)
-    return rounded(validation.cross_validate(r, lambda train, test: 1000 * (test["ret"].mean() - train["ret"].mean()), validation.purged_folds(r)))
+    return rounded(scores(s, d))
+
+
+TRAINING = ["mom_5", "mom_20", "mom_60", "flat"]
+
+
+def training_table(s, d):
+    """Three momenta, a constant, and a label."""
+    return features.momentum(px(s, d), [5, 20, 60]).withColumns({"flat": F.lit(0.0), "label": F.coalesce((F.col("mom_5") > 0).cast("int"), F.lit(0))})
 
 
 @query(f"""WITH {PX}, m AS (SELECT series_id, ts, {", ".join(f"value / lag(value, {k}) OVER ({W}) - 1 AS m{k}" for k in (5, 20, 60))} FROM px), x AS (SELECT *, 0.0::DOUBLE AS flat, CAST(coalesce(m5 > 0, false) AS INTEGER) AS label FROM m)
 SELECT series_id, count(*) AS n_rows, round(avg((CAST(m5 IS NULL AS DOUBLE) + CAST(m20 IS NULL AS DOUBLE) + CAST(m60 IS NULL AS DOUBLE) + 0) / 4), 6) AS missing_share, 1 + CAST(count(m60) = 0 AS BIGINT) + CAST(count(m20) = 0 AS BIGINT) + CAST(count(m5) = 0 AS BIGINT) AS n_constant, round(least(avg(label), 1 - avg(label)), 6) AS minority_share FROM x GROUP BY series_id""")
 def data_quality(s, d):
-    x = features.momentum(px(s, d), [5, 20, 60]).withColumns({"flat": F.lit(0.0), "label": F.coalesce((F.col("mom_5") > 0).cast("int"), F.lit(0))})
-    return rounded(validation.quality(x, ["mom_5", "mom_20", "mom_60", "flat"], "label"))
+    return rounded(validation.quality(training_table(s, d), TRAINING, "label"))
 
 
 @query(f"""WITH {PX}, m AS (SELECT series_id, ts, {" + ".join(f"CAST(coalesce(value / lag(value, {k}) OVER ({W}) - 1 > 0, false) AS INTEGER)" for k in (5, 20, 60))} AS c FROM px), e AS (SELECT *, c >= 2 AS on_, coalesce(lag(c >= 2) OVER ({W}), false) AS was FROM m)
@@ -226,11 +241,14 @@ def signal_statistics(s, d):
     return rounded(signals.statistics(signals.edges(c)))
 
 
+def tried(s, d):
+    """Returns of five configurations per series, each out of the market on rows of its own."""
+    r = returns(s, d).withColumn("rn", F.row_number().over(o.series())).withColumn("config_id", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    return r.withColumn("ret", F.when(F.col("rn") % (F.col("config_id") + 2) == 0, F.lit(0.0)).otherwise(F.col("ret")))
+
+
 @query(f"""WITH {RET}, c AS (SELECT series_id, k AS config_id, ts, CASE WHEN rn % (k + 2) = 0 THEN 0 ELSE ret END AS ret, row_number() OVER (PARTITION BY series_id, k ORDER BY ts) AS rk, count(*) OVER (PARTITION BY series_id, k) AS n FROM rt CROSS JOIN (SELECT unnest(range(5)) AS k) q),
 g AS (SELECT series_id, config_id, coalesce(avg(ret) / stddev_samp(ret), 0) AS s FROM c WHERE rk > floor(n * 0.5) GROUP BY series_id, config_id), m AS (SELECT *, quantile_cont(s, 0.5) OVER (PARTITION BY series_id) AS md FROM g)
 SELECT series_id, round(avg(CAST(s < md AS DOUBLE)), 6) AS pbo FROM m GROUP BY series_id""")
 def overfitting_by_series(s, d):
-    from ..functions import ordered as o
-
-    r = returns(s, d).withColumn("rn", F.row_number().over(o.series())).withColumn("config_id", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    return rounded(validation.overfitting(r.withColumn("ret", F.when(F.col("rn") % (F.col("config_id") + 2) == 0, F.lit(0.0)).otherwise(F.col("ret")))))
+    return rounded(validation.overfitting(tried(s, d)))

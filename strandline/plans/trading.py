@@ -296,7 +296,7 @@ def ga_search(s, d):
 
 # portfolio
 
-_BT = f"""{_CROSS}, sg AS ({_EDGE.replace('SELECT series_id, ts, position,', 'SELECT series_id, ts, value, position,')}),
+BT = f"""{_CROSS}, sg AS ({_EDGE.replace('SELECT series_id, ts, position,', 'SELECT series_id, ts, value, position,')}),
 b0 AS (SELECT series_id, ts, position, coalesce(lag(position) OVER ({W}), 0) AS before, ret AS pr FROM (SELECT sg.*, rt.ret FROM sg JOIN rt ON sg.series_id = rt.series_id AND sg.ts = rt.ts) q),
 b1 AS (SELECT *, CAST(position <> before AS INTEGER) AS side, (1 + before * pr) * CASE WHEN position <> before THEN 1 - 0.001 ELSE 1 END AS f FROM b0),
 b2 AS (SELECT *, 100 * product(f) OVER ({W}) AS equity, CAST(sum(side) OVER ({W}) AS BIGINT) AS sides FROM b1),
@@ -309,7 +309,7 @@ def _bt(s, d, fee: float = 0.001):
     return portfolio.backtest(returns(s, d).select("series_id", "ts", "value").join(sig, ["series_id", "ts"]), fee=fee)
 
 
-@query(f"WITH {RET}, {_BT} SELECT series_id, ts, position, round(equity, 6) AS equity, sides, round(ret, 6) AS ret FROM bt")
+@query(f"WITH {RET}, {BT} SELECT series_id, ts, position, round(equity, 6) AS equity, sides, round(ret, 6) AS ret FROM bt")
 def manual_backtest(s, d):
     return rounded(_bt(s, d).select("series_id", "ts", "position", "equity", "sides", "ret"))
 
@@ -320,7 +320,7 @@ SELECT series_id, n, round(fv, 6) AS final_value, round(iv, 6) AS initial_value,
 round(CASE WHEN sd > 0 THEN m / sd * sqrt(252.0) ELSE 0 END, 6) AS sharpe, round(CASE WHEN dn > 0 THEN m / dn * sqrt(252.0) ELSE 0 END, 6) AS sortino, round(mdd, 6) AS max_drawdown, trades, round(tim, 6) AS time_in_market FROM g"""
 
 
-@query(f"WITH {RET}, {_BT}, {_SUM}")
+@query(f"WITH {RET}, {BT}, {_SUM}")
 def momentum_backtest(s, d):
     return rounded(portfolio.summary(_bt(s, d)))
 
@@ -369,7 +369,7 @@ def grid_search(s, d):
     return g.select("series_id", "param_id", F.round("total_return", 6).alias("total_return"), best.alias("best"))
 
 
-@query(f"""WITH {RET}, {_BT.replace('0.001', '0.0')}, cc AS (SELECT series_id, 'momentum' AS strategy, ret, rn FROM bt UNION ALL SELECT series_id, 'hold', ret, rn FROM rt),
+@query(f"""WITH {RET}, {BT.replace('0.001', '0.0')}, cc AS (SELECT series_id, 'momentum' AS strategy, ret, rn FROM bt UNION ALL SELECT series_id, 'hold', ret, rn FROM rt),
 g AS (SELECT series_id, strategy, product(1 + ret) - 1 AS tr, avg(ret) AS m, stddev_samp(ret) AS sd FROM cc GROUP BY series_id, strategy)
 SELECT a.series_id, a.strategy, round(a.tr, 6) AS total_return, round(a.m / a.sd * sqrt(252.0), 6) AS sharpe, round(a.tr - b.tr, 6) AS excess FROM g a JOIN g b ON a.series_id = b.series_id AND b.strategy = 'hold'""")
 def strategy_compare(s, d):
@@ -379,12 +379,17 @@ def strategy_compare(s, d):
     return rounded(g.withColumn("excess", F.col("total_return") - b))
 
 
+def wf_parts(last: str, train: int = 120, test: int = 30, step: int = 15) -> str:
+    """The common tables of a walk through bt, the last of which, wf, has a row per fold."""
+    return f"""wn AS (SELECT series_id, count(*) AS n FROM bt GROUP BY series_id), wi AS (SELECT series_id, unnest(range(0, greatest(0, n - {train} - {test}{last}), {step})) AS i FROM wn),
+wx AS (SELECT wi.series_id, CAST(wi.i / {step} AS BIGINT) AS fold, bt.ts, bt.ret FROM wi JOIN bt ON wi.series_id = bt.series_id AND bt.rn - 1 BETWEEN wi.i + {train} AND wi.i + {train + test - 1}),
+we AS (SELECT *, product(1 + ret) OVER (PARTITION BY series_id, fold ORDER BY ts) AS eq FROM wx), wk AS (SELECT *, eq / greatest(1, max(eq) OVER (PARTITION BY series_id, fold ORDER BY ts)) - 1 AS dd FROM we),
+wg AS (SELECT series_id, fold, product(1 + ret) - 1 AS tr, avg(ret) AS m, stddev_samp(ret) AS sd, min(dd) AS dd FROM wk GROUP BY series_id, fold),
+wf AS (SELECT series_id, fold, tr AS total_return, sd * sqrt(252.0) AS volatility, CASE WHEN sd > 0 THEN m / sd * sqrt(252.0) ELSE 0 END AS sharpe, dd AS max_drawdown FROM wg)"""
+
+
 def _wf_sql(last: str) -> str:
-    return f"""WITH {RET}, {_BT}, n AS (SELECT series_id, count(*) AS n FROM bt GROUP BY series_id), f AS (SELECT series_id, unnest(range(0, greatest(0, n - 120 - 30{last}), 15)) AS i FROM n),
-x AS (SELECT f.series_id, CAST(f.i / 15 AS BIGINT) AS fold, bt.ts, bt.ret FROM f JOIN bt ON f.series_id = bt.series_id AND bt.rn - 1 BETWEEN f.i + 120 AND f.i + 149),
-e AS (SELECT *, product(1 + ret) OVER (PARTITION BY series_id, fold ORDER BY ts) AS eq FROM x), k AS (SELECT *, eq / greatest(1, max(eq) OVER (PARTITION BY series_id, fold ORDER BY ts)) - 1 AS dd FROM e),
-g AS (SELECT series_id, fold, product(1 + ret) - 1 AS tr, avg(ret) AS m, stddev_samp(ret) AS sd, min(dd) AS dd FROM k GROUP BY series_id, fold)
-SELECT series_id, fold, round(tr, 6) AS total_return, round(sd * sqrt(252.0), 6) AS volatility, round(CASE WHEN sd > 0 THEN m / sd * sqrt(252.0) ELSE 0 END, 6) AS sharpe, round(dd, 6) AS max_drawdown FROM g"""
+    return f"WITH {RET}, {BT}, {wf_parts(last)} SELECT series_id, fold, round(total_return, 6) AS total_return, round(volatility, 6) AS volatility, round(sharpe, 6) AS sharpe, round(max_drawdown, 6) AS max_drawdown FROM wf"
 
 
 @query(_wf_sql(""))

@@ -35,7 +35,7 @@ def test_query_matches_sql(spark, con, small, name):
     assert got == sorted(tuple(norm(r[i]) for i in at) for r in rel.fetchall())
 
 
-@pytest.mark.parametrize("name", ["ga_search", "logit_signals", "stream_holds", "robustness", "sequential_bootstrap", "ewm_volatility", "sharpe_probabilities"])
+@pytest.mark.parametrize("name", ["ga_search", "logit_signals", "robustness", "sequential_bootstrap"])
 def test_query_without_sql_gives_rows(spark, small, name):
     assert registry.QUERIES[name](spark, small).limit(1).count() == 1
 
