@@ -3,7 +3,7 @@
 Public vocabularies tell odd text from usual text of its language: how many characters a token covers, what share of
 the tokens are single bytes that the vocabulary has no piece for, and how evenly tokens are used. Every text is
 measured; per language (or script, where the language isn't known) bands around the quartiles of all measured texts
-decide; a language of few texts gets those of its script too. Simple counts of words, symbols, repeated lines and repeated word windows come along as base rules.
+decide, wider ones where texts are few. Simple counts of words, symbols, repeated lines and repeated word windows come along as base rules.
 """
 
 from __future__ import annotations
@@ -27,12 +27,11 @@ SYMBOLS = "#*$%&|<>"
 FENCE = 2.5
 LEAST_RANGE = {"chars_per_token": 0.05, "fallback_share": 0.02, "token_entropy": 0.03}
 EVEN_WORDS = 300
-#: A language with fewer measured texts takes the wider of its own bands and those of its script, whatever the language; if
-#: the script has fewer too, its texts are kept.
+#: The fences of a language (or script) of fewer measured texts are wider by the square root of what it lacks of them, as quartiles of
+#: few texts scatter more: the same rule at every size, the language's own texts alone.
 LEAST_TEXTS = 50
 #: The pre-token pattern of the byte-level vocabulary; fixed value, public.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-LONGEST = 1000  # a longer word is measured in pieces of this length
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SCRIPTS = (("Latin", "A-Za-zÀ-ɏ"), ("Greek", "Ͱ-Ͽ"), ("Cyrillic", "Ѐ-ԯ"), ("Hebrew", "֐-׿"), ("Arabic", "؀-ۿ"), ("Devanagari", "ऀ-ॿ"), ("Kana", "぀-ヿ"), ("Han", "㐀-鿿"), ("Hangul", "가-힯"))
@@ -102,7 +101,7 @@ def measure(text: str | None, fertility: Fertility) -> tuple:
         for k in range(3):
             cover[k : n - 2 + k] |= again
         repeated = int(cover.sum())
-    plain = " ".join(ws) if max(map(len, local)) <= LONGEST else " ".join(w[i : i + LONGEST] for w in ws for i in range(0, len(w), LONGEST))
+    plain = " ".join(ws)
     counts = np.unique(fertility.tokens(" " + plain), return_counts=True)[1].astype(np.float64)
     total = counts.sum()
     share = counts / total
@@ -141,36 +140,31 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     base_failed: under ``least_words`` words, or over ``most_repeated`` percent of them in repeated windows. kept: not
     that, and every measure within the bands of the row's language or script: the quartiles of all rows that pass the
-    base rules, plus or minus ``fence`` interquartile ranges, wider for short texts (values rounded to thousandths, so that the exact
-    quartiles need a bounded table). Bands come from all rows; nothing is sampled. A language with under LEAST_TEXTS such
-    rows has too few to be judged by them alone: its bands reach as far as its own or those of all rows of the row's
-    script. Rows of a script that has under LEAST_TEXTS rows too are kept. No row is judged by another script.
+    base rules, plus or minus ``fence`` interquartile ranges, wider for short texts and for languages of few such rows (values rounded to
+    thousandths, so that the exact quartiles need a bounded table). Bands come from all rows; nothing is sampled, no row goes
+    unjudged, and none is judged by another language or script.
 
-    Null and empty texts have no words and fail; values on a fence stay; long texts are measured whole, words of over LONGEST
-    characters in pieces. Null lang: by script. Rows alike in id and text are measured alike.
+    Null and empty texts have no words and fail; values on a fence stay; long texts and words are measured whole. Null lang: by
+    script. A language of one text is kept, if the base rules pass it. Rows alike in id and text are measured alike.
     Other columns play no part. An empty table gives an empty result.
     """
     names = list(LEAST_RANGE)
     m = written(measures(docs, id_col, text_col, lang_col, path), "fertility")
     m = m.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words")))
     quart = F.array(F.lit(0.25), F.lit(0.75))
-    groups = F.array(F.struct(F.lit(False).alias("all"), F.col("band")), F.struct(F.lit(True).alias("all"), F.col("script").alias("band")))
-    use = m.where(~F.col("base_failed")).select(F.explode(groups).alias("_g"), *[F.round(c, 3).alias(c) for c in names]).select("_g.*", *names)
-    bands = use.groupBy("all", "band").agg(F.count(F.lit(1)).alias("_n"), *[F.percentile(c, quart).alias(c) for c in names])
+    use = m.where(~F.col("base_failed")).select("band", *[F.round(c, 3).alias(c) for c in names])
+    bands = use.groupBy("band").agg(F.count(F.lit(1)).alias("_n"), *[F.percentile(c, quart).alias(c) for c in names])
     spread = {c: F.greatest(F.col(c)[1] - F.col(c)[0], F.lit(least)) for c, least in LEAST_RANGE.items()}
-    bands = written(bands.select("all", "band", "_n", *[F.struct(F.col(c)[0].alias("low"), F.col(c)[1].alias("high"), (fence * spread[c]).alias("by")).alias(f"_{c}") for c in names]), "fertility-bands")
-    own = bands.where(~F.col("all")).drop("all")
-    scripts = bands.where(F.col("all") & (F.col("_n") >= LEAST_TEXTS)).select(F.col("band").alias("script"), F.lit(True).alias("_known"), *[F.col(f"_{c}").alias(f"_all_{c}") for c in names])
-    j = m.join(if_small(own), "band", "left").join(F.broadcast(scripts), "script", "left")  # a row per script
-    many = F.coalesce(F.col("_n") >= LEAST_TEXTS, F.lit(False))
+    few = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(LEAST_TEXTS)) / F.col("_n")))
+    bands = written(bands.select("band", *[F.struct(F.col(c)[0].alias("low"), F.col(c)[1].alias("high"), (fence * few * spread[c]).alias("by")).alias(f"_{c}") for c in names]), "fertility-bands")
+    j = m.join(if_small(bands), "band", "left")
     ok, wider = F.lit(True), F.sqrt(F.greatest(F.lit(1.0), F.lit(float(EVEN_WORDS)) / F.greatest(F.lit(1), F.col("n_words"))))
     for c in names:
-        own_b, all_b = F.col(f"_{c}"), F.when(~many, F.col(f"_all_{c}"))
+        own = F.col(f"_{c}")
         if c != "fallback_share":
-            ok = ok & (F.col(c) >= F.least(own_b["low"] - wider * own_b["by"], all_b["low"] - wider * all_b["by"]))
+            ok = ok & (F.col(c) >= own["low"] - wider * own["by"])
         if c != "token_entropy":
-            ok = ok & (F.col(c) <= F.greatest(own_b["high"] + wider * own_b["by"], all_b["high"] + wider * all_b["by"]))
-    ok = ok | ~many & F.col("_known").isNull()
+            ok = ok & (F.col(c) <= own["high"] + wider * own["by"])
     return j.withColumn("kept", ~F.col("base_failed") & F.coalesce(ok, F.lit(False))).select(*m.columns, "kept")
 
 

@@ -56,20 +56,17 @@ def brute_quality(docs):
 
     def fences(rows, c, wide):
         low, high = np.percentile(rows[c].round(3), [25, 75])
-        by = fertility.FENCE * max(high - low, fertility.LEAST_RANGE[c]) * wide
+        by = fertility.FENCE * max(high - low, fertility.LEAST_RANGE[c]) * wide * math.sqrt(max(1, 50 / len(rows)))
         return low - by, high + by
 
     kept = []
     for r in good.itertuples():
-        own, script = good[good.band == r.band], good[good.script == r.script]
-        if len(own) < fertility.LEAST_TEXTS > len(script):
-            kept.append(r.Index)
-            continue
+        own = good[good.band == r.band]
         wide, ok = math.sqrt(max(1, fertility.EVEN_WORDS / r.n)), True
         for c in fertility.LEAST_RANGE:
-            bands = [fences(own, c, wide), *([fences(script, c, wide)] if len(own) < fertility.LEAST_TEXTS else [])]
+            low, high = fences(own, c, wide)
             v = getattr(r, c)
-            ok &= (c == "fallback_share" or v >= min(b[0] for b in bands)) and (c == "token_entropy" or v <= max(b[1] for b in bands))
+            ok &= (c == "fallback_share" or v >= low) and (c == "token_entropy" or v <= high)
         if ok:
             kept.append(r.Index)
     return docs.loc[kept]

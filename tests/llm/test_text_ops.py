@@ -190,6 +190,18 @@ def test_fertility_keeps_a_rare_language_and_script(make):
     assert kept == set(range(240))
 
 
+def test_fertility_judges_languages_of_few_texts(make):
+    """Noise among 12 texts of a language goes, the texts stay; a language of one text stays; long words are measured whole."""
+    rng = random.Random(12)
+    text = lambda: " ".join(rng.choice("time people water house small green river garden morning because under light".split()) for _ in range(300))
+    noise = " ".join("".join(rng.choice("qxzjkvw#%$0183") for _ in range(7)) for _ in range(300))
+    rows = [(i, text(), "xx") for i in range(12)] + [(12, noise, "xx"), (13, noise, "yy")]
+    assert {r.doc_id for r in fertility.keep_good(make(rows)).collect()} == set(range(12)) | {13}
+    f = fertility.Fertility(fertility.TOKENIZERS)
+    word = "".join(rng.choice("abcdefgh") for _ in range(200_000))
+    assert fertility.measure(f"{word} b", f)[5] == (200_003) / len(f.tokens(f" {word} b"))
+
+
 def test_script_is_that_of_most_letters():
     assert [fertility.script_of(x) for x in ("", "12 ?", "abc где", "ab где", "где 7", "日本 a")] == ["none", "none", "Latin", "Cyrillic", "Cyrillic", "Han"]
 
