@@ -124,17 +124,29 @@ def ordered_holds(events: DataFrame, threshold: float, hold: int, lateness: str
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append", state_store: str | None = None) -> DataFrame:
-    """The stream's result over all that is there now, as a table of that name. state_store: the provider for this query alone."""
-    setting, conf = "spark.sql.streaming.stateStore.providerClass", stream.sparkSession.conf
+    """The stream's result over all that is there now, as a view of that name. state_store: the provider for this query alone.
+
+    The tasks write the rows as Parquet beside the checkpoint (``<checkpoint>-rows``, which must be as shared as that one), so the
+    driver holds none of them. In append mode each trigger adds its rows, once even if it is run again; in complete mode, the
+    only other one, a trigger's table takes the place of the one before.
+    """
+    if mode not in ("append", "complete"):
+        raise ValueError(f"mode {mode!r} is neither append nor complete")
+    spark, path = stream.sparkSession, f"{checkpoint.rstrip('/')}-rows"
+    setting, conf = "spark.sql.streaming.stateStore.providerClass", spark.conf
     before = conf.get(setting, None)
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(path)  # where no trigger runs
+    w = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    w = w.format("parquet").option("path", path) if mode == "append" else w.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path))
     if state_store is not None:
         conf.set(setting, state_store)
     try:
-        q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q = w.start()
         q.awaitTermination()
     finally:
         if state_store is not None:
             conf.unset(setting) if before is None else conf.set(setting, before)
     if q.exception() is not None:
         raise q.exception()
-    return stream.sparkSession.table(name)
+    spark.read.schema(stream.schema).parquet(path).createOrReplaceTempView(name)
+    return spark.table(name)

@@ -165,3 +165,39 @@ def test_ordered_holds_of_nothing(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "in"))
     out = events.run_once(events.ordered_holds(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 1.0, 2), "ordered_none", str(tmp_path / "ck"), state_store=events.ROCKSDB)
     assert out.count() == 0
+
+
+@pytest.mark.parametrize("mode", ["append", "complete"])
+def test_a_streams_rows_stay_with_the_tasks(spark, tmp_path, mode):
+    """Nothing of a result is in the driver's memory, over several triggers and when run again with and without more events."""
+    t0, schema, path = dt.datetime(2024, 1, 1), "ts timestamp, user_id long, event_id long, event_type string, value double", str(tmp_path / "in")
+    rows = [(t0 + dt.timedelta(hours=i), i % 3, i, "a", float(i % 7)) for i in range(90)]
+    name, ck = f"stay_{mode}", str(tmp_path / "ck")
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        result = events.held_signals(stream, 5.0, 2) if mode == "append" else events.windowed_bars(stream, "1 day").drop("total", "high", "low", "open", "close")
+        return events.run_once(result, name, ck, mode)
+
+    def want(seen):
+        n = len(seen)
+        return n if mode == "append" else {d: sum(r[0].date() == d for r in seen) for d in {r[0].date() for r in seen}}
+
+    def got(out):
+        return len({r.event_id for r in out.collect()}) if mode == "append" else {r.start.date(): r.n for r in out.withColumn("start", F.col("start").cast("date").cast("timestamp")).collect()}
+
+    for part in (rows[:30], rows[30:60]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    out = run()
+    assert "MemoryPlan" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.inputFiles() and all(f"{ck}-rows" in f for f in out.inputFiles())
+    assert got(out) == want(rows[:60]) and spark.table(name).count() == out.count()
+    assert got(run()) == want(rows[:60])
+    spark.createDataFrame(rows[60:], schema).coalesce(1).write.mode("append").parquet(path)
+    out = run()
+    assert got(out) == want(rows) and (mode == "complete" or out.count() == 90)
+
+
+def test_run_once_refuses_other_modes(spark, tmp_path):
+    with pytest.raises(ValueError):
+        events.run_once(spark.range(1), "none", str(tmp_path / "ck"), "update")
