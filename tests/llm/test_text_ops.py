@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -483,3 +484,24 @@ def test_pruning_keeps_pairs_at_the_threshold():
         kept += len(ngram_join.prune(pair, np.array([0]), np.array([1]), bounds)[0])
     assert kept >= 399
     assert not len(ngram_join.prune(sigs, np.array([0]), np.array([1]), bounds)[0])
+
+
+def test_words_of_the_basic_plane_are_the_same_and_cheap():
+    rng = random.Random(6)
+    pool = "abcéßñİΣжहिा日本語é \t\n.,;7½²Ⅷ_￿"
+    astral = "𝒜𝓫𐐀😀𠀀\U0001e8d0\U0010ffff"
+    for k in range(400):
+        text = "".join(rng.choice(pool + (astral if k % 2 else "")) for _ in range(rng.randrange(60)))
+        assert langid.words_of(text) == langid.LETTERS.findall(text.lower())
+    assert langid.words_of("") == [] and langid.words_of("😀 Ab𐐀c") == ["ab𐐨c"]
+    text = "the 12 quick, brown foxes " * 20_000
+
+    def best(f):
+        took = []
+        for _ in range(3):
+            t = time.process_time()
+            f(text)
+            took.append(time.process_time() - t)
+        return min(took)
+
+    assert 3 * best(langid.words_of) < best(lambda t: langid.LETTERS.findall(t.lower()))
