@@ -81,8 +81,7 @@ class OrderedHolds(StatefulProcessor):
         first = None
         for b in rows:
             us = pd.to_datetime(b["ts"]).astype("datetime64[us]").astype("int64")
-            for row in zip(us.tolist(), b["event_id"].tolist(), [None if pd.isna(v) else float(v) for v in b["value"]], strict=True):
-                self.waiting.appendValue(row)
+            self.waiting.appendList(list(zip(us.tolist(), b["event_id"].tolist(), [None if pd.isna(v) else float(v) for v in b["value"]], strict=True)))
             first = int(us.min()) if first is None else min(first, int(us.min()))
         if first is not None:
             self._alarm(first)

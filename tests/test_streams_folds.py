@@ -201,3 +201,20 @@ def test_a_streams_rows_stay_with_the_tasks(spark, tmp_path, mode):
 def test_run_once_refuses_other_modes(spark, tmp_path):
     with pytest.raises(ValueError):
         events.run_once(spark.range(1), "none", str(tmp_path / "ck"), "update")
+
+
+def test_ordered_holds_rows_stay_with_the_tasks(spark, tmp_path):
+    """Users with several Arrow batches of events; the result is files, none of it in the driver's memory."""
+    t0, schema, path = dt.datetime(2024, 1, 1), "ts timestamp, user_id long, event_id long, value double", str(tmp_path / "in")
+    rows = [(t0 + dt.timedelta(seconds=(i * 37) % 100), i % 2, i, None if i % 13 == 0 else float(i % 10)) for i in range(100)]
+    close = [(t0 + dt.timedelta(hours=5), 9, 500, 1.0)]
+    spark.createDataFrame(rows + close, schema).coalesce(1).write.parquet(path)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        stream = events.ordered_holds(spark.readStream.schema(schema).parquet(path), 6.0, 3, "1 hour")
+        out = events.run_once(stream, "ordered_stay", str(tmp_path / "ck"), state_store=events.ROCKSDB)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "MemoryPlan" not in out._jdf.queryExecution().optimizedPlan().toString() and out.inputFiles()
+    got = [(r.event_id, r.held) for r in out.collect()]
+    assert len(got) == 100 and dict(got) == plain_holds(rows, 6.0, 3)
